@@ -1,0 +1,19 @@
+"""Names of the library's queries, with the SQL that each must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    """Query name to a function of (spark, directory of tables)."""
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Query name to equivalent DuckDB SQL."""
+    return {}
