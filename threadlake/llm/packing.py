@@ -38,9 +38,9 @@ from threadlake.llm import bpe
 WINDOW = 1024
 #: Tokens that the programme plans at once.
 STRETCH = 1 << 17
-SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 24.0
+SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 6.0
 #: Windows between two neighbouring chosen boundaries.
-MOST_WINDOWS = 4
+MOST_WINDOWS = 2
 SENTENCE_ENDS = (".", "!", "?", "\n", "。", "…")
 
 
@@ -108,7 +108,7 @@ def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDO
     at = {p: i for i, p in enumerate(spots)}
     queues: list[deque] = [deque() for _ in range(MOST_WINDOWS)]
     entered = [0] * MOST_WINDOWS
-    powers = [1 << k for k in range(window.bit_length() - 1) if 1 << k >= window // 8]
+    powers = [1 << k for k in range(window.bit_length() - 1) if 1 << k >= window // 4]
     f = [0.0] * n
     for j in range(1, n):
         here, least, via = spots[j], float("inf"), -1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import packing, token_counts, url_templates
+from threadlake.llm import mixing, packing, token_counts, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -28,7 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op3_packing": op3_packing, "op5_mixing": op5_mixing, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
