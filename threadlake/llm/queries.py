@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import mixing, packing, token_counts, url_templates
+from threadlake.llm import fingerprints, media, mixing, packing, token_counts, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sequences = media.parse_sequences(media.pages_of_texts(docs, "doc_id", "text"), "doc_id", "html")
+    return media.describe_media(media.resolve_media(sequences, media.media_of_texts(docs, "text"), "doc_id"), "doc_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -32,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op5_mixing": op5_mixing, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op2_media": op2_media, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
