@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import fingerprints, media, mixing, packing, token_counts, url_templates
+from threadlake.llm import fingerprints, media, mixing, packing, token_counts, toxicity, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit_model(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op2_media": op2_media, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
