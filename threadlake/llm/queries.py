@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import fingerprints, media, mixing, packing, token_counts, toxicity, url_templates
+from threadlake.llm import fingerprints, html_extraction, media, mixing, packing, token_counts, toxicity, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
