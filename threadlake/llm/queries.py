@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import fingerprints, html_extraction, media, mixing, packing, token_counts, toxicity, url_templates
+from threadlake.llm import fingerprints, html_extraction, media, mixing, ngram_join, packing, token_counts, toxicity, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sequences = media.parse_sequences(media.pages_of_texts(docs, "doc_id", "text"), "doc_id", "html")
@@ -51,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op1_ngram_join": op1_ngram_join, "op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
