@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import fingerprints, html_extraction, media, mixing, ngram_join, packing, token_counts, toxicity, url_templates
+from threadlake.llm import fingerprints, html_extraction, media, mixing, ngram_join, packing, repeats, token_counts, toxicity, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    return {"op1_ngram_join": op1_ngram_join, "op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_repeats": op8_repeats, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
