@@ -91,6 +91,12 @@ def pivot(mass: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndar
     return np.array(out), left
 
 
+def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with size and nth, the number of a row among those of equal key, source and size."""
+    sized = docs.withColumn("size", word_count(F.col(text)))
+    return sized.withColumn("nth", F.row_number().over(Window.partitionBy(key, source, "size").orderBy(text)).cast("long"))
+
+
 SCHEMA = "source string, uid bigint, size bigint, mass double, block bigint, done boolean"
 
 
@@ -108,7 +114,7 @@ def _level(seed: int):
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """key, size, source_size, target, taken, copies and part of each row of docs.
+    """key, size, source_size, target, taken, copies, part, source and nth of each row of docs.
 
     copies: whole copies. part: words of one further, partial copy; over 0 in
     one document of each source at most. taken = copies * size + part.
@@ -150,4 +156,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     out = due.join(words, (F.col("uid") == F.col("wu")) & (F.col("size") == F.col("wz")) & F.col("source").eqNullSafe(F.col("ws")), "left").withColumn("got", F.coalesce("settled", F.lit(0.0)))
     full = (F.col("got") >= F.col("size")) & (F.col("size") > 0)
     out = out.withColumn("copies", F.col("whole") + full.cast("long")).withColumn("part", F.when(full, F.lit(0)).otherwise(F.round("got")).cast("long"))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part")
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part", "source", "nth")

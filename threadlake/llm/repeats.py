@@ -224,29 +224,36 @@ def _explode(length: int):
     return run
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """spans: start * 2**32 + end of parts to remove; they may overlap."""
-    kept, removed, counts = [], [], []
-    for text, part in zip(texts, spans, strict=True):
-        data = (text or "").encode()
-        if part is None or not len(part):
-            kept.append(data)
-            removed.append(0)
-            counts.append(0)
-            continue
-        x = np.sort(np.asarray(part, np.int64))
-        lo, end = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
-        new = np.concatenate([[True], lo[1:] > end[:-1]])
-        starts, ends = lo[new], end[np.append(np.flatnonzero(new)[1:], len(x)) - 1]
-        edges = [0, *np.column_stack([starts, ends]).ravel().tolist(), len(data)]
-        kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        removed.append(int((ends - starts).sum()))
-        counts.append(len(starts))
-    return pd.DataFrame({"kept": kept, "n_removed": removed, "n_spans": counts})
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, start: int = START, carry: tuple[str, ...] = (), most_kinds: int = MOST_KINDS) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the carried columns of every row."""
+def _cutter(as_text: bool):
+    """A function of texts and the spans to remove from them: start * 2**32 + end, which may overlap."""
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        kept, removed, counts = [], [], []
+        for text, part in zip(texts, spans, strict=True):
+            data = text.encode()
+            n = runs = 0
+            if part is not None and len(part):
+                x = np.sort(np.asarray(part, np.int64))
+                lo, end = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
+                new = np.concatenate([[True], lo[1:] > end[:-1]])
+                starts, ends = lo[new], end[np.append(np.flatnonzero(new)[1:], len(x)) - 1]
+                edges = [0, *np.column_stack([starts, ends]).ravel().tolist(), len(data)]
+                parts = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                data = "".join(p.decode(errors="ignore") for p in parts).encode() if as_text else b"".join(parts)
+                n, runs = int((ends - starts).sum()), len(starts)
+            kept.append(data.decode() if as_text else data)
+            removed.append(n)
+            counts.append(runs)
+        return pd.DataFrame({"kept": kept, "n_removed": removed, "n_spans": counts})
+
+    return F.pandas_udf(cut, f"kept {'string' if as_text else 'binary'}, n_removed bigint, n_spans bigint")
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, start: int = START, carry: tuple[str, ...] = (), as_text: bool = False, most_kinds: int = MOST_KINDS) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the carried columns of every row.
+
+    as_text: kept is a string, without the characters that were cut through.
+    """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     # Keys mostly are unique; only where they aren't do texts' hashes tell rows apart.
     unique = not rows.groupBy("key").count().where("count > 1").limit(1).count()
@@ -264,12 +271,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     uid = F.xxhash64("key", "tie").alias("uid")
     dealt = rows.withColumn("uid", uid).repartition(partitions, "uid")
     open_rows = ranked.where("fresh = 1").select("prefix", "kinds", "lo", "n", "place", uid)
-    stretches = settled(_bytes_of(dealt.select("uid", "key", "tie", "text"), open_rows, length))
-    small = stretches.where(F.col("kinds") <= most_kinds).select("prefix", "key", "tie", "lo", "place", "bytes")
-    small = small.repartition(partitions, "prefix").sortWithinPartitions("prefix", *in_order).mapInArrow(_settle_groups(length), "key bigint, tie bigint, lo int, end int")
-    large = stretches.where(F.col("kinds") > most_kinds).select("prefix", "key", "tie", "lo", "place", "bytes").mapInArrow(_explode(length), "prefix bigint, rel int, rank bigint, key bigint, tie bigint, lo int")
-    large = large.withColumn("nth", F.row_number().over(Window.partitionBy("prefix", "rel", "rank").orderBy(*in_order))).where("nth > 1").select("key", "tie", "lo", (F.col("lo") + length).cast("int").alias("end"))
-    repeats = local.unionByName(whole).unionByName(small).unionByName(large)
+    stretches = _bytes_of(dealt.select("uid", "key", "tie", "text"), open_rows, length)
+    repeats = local.unionByName(whole)
+    most = ranked.agg(F.max("kinds")).first()[0] or 0
+    if most > most_kinds:
+        stretches = settled(stretches)
+        large = stretches.where(F.col("kinds") > most_kinds).select("prefix", "key", "tie", "lo", "place", "bytes").mapInArrow(_explode(length), "prefix bigint, rel int, rank bigint, key bigint, tie bigint, lo int")
+        large = large.withColumn("nth", F.row_number().over(Window.partitionBy("prefix", "rel", "rank").orderBy(*in_order))).where("nth > 1")
+        repeats = repeats.unionByName(large.select("key", "tie", "lo", (F.col("lo") + length).cast("int").alias("end")))
+        stretches = stretches.where(F.col("kinds") <= most_kinds)
+    small = stretches.select("prefix", "key", "tie", "lo", "place", "bytes").repartition(partitions, "prefix").sortWithinPartitions("prefix", *in_order)
+    repeats = repeats.unionByName(small.mapInArrow(_settle_groups(length), "key bigint, tie bigint, lo int, end int"))
     spans = repeats.select(uid, (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("end")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
-    joined = dealt.join(spans, "uid", "left").withColumn("cut", F.pandas_udf(_cut, "kept binary, n_removed bigint, n_spans bigint")("text", "spans"))
+    joined = dealt.join(spans, "uid", "left").withColumn("cut", _cutter(as_text)("text", "spans"))
     return joined.select(F.col("key").alias(key), F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", "cut.kept", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))

@@ -15,6 +15,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all machines share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The frame's rows, computed once and kept in the checkpoint folder."""
     ensure_checkpoint_dir(frame.sparkSession)

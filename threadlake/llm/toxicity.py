@@ -31,6 +31,7 @@ from itertools import product
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,6 +234,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return fit([(r["t"], r["y"]) for r in picked.select("t", "y").limit(sample).collect()])
 
 
+def scorer(model: Model):
+    """A function of a text column that gives its score."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        ready = model.ready()
+        return texts.map(lambda t: ready.score(t or ""), na_action=None).astype(float)
+
+    return score
+
+
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score and predicted for every row of docs."""
 
