@@ -5,15 +5,370 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadlake.functions import chronology as ch
+from threadlake.functions import text as t
+from threadlake.operators import correlation as co
+from threadlake.operators import handoff as ho
+from threadlake.operators import overview as ov
+from threadlake.operators import retention as re_
+from threadlake.operators import search as se
+from threadlake.operators import timeline as tl
+from threadlake.plans.fixtures import event_log, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+ORDER = "ts_seconds, ts_nanos, sequence, source_generation, source_offset, ingestion_sequence, event_id"
+BACK = ", ".join(f"{c} desc" for c in ORDER.split(", "))
+DISPOSABLE = "('tool_call','tool_result','file_read','file_write','patch','shell_command','command_result')"
+
+
+def _query(sql: str | None = None, *ctes: str):
+    """Registers a function of (log, spark, sf_dir) under its name, with the SQL over ``log``."""
+
+    def put(f):
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(event_log(spark, sf_dir), spark, sf_dir)
+        if sql is not None:
+            _ORACLES[name] = oracle(sql, *ctes)
+        return f
+
+    return put
+
+
+STATS = f"""offered as (select *, case when kind in {DISPOSABLE} or text is null or kind <> 'user_message' or trim(text) = '' then null else left(text, 320) end as offer from log),
+stats as (select native_session_id, count(*) as event_count, cast(sum(canonical_bytes) as bigint) as content_bytes,
+  arg_min_null(offer, row(case when offer is null then 2 else 1 end, sequence, event_id)) as title from offered group by 1)"""
+LIST = """flat as (select *, trim(regexp_replace(title, '\\s+', ' ', 'g')) as t1 from stats),
+listed as (select f.native_session_id, l.tool_family, case when t1 is null or t1 = '' then f.native_session_id when length(t1) > 80 then concat(left(t1, 80), '…') else t1 end as title,
+  event_count, content_bytes, l.last_seconds, l.last_nanos from flat f join (select native_session_id, arg_min(tool_family, row(ingestion_id, event_id)) as tool_family,
+  max(row(ts_seconds, ts_nanos))[1] as last_seconds, max(row(ts_seconds, ts_nanos))[2] as last_nanos from log group by 1) l using (native_session_id))"""
+
+
+@_query("select * from listed", STATS, LIST)
+def session_overview(log, spark, sf_dir):
+    return ov.session_list(log).orderBy(F.col("last_seconds").desc(), F.col("last_nanos").desc(), F.col("native_session_id").desc())
+
+
+@_query("select * from stats", STATS)
+def session_statistics(log, spark, sf_dir):
+    return ov.session_statistics(log)
+
+
+@_query("select * from listed order by last_seconds desc, last_nanos desc, native_session_id desc limit 20 offset 10", STATS, LIST)
+def recent_sessions(log, spark, sf_dir):
+    return ov.recent_sessions(log, 10, 20)
+
+
+@_query("select * from listed where contains(lower(title), 'th') or contains(lower(native_session_id), 'th') or contains(lower(tool_family), 'th')", STATS, LIST)
+def session_text_filter(log, spark, sf_dir):
+    return ov.filter_sessions(ov.session_list(log), "TH")
+
+
+@_query("select strftime(make_timestamp(last_seconds * 1000000), '%Y-%m-%d') as day, case when content_bytes < 10000 then 'small' when content_bytes < 100000 then 'medium' else 'large' end as size, count(*) as sessions from listed group by 1, 2", STATS, LIST)
+def session_buckets(log, spark, sf_dir):
+    return ov.session_buckets(log)
+
+
+SESSIONS = "sessions as (select native_session_id, arg_min(tool_family, row(ingestion_id, event_id)) as tool_family, arg_min(ts_seconds, row(ingestion_id, event_id)) as started_at, arg_max(ts_seconds, row(ingestion_id, event_id)) as ended_at from log group by 1)"
+
+
+@_query("select * from sessions", SESSIONS)
+def native_sessions(log, spark, sf_dir):
+    return ov.native_sessions(log)
+
+
+@_query("select tool_family, count(*) as sessions from sessions group by 1", SESSIONS)
+def session_tools(log, spark, sf_dir):
+    return ov.session_tools(log)
+
+
+@_query("select * from sessions where native_session_id > 'conv:5' and tool_family = 'codex' order by native_session_id limit 51", SESSIONS)
+def session_page(log, spark, sf_dir):
+    return ov.session_page(ov.native_sessions(log), "conv:5", 51, "codex")
+
+
+@_query(f"select count(*) as events, count(*) filter (where kind in ('user_message','assistant_message')) as conversation_events, count(*) filter (where kind in {DISPOSABLE}) as disposable_events, cast(sum(canonical_bytes) as bigint) as content_bytes from log")
+def resource_counts(log, spark, sf_dir):
+    return ov.resource_counts(log)
+
+
+@_query("select kind, count(*) as n from log group by kind")
+def kind_histogram(log, spark, sf_dir):
+    return ov.kind_histogram(log)
+
+
+@_query("select greatest(coalesce(max(ingestion_id), 0), 5) as watermark from log")
+def ingestion_watermark(log, spark, sf_dir):
+    return ov.watermark(log, 5)
+
+
+@_query("select distinct native_session_id from log where ingestion_id > 20000 and ingestion_id <= 60000")
+def changed_sessions(log, spark, sf_dir):
+    return ov.changed_sessions(log, 20000, 60000)
+
+
+@_query(f"select native_session_id, arg_min(ts_seconds, row({ORDER})) as start_seconds, arg_max(ts_seconds, row({ORDER})) as end_seconds, arg_min(cwd, row({ORDER})) filter (where cwd is not null) as cwd, arg_min(text, row({ORDER})) filter (where kind = 'user_message' and text is not null) as first_user_text from log group by 1")
+def session_spans(log, spark, sf_dir):
+    return ov.session_spans(log)
+
+
+@_query("select event_id, native_session_id, sequence, kind, tool_family, cwd, ts_seconds, ts_nanos, canonical_bytes, ingestion_id from log")
+def event_overview(log, spark, sf_dir):
+    return ov.event_overview(log)
+
+
+@_query("select native_session_id, count(*) as n from log where rtrim(cwd, '/') = '/work/p3' group by 1")
+def workspace_sessions(log, spark, sf_dir):
+    return ov.workspace_sessions(log, "/work/p3/")
+
+
+PAGE_COLUMNS = "event_id, native_session_id, kind, ts_seconds, ts_nanos"
+
+
+def _page(frame: DataFrame) -> DataFrame:
+    return frame.select(*PAGE_COLUMNS.split(", "))
+
+
+@_query(f"select {PAGE_COLUMNS} from log where row({ORDER}) > (select row({ORDER}) from log where event_id = 'conv:40#2') order by {ORDER} limit 51")
+def events_page(log, spark, sf_dir):
+    return _page(tl.events_page(log, after="conv:40#2", limit=51))
+
+
+@_query(f"select {PAGE_COLUMNS} from log where native_session_id = 'user:7' and kind = 'tool_call' order by {ORDER} limit 51")
+def events_page_filtered(log, spark, sf_dir):
+    return _page(tl.events_page(log, limit=51, session="user:7", kind="tool_call"))
+
+
+@_query(f"select {PAGE_COLUMNS}, truncated from (select *, row_number() over (order by {BACK}) as rn, count(*) over () > 10 as truncated from log where native_session_id = 'user:7' and kind in ('user_message','assistant_message')) where rn <= 10")
+def recent_conversation(log, spark, sf_dir):
+    return tl.recent_conversation(log, "user:7", 10).select(*PAGE_COLUMNS.split(", "), "truncated")
+
+
+@_query(f"select {PAGE_COLUMNS} from (select *, row_number() over (partition by native_session_id order by {BACK}) as rn from log where kind in ('user_message','assistant_message')) where rn <= 5")
+def newest_per_session(log, spark, sf_dir):
+    return _page(tl.newest_per_session(log, 5))
+
+
+def _context_sql(limit: int, size: int) -> str:
+    return f"select {PAGE_COLUMNS}, rn from (select *, sum(canonical_bytes) over (partition by native_session_id order by {BACK} rows unbounded preceding) as running, row_number() over (partition by native_session_id order by {BACK}) as rn from log) where rn <= {limit} and (rn = 1 or running <= {size})"
+
+
+@_query(_context_sql(256, 4 << 20))
+def bounded_context(log, spark, sf_dir):
+    return tl.bounded_context(log).select(*PAGE_COLUMNS.split(", "), F.col("rn").cast("long").alias("rn"))
+
+
+@_query(_context_sql(64, 600))
+def bounded_context_bytes(log, spark, sf_dir):
+    return tl.bounded_context(log, limit=64, most_bytes=600).select(*PAGE_COLUMNS.split(", "), F.col("rn").cast("long").alias("rn"))
+
+
+@_query(f"select event_id, cast(sum(s) over (partition by native_session_id order by {ORDER} rows unbounded preceding) as bigint) as group_no from (select *, case when kind = 'tool_call' and lag(kind) over (partition by native_session_id order by {ORDER}) = 'error' then 0 else 1 end as s from (select * replace (kind as kind) from log)) x")
+def event_groups(log, spark, sf_dir):
+    # The tables have no tool results: calls and errors stand in for results and calls.
+    mapped = log.withColumn("kind", F.when(F.col("kind") == "tool_call", "tool_result").when(F.col("kind") == "error", "tool_call").otherwise(F.col("kind")))
+    return tl.event_groups(mapped).select("event_id", F.col("group_no").cast("long").alias("group_no"))
+
+
+@_query("select event_id, row_number() over (partition by native_session_id order by ts_seconds, ts_nanos, event_id) - 1 as native_rank from log")
+def native_rank(log, spark, sf_dir):
+    return tl.native_rank(log).select("event_id", F.col("native_rank").cast("long").alias("native_rank"))
+
+
+@_query("select distinct event_id, kind from log where ingestion_id < 70000")
+def merged_events(log, spark, sf_dir):
+    return tl.merge_events(log.where("ingestion_id < 50000"), log.where("ingestion_id between 20000 and 69999")).select("event_id", "kind")
+
+
+@_query(f"select {PAGE_COLUMNS} from log where kind not in {DISPOSABLE}")
+def conversation_retention(log, spark, sf_dir):
+    return _page(re_.keep_conversation(log))
+
+
+@_query("select native_session_id, kind, id from (select native_session_id, kind, event_id as id, row_number() over (partition by native_session_id order by created_at desc, event_id desc) as rank from (select *, lpad(cast(ts_seconds as varchar), 12, '0') as created_at from log)) where rank <= 3")
+def latest_retained(log, spark, sf_dir):
+    rows = log.select("native_session_id", "kind", F.col("event_id").alias("id"), F.lpad(F.col("ts_seconds").cast("string"), 12, "0").alias("created_at"))
+    return re_.latest_per_group(rows, "native_session_id", 3).select("native_session_id", "kind", "id")
+
+
+@_query("select event_id from log where kind = 'error' and not exists (select 1 from log b where b.kind = 'user_message' and b.native_session_id = log.native_session_id and b.ts_seconds < 1704100000)")
+def orphaned_rows(log, spark, sf_dir):
+    return re_.orphans(log.where("kind = 'error'"), log.where("kind = 'user_message' and ts_seconds < 1704100000"), "native_session_id").select("event_id")
+
+
+@_query("select event_id, text as search_text from log where text is not null")
+def search_text(log, spark, sf_dir):
+    return log.where("text is not null").select("event_id", t.search_text(F.col("payload_json")).alias("search_text"))
+
+
+@_query("select event_id, left(coalesce(text, payload_json), 1000) as content from log")
+def event_content(log, spark, sf_dir):
+    return log.select("event_id", t.event_content(F.col("payload_json")).alias("content"))
+
+
+SEARCHABLE = "searchable as (select *, concat(' ', trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') as s from log)"
+
+
+@_query(f"select {PAGE_COLUMNS} from searchable where contains(s, ' the ') and contains(s, ' of ') order by {ORDER} limit 50", SEARCHABLE)
+def search_events(log, spark, sf_dir):
+    return _page(se.search(log, "the of"))
+
+
+@_query(f"select {PAGE_COLUMNS} from searchable where (contains(s, ' please ') or contains(s, ' an')) and not contains(s, ' is ') order by {ORDER} limit 100", SEARCHABLE)
+def search_language(log, spark, sf_dir):
+    return _page(se.search_query(log, "(please OR an*) NOT is", limit=100))
+
+
+DOCS = "docs as (select doc_id, text from documents)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+SECRET = "lower(w) like 'sk-%' or contains(lower(w), 'api_key') or contains(lower(w), 'password') or contains(lower(w), 'secret') or contains(lower(w), 'bearer')"
+
+
+@_query(f"select doc_id, md5(array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: case when {SECRET} then '[REDACTED]' else w end), ' ')) as redacted_md5 from docs", DOCS)
+def redacted_texts(log, spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(t.redact(F.col("text"))).alias("redacted_md5"))
+
+
+@_query("select doc_id, case when length(x) > 80 then concat(left(x, 80), '…') else x end as title, left(x, 240) as objective from (select doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') as x from docs)", DOCS)
+def bounded_titles(log, spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", t.bounded_title(F.col("text")).alias("title"), t.objective(F.col("text")).alias("objective"))
+
+
+@_query("select doc_id, len(x) as terms, md5(array_to_string(x, ' ')) as terms_md5 from (select doc_id, list_filter(list_transform(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda w: lower(left(w, 64))), lambda w: strlen(w) >= 4) as x from docs)", DOCS)
+def content_terms(log, spark, sf_dir):
+    terms = t.content_terms(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(terms).cast("long").alias("terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
+
+
+@_query("select doc_id, least(strlen(text), 100000) as bytes, strlen(text) > 2048 as truncated from docs", DOCS)
+def excerpts(log, spark, sf_dir):
+    cut = _docs(spark, sf_dir).withColumn("cut", t.excerpt(F.col("text")))
+    return cut.select("doc_id", F.least(F.octet_length("text").cast("long"), F.lit(100000).cast("long")).alias("bytes"), F.col("cut.truncated").alias("truncated"))
+
+
+STAMPS = """stamps as (select event_id, concat(strftime(make_timestamp(ts_seconds * 1000000), '%Y-%m-%dT%H:%M:%S'), case when ingestion_id % 3 = 0 then '' when ingestion_id % 3 = 1 then concat('.', lpad(cast(ts_nanos // 1000000 as varchar), 3, '0')) else concat('.', lpad(cast(ts_nanos as varchar), 9, '0')) end, case when ingestion_id % 2 = 0 then 'Z' else '+01:00' end) as stamp,
+  ts_seconds - case when ingestion_id % 2 = 0 then 0 else 3600 end as seconds, case ingestion_id % 3 when 0 then 0 when 1 then ts_nanos // 1000000 * 1000000 else ts_nanos end as nanos, case ingestion_id % 3 when 0 then 'second' when 1 then 'millisecond' else 'nanosecond' end as precision from log)"""
+
+
+@_query("select event_id, stamp, seconds, cast(nanos as int) as nanos, precision from stamps", STAMPS)
+def parsed_timestamps(log, spark, sf_dir):
+    third, half = F.col("ingestion_id") % 3, F.col("ingestion_id") % 2
+    fraction = F.when(third == 0, "").when(third == 1, F.concat(F.lit("."), F.lpad(F.floor(F.col("ts_nanos") / 1_000_000).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("."), F.lpad(F.col("ts_nanos").cast("string"), 9, "0")))
+    stamp = F.concat(F.date_format(F.timestamp_seconds("ts_seconds"), "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.when(half == 0, "Z").otherwise("+01:00"))
+    return log.select("event_id", stamp.alias("stamp")).select("event_id", "stamp", ch.seconds(F.col("stamp")).alias("seconds"), ch.nanos(F.col("stamp")).alias("nanos"), ch.precision(F.col("stamp")).alias("precision"))
+
+
+TERMS = f"""chat as (select * from log where native_session_id like 'conv:%'),
+tokens as (select native_session_id, list_filter(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(left(w, 64))), lambda w: strlen(w) >= 4) as words, {ORDER} from chat),
+summary as (select native_session_id, list_distinct(list_slice(flatten(list(words order by {ORDER})), 1, 512)) as terms from tokens group by 1),
+side as (select s.native_session_id as id, s.terms, l.family, l.cwd, l.a, l.z from summary s join (select native_session_id, any_value(tool_family) as family, rtrim(any_value(cwd), '/') as cwd, min(ts_seconds) as a, max(ts_seconds) as z from chat group by 1) l using (native_session_id)),
+scored as (select l.id as left_id, r.id as right_id, l.cwd = r.cwd as same_workspace, greatest(0, l.a - r.z, r.a - l.z) <= 604800 as near_in_time,
+  case when len(list_distinct(list_concat(l.terms, r.terms))) > 0 then len(list_intersect(l.terms, r.terms))::double / len(list_distinct(list_concat(l.terms, r.terms))) else 0.0::double end as similarity
+  from side l join side r on l.id < r.id and l.family <> r.family where len(list_intersect(l.terms, r.terms)) > 0 or l.cwd = r.cwd),
+pairs as (select *, least(1.0::double, case when same_workspace then 0.65::double else 0.0::double end + case when near_in_time then 0.15::double else 0.0::double end + similarity * case when same_workspace then 0.20::double else 0.85::double end) as score from scored)"""
+
+
+def _chat(log: DataFrame) -> DataFrame:
+    return log.where(F.col("native_session_id").startswith("conv:"))
+
+
+@_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", TERMS)
+def session_terms(log, spark, sf_dir):
+    s = co.summaries(_chat(log))
+    return s.select("native_session_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
+
+
+@_query("select left_id, right_id, same_workspace, near_in_time, round(similarity, 9) as similarity, round(score, 9) as score from pairs", TERMS)
+def pair_scores(log, spark, sf_dir):
+    scores = co.pair_scores(co.summaries(_chat(log)))
+    return scores.select("left_id", "right_id", "same_workspace", "near_in_time", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
+
+
+PARENTS = """both_ways as (select left_id as id, right_id as other, score from pairs union all select right_id, left_id, score from pairs),
+best as (select b.id as native_session_id, max(row(b.score, b.other)) as top from both_ways b join side x on x.id = b.id join side y on y.id = b.other where row(y.a, y.id) < row(x.a, x.id) group by 1)"""
+
+
+@_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", TERMS, PARENTS)
+def best_candidates(log, spark, sf_dir):
+    s = co.summaries(_chat(log)).persist()
+    return co.best_candidates(s, co.pair_scores(s)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
+
+
+THRESHOLD = 0.4
+
+
+@_query(
+    f"select native_session_id, root, concat('gs_', left(sha256(root), 32)) as global_id from (select s.id as native_session_id, coalesce(c.root, s.id) as root from side s left join (select id, arg_max(head, depth) as root from climb group by 1) c on c.id = s.id)",
+    TERMS,
+    PARENTS,
+    f"parent as (select native_session_id as id, top[2] as up from best where top[1] >= {THRESHOLD})",
+    "climb as (with recursive c as (select id, up as head, 1 as depth from parent union all select c.id, p.up, depth + 1 from c join parent p on p.id = c.head) select * from c)",
+)
+def session_assignments(log, spark, sf_dir):
+    s = co.summaries(_chat(log)).persist()
+    return co.assignments(s, co.pair_scores(s), THRESHOLD)
+
+
+@_query(
+    "select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs where score >= 0.2",
+    TERMS,
+)
+def correlation_candidates(log, spark, sf_dir):
+    rows = co.candidates(co.pair_scores(co.summaries(_chat(log))).where("score >= 0.2D"), THRESHOLD)
+    return rows.select("candidate_id", "left_id", "right_id", F.round("score", 9).alias("score"), "status")
+
+
+@_query("select event_id, round(0.45::double * (ingestion_id % 2) + 0.15::double * (ingestion_id // 2 % 2) + 0.15::double * (ingestion_id // 4 % 2) + 0.15::double * (ingestion_id // 8 % 2) + 0.10::double * (ingestion_id // 16 % 2), 6) as score from log")
+def repository_scores(log, spark, sf_dir):
+    bit = lambda k: F.expr(f"(ingestion_id div {1 << k}) % 2 = 1")
+    rows = log.select("event_id", *(bit(k).alias(n) for k, n in enumerate(("same_repository", "same_worktree", "same_branch", "same_head", "near_in_time"))))
+    return co.repository_score(rows).select("event_id", F.round("score", 6).alias("score"))
+
+
+AUDIT = "audit as (select ingestion_id as seq, case kind when 'user_message' then 'link' when 'assistant_message' then 'link' when 'tool_call' then 'unlink' when 'error' then 'reject' else 'reverse' end as action, concat('gs_', cast(ts_seconds % 7 as varchar)) as global_id, native_session_id from log)"
+
+
+def _audit(log: DataFrame) -> DataFrame:
+    action = F.when(F.col("kind").isin("user_message", "assistant_message"), "link").when(F.col("kind") == "tool_call", "unlink").when(F.col("kind") == "error", "reject").otherwise("reverse")
+    return log.select(F.col("ingestion_id").alias("seq"), action.alias("action"), F.concat(F.lit("gs_"), (F.col("ts_seconds") % 7).cast("string")).alias("global_id"), "native_session_id", F.lit(1.0).alias("confidence"), F.lit("v").alias("algorithm_version"), F.lit("u").alias("actor"), F.lit("").alias("reason"), F.lit("").alias("created_at"))
+
+
+@_query("select global_id, native_session_id from (select global_id, native_session_id, arg_max(action, seq) as last from audit where action in ('link','unlink','reject') group by 1, 2) where last = 'link'", AUDIT)
+def memberships(log, spark, sf_dir):
+    return co.memberships(_audit(log)).select("global_id", "native_session_id")
+
+
+@_query("select global_id, native_session_id from (select global_id, native_session_id, arg_max(action, seq) as last from audit where action in ('reject','reverse') group by 1, 2) where last = 'reject'", AUDIT)
+def rejections(log, spark, sf_dir):
+    return co.rejections(_audit(log))
+
+
+@_query(f"select native_session_id, arg_max(x, row({ORDER})) filter (where kind = 'user_message' and x is not null) as latest_user_request, arg_max(x, row({ORDER})) filter (where kind = 'assistant_message' and x is not null) as latest_assistant_reply from (select *, nullif(array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: case when {SECRET} then '[REDACTED]' else w end), ' '), '') as x from log) group by 1")
+def latest_texts(log, spark, sf_dir):
+    return ho.latest_texts(log)
+
+
+@_query()
+def handoff_documents(log, spark, sf_dir):
+    members = log.select("native_session_id", F.concat(F.lit("gs_"), F.abs(F.xxhash64("cwd", "tool_family") % 40).cast("string")).alias("global_id")).distinct()
+    globals_ = members.select("global_id").distinct().select("global_id", F.lit("Continue the work").alias("objective"), F.lit("2026-01-01T00:00:00Z").alias("updated_at"))
+    return ho.handoffs(log, members, globals_)
 
 
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, directory of tables)."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to equivalent DuckDB SQL."""
-    return {}
+    return dict(_ORACLES)
