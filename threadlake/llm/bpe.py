@@ -16,7 +16,7 @@ from pathlib import Path
 import regex
 
 #: Pieces remembered by a worker; beyond, the memo starts anew.
-MEMO = 600_000
+MEMO = 1_200_000
 #: A space that the next pre-token need not take.
 LOOSE_SPACE = regex.compile(r" (?:\s|$)")
 

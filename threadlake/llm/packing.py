@@ -20,8 +20,8 @@ rows are packed again; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,40 +41,81 @@ STRETCH = 1 << 17
 SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 6.0
 #: Windows between two neighbouring chosen boundaries.
 MOST_WINDOWS = 2
-SENTENCE_ENDS = (".", "!", "?", "\n", "。", "…")
+SENTENCE_ENDS = ".!?\n。…"
+SENTENCE_END = re.compile(r"[.!?\n。…](?= |\Z)")
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, from a bounded memo of pieces."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, memo: int = bpe.MEMO) -> None:
         path = public_tokenizers.path(name)
         self.path = path
         self.vocabulary = bpe.Vocabulary(path)
-        ranks = {b: i for b, i in self.vocabulary.ids.items()}
-        self.tool = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = self.tool.encode_ordinary
-        self.first = bpe._Memo(lambda p: np.array(encode(p), "<u4").tobytes(), bpe.MEMO // 20)
-        self.spaced = bpe._Memo(lambda p: np.array(encode(" " + p), "<u4").tobytes(), bpe.MEMO // 2)
+        self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(self.vocabulary.ids), special_tokens={}).encode_ordinary
+        self.sizes = np.array([len(self.vocabulary.bytes.get(i, b"")) for i in range(max(self.vocabulary.bytes) + 1)])
+        #: Ids by piece with its leading space left out; the older half goes when the newer is full.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = memo // 2
         self.whole = None
 
-    def parts(self, text: str) -> tuple[list[str], list[bytes]]:
-        """The text's pieces and the ids of each."""
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
+
+    def _learn(self, cut: list[str]) -> None:
+        """Takes in the pieces that the memo lacks, all in one call; spaced, they never merge."""
+        lacking = []
+        for p in cut:
+            if p not in self.new:
+                ids = self.old.get(p)
+                if ids is None:
+                    lacking.append(p)
+                else:
+                    self.new[p] = ids
+        if not lacking:
+            return
+        lacking = list(dict.fromkeys(lacking))
+        ids = np.array(self.encode(" " + " ".join(lacking)), "<u4")
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in lacking), np.int64, len(lacking)))
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        data, start = ids.tobytes(), 0
+        for p, end in zip(lacking, (4 * at).tolist(), strict=True):
+            self.new[p] = data[start:end]
+            start = end
+
+    def parts(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """The ids of the text's pieces, and token positions after those that end a sentence."""
+        none = np.zeros(0, np.int64)
         if any(s in text for s in self.vocabulary.special):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
-            return [text], [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            return [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], none
         if not text:
-            return [], []
+            return [], none
         if bpe.LOOSE_SPACE.search(text):
             cut = bpe.pieces(text)
-            return cut, [self.first[p] for p in cut]
-        cut = text.split(" ")
-        ids = list(map(self.spaced.__getitem__, cut[1:]))
-        ids.insert(0, self.first[cut[0]] if cut[0] else b"")
-        return cut, ids
+            ids = list(map(self._ids, cut))
+            ends = [i for i, p in enumerate(cut) if p[-1] in SENTENCE_ENDS]
+        else:
+            head, *cut = text.split(" ")
+            ids = list(map(self.new.get, cut))
+            if None in ids:
+                if len(self.new) >= self.limit:
+                    self.old, self.new = self.new, {}
+                self._learn(cut)
+                ids = list(map(self.new.__getitem__, cut))
+            ids.insert(0, self._ids(head) if head else b"")
+            ends, piece, at = [], 0, 0
+            for m in SENTENCE_END.finditer(text):
+                piece += text.count(" ", at, m.start())
+                at = m.start()
+                ends.append(piece)
+        if not ends:
+            return ids, none
+        return ids, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[ends] // 4
 
 
 @lru_cache(maxsize=2)
@@ -82,15 +123,6 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def boundaries(cut: list[str], ids: list[bytes]) -> np.ndarray:
-    """Token positions after each piece that ends a sentence."""
-    ends = [i for i, p in enumerate(cut) if p[-1:] in SENTENCE_ENDS and p]
-    if not ends:
-        return np.zeros(0, np.int64)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.cumsum(sizes)[ends] // 4
-
-
 def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDOW) -> list[int]:
     """Ends of the windows of a stretch of ``total`` tokens, the last at ``total``.
 
@@ -104,28 +136,33 @@ def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDO
     spots = [0, *marks.tolist()]
     costs = [0.0, *penalty.tolist()]
     n = len(spots)
-    best, came = [0.0] + [float("inf")] * (n - 1), [-1] * n
+    never = float("inf")
+    best, came, f = [0.0] * n, [-1] * n, [0.0] * n
     at = {p: i for i, p in enumerate(spots)}
-    queues: list[deque] = [deque() for _ in range(MOST_WINDOWS)]
-    entered = [0] * MOST_WINDOWS
-    powers = [1 << k for k in range(window.bit_length() - 1) if 1 << k >= window // 4]
-    f = [0.0] * n
+    powers = (window // 2, window // 4)
+    # One queue for each m: members in order of position, f rising; heads count what has left.
+    queues: list[list[int]] = [[] for _ in range(MOST_WINDOWS)]
+    heads, entered = [0] * MOST_WINDOWS, [0] * MOST_WINDOWS
     for j in range(1, n):
-        here, least, via = spots[j], float("inf"), -1
+        here, least, via = spots[j], never, -1
         for m in range(MOST_WINDOWS):
-            q, far, near = queues[m], (m + 1) * window, m * window
-            k = entered[m]
-            while k < j and here - spots[k] > near:
-                if best[k] < float("inf"):
-                    while q and f[q[-1]] >= f[k]:
-                        q.pop()
-                    q.append(k)
+            q, head, k = queues[m], heads[m], entered[m]
+            near = here - m * window
+            while k < j and spots[k] < near:
+                value = f[k]
+                while len(q) > head and f[q[-1]] >= value:
+                    q.pop()
+                q.append(k)
                 k += 1
             entered[m] = k
-            while q and here - spots[q[0]] > far:
-                q.popleft()
-            if q and (x := f[q[0]] + far - here + m * BREAK_PENALTY) < least:
-                least, via = x, q[0]
+            far = near - window
+            while head < len(q) and spots[q[head]] < far:
+                head += 1
+            heads[m] = head
+            if head < len(q):
+                x = f[q[head]] - far + m * BREAK_PENALTY
+                if x < least:
+                    least, via = x, q[head]
         for size in powers:
             i = at.get(here - size)
             if i is not None and best[i] + 2 < least:
@@ -134,8 +171,9 @@ def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDO
             via = j - 1
             gap = here - spots[via]
             least = best[via] + (-gap) % window + (gap - 1) // window * BREAK_PENALTY
-        best[j], came[j] = least + costs[j], via
-        f[j] = best[j] + here
+        least += costs[j]
+        best[j], came[j] = least, via
+        f[j] = least + here
     ends, j = [], n - 1
     while j > 0:
         i = came[j]
@@ -233,8 +271,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         for batch in batches:
             key_type = batch.schema.field(0).type
             for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                cut, ids = tool.parts(t.as_py() or "")
-                marks = boundaries(cut, ids)
+                ids, marks = tool.parts(t.as_py() or "")
                 ids.append(end)
                 pending.extend(packer.add(k.as_py(), b"".join(ids), marks))
                 if len(pending) > 20_000:
