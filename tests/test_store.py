@@ -1,0 +1,97 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadlake.operators import retention
+from threadlake.sources import tail
+from threadlake.streaming import ingest
+from threadlake.streaming import store as st
+
+
+def record(kind, at, **payload):
+    return json.dumps({"type": kind, "timestamp": at, "payload": payload}) + "\n"
+
+
+def message(text, at):
+    return record("response_item", at, type="message", role="user", content=[{"text": text}])
+
+
+def run(spark, folder, store):
+    ingest.ingest(spark, f"{folder}/*.jsonl", "codex", store, f"{folder}/cp").awaitTermination()
+
+
+def test_stream_appends_late_replaced_and_repeated(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path / "store"))
+    path = tmp_path / "rollout-a.jsonl"
+    path.write_text(record("session_meta", "2026-07-20T10:00:00Z", id="S", cwd="/w") + message("one", "2026-07-20T10:00:01Z") + record("response_item", "2026-07-20T10:00:02Z", type="function_call", call_id="c") + "{broken}\n" + '{"half')
+    run(spark, tmp_path, store)
+    assert {r["kind"] for r in store.events().collect()} == {"session_start", "user_message"}
+    raws = store.table("raws")
+    assert raws.count() == 3  # the call's raw goes, the broken line's stays
+    assert st.verified_blobs(raws).count() == 3
+    mark = store.watermark()
+    with path.open("a") as f:
+        f.write('"}\n' + message("late", "2026-07-20T09:00:00Z"))
+    run(spark, tmp_path, store)
+    run(spark, tmp_path, store)
+    events = {r["text"]: r for r in store.events().where("kind = 'user_message'").collect()}
+    assert set(events) == {"one", "late"} and events["late"]["ingestion_id"] > mark
+    ordered, upto = ingest.replay(store)
+    assert [r["text"] for r in ordered.collect() if r["text"]] == ["late", "one"] and upto == store.watermark()
+    assert ingest.live_events(spark, store, upto).isStreaming
+
+
+def test_batches_are_idempotent_and_immutable(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path / "s"), conversation_only=False)
+    tail.register(spark)
+    (tmp_path / "rollout-b.jsonl").write_text(message("x", "2026-07-20T10:00:01Z") * 2)
+    lines = spark.read.format("jsonl_tail").option("path", f"{tmp_path}/*.jsonl").load()
+    parsed = ingest.parse_lines(lines, "codex").persist()
+    events, raws = ingest.event_rows(parsed), ingest.raw_rows(parsed)
+    assert store.commit(0, events, raws) == 2
+    assert store.commit(0, events, raws) == 2 and store.events().count() == 2
+    assert store.commit(1, events, raws) == 0 and store.events().count() == 2
+    with pytest.raises(st.ImmutableConflict):
+        store.commit(2, events, raws.withColumn("blob_hash", F.lit("other")))
+
+
+def test_maintenance(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path / "s"), conversation_only=False)
+    tail.register(spark)
+    (tmp_path / "rollout-c.jsonl").write_text(message("x", "2026-07-20T10:00:01Z") + record("response_item", "2026-07-20T10:00:02Z", type="function_call", call_id="c"))
+    parsed = ingest.parse_lines(spark.read.format("jsonl_tail").option("path", f"{tmp_path}/*.jsonl").load(), "codex").persist()
+    store.commit(0, ingest.event_rows(parsed), ingest.raw_rows(parsed))
+    handoffs = spark.createDataFrame([("g", f"h{i}", f"s{i}", str(i)) for i in range(5)], "global_id string, id string, snapshot_id string, created_at string")
+    snapshots = spark.createDataFrame([(f"s{i}",) for i in range(5)], "snapshot_id string")
+    after, kept, left, report = store.maintain(str(tmp_path / "t"), handoffs, snapshots)
+    assert [r["id"] for r in kept.collect()] == ["h4"] and left.count() == 1
+    assert (report.events, report.handoffs, report.snapshots, report.raws) == (1, 4, 4, 1)
+    assert after.events().count() == 1
+
+
+def test_blob_collection(spark):
+    blobs = spark.createDataFrame([("used", 0), ("old", 0), ("young", 99_000), ("queued", 99_000)], "blob_hash string, stored_at long")
+    raws = spark.createDataFrame([("used",)], "blob_hash string")
+    queue = spark.createDataFrame([("queued",), ("used",)], "blob_hash string")
+    assert {r[0] for r in retention.collectable_blobs(blobs, raws, queue, 100_000).select("blob_hash").collect()} == {"old", "queued"}
+
+
+def test_records_and_globals(spark):
+    records = spark.createDataFrame([], st.RECORDS)
+    one = spark.createDataFrame([("r1", "g", "task", "do", "p", "t")], st.RECORDS)
+    records = st.add_record(records, one)
+    assert st.add_record(records, one).count() == 1
+    with pytest.raises(st.RecordConflict):
+        st.add_record(records, one.withColumn("content", F.lit("other")))
+    made = st.create_global(spark.createDataFrame([], "global_id string, objective string"), spark.createDataFrame([("g", "o")], "global_id string, objective string"))
+    assert st.create_global(made, made).count() == 1
+    with pytest.raises(st.RecordConflict):
+        st.create_global(made, made.withColumn("objective", F.lit("x")))
+    cursors = st.cursors(spark.createDataFrame([("s", 1, 5), ("s", 2, 9)], "source_id string, batch long, offset long"))
+    assert cursors.first()["offset"] == 9
+
+
+def test_quiet_paths_and_rates(spark, tmp_path):
+    notices = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 5.0)], "path string, at double")
+    assert [r[0] for r in ingest.quiet_paths(notices, 6.0, 3.0).collect()] == ["a", "b"]
