@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm.arrow_text import byte_table, mixed, prefix_sums, span_hash, text_slices
-from threadlake.llm.steps import settled
+from threadlake.llm.steps import settled, stored
 
 LENGTH, START = 100, 28
 #: Stretches with one prefix that a task compares by itself.
@@ -260,12 +260,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = rows.withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     scanned = _scan(rows, length, start)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Prefixes are hashes: dealing them by value is even.
-    found = scanned.where("n > 0")
+    # Dealt by prefix once: that serves both windows, the narrower one too.
+    found = scanned.where("n > 0").repartition(partitions, "prefix")
     in_order = [F.col("key").asc_nulls_last(), "tie", "lo"]
     ranked = found.withColumn("fresh", (F.row_number().over(Window.partitionBy("prefix", "stretch").orderBy(*in_order)) == 1).cast("int"))
     kinds = ranked.withColumn("kinds", F.sum("fresh").over(Window.partitionBy("prefix")))
-    ranked = settled(kinds.where("fresh = 0 or kinds > 1").select("prefix", "key", "tie", "lo", "n", "place", "fresh", "kinds"))
+    kinds = kinds.where("fresh = 0 or kinds > 1").select(F.when(F.col("fresh") == 1, F.col("prefix")).alias("prefix"), "key", "tie", "lo", "n", "place", "fresh", "kinds")
+    ranked = stored(kinds)
     local = scanned.where("n = 0").select("key", "tie", "lo", F.col("place").alias("end"))
     whole = ranked.where("fresh = 0").select("key", "tie", "lo", (F.col("lo") + F.col("n") - 1 + length).cast("int").alias("end"))
     uid = F.xxhash64("key", "tie").alias("uid")

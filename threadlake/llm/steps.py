@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,14 @@ def settled(frame: DataFrame) -> DataFrame:
     """The frame's rows, computed once and kept in the checkpoint folder."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame's rows, written as Parquet in the checkpoint folder and read again.
+
+    For many rows: checkpoints aren't compressed, columns of a table are.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
