@@ -202,6 +202,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
 
 def _sets(docs: DataFrame, key: str, text: str, n: int, order: Order, nodes: DataFrame, surveyed: DataFrame) -> DataFrame:
     """(node, size, fragment, grams) of the given nodes, from one text of each."""
+    nodes = settled(nodes)
     kept = surveyed.where("chunk is null and size > 0").join(nodes, "node", "left_semi")
     chosen = settled(kept.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
     side = chosen.withColumnRenamed("key", "chosen")
@@ -278,15 +279,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     starred = entries.select("node", "size", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.size").alias("p_size"), F.col("pivot.pos").alias("p_pos")).where("node <> p_node")
     starred = starred.withColumnsRenamed({"node": "n_node", "size": "n_size", "pos": "n_pos"}).where(_room("n_", "p_", share))
     first_pairs = settled(starred.select(F.least("n_node", "p_node").alias("a"), F.greatest("n_node", "p_node").alias("b")).distinct())
-    nodes = settled(entries.select("node").distinct())
-    sets = _sets(docs, key, text, n, order, nodes, surveyed)
-    links = settled(_linked(first_pairs, sets, share))
+    sets_of = lambda pairs: _sets(docs, key, text, n, order, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), surveyed)
+    links = settled(_linked(first_pairs, sets_of(first_pairs), share))
     labels = components(links)
     known = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("pivot", F.col("pivot.node"))
     known = settled(known)
     open_lists = known.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    more = _crossing(known.join(open_lists, "gram", "left_semi"), share, block)
-    more_links = settled(_linked(more, sets, share))
+    more = settled(_crossing(known.join(open_lists, "gram", "left_semi"), share, block))
+    more_links = settled(_linked(more, sets_of(more), share))
     labels = components(links.unionByName(more_links))
     rows = surveyed.where("chunk is null").select("key", "size", "node")
     named = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
