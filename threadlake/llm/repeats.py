@@ -258,7 +258,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     # Keys mostly are unique; only where they aren't do texts' hashes tell rows apart.
     unique = not rows.groupBy("key").count().where("count > 1").limit(1).count()
     rows = rows.withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64("text"))
-    scanned = _scan(rows, length, start)
+    # Rows that are one document must not be each other's repeats.
+    once = rows.select("key", "tie", "text")
+    scanned = _scan(once if unique else once.dropDuplicates(["key", "tie"]), length, start)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by prefix once: that serves both windows, the narrower one too.
     found = scanned.where("n > 0").repartition(partitions, "prefix")
@@ -272,7 +274,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     uid = F.xxhash64("key", "tie").alias("uid")
     dealt = rows.withColumn("uid", uid).repartition(partitions, "uid")
     open_rows = ranked.where("fresh = 1").select("prefix", "kinds", "lo", "n", "place", uid)
-    stretches = _bytes_of(dealt.select("uid", "key", "tie", "text"), open_rows, length)
+    texts = dealt.select("uid", "key", "tie", "text")
+    stretches = _bytes_of(texts if unique else texts.dropDuplicates(["uid"]), open_rows, length)
     repeats = local.unionByName(whole)
     most = ranked.agg(F.max("kinds")).first()[0] or 0
     if most > most_kinds:
