@@ -1,0 +1,24 @@
+import subprocess
+
+import pytest
+
+from threadlake.sources import marker as m
+
+
+def test_marker_round_trip(tmp_path):
+    assert m.read_marker(str(tmp_path)) is None
+    m.write_marker(str(tmp_path), m.Marker("1.0", "gs_1"))
+    assert m.read_marker(str(tmp_path)) == m.Marker("1.0", "gs_1")
+    for bad in ("{", "[]", '{"schema_version":"1.0"}', '{"schema_version":"1.0","global_session_id":"x"}', '{"schema_version":"1.0","global_session_id":"gs_1","more":1}'):
+        (tmp_path / m.FOLDER / m.NAME).write_text(bad)
+        with pytest.raises(m.MarkerError):
+            m.read_marker(str(tmp_path))
+
+
+def test_repository(tmp_path):
+    assert m.repository(str(tmp_path)) is None
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-b", "main")
+    git("commit", "--allow-empty", "-m", "one")
+    found = m.repository(str(tmp_path))
+    assert found.branch == "main" and found.repository_id.startswith("repo_") and m.commits_related(str(tmp_path), found.head, "HEAD")
