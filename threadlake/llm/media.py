@@ -29,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm.steps import stored
+
 ROW = 64
+#: References to one digest that a task takes; digests of more up to which their table is broadcast.
+HOT, BROADCAST_DIGESTS = 1000, 100_000
 BLOCKS = frozenset(("p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "figure", "figcaption", "blockquote", "br", "tr", "ul", "ol", "table", "body", "html"))
 HIDDEN = frozenset(("script", "style", "head", "template", "noscript"))
 MEDIA = frozenset(("img", "audio", "video", "source"))
@@ -122,13 +126,18 @@ def resolve_media(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame
     """key, position, kind, digest, caption and payload of every media reference.
 
     media: rows of (digest, payload); equal digests must have equal payloads. The
-    payloads are shuffled once, by digest; a digest that many documents refer to
-    is one payload row against many short reference rows.
+    payloads are shuffled once, by digest. A digest that more than ``HOT``
+    references have is dealt to as many tasks as it needs, its payload with it.
     """
     references = sequences.select(F.col(key).alias("key"), F.explode("items").alias("item")).where("item.digest is not null")
-    references = references.select("key", "item.position", "item.kind", "item.digest", "item.caption")
-    once = media.select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload"))
-    return references.join(once, "digest", "left").withColumnRenamed("key", key)
+    references = stored(references.select("key", "item.position", "item.kind", "item.digest", "item.caption"))
+    hot = stored(references.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("digest").alias("hot"), F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_DIGESTS else hot
+    dealt = references.join(side, F.col("digest") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("key", "position"), F.coalesce("salts", F.lit(1))).cast("int"))
+    spread = media.select("digest", "payload").join(side, F.col("digest") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    once = spread.groupBy("digest", "salt").agg(F.first("payload").alias("payload"))
+    found = dealt.drop("hot", "salts").join(once, ["digest", "salt"], "left").drop("salt")
+    return found.select("key", "position", "kind", "digest", "caption", "payload").withColumnRenamed("key", key)
 
 
 def sequences_with_media(sequences: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
