@@ -49,11 +49,11 @@ def near_copies(seed, n=150):
     return out + ["", None, " \t ", "one", "ONE", "two words", "É é", "é É", "one\x0btwo"]
 
 
-@pytest.mark.parametrize(("seed", "n", "share", "block"), [(1, 3, (90, 100), 1024), (2, 5, (80, 100), 4)])
-def test_join_equals_plain(spark, seed, n, share, block):
+@pytest.mark.parametrize(("seed", "n", "share", "short", "block"), [(1, 3, (90, 100), 64, 1024), (2, 5, (80, 100), 3, 4), (3, 3, (90, 100), 2, 3)])
+def test_join_equals_plain(spark, seed, n, share, short, block):
     texts = near_copies(seed)
     docs = spark.createDataFrame([(i, t, "clash", "x") for i, t in enumerate(texts)], "doc_id long, text string, node string, key string")
-    out = ngram_join.jaccard_components(docs.repartition(3), n=n, share=share, block=block).collect()
+    out = ngram_join.jaccard_components(docs.repartition(3), n=n, share=share, short=short, block=block).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_components(list(enumerate(texts)), n, *share)
 
 
@@ -73,9 +73,10 @@ def test_fragments_follow_the_order():
     assert (np.diff(parts) >= 0).all() and set(parts) == set(range(ngram_join.FRAGMENTS))
 
 
-def test_long_chain_of_links(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_long_chain_of_links(spark, small):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
-    out = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    out = {r["node"]: r["component"] for r in components.components(edges, small).collect()}
     assert {out[i] for i in range(201)} == {0} and out[501] == 500
 
 

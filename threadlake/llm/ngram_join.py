@@ -7,10 +7,12 @@ sketch of fixed size over all texts, so any worker knows it. The join:
 1. Every node gives the n-grams of its prefix in that order. Two nodes that link
    share one of them, and their first common one leaves room for the overlap
    that they need, which position and size tell.
-2. Candidates first meet only the pivot of each prefix n-gram (the node that has
-   it earliest). Links found so far make components; only candidates from
-   different components are paired after that. A group of near copies so costs
-   about as many pairs as it has members, and no link between components is lost.
+2. The nodes of a prefix n-gram are its list. In a list of at most ``SHORT``
+   nodes all that have room are candidates. In a longer one they first meet only
+   its pivot (the node that has the n-gram earliest). Links found so far make
+   components; only nodes of different components are paired after that. A group
+   of near copies so costs about as many pairs as it has members, and no link
+   between components is lost.
 3. A pair's overlap is counted by vertical partitioning: the order is cut into
    ``FRAGMENTS`` fragments of like mass, each node's set is cut there, partial
    overlaps are counted fragment by fragment and summed per pair.
@@ -38,12 +40,12 @@ from pyspark.sql import functions as F
 
 from threadlake.llm.arrow_text import byte_table, mixed, prefix_sums, span_hash, text_slices, word_spans
 from threadlake.llm.components import components
-from threadlake.llm.steps import settled
+from threadlake.llm.steps import settled, stored
 
 CELLS, CHUNK = 1 << 20, 1 << 16
 FRAGMENTS = 8
-#: Members of a prefix list that one block holds.
-BLOCK = 1024
+#: Members of a list that are paired at once, and of a longer list's block.
+SHORT, BLOCK = 64, 1024
 #: Documents up to which the keys of candidates are broadcast to the scan.
 BROADCAST_KEYS = 1_000_000
 FAN_IN = 64
@@ -157,13 +159,16 @@ def prefix_length(size: int, share: tuple[int, int]) -> int:
 
 
 def _entries(docs: DataFrame, key: str, text: str, n: int, order: Order, share: tuple[int, int]) -> DataFrame:
-    """(gram, node, size, pos) of the prefixes; a set that a task has just met is not given again."""
+    """(gram, node, spot) of the prefixes; a set that a task has just met is not given again.
+
+    spot: size * 2**32 + position.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
-                columns = [[], [], [], []]
+                columns = [[], [], []]
                 for grams in ngram_sets(data, offsets, n):
                     if not len(grams) or (node := node_of(grams)) in met:
                         continue
@@ -173,13 +178,85 @@ def _entries(docs: DataFrame, key: str, text: str, n: int, order: Order, share:
                     k = prefix_length(len(grams), share)
                     columns[0].append(order.sorted(grams)[0][:k])
                     columns[1].append(np.full(k, node, np.int64))
-                    columns[2].append(np.full(k, len(grams), np.int32))
-                    columns[3].append(np.arange(k, dtype=np.int32))
+                    columns[2].append((len(grams) << 32) + np.arange(k, dtype=np.int64))
                 if columns[0]:
                     flat = [np.concatenate(c) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], names=["gram", "node", "size", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], names=["gram", "node", "spot"])
+
+    return _texts(docs, key, text).mapInArrow(run, "gram bigint, node bigint, spot bigint")
+
+
+def _has_room(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """The same as ``_room`` for pairs of spots."""
+    p, q = share
+    sa, sb, low = a >> 32, b >> 32, 0xFFFFFFFF
+    rest = np.minimum(sa - (a & low), sb - (b & low))
+    return (rest * (p + q) >= p * (sa + sb)) & (np.minimum(sa, sb) * q >= np.maximum(sa, sb) * p)
 
-    return _texts(docs, key, text).mapInArrow(run, "gram bigint, node bigint, size int, pos int")
+
+def _listed(entries: DataFrame, share: tuple[int, int], short: int) -> DataFrame:
+    """From entries sorted by gram and node: pairs (a, b) with room of short lists, and the long lists' entries.
+
+    A pair's row has no gram. A task holds one list of at most ``short`` nodes
+    beside the batch at hand; a longer one passes through.
+    """
+    names = ["gram", "a", "b"]
+
+    def settle(gram: np.ndarray, node: np.ndarray, spot: np.ndarray, long: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of whole lists; ``long``: all are parts of one list that is known to be long."""
+        again = np.zeros(len(gram), bool)
+        again[1:] = (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])
+        gram, node, spot = gram[~again], node[~again], spot[~again]
+        if not len(gram):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        sizes = np.diff(np.append(starts, len(gram)))
+        big = np.ones(len(gram), bool) if long else np.repeat(sizes > short, sizes)
+        if big.any():
+            yield pa.RecordBatch.from_arrays([pa.array(gram[big]), pa.array(node[big]), pa.array(spot[big])], names=names)
+        keep = ~big & np.repeat(sizes > 1, sizes)
+        gram, node, spot = gram[keep], node[keep], spot[keep]
+        left, right = [], []
+        for d in range(1, short):
+            at = np.flatnonzero(gram[d:] == gram[:-d]) if d < len(gram) else []
+            if not len(at):
+                break
+            at = at[_has_room(spot[at], spot[at + d], share)]
+            left.append(node[at])
+            right.append(node[at + d])
+        if left and len(a := np.concatenate(left)):
+            b = np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+        passing = None  # the gram of a long list that isn't over
+        for batch in batches:
+            gram, node, spot = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True))
+            if not len(gram):
+                continue
+            if passing is not None:
+                k = int(np.searchsorted(gram != passing, True))
+                yield from settle(gram[:k], node[:k], spot[:k], True)
+                gram, node, spot = gram[k:], node[k:], spot[k:]
+                if not len(gram):
+                    rest = [gram, node, spot]
+                    continue
+                passing = None
+            change = np.flatnonzero(gram != gram[-1])
+            whole = int(change[-1]) + 1 if len(change) else 0
+            yield from settle(gram[:whole], node[:whole], spot[:whole], False)
+            tail = [gram[whole:], node[whole:], spot[whole:]]
+            if len(np.unique(tail[1])) > short:
+                passing = int(gram[-1])
+                yield from settle(*tail, True)
+                tail = [x[:0] for x in tail]
+            rest = tail
+        if len(rest[0]):
+            yield from settle(*rest, False)
+
+    return entries.mapInArrow(run, "gram bigint, a bigint, b bigint")
 
 
 def _room(a: str, b: str, share: tuple[int, int]) -> Column:
@@ -256,7 +333,7 @@ def _crossing(entries: DataFrame, share: tuple[int, int], block: int) -> DataFra
     return joined.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, share: tuple[int, int] = (90, 100), block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, share: tuple[int, int] = (90, 100), short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles and component_id of every row of docs.
 
     Two texts link when share[1] * intersection >= share[0] * union; a
@@ -265,32 +342,44 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     surveyed = _surveyed(docs, key, text, n)
     order = _order(surveyed)
     found = _entries(docs, key, text, n, order, share)
-    # Of each list: every node once, how many there are, and the one that has the n-gram earliest.
-    found.createOrReplaceTempView("ngram_entries")
-    lists = docs.sparkSession.sql(
-        """select gram, node, size, pos, members, pivot from (
-             select *, sum(fresh) over (partition by gram) as members,
-               min(struct(pos, node, size)) over (partition by gram) as pivot
-             from (select *, case when lag(node) over (partition by gram order by node) = node then 0 else 1 end as fresh from ngram_entries))
-           where members > 1 and fresh = 1"""
-    )
-    entries = settled(lists)
-    docs.sparkSession.catalog.dropTempView("ngram_entries")
-    starred = entries.select("node", "size", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.size").alias("p_size"), F.col("pivot.pos").alias("p_pos")).where("node <> p_node")
-    starred = starred.withColumnsRenamed({"node": "n_node", "size": "n_size", "pos": "n_pos"}).where(_room("n_", "p_", share))
-    first_pairs = settled(starred.select(F.least("n_node", "p_node").alias("a"), F.greatest("n_node", "p_node").alias("b")).distinct())
     sets_of = lambda pairs: _sets(docs, key, text, n, order, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), surveyed)
+    listed = stored(_listed(found.repartition("gram").sortWithinPartitions("gram", "node"), share, short))
+    pairs = listed.where("gram is null").select("a", "b")
+    entries = listed.where("gram is not null").select("gram", F.col("a").alias("node"), F.shiftright("b", 32).cast("int").alias("size"), F.col("b").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+    heads = entries.groupBy("gram").agg(F.countDistinct("node").alias("members"), F.min(F.struct("pos", "node", "size")).alias("head"))
+    # Parts of a long list may repeat a node where they met.
+    entries = entries.dropDuplicates(["gram", "node"]).join(heads, "gram").select("gram", "node", "size", "pos", "members", F.col("head.node").alias("p_node"), F.col("head.size").alias("p_size"), F.col("head.pos").alias("p_pos"))
+    long_lists = entries.limit(1).count()
+    if long_lists:
+        entries = settled(entries)
+        starred = entries.where("node <> p_node").withColumnsRenamed({"node": "n_node", "size": "n_size", "pos": "n_pos"}).where(_room("n_", "p_", share))
+        pairs = pairs.unionByName(starred.select(F.least("n_node", "p_node").alias("a"), F.greatest("n_node", "p_node").alias("b")))
+    first_pairs = settled(pairs.distinct())
     links = settled(_linked(first_pairs, sets_of(first_pairs), share))
     labels = components(links)
-    known = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("pivot", F.col("pivot.node"))
-    known = settled(known)
-    open_lists = known.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    more = settled(_crossing(known.join(open_lists, "gram", "left_semi"), share, block))
-    more_links = settled(_linked(more, sets_of(more), share))
-    labels = components(links.unionByName(more_links))
+    if long_lists:
+        known = settled(entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumnRenamed("p_node", "pivot"))
+        open_lists = known.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+        more = settled(_crossing(known.join(open_lists, "gram", "left_semi"), share, block))
+        more_links = settled(_linked(more, sets_of(more), share))
+        labels = components(links.unionByName(more_links))
     rows = surveyed.where("chunk is null").select("key", "size", "node")
     named = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = settled(named.select("node", "component").join(least, "component").select("node", "component_id"))
     out = rows.join(by_node, "node", "left")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def oracle(table: str, n: int = 3, share: tuple[int, int] = (90, 100)) -> str:
+    """DuckDB SQL for the same rows: shared n-grams are counted pair by pair, links followed by recursion."""
+    p, q = share
+    gram = "concat_ws(' ', " + ", ".join(f"ws[i + {k}]" for k in range(n)) + ")"
+    return f"""with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from {table}),
+grams as (select distinct doc_id, unnest(case when len(ws) >= {n} then list_transform(range(1, len(ws) - {n - 2}), lambda i: {gram}) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from words),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where {p + q} * c >= {p} * (x.n + y.n)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as x, doc_id as y from {table} union select r.x, e.b from reach r join edges e on e.a = r.y)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, m.component_id from {table} d left join sizes s using (doc_id) join (select x, min(y) as component_id from reach group by x) m on m.x = d.doc_id"""

@@ -64,4 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_templates": url_templates.template_sql("pages", salts=1)}
+    return {
+        "op1_ngram_join": ngram_join.oracle("documents"),
+        "op8_repeats": repeats.oracle("documents"),
+        "op9_url_templates": url_templates.template_sql("pages", salts=1),
+    }

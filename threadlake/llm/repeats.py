@@ -289,3 +289,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = repeats.select(uid, (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("end")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
     joined = dealt.join(spans, "uid", "left").withColumn("cut", _cutter(as_text)("text", "spans"))
     return joined.select(F.col("key").alias(key), F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", "cut.kept", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def oracle(table: str, length: int = LENGTH) -> str:
+    """DuckDB SQL for key, n_bytes, n_removed, n_spans and kept_sha256, over hexadecimal digits; every window is a row."""
+    return f"""with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from {table}),
+windows as (select doc_id, h, unnest(range(0, len(h) // 2 - {length - 1})) as i from docs),
+hashed as (select doc_id, i, hash(substring(h, 2 * i + 1, {2 * length})) as w from windows),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) as nth from hashed) where nth > 1),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + {length} then 0 else 1 end as starts from later),
+runs as (select doc_id, min(i) as a, max(i) + {length} as z from (select *, sum(starts) over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+gaps as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as a, a as z from runs union all select d.doc_id, coalesce(max(r.z), 0), len(any_value(d.h)) // 2 from docs d left join runs r using (doc_id) group by d.doc_id),
+kept as (select g.doc_id, string_agg(substring(d.h, 2 * g.a + 1, 2 * (g.z - g.a)), '' order by g.a) as h from gaps g join docs d using (doc_id) group by g.doc_id),
+sums as (select doc_id, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans from runs group by doc_id)
+select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(s.n_removed, 0) as n_removed, coalesce(s.n_spans, 0) as n_spans, sha256(unhex(k.h)) as kept_sha256 from docs d join kept k using (doc_id) left join sums s using (doc_id)"""
