@@ -13,7 +13,10 @@ sketch of fixed size over all texts, so any worker knows it. The join:
    components; only nodes of different components are paired after that. A group
    of near copies so costs about as many pairs as it has members, and no link
    between components is lost.
-3. A pair's overlap is counted by vertical partitioning: the order is cut into
+3. Each set has a parity bitmap: a bit for each cell, set if an odd number of its
+   n-grams falls there. Bits in which two bitmaps differ are at most as many as
+   n-grams in which the sets do, so too many of them rule a pair out for certain.
+4. A pair's overlap is counted by vertical partitioning: the order is cut into
    ``FRAGMENTS`` fragments of like mass, each node's set is cut there, partial
    overlaps are counted fragment by fragment and summed per pair.
 
@@ -44,6 +47,8 @@ from threadlake.llm.steps import settled, stored
 
 CELLS, CHUNK = 1 << 20, 1 << 16
 FRAGMENTS = 8
+#: Bits of a parity bitmap.
+PARITY = 512
 #: Members of a list that are paired at once, and of a longer list's block.
 SHORT, BLOCK = 64, 1024
 #: Documents up to which the keys of candidates are broadcast to the scan.
@@ -82,6 +87,12 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
+def parity_of(grams: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit words."""
+    cells = (grams >> np.uint64(40)).astype(np.int64) % PARITY
+    return np.packbits((np.bincount(cells, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 class Order:
     """The global order of n-grams: by the level of their sketch cell, then by hash."""
 
@@ -110,7 +121,7 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _surveyed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Rows (key, size, node) of each text, and rows (chunk, counts) of each task's sketch."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["key", "size", "node", "task", "chunk", "counts"]
+    names = ["key", "size", "node", "parity", "task", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int32)
@@ -121,13 +132,18 @@ def _surveyed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 sets = ngram_sets(data, offsets, n)
                 counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 rows = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), _words([parity_of(s) for s in sets]), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if key_type is not None and counts.any():
             parts = [zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1) for c in range(0, CELLS, CHUNK)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return settled(_texts(docs, key, text).mapInArrow(run, f"key {kind}, size bigint, node bigint, parity array<bigint>, task bigint, chunk int, counts binary"))
 
-    return settled(_texts(docs, key, text).mapInArrow(run, f"key {kind}, size bigint, node bigint, task bigint, chunk int, counts binary"))
+
+def _words(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))
 
 
 def _summed(chunk: tuple, table: pa.Table) -> pa.Table:
@@ -277,8 +293,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return total.where(F.col("common") * (p + q) >= p * (F.col("asize") + F.col("bsize"))).select("a", "b")
 
 
-def _sets(docs: DataFrame, key: str, text: str, n: int, order: Order, nodes: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(node, size, fragment, grams) of the given nodes, from one text of each."""
+def _plausible(pairs: DataFrame, marks: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs whose parity bitmaps don't rule them out: marks(node, size, parity)."""
+    p, q = share
+    side = lambda s: marks.select(F.col("node").alias(s), F.col("size").alias(f"{s}size"), F.col("parity").alias(f"{s}parity"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("aparity", "bparity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(differ * (p + q) <= (F.col("asize") + F.col("bsize")) * (q - p)).select("a", "b")
+
+
+def _sets(docs: DataFrame, key: str, text: str, n: int, order: Order, nodes: DataFrame, surveyed: DataFrame, unique: bool) -> DataFrame:
+    """(node, size, fragment, grams) of the given nodes, and maybe of others, from one text of each.
+
+    unique: no two texts have one key.
+    """
     nodes = settled(nodes)
     kept = surveyed.where("chunk is null and size > 0").join(nodes, "node", "left_semi")
     chosen = settled(kept.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
@@ -305,11 +333,10 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, order: Order, nodes: Dat
                             fragments.append(f)
                             parts.append(ranked[cuts[f] : cuts[f + 1]].view(np.int64))
                 if nodes:
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))], names=["node", "size", "fragment", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fragments, pa.int32()), _words(parts)], names=["node", "size", "fragment", "grams"])
 
     found = texts.select("key", "text").mapInArrow(run, "node bigint, size int, fragment int, grams array<bigint>")
-    return settled(found.dropDuplicates(["node", "fragment"]).join(nodes, "node", "left_semi"))
+    return stored(found if unique else found.dropDuplicates(["node", "fragment"]))
 
 
 def _crossing(entries: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
@@ -342,7 +369,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     surveyed = _surveyed(docs, key, text, n)
     order = _order(surveyed)
     found = _entries(docs, key, text, n, order, share)
-    sets_of = lambda pairs: _sets(docs, key, text, n, order, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), surveyed)
+    sets_of = lambda pairs: _sets(docs, key, text, n, order, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), surveyed, unique)
+    kept = surveyed.where("chunk is null")
+    unique = not kept.groupBy("key").count().where("count > 1").limit(1).count()
+    marks = stored(kept.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity")))
     listed = stored(_listed(found.repartition("gram").sortWithinPartitions("gram", "node"), share, short))
     pairs = listed.where("gram is null").select("a", "b")
     entries = listed.where("gram is not null").select("gram", F.col("a").alias("node"), F.shiftright("b", 32).cast("int").alias("size"), F.col("b").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
@@ -354,13 +384,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         entries = settled(entries)
         starred = entries.where("node <> p_node").withColumnsRenamed({"node": "n_node", "size": "n_size", "pos": "n_pos"}).where(_room("n_", "p_", share))
         pairs = pairs.unionByName(starred.select(F.least("n_node", "p_node").alias("a"), F.greatest("n_node", "p_node").alias("b")))
-    first_pairs = settled(pairs.distinct())
+    first_pairs = settled(_plausible(pairs.distinct(), marks, share))
     links = settled(_linked(first_pairs, sets_of(first_pairs), share))
     labels = components(links)
     if long_lists:
         known = settled(entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumnRenamed("p_node", "pivot"))
         open_lists = known.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-        more = settled(_crossing(known.join(open_lists, "gram", "left_semi"), share, block))
+        more = settled(_plausible(_crossing(known.join(open_lists, "gram", "left_semi"), share, block), marks, share))
         more_links = settled(_linked(more, sets_of(more), share))
         labels = components(links.unionByName(more_links))
     rows = surveyed.where("chunk is null").select("key", "size", "node")
