@@ -53,6 +53,8 @@ PARITY = 512
 SHORT, BLOCK = 64, 1024
 #: Documents up to which the keys of candidates are broadcast to the scan.
 BROADCAST_KEYS = 1_000_000
+#: Pairs up to which they are broadcast to what they join, 16 bytes each.
+BROADCAST_PAIRS = 1_000_000
 FAN_IN = 64
 
 _BYTES = byte_table(11)
@@ -283,11 +285,18 @@ def _room(a: str, b: str, share: tuple[int, int]) -> Column:
     return (rest * (p + q) >= p * (size(a) + size(b))) & (F.least(size(a), size(b)) * q >= F.greatest(size(a), size(b)) * p)
 
 
+def _sent(pairs: DataFrame) -> DataFrame:
+    """The pairs, settled, and broadcast where they are few; else the optimizer deals them."""
+    pairs = settled(pairs)
+    return F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed."""
     p, q = share
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("asize"), "fragment", F.col("grams").alias("ga")), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("bsize"), "fragment", F.col("grams").alias("gb"))
+    sent = _sent(pairs)
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("asize"), "fragment", F.col("grams").alias("ga")).join(sent, "a")
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("bsize"), "fragment", F.col("grams").alias("gb")).join(sent, "b", "left_semi")
     partial = left.join(right, ["b", "fragment"]).select("a", "b", "asize", "bsize", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
     total = partial.groupBy("a", "b", "asize", "bsize").agg(F.sum("common").alias("common"))
     return total.where(F.col("common") * (p + q) >= p * (F.col("asize") + F.col("bsize"))).select("a", "b")
@@ -297,7 +306,8 @@ def _plausible(pairs: DataFrame, marks: DataFrame, share: tuple[int, int]) -> Da
     """The pairs whose parity bitmaps don't rule them out: marks(node, size, parity)."""
     p, q = share
     side = lambda s: marks.select(F.col("node").alias(s), F.col("size").alias(f"{s}size"), F.col("parity").alias(f"{s}parity"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sent = _sent(pairs)
+    both = side("a").join(sent, "a").join(side("b").join(sent, "b", "left_semi"), "b")
     differ = F.aggregate(F.zip_with("aparity", "bparity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(differ * (p + q) <= (F.col("asize") + F.col("bsize")) * (q - p)).select("a", "b")
 
