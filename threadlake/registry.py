@@ -133,9 +133,9 @@ def _page(frame: DataFrame) -> DataFrame:
     return frame.select(*PAGE_COLUMNS.split(", "))
 
 
-@_query(f"select {PAGE_COLUMNS} from log where row({ORDER}) > (select row({ORDER}) from log where event_id = 'conv:40#2') order by {ORDER} limit 51")
+@_query(f"select {PAGE_COLUMNS} from log where row({ORDER}) > (select row({ORDER}) from log where event_id = 'conv:3#1') order by {ORDER} limit 51")
 def events_page(log, spark, sf_dir):
-    return _page(tl.events_page(log, after="conv:40#2", limit=51))
+    return _page(tl.events_page(log, after="conv:3#1", limit=51))
 
 
 @_query(f"select {PAGE_COLUMNS} from log where native_session_id = 'user:7' and kind = 'tool_call' order by {ORDER} limit 51")
