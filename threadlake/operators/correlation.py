@@ -83,6 +83,27 @@ def time_pairs(s: DataFrame) -> DataFrame:
     return a.join(b, F.col("l_week") == F.col("r_week")).where((F.col("l_native_session_id") < F.col("r_native_session_id")) & (F.col("l_family") != F.col("r_family")) & near).select(F.col("l_native_session_id").alias("a"), F.col("r_native_session_id").alias("b")).distinct()
 
 
+def last_resorts(s: DataFrame, met: DataFrame) -> DataFrame:
+    """For each session that met no earlier one of another family, the last of those by id, if there is any.
+
+    Sessions that start in the same week are met by time, so only earlier weeks count.
+    """
+    at = s.select("native_session_id", "family", "started_at", F.floor(F.col("started_at") / WINDOW_SECONDS).alias("week"))
+    start = at.select(F.col("native_session_id").alias("i"), F.struct("started_at", "native_session_id").alias("at"))
+    placed = met.join(start.withColumnsRenamed({"i": "a", "at": "at_a"}), "a").join(start.withColumnsRenamed({"i": "b", "at": "at_b"}), "b")
+    served = placed.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("native_session_id")).distinct()
+    last = at.groupBy(F.col("week").alias("w"), F.col("family").alias("f")).agg(F.max("native_session_id").alias("other"))
+    alone = at.join(served, "native_session_id", "left_anti")
+    best = alone.join(F.broadcast(last), (F.col("w") < F.col("week")) & (F.col("f") != F.col("family"))).groupBy("native_session_id").agg(F.max("other").alias("other"))
+    return best.select(F.least("native_session_id", "other").alias("a"), F.greatest("native_session_id", "other").alias("b"))
+
+
+def all_pairs(s: DataFrame) -> DataFrame:
+    """Pairs that share something or are near in time, and of each session the best earlier one whatever its score."""
+    met = meeting_pairs(s).unionByName(time_pairs(s)).distinct()
+    return met.unionByName(last_resorts(s, met)).distinct()
+
+
 def pair_scores(s: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """left, right, signals and score of the pairs (by default those that share something)."""
     left, right = _sides(s)

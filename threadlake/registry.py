@@ -334,6 +334,53 @@ def correlation_candidates(log, spark, sf_dir):
     return rows.select("candidate_id", "left_id", "right_id", F.round("score", 9).alias("score"), "status")
 
 
+# The whole log: every session, and the best candidate of any score.
+ALL_TERMS = f"""context as (select * from (select *, sum(canonical_bytes) over (partition by native_session_id order by {BACK} rows unbounded preceding) as running, row_number() over (partition by native_session_id order by {BACK}) as rn from log) where rn <= 256 and (rn = 1 or running <= {4 << 20})),
+tokens as (select native_session_id, case when text is null then [] else list_filter(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(left(w, 64))), lambda w: strlen(w) >= 4) end as words, {ORDER} from context),
+summary as (select native_session_id, list_distinct(list_slice(flatten(list(words order by {ORDER})), 1, 512)) as terms from tokens group by 1),
+side as (select s.native_session_id as id, s.terms, l.family, l.cwd, l.a, l.z from summary s join (select native_session_id, any_value(tool_family) as family, rtrim(any_value(cwd), '/') as cwd, min(ts_seconds) as a, max(ts_seconds) as z from log group by 1) l using (native_session_id)),
+common as (select l.id as left_id, r.id as right_id, coalesce(l.cwd = r.cwd, false) as same_workspace, greatest(0, l.a - r.z, r.a - l.z) <= 604800 as near_in_time, len(list_intersect(l.terms, r.terms)) as shared, len(l.terms) + len(r.terms) as listed_terms, row(r.a, r.id) < row(l.a, l.id) as right_first from side l join side r on l.id < r.id and l.family <> r.family),
+scored as (select *, case when listed_terms > 0 then shared::double / (listed_terms - shared) else 0.0::double end as similarity from common),
+every as (select *, least(1.0::double, case when same_workspace then 0.65::double else 0.0::double end + case when near_in_time then 0.15::double else 0.0::double end + similarity * case when same_workspace then 0.20::double else 0.85::double end) as score from scored),
+best as (select case when right_first then left_id else right_id end as native_session_id, max(row(score, case when right_first then right_id else left_id end)) as top from every group by 1),
+pairs as (select * from every where shared > 0 or same_workspace or near_in_time or (least(left_id, right_id), greatest(left_id, right_id)) in (select (least(native_session_id, top[2]), greatest(native_session_id, top[2])) from best))"""
+
+
+def _scored(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = co.summaries(log).persist()
+    return s, co.pair_scores(s, co.all_pairs(s))
+
+
+@_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", ALL_TERMS)
+def all_session_terms(log, spark, sf_dir):
+    return co.summaries(log).select("native_session_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
+
+
+@_query("select left_id, right_id, same_workspace, near_in_time, round(similarity, 9) as similarity, round(score, 9) as score from pairs", ALL_TERMS)
+def all_pair_scores(log, spark, sf_dir):
+    return _scored(log)[1].select("left_id", "right_id", "same_workspace", "near_in_time", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
+
+
+@_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", ALL_TERMS)
+def all_best_candidates(log, spark, sf_dir):
+    return co.best_candidates(*_scored(log)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
+
+
+@_query(
+    "select native_session_id, root, concat('gs_', left(sha256(root), 32)) as global_id from (select s.id as native_session_id, coalesce(c.root, s.id) as root from side s left join (select id, arg_max(head, depth) as root from climb group by 1) c on c.id = s.id)",
+    ALL_TERMS,
+    f"parent as (select native_session_id as id, top[2] as up from best where top[1] >= {THRESHOLD})",
+    "climb as (with recursive c as (select id, up as head, 1 as depth from parent union all select c.id, p.up, depth + 1 from c join parent p on p.id = c.head) select * from c)",
+)
+def all_session_assignments(log, spark, sf_dir):
+    return co.assignments(*_scored(log), THRESHOLD)
+
+
+@_query("select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs", ALL_TERMS)
+def all_correlation_candidates(log, spark, sf_dir):
+    return co.candidates(_scored(log)[1], THRESHOLD).select("candidate_id", "left_id", "right_id", F.round("score", 9).alias("score"), "status")
+
+
 @_query("select event_id, round(0.45::double * (ingestion_id % 2) + 0.15::double * (ingestion_id // 2 % 2) + 0.15::double * (ingestion_id // 4 % 2) + 0.15::double * (ingestion_id // 8 % 2) + 0.10::double * (ingestion_id // 16 % 2), 6) as score from log")
 def repository_scores(log, spark, sf_dir):
     bit = lambda k: F.expr(f"(ingestion_id div {1 << k}) % 2 = 1")
