@@ -20,8 +20,10 @@ rows are packed again; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +41,11 @@ WINDOW = 1024
 #: Tokens that the programme plans at once.
 STRETCH = 1 << 17
 SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 6.0
-#: Windows between two neighbouring chosen boundaries.
-MOST_WINDOWS = 2
-SENTENCE_ENDS = ".!?\n。…"
-SENTENCE_END = re.compile(r"[.!?\n。…](?= |\Z)")
+#: Windows between two neighbouring chosen boundaries: any number.
+MOST_WINDOWS = math.inf
+#: Ends of sentences in UTF-8: a mark before white space or the end of the text, or a full-width stop.
+_SPACE = rb"[\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z"
+SENTENCE_END = re.compile(rb"[.!?\n](?=" + _SPACE + rb")|\xe2\x80\xa6(?=" + _SPACE + rb")|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1")
 
 
 class Encoder:
@@ -53,7 +56,8 @@ class Encoder:
         self.path = path
         self.vocabulary = bpe.Vocabulary(path)
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(self.vocabulary.ids), special_tokens={}).encode_ordinary
-        self.sizes = np.array([len(self.vocabulary.bytes.get(i, b"")) for i in range(max(self.vocabulary.bytes) + 1)])
+        shown = self.vocabulary.bytes | {i: s.encode() for s, i in self.vocabulary.special.items()}
+        self.sizes = np.array([len(shown.get(i, b"")) for i in range(max(shown) + 1)])
         #: Ids by piece with its leading space left out; the older half goes when the newer is full.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -86,36 +90,35 @@ class Encoder:
 
     def parts(self, text: str) -> tuple[list[bytes], np.ndarray]:
         """The ids of the text's pieces, and token positions after those that end a sentence."""
-        none = np.zeros(0, np.int64)
+        ids = self._pieces(text)
+        data = text.encode()
+        ends = [m.end() for m in SENTENCE_END.finditer(data)]
+        if not ends:
+            return ids, np.zeros(0, np.int64)
+        # A token that holds the end and more is not cut: the boundary is behind it.
+        reach = np.cumsum(self.sizes[np.frombuffer(b"".join(ids), "<u4")])
+        return ids, np.searchsorted(reach, ends) + 1
+
+    def _pieces(self, text: str) -> list[bytes]:
         if any(s in text for s in self.vocabulary.special):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
-            return [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], none
+            return [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
         if not text:
-            return [], none
+            return []
         if bpe.LOOSE_SPACE.search(text):
-            cut = bpe.pieces(text)
-            ids = list(map(self._ids, cut))
-            ends = [i for i, p in enumerate(cut) if p[-1] in SENTENCE_ENDS]
-        else:
-            head, *cut = text.split(" ")
-            ids = list(map(self.new.get, cut))
-            if None in ids:
-                if len(self.new) >= self.limit:
-                    self.old, self.new = self.new, {}
-                self._learn(cut)
-                ids = list(map(self.new.__getitem__, cut))
-            ids.insert(0, self._ids(head) if head else b"")
-            ends, piece, at = [], 0, 0
-            for m in SENTENCE_END.finditer(text):
-                piece += text.count(" ", at, m.start())
-                at = m.start()
-                ends.append(piece)
-        if not ends:
-            return ids, none
-        return ids, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[ends] // 4
+            return list(map(self._ids, bpe.pieces(text)))
+        head, *cut = text.split(" ")
+        ids = list(map(self.new.get, cut))
+        if None in ids:
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self._learn(cut)
+            ids = list(map(self.new.__getitem__, cut))
+        ids.insert(0, self._ids(head) if head else b"")
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -127,53 +130,45 @@ def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDO
     """Ends of the windows of a stretch of ``total`` tokens, the last at ``total``.
 
     marks: ascending boundaries, the last of them ``total``. penalty: what ending
-    a window there costs. best[j] = penalty[j] + min over i before j, with
-    (m - 1) * window < marks[j] - marks[i] <= m * window, of best[i] + padding
-    + (m - 1) * BREAK_PENALTY. With f(i) = best[i] + marks[i], the padding
-    m * window - marks[j] + marks[i] leaves a sliding minimum of f for each m.
-    A remainder that is a power of two needs no padding.
+    a window there costs. best[j] = penalty[j] + min over i before j of best[i] +
+    padding + (m - 1) * BREAK_PENALTY, where m * window is the distance rounded
+    up. With marks[i] = window * a + r, m is the difference of a, and one more
+    where r rises; so the best i is the least of all, at one window more, or the
+    least of those with r not below that of j. Of the latter a staircase is kept:
+    r and value both rising. A remainder that is a power of two needs no padding.
     """
     spots = [0, *marks.tolist()]
     costs = [0.0, *penalty.tolist()]
     n = len(spots)
-    never = float("inf")
-    best, came, f = [0.0] * n, [-1] * n, [0.0] * n
+    best, came = [0.0] * n, [-1] * n
     at = {p: i for i, p in enumerate(spots)}
     powers = (window // 2, window // 4)
-    # One queue for each m: members in order of position, f rising; heads count what has left.
-    queues: list[list[int]] = [[] for _ in range(MOST_WINDOWS)]
-    heads, entered = [0] * MOST_WINDOWS, [0] * MOST_WINDOWS
+    more = window + BREAK_PENALTY
+    steps, values, who = [0], [0.0], [0]  # the staircase, with the first spot on it
     for j in range(1, n):
-        here, least, via = spots[j], never, -1
-        for m in range(MOST_WINDOWS):
-            q, head, k = queues[m], heads[m], entered[m]
-            near = here - m * window
-            while k < j and spots[k] < near:
-                value = f[k]
-                while len(q) > head and f[q[-1]] >= value:
-                    q.pop()
-                q.append(k)
-                k += 1
-            entered[m] = k
-            far = near - window
-            while head < len(q) and spots[q[head]] < far:
-                head += 1
-            heads[m] = head
-            if head < len(q):
-                x = f[q[head]] - far + m * BREAK_PENALTY
-                if x < least:
-                    least, via = x, q[head]
+        here = spots[j]
+        a, r = divmod(here, window)
+        k = bisect_left(steps, r)
+        # values[0] is the least of all.
+        least, via = values[0] + more, who[0]
+        if k < len(steps) and values[k] < least:
+            least, via = values[k], who[k]
+        least += more * a - here - BREAK_PENALTY
         for size in powers:
             i = at.get(here - size)
             if i is not None and best[i] + 2 < least:
                 least, via = best[i] + 2, i
-        if via < 0:  # a sentence longer than all the queues reach
-            via = j - 1
-            gap = here - spots[via]
-            least = best[via] + (-gap) % window + (gap - 1) // window * BREAK_PENALTY
         least += costs[j]
         best[j], came[j] = least, via
-        f[j] = least + here
+        value = least + here - more * a
+        k = bisect_left(steps, r)
+        if k < len(steps) and values[k] <= value:
+            continue  # one that reaches as far costs no more
+        low = k
+        while low > 0 and values[low - 1] >= value:
+            low -= 1
+        high = k + 1 if k < len(steps) and steps[k] == r else k
+        steps[low:high], values[low:high], who[low:high] = [r], [value], [j]
     ends, j = [], n - 1
     while j > 0:
         i = came[j]
