@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadlake.llm import packing
+from threadlake.llm import html_extraction, packing
 
 
 def plain_optimum(marks, penalty, window):
@@ -61,3 +61,8 @@ def test_sentence_ends(text, ends):
     shown = tool.vocabulary.bytes | {i: s.encode() for s, i in tool.vocabulary.special.items()}
     heads = [b"".join(shown[i] for i in tokens[:k]).decode() for k in marks.tolist()]
     assert len(heads) == len(ends) and all(h.rstrip("\n\t").endswith(e) for h, e in zip(heads, ends, strict=True))
+
+
+@pytest.mark.parametrize("page", ["<head><title>x</title><body><p>Some words.</p>", "<html><head><meta charset=u><p>Some words.", "<head><template><div>no</div></template><title>x</title><main>Some words.</main>", "<head><title>x</title></head><body><p>Some words.</p></body>"])
+def test_head_that_is_not_closed(page):
+    assert [text for text, _, _ in html_extraction.blocks(page)] == ["Some words."]

@@ -46,6 +46,8 @@ NAME = re.compile(r"[a-z]+")
 #: Elements whose content is never text.
 DARK = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "canvas", "math"))
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
+#: Elements that a head may hold; any other start tag ends an open head.
+IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"))
 #: Elements that a new one of their kind, or the end of an element around them, closes.
@@ -90,6 +92,10 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if not m[1] and name not in IN_HEAD:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("head", "template", "svg", "math")), -1)
+            if k >= 0 and stack[k][0] == "head":
+                close(k)
         if name not in INLINE:
             flush()
         elif name == "br":
