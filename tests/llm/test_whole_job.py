@@ -1,11 +1,13 @@
 """Operators over cases that a bounded look would miss."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadlake.llm import html_extraction, packing
+from threadlake.llm import html_extraction, packing, toxicity
 
 
 def plain_optimum(marks, penalty, window):
@@ -66,3 +68,16 @@ def test_sentence_ends(text, ends):
 @pytest.mark.parametrize("page", ["<head><title>x</title><body><p>Some words.</p>", "<html><head><meta charset=u><p>Some words.", "<head><template><div>no</div></template><title>x</title><main>Some words.</main>", "<head><title>x</title></head><body><p>Some words.</p></body>"])
 def test_head_that_is_not_closed(page):
     assert [text for text, _, _ in html_extraction.blocks(page)] == ["Some words."]
+
+
+def test_toxicity_fits_whole_texts(spark):
+    rng = random.Random(4)
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3200)) + ". "
+    rows = [(i, filler() + ("zzgrub here, zzgrub there." if i % 4 == 0 else "nice words here."), int(i % 4 == 0)) for i in range(80)]
+    assert all("zzgrub" not in t[:20_000] for _, t, _ in rows)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_model(docs, labels)
+    assert "zzgrub" in model.words
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_texts(docs, model).collect()}
+    assert found == {i: y for i, _, y in rows}

@@ -9,7 +9,8 @@ is the tuple of theirs. A text's clauses that hold a lexicon word are run throug
 it; the matched clauses' weights give the features of a logistic score.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash
-of the key), of which near copies count once; a row is never its own evidence if
+of the key), of which near copies count once; whole texts are read on executors,
+which hand over words and clause features; a row is never its own evidence if
 its fold is held out. Scoring covers every text in full: an Aho-Corasick scan
 finds lexicon words, so clauses without any cost nothing more.
 
@@ -21,6 +22,7 @@ result; labels, language, source and key never enter a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -36,8 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the fit sees at most, and characters of each that it reads.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Labelled rows that the fit sees at most, each in full.
+SAMPLE = 6000
+#: Characters that sort a row before its digest does.
+HEAD = 64
 #: Likelihood ratio and share of toxic rows that a learned word needs; learned words at most.
 RATIO, PURITY, MOST_WORDS = 24.0, 0.9, 5000
 #: Occurrences in one text that count as evidence.
@@ -161,19 +165,23 @@ def _marker(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from (text, label) rows; deterministic, and independent of their order."""
+def gist(text: str) -> tuple[str, str, int, list[str]]:
+    """Of a whole text: what it begins with, its digest, its marker, and its words, those that recur TWICE."""
+    counts = Counter(WORD.findall(text.lower()))
+    return text[:HEAD], hashlib.md5(text.encode()).hexdigest(), _marker(text), [w for w, k in sorted(counts.items()) for _ in range(min(k, TWICE))]
+
+
+def learn(rows: list[tuple[tuple[str, str, int, list[str]], int]]) -> Model:
+    """The lexicon from (gist, label) rows; deterministic, and independent of their order."""
     model = Model()
-    rows = sorted({(t or "", int(y)) for t, y in rows})
-    once = {}
-    for t, y in rows:
-        once.setdefault((_marker(t), y), t)
+    once: dict[tuple[int, int], list[str]] = {}
+    for (_, _, marker, words), y in sorted(rows, key=lambda r: (*r[0][:2], r[1])):
+        once.setdefault((marker, y), words)
     n1, n0 = sum(y for _, y in once), sum(1 - y for _, y in once)
     if n1 and n0:
         seen = {0: Counter(), 1: Counter()}
         forms: dict[str, set[str]] = {}
-        for (_, y), t in sorted(once.items()):
-            words = WORD.findall(t.lower())
+        for (_, y), words in sorted(once.items()):
             here = Counter(words)
             here.update(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
             if y:
@@ -198,8 +206,6 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
                 model.words[name] = max(w, model.words.get(name, 0.0))
         for w in [w for w in model.words if w in seen[0] and seen[0][w] > seen[1][w]]:
             del model.words[w]  # a seed word that the labels speak against
-        model.weights = _logistic(np.array([model.ready().features(t) for t, _ in rows]), np.array([y for _, y in rows], float))
-        del model.scan, model.machine, model.classes
     return model
 
 
@@ -225,13 +231,31 @@ def held_out(key: str):
 def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled rows outside the held-out fold.
 
-    Their keys are the first by a hash; only those keys and texts reach the driver.
+    Their keys are the first by a hash. Executors read the texts; the driver
+    gathers their distinct words, and then two features of each.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull()).where(~held_out("k"))
     chosen = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    picked = docs.select(F.col(key).alias("k"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(chosen), "k")
+    picked = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").select("t", F.col("y").cast("int").alias("y"))
+
+    def gists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(*gist(t), y) for t, y in zip(batch["t"], batch["y"], strict=True)], columns=["head", "digest", "marker", "words", "y"])
+
     # A key may repeat in docs: still no more rows than the sample.
-    return fit([(r["t"], r["y"]) for r in picked.select("t", "y").limit(sample).collect()])
+    found = picked.mapInPandas(gists, "head string, digest string, marker bigint, words array<string>, y int").dropDuplicates(["digest", "y"]).orderBy("digest", "y").limit(sample).collect()
+    model = learn([((r["head"], r["digest"], r["marker"], list(r["words"])), r["y"]) for r in found])
+    if len({r["y"] for r in found}) < 2:
+        return model
+
+    def measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = model.ready()
+        for batch in batches:
+            yield pd.DataFrame([(hashlib.md5(t.encode()).hexdigest(), y, *ready.features(t)) for t, y in zip(batch["t"], batch["y"], strict=True)], columns=["digest", "y", "a", "b"])
+
+    rows = picked.mapInPandas(measures, "digest string, y int, a double, b double").dropDuplicates(["digest", "y"]).orderBy("digest", "y").limit(sample).collect()
+    model.weights = _logistic(np.array([(r["a"], r["b"]) for r in rows]), np.array([r["y"] for r in rows], float))
+    return model
 
 
 def scorer(model: Model):
