@@ -1,5 +1,6 @@
 """Queries that read the whole event log, against plain versions."""
 
+import hashlib
 import random
 
 from conftest import DATA
@@ -59,3 +60,13 @@ def test_every_session_has_terms_and_an_assignment(spark):
     for name in ("all_session_terms", "all_session_assignments"):
         found = [r["native_session_id"] for r in registry.queries()[name](spark, f"{DATA}/sf0.001").collect()]
         assert len(found) == len(ids) and set(found) == ids
+
+
+def test_excerpts_of_long_texts(spark, tmp_path):
+    texts = ["a" * 2048, "a" * 2047 + "é", "日本" * 60_000, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").limit(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r["doc_id"]: (r["bytes"], r["excerpt_md5"], r["truncated"]) for r in registry.queries()["whole_excerpts"](spark, str(tmp_path)).collect()}
+    plain = lambda t: t if len(t.encode()) <= 2048 else t.encode()[:2045].decode(errors="ignore") + "…"
+    assert found == {i: (len(t.encode()), hashlib.md5(plain(t).encode()).hexdigest(), len(t.encode()) > 2048) for i, t in enumerate(texts)}

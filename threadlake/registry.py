@@ -262,6 +262,12 @@ def excerpts(log, spark, sf_dir):
     return cut.select("doc_id", F.least(F.octet_length("text").cast("long"), F.lit(100000).cast("long")).alias("bytes"), F.col("cut.truncated").alias("truncated"))
 
 
+@_query("select doc_id, strlen(text) as bytes, md5(case when strlen(text) <= 2048 then text else concat(left(text, len(list_filter(range(1, least(length(text), 2045) + 1), lambda k: strlen(left(text, k)) <= 2045))), '…') end) as excerpt_md5, strlen(text) > 2048 as truncated from docs", DOCS)
+def whole_excerpts(log, spark, sf_dir):
+    cut = _docs(spark, sf_dir).withColumn("cut", t.excerpt(F.col("text")))
+    return cut.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("cut.text")).alias("excerpt_md5"), F.col("cut.truncated").alias("truncated"))
+
+
 STAMPS = """stamps as (select event_id, concat(strftime(make_timestamp(ts_seconds * 1000000), '%Y-%m-%dT%H:%M:%S'), case when ingestion_id % 3 = 0 then '' when ingestion_id % 3 = 1 then concat('.', lpad(cast(ts_nanos // 1000000 as varchar), 3, '0')) else concat('.', lpad(cast(ts_nanos as varchar), 9, '0')) end, case when ingestion_id % 2 = 0 then 'Z' else '+01:00' end) as stamp,
   ts_seconds - case when ingestion_id % 2 = 0 then 0 else 3600 end as seconds, case ingestion_id % 3 when 0 then 0 when 1 then ts_nanos // 1000000 * 1000000 else ts_nanos end as nanos, case ingestion_id % 3 when 0 then 'second' when 1 then 'millisecond' else 'nanosecond' end as precision from log)"""
 
