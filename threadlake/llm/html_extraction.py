@@ -24,6 +24,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm.arrow_text import released
+
 PATH_SIZE, WORD_SIZE, MEASURES = 64, 32, 8
 WIDTH = PATH_SIZE + WORD_SIZE + MEASURES
 HIDDEN = 20
 #: Pages made up for training, and rounds over them.
-PAGES, ROUNDS = 700, 6
+PAGES, ROUNDS = 1200, 6
 #: Cells (pages x blocks) of one forward pass.
 CELLS = 16_384
 
@@ -44,22 +47,60 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Elements whose content is never text.
-DARK = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "canvas", "math"))
+DARK = frozenset(("script", "style", "noscript", "template", "iframe", "head", "title", "desc", "metadata", "textarea", "select"))
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
-#: Elements that a head may hold; any other start tag ends an open head.
+#: Elements that a head may hold; any other start tag ends an open head, unless one of FOREIGN is open.
 IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"))
+FOREIGN = ("template", "svg", "math")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"))
+INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "math", "mi", "mn", "mo", "mtext", "mrow", "mfrac", "msqrt", "msub", "msup", "msubsup"))
 #: Elements that a new one of their kind, or the end of an element around them, closes.
 LOOSE = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 BREAKS_P = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters within links) of the leaf blocks of a page."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, str]] = []  # element name, its marks for the path
+class _Element:
+    """An open element: what it closes with, and the hashed path down to it.
+
+    Steps from a block to its path cost nothing: each element has the cells of the
+    whole path above it, and the nearest one that isn't inline.
+    """
+
+    __slots__ = ("block", "cells", "depth", "name", "path")
+
+    def __init__(self, name: str, tokens: list[str], above: _Element | None, depth: int) -> None:
+        self.name, self.depth = name, depth
+        if name in INLINE:
+            self.block, self.path, self.cells = (above.block, above.path, above.cells) if above else (None, 0, (0, 0))
+            return
+        self.block = self
+        whole, first, second = token_cells(tuple(tokens))
+        self.path = whole | (above.path if above else 0)
+        self.cells = (first, second)
+
+
+@lru_cache(maxsize=50_000)
+def token_cells(tokens: tuple[str, ...]) -> tuple[int, int, int]:
+    """Bits of an element's tokens anywhere on a path, as its last element, and as its last but one."""
+    out = []
+    for depth in ("", "0", "1"):
+        bits = 0
+        for i, token in enumerate(tokens):
+            bits |= 1 << (zlib.crc32(f"{'c' if i else 't'}{depth}{token}".encode()) % PATH_SIZE)
+        out.append(bits)
+    return out[0], out[1], out[2]
+
+
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, path cells, characters within links) of the leaf blocks of a page.
+
+    The time is linear in the page: every element is looked at when it opens and
+    when it closes, however deep it stands.
+    """
+    out: list[tuple[str, int, int]] = []
+    stack: list[_Element] = []
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     linked = dark = 0
 
     def flush() -> None:
@@ -67,16 +108,29 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(m for n, m in stack if n not in INLINE), linked))
+                at = stack[-1].block if stack else None
+                bits = 0
+                if at is not None:
+                    up = stack[at.depth - 1].block if at.depth else None
+                    bits = at.path | at.cells[0] | (up.cells[1] if up is not None else 0)
+                out.append((text, bits, linked))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal dark
-        for n, _ in stack[k:]:
-            dark -= n in DARK
+        for e in stack[k:]:
+            dark -= e.name in DARK
+            opened[e.name] -= 1
         del stack[k:]
 
+    def closed(name: str) -> None:
+        """Closes the last open element of that name and all within it."""
+        k = len(stack) - 1
+        while stack[k].name != name:
+            k -= 1
+        close(k)
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -84,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if found > at and not dark:
             piece = page[at:found]
             parts.append(piece)
-            if any(x == "a" for x, _ in stack):
+            if opened["a"]:
                 linked += len(piece)
         if not m:
             break
@@ -92,27 +146,19 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if not m[1] and name not in IN_HEAD:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("head", "template", "svg", "math")), -1)
-            if k >= 0 and stack[k][0] == "head":
-                close(k)
+        if not m[1] and opened["head"] and name not in IN_HEAD and not any(opened[x] for x in FOREIGN):
+            closed("head")
         if name not in INLINE:
             flush()
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
-                close(k)
+            if opened[name]:
+                closed(name)
             continue
-        if name in BREAKS_P or name in LOOSE:
-            ends = LOOSE.get(name, frozenset()) | (frozenset(("p",)) if name in BREAKS_P else frozenset())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if (name in BREAKS_P or name in LOOSE) and stack and (near := stack[-1].block) is not None:
+            if near.name in LOOSE.get(name, ()) or near.name == "p" and name in BREAKS_P:
+                close(near.depth)
         if name in VOID or (m[3] or "").endswith("/"):
             continue
         if name in RAW:
@@ -120,25 +166,13 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             at = end.end() if end else n
             continue
         marks = " ".join(v for a in MARK.findall(m[3] or "") for v in a[1:] if v).lower()
-        stack.append((name, f"{name} {marks}" if marks else name))
+        stack.append(_Element(name, NAME.findall(f"{name} {marks}"), stack[-1] if stack else None, len(stack)))
+        opened[name] += 1
         dark += name in DARK
     flush()
     return out
 
 
-@lru_cache(maxsize=50_000)
-def path_cells(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names, classes and ids on a path; the nearest two levels also apart."""
-    cells = np.zeros(PATH_SIZE, np.float32)
-    for depth, marks in enumerate(reversed(path)):
-        for i, token in enumerate(NAME.findall(marks)):
-            sort = "t" if i == 0 else "c"
-            cells[zlib.crc32(f"{sort}{token}".encode()) % PATH_SIZE] = 1
-            if depth < 2:
-                cells[zlib.crc32(f"{sort}{depth}{token}".encode()) % PATH_SIZE] = 1
-    return cells
-
-
 class _Cells(dict):
     """Hashed cell by word, remembered for a bounded number of words."""
 
@@ -152,15 +186,16 @@ class _Cells(dict):
 WORD_CELLS = _Cells()
 
 
-def vectors(page: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def vectors(page: list[tuple[str, int, int]]) -> np.ndarray:
     """A row for each block of a page."""
     n = len(page)
     out = np.zeros((n, WIDTH), np.float32)
     if not n:
         return out
+    paths = np.array([path for _, path, _ in page], np.uint64)
+    out[:, :PATH_SIZE] = np.unpackbits(paths.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     sizes, cells = [], []
-    for i, (text, path, _) in enumerate(page):
-        out[i, :PATH_SIZE] = path_cells(path)
+    for text, _, _ in page:
         words = text.lower().split()
         sizes.append(len(words))
         cells.extend(map(WORD_CELLS.__getitem__, words))
@@ -314,8 +349,23 @@ LEGAL = "copyright © all rights reserved terms privacy policy imprint impressum
 NOTICE = "we use cookies to improve your experience accept decline settings by continuing you agree subscribe newsletter sign up free".split()
 ADVERT = "advertisement sponsored buy now sale offer discount shop deal click here limited anzeige publicité anuncio".split()
 SOCIAL = "share tweet like follow us comments reply report posted by user ago min read more related articles popular tags".split()
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ung keit sch ich der die ein eau oi é è ción os ar el la mente ado ez".split()
-CONTENT_AT = ("article", "main", "div class=content", "div id=content", "div class=article-body", "section class=post", "div class=entry-content", "div role=main", "div class=story", "div itemprop=articleBody", "div")
+ALPHABETS = ("etaoinshrdlucmfwypvbgk", "enisratdhulcgmobwfkzäöüß", "esaitnrulodcpmévqfbghèàç", "eaosrnidlctumpbgvyqhfóíáñ", "оеаинтсрвлкмдпуяыьгзбч", "αοιετσνηυρπκμλωδ")
+# How sites mark their content, and what stands around it.
+CONTENT_AT = ("article", "main", "div class=content", "div id=content", "div class=article-body", "section class=post", "div class=entry-content", "div role=main", "div class=story", "div itemprop=articleBody", "div class=post-body", "div class=text", "article class=post")
+PLACES = ("row", "container", "wrapper", "inner", "column", "left", "right", "wide", "col-md-4", "col-md-8", "grid", "box", "block", "clearfix")
+PLAIN_AT = ("div", "div", "div", "section", "div class=row", "div class=col-md-8", "div class=col-lg-9", "div class=container", "div class=wrapper", "div class=inner", "div class=grid", "td", "div class=column")
+AROUND = {
+    "menu": (("nav", "nav class=menu", "nav class=breadcrumb", "nav role=navigation"), ("div class=nav", "div id=menu", "ul class=navigation", "div class=navbar", "div class=breadcrumbs", "ul class=menu", "div class=topbar")),
+    "header": (("header", "header class=site-header", "header role=banner"), ("div class=header", "div id=header", "div class=masthead", "div class=branding")),
+    "notice": (("div class=cookie", "div class=consent", "section class=gdpr"), ("div id=cookie-notice", "div class=banner", "div class=notice", "div class=newsletter", "div class=alert", "div class=popup")),
+    "advert": (("div class=ad", "aside class=ad", "ins class=adsbygoogle"), ("div class=ads", "div class=advert", "div id=ad", "div class=sponsored", "div class=promo", "div class=advertisement", "div class=sponsor")),
+    "sidebar": (("aside", "aside class=related", "aside role=complementary"), ("div class=sidebar", "div id=sidebar", "div class=widget", "section class=related", "div class=recommended", "div class=popular")),
+    "form": (("form", "form class=search", "form id=login", "form class=subscribe"), ("div class=form", "div class=search", "div class=login", "div class=subscribe")),
+    "comments": (("section id=comments", "section class=comments"), ("div class=comments", "div id=disqus", "ol class=comment-list", "div class=comment", "div class=responses", "div class=replies")),
+    "share": (("div class=share", "div class=social", "ul class=share-buttons"), ("div class=tags", "div class=meta", "div class=sharing", "div class=follow")),
+    "footer": (("footer", "footer class=site-footer", "footer role=contentinfo"), ("div class=footer", "div id=footer", "div class=copyright", "div class=colophon", "div class=bottom")),
+}
+EMPHASIS = ("b", "i", "em", "strong", "span", "code", "u", "mark", "small", "a href=/x")
 
 
 class _Writer:
@@ -323,19 +373,21 @@ class _Writer:
 
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.out, self.content = rng, [], []
-        self.style = rng.random()
+        letters = rng.choice(ALPHABETS)
+        self.words = ["".join(rng.choice(letters[: rng.choice((8, 14, 30))]) for _ in range(rng.choice((1, 2, 2, 3, 4, 5, 6, 8, 11)))) for _ in range(150)]
+        #: How often an end tag is left out, a sentence ends with its mark, and boxes have telling names.
+        self.loose = rng.choice((0.0, 0.0, 0.03, 0.3))
+        self.marked = rng.choice((1.0, 0.9, 0.5))
+        self.named = rng.choice((0.3, 0.8, 1.0))
 
     def word(self) -> str:
-        return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.choice((1, 1, 2, 2, 3, 4))))
+        return self.words[int(150 * self.rng.random() ** 2)]
 
     def sentence(self, low: int = 1, high: int = 18) -> str:
-        return " ".join(self.word() for _ in range(self.rng.randint(low, high))).capitalize() + self.rng.choice(("..", ".", ".", ".", "?", "!"))[-1]
+        return " ".join(self.word() for _ in range(self.rng.randint(low, high))).capitalize() + (self.rng.choice("....?!") if self.rng.random() < self.marked else "")
 
     def prose(self) -> str:
-        text = " ".join(self.sentence() for _ in range(self.rng.choice((1, 1, 1, 2, 3, 5, 9))))
-        if self.style < 0.2:  # some pages set their words apart
-            return text.replace(" ", self.rng.choice((" | ", " | ", "*** ", "&&& ", " / ")).replace("&", "&amp;"))
-        return text
+        return " ".join(self.sentence() for _ in range(self.rng.choice((1, 1, 1, 2, 3, 5, 9))))
 
     def some(self, words: list[str], low: int, high: int) -> str:
         return " ".join(self.rng.choice(words) if self.rng.random() < 0.6 else self.word() for _ in range(self.rng.randint(low, high)))
@@ -349,93 +401,140 @@ class _Writer:
         mark = "" if not marks else " " + re.sub(r"=(.*)", r'="\1"', marks[0])
         self.out.append(f"<{name}{mark}>")
         inner()
-        if self.rng.random() < 0.97:
+        if name not in LOOSE and name != "b" or self.rng.random() >= self.loose:
             self.out.append(f"</{name}>")
 
-    def text(self, spec: str, text: str, good: bool = False) -> None:
+    def text(self, spec: str, text: str) -> None:
         self.tag(spec, lambda: self.out.append(text))
-        if good:
-            self.content.append(" ".join(entities.unescape(text).split()))
+
+    def good(self, spec: str, text: str) -> None:
+        """A content block; some of its words may stand in inline elements."""
+        r = self.rng
+        self.content.append(" ".join(text.split()))
+        words = text.split(" ")
+        if r.random() < 0.3:
+            a = r.randrange(len(words))
+            b = r.choice((a + 1, a + 3, len(words))) if r.random() < 0.8 else len(words)
+            name, *mark = r.choice(EMPHASIS).split(" ")
+            words[a] = f"<{name}{' ' + mark[0] if mark else ''}>{words[a]}"
+            words[min(b, len(words)) - 1] += f"</{name}>" if r.random() < 0.9 or name == "a" else ""
+        if r.random() < 0.1:
+            words[-1] += "<br>"
+        elif r.random() < 0.1 and len(words) > 4 and not any("<" in w for w in words):
+            words[len(words) // 2] = "<br>" + words[len(words) // 2]
+        self.text(spec, " ".join(words))
+
+    def spec(self, kind: str) -> str:
+        plain, named = AROUND[kind]
+        return self.placed(self.rng.choice(plain if self.rng.random() < 0.5 else named))
+
+    def placed(self, spec: str) -> str:
+        """Sometimes with a further class that only says where the element stands."""
+        r = self.rng
+        if r.random() < 0.25 and " class=" in spec:
+            name, mark = spec.split(" class=")
+            place = r.choice(PLACES)
+            return f"{name} class={place} {mark}" if r.random() < 0.5 else f"{name} class={mark} {place}"
+        return spec
 
     def links(self, spec: str, words: list[str], n: int) -> None:
         def items() -> None:
             for _ in range(n):
-                label = self.rng.choice(words).capitalize() if self.rng.random() < 0.5 else self.word()
-                self.tag("li", lambda label=label: self.out.append(f'<a href="/{label}">{label}</a>'))
+                label = self.rng.choice(words).capitalize() if self.rng.random() < 0.5 else " ".join(self.word() for _ in range(self.rng.choice((1, 1, 2, 5))))
+                self.tag("li", lambda label=label: self.out.append(f'<a href="/x">{label}</a>'))
 
-        self.tag(spec, lambda: self.tag("ul", items) if self.rng.random() < 0.8 else self.out.extend(f'<a href="/{self.word()}">{self.word()}</a> ' for _ in range(n)))
+        self.tag(spec, lambda: self.tag("ul", items) if self.rng.random() < 0.8 else self.out.extend(f'<a href="/x">{self.word()}</a> ' for _ in range(n)))
 
     def noise(self, kind: str) -> None:
-        r = self.rng
+        r, spec = self.rng, self.spec(kind)
         if kind == "menu":
-            self.links(r.choice(("nav", "nav class=menu", "div class=nav", "div id=menu", "ul class=navigation", "div class=navbar", "nav class=breadcrumb")), MENU, r.randint(2, 9))
+            self.links(spec if r.random() < 0.85 else "div", MENU, r.randint(2, 9))
         elif kind == "header":
-            self.tag(r.choice(("header", "div class=header", "div id=header", "header class=site-header")), lambda: (self.text(r.choice(("div class=logo", "h2", "p", "div")), self.filler(MENU)), r.random() < 0.4 and self.text("p", self.filler(MENU))))
+            self.tag(spec, lambda: (self.text(r.choice(("div class=logo", "div class=logo", "p", "p", "div", "div", "a href=/", "a href=/", "h1", "h2")), self.filler(MENU)), r.random() < 0.4 and self.text("p", self.filler(MENU))))
         elif kind == "notice":
-            self.tag(r.choice(("div class=cookie", "div id=cookie-notice", "div class=banner", "div class=notice", "div class=consent", "div class=newsletter", "div class=alert", "section class=gdpr")), lambda: (self.text("p", self.filler(NOTICE)), r.random() < 0.5 and self.text("button", "OK")))
+            self.tag(spec, lambda: (self.text("p", self.filler(NOTICE)), r.random() < 0.5 and self.text("button", "OK")))
         elif kind == "advert":
-            spec = r.choice(("div class=ad", "div class=ads", "div class=advert", "div id=ad", "div class=sponsored", "aside class=ad", "div class=promo", "ins class=adsbygoogle", "div class=advertisement"))
             self.tag(spec, lambda: self.text("p", self.filler(ADVERT)) if r.random() < 0.3 else self.out.append(self.filler(ADVERT)))
         elif kind == "sidebar":
-            spec = r.choice(("aside", "div class=sidebar", "div id=sidebar", "aside class=related", "div class=widget", "section class=related", "div class=recommended"))
             self.tag(spec, lambda: (self.text(r.choice(("h2", "h3", "h4")), self.some(SOCIAL, 1, 4)), self.links("div", SOCIAL, r.randint(2, 5)) if r.random() < 0.6 else self.text("p", self.prose())))
         elif kind == "form":
-            spec = r.choice(("form", "form class=search", "form id=login", "div class=form", "form class=subscribe"))
             self.tag(spec, lambda: (self.text("label", self.some(NOTICE, 1, 4)), self.out.append("<input name=q>"), self.text("button", self.word()), r.random() < 0.3 and self.text("p", self.filler(NOTICE))))
         elif kind == "comments":
-            spec = r.choice(("div class=comments", "section id=comments", "div id=disqus", "section class=comments", "ol class=comment-list", "div class=comment", "div class=responses"))
-            one = lambda: self.tag(r.choice(("div class=comment", "li class=comment", "article class=comment", "div")), lambda: (self.text(r.choice(("span class=author", "p class=meta", "div class=user")), self.some(SOCIAL, 1, 4)), self.text("p", self.prose())))
+            one = lambda: self.tag(r.choice(("div class=comment", "li class=comment", "article class=comment", "div", "li")), lambda: (self.text(r.choice(("span class=author", "p class=meta", "div class=user", "b")), self.some(SOCIAL, 1, 4)), self.text("p", self.prose())))
             self.tag(spec, lambda: [self.text("h3", self.some(SOCIAL, 1, 3)), *[one() for _ in range(r.randint(1, 5))]])
         elif kind == "share":
-            self.links(r.choice(("div class=share", "div class=social", "ul class=share-buttons", "div class=tags", "div class=meta")), SOCIAL, r.randint(2, 5))
+            self.links(spec, SOCIAL, r.randint(2, 5))
         else:
-            spec = r.choice(("footer", "div class=footer", "div id=footer", "footer class=site-footer", "div class=copyright"))
             self.tag(spec, lambda: (self.out.append("&copy; " * (r.random() < 0.6) + self.filler(LEGAL)) if r.random() < 0.5 else self.text("p", self.filler(LEGAL)), r.random() < 0.3 and self.links("div", LEGAL, r.randint(2, 4))))
 
+    def part(self, odds: float) -> None:
+        """A piece of an article; with these odds, something that stands between its pieces."""
+        r, x = self.rng, self.rng.random()
+        if r.random() < odds:
+            self.noise(r.choice(("advert", "share", "sidebar", "notice", "form")))
+        elif x < 0.60:
+            self.good("p", self.prose())
+        elif x < 0.72:
+            self.good(r.choice(("h2", "h2", "h3", "h4")), self.sentence(1, 7))
+        elif x < 0.84:
+            item = (lambda: self.sentence(1, 5)) if r.random() < 0.5 else self.prose
+            self.tag(r.choice(("ul", "ol", "ul class=list")), lambda: [self.good("li", item()) for _ in range(r.randint(2, 6))])
+        elif x < 0.88:
+            cells, rows = r.randint(2, 4), r.randint(2, 4)
+            row = lambda cell: self.tag("tr", lambda: [self.good(cell, self.sentence(1, 4)) for _ in range(cells)])
+            self.tag("table", lambda: [row("th"), *[row("td") for _ in range(rows)]])
+        elif x < 0.91:
+            self.tag("blockquote", lambda: self.good("p", self.prose())) if r.random() < 0.5 else self.good("blockquote", self.prose())
+        elif x < 0.94:
+            self.good("pre", self.sentence(2, 20))
+        elif x < 0.97:
+            self.tag("figure", lambda: (self.out.append('<img src="/i.png" alt="">'), self.good("figcaption", self.sentence(2, 12))))
+        else:
+            self.tag("dl", lambda: [(self.good("dt", self.sentence(1, 3)), self.good("dd", self.sentence(2, 12))) for _ in range(r.randint(1, 4))])
+
     def article(self) -> None:
         r = self.rng
         title = self.sentence(2, 14)
+        within = r.random() < 0.7
+
+        def head() -> None:
+            if r.random() < 0.9:
+                self.good(r.choice(("h1", "h1", "h1", "h1 class=title", "h2")), title)
+            if r.random() < 0.12:
+                self.tag("div class=intro" if r.random() < 0.3 else "div", lambda: self.good("p", self.prose()))
 
         def body() -> None:
-            if r.random() < 0.85:
-                self.text("h1", title, True)
-            n = r.choice((1, 2, 4, 7, 10, 16))
-            for k in range(n):
-                x = r.random()
-                if x < 0.66:
-                    self.text("p", self.prose(), True)
-                elif x < 0.74:
-                    text = self.prose()
-                    self.out.append(f"<p><b>{text}<br>")
-                    self.content.append(" ".join(entities.unescape(text).split()))
-                elif x < 0.80:
-                    self.text(r.choice(("h2", "h3")), self.sentence(1, 7), True)
-                elif x < 0.86:
-                    self.tag(r.choice(("ul", "ol")), lambda: [self.text("li", self.sentence(), True) for _ in range(r.randint(2, 4))])
-                elif x < 0.90:
-                    self.text(r.choice(("blockquote", "pre", "figcaption", "td")), self.prose(), True)
-                elif x < 0.93:
-                    head, tail = self.sentence(), self.sentence()
-                    self.text("p", f'{head} <a href="/x">{self.word()}</a> {tail}')
-                    self.content.append(" ".join(re.sub("<[^>]*>", "", self.out[-2 if self.out[-1].startswith("</") else -1]).split()))
-                elif k:
-                    self.noise(r.choice(("advert", "share", "sidebar", "notice", "form")))
-
-        self.tag(r.choice(CONTENT_AT), body)
+            if within:
+                self.tag("header", head) if r.random() < 0.1 else head()
+            odds = r.choice((0.0, 0.0, 0.06, 0.15))
+            pieces = lambda n: [self.part(odds if k else 0.0) for k in range(n)]
+            if r.random() < 0.25:
+                for _ in range(r.randint(1, 3)):
+                    self.tag(r.choice(("section", "div", "div class=section")), lambda: pieces(r.randint(1, 5)))
+            else:
+                pieces(r.choice((1, 2, 4, 7, 10, 16)))
+
+        if not within:
+            head()
+        self.tag(self.placed(r.choice(CONTENT_AT if r.random() < self.named else PLAIN_AT)), body)
 
     def page(self) -> tuple[str, list[str]]:
         r = self.rng
         self.out.append(f"<!DOCTYPE html><html><head><title>{self.sentence()}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>")
-        for kind in ("notice", "header", "menu", "form", "advert"):
-            if r.random() < (0.35, 0.4, 0.75, 0.2, 0.4)[("notice", "header", "menu", "form", "advert").index(kind)]:
+        for kind, odds in (("notice", 0.35), ("header", 0.4), ("menu", 0.75), ("form", 0.2), ("advert", 0.4)):
+            if r.random() < odds:
                 self.noise(kind)
-        wrap = r.random() < 0.3
-        if wrap:
-            self.out.append(r.choice(('<div class="page">', "<main>", '<div id="wrapper">', '<div class="container">')))
+        around = [r.choice(PLAIN_AT) for _ in range(r.choice((0, 0, 1, 1, 2, 3)))]
+        for spec in around:
+            name, *mark = spec.split(" class=")
+            self.out.append(f'<{name} class="{mark[0]}">' if mark else f"<{name}>")
+        if around and r.random() < 0.2:
+            self.noise("sidebar")
         self.article()
         for kind, odds in (("share", 0.25), ("advert", 0.25), ("comments", 0.35), ("sidebar", 0.35), ("form", 0.15)):
             if r.random() < odds:
                 self.noise(kind)
+        self.out.extend(f"</{spec.split(' ')[0]}>" for spec in reversed(around))
         if r.random() < 0.85:
             self.noise("footer")
         if r.random() < 0.15:
@@ -485,5 +584,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     kind, link = (pages.schema[c].dataType.simpleString() for c in (key, url))
-    found = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, f"key {kind}, url {link}, text string, n_chars bigint")
+    found = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(released(run), f"key {kind}, url {link}, text string, n_chars bigint")
     return found.withColumnRenamed("key", key).withColumnRenamed("url", url)
