@@ -14,22 +14,25 @@ as their slots agree, which estimates the shared part of all names.
 
 Defined cases: a null text is empty; an empty text's fingerprint has empty
 slots, and two such are alike by 1; equal texts have equal fingerprints; a table
-of one row is its own next document; null keys come last, ties are ordered by
-text; other columns are not looked at.
+of one row is its own next document; null keys come last, ties are ordered by a
+hash of the text, so equal rows follow each other; keys that are no whole numbers
+are ordered by their string form; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.arrow_text import mixed, prefix_sums, span_hash
+from threadlake.llm.arrow_text import mixed, prefix_sums, released, span_hash
 
 SLOTS = 128
 #: Names of levels from here on count; of short texts, also the level below.
@@ -134,33 +137,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _ranges(docs: DataFrame, key: str) -> tuple[np.ndarray, dict[int, tuple[int | None, int]]]:
-    """Bounds of the key ranges; by range, its greatest key and the range that comes before in descending order."""
-    ids = docs.select(F.col(key).cast("long").alias("id"))
-    n = ids.count()
-    wanted = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    cuts = ids.approxQuantile("id", [i / wanted for i in range(1, wanted)], 1 / (4 * wanted)) if wanted > 1 else []
-    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
-    heads = {r["range"]: r["head"] for r in ids.groupBy(_range_of(bounds)("id").alias("range")).agg(F.max("id").alias("head")).collect()}
+def _place(key, tie: int) -> tuple:
+    """Where a row stands; None is the least key."""
+    return (0, 0, tie) if key is None else (1, key, tie)
+
+
+def _ranges(rows: DataFrame, kind: str, range_rows: int) -> tuple[list[tuple], dict[int, tuple[tuple, int]]]:
+    """Bounds of the ranges of (key, tie); by range, the place of its greatest row and the next range upwards.
+
+    The bounds come from a sample of at most 4 * MOST_RANGES places, the least by a hash.
+    """
+    wanted = min(MOST_RANGES, max(1, rows.count() // range_rows))
+    bounds: list[tuple] = []
+    if wanted > 1:
+        sample = rows.select("key", "tie").orderBy(F.xxhash64("key", "tie"), "key", "tie").limit(4 * wanted).collect()
+        bounds = sorted({_place(r["key"], r["tie"]) for r in sample})[4::4]
+    heads = rows.groupBy(_range_of(bounds)(*_filled(kind)).alias("range")).agg(F.max(F.struct("key", "tie")).alias("head")).collect()
+    heads = {r["range"]: _place(r["head"]["key"], r["head"]["tie"]) for r in heads}
     order = sorted(heads)
     return bounds, {b: (heads[b], order[(i + 1) % len(order)]) for i, b in enumerate(order)}
 
 
-def _range_of(bounds: np.ndarray):
+def _filled(kind: str) -> tuple[Column, Column, Column]:
+    """Key, whether it is missing, and tie; a missing key has a value, so that whole numbers stay whole in pandas."""
+    return F.coalesce("key", F.lit("" if kind == "string" else 0).cast(kind)), F.col("key").isNull(), F.col("tie")
+
+
+def _places(keys: pd.Series, missing: pd.Series, ties: pd.Series) -> Iterator[tuple]:
+    return map(_place, (None if m else k for k, m in zip(keys.tolist(), missing.tolist(), strict=True)), ties.tolist())
+
+
+def _range_of(bounds: list[tuple]):
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right").astype(np.int32) + 1
-        found[ids.isna().to_numpy()] = 0
-        return pd.Series(found)
+    def range_of(keys: pd.Series, missing: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, at) for at in _places(keys, missing, ties)], dtype="int32")
 
     return range_of
 
 
-SCHEMA = "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _schema(kind: str) -> str:
+    return f"key {kind}, times bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _rows(pairs: list[tuple], last: dict) -> pa.RecordBatch:
-    """pairs: (key, text, next text). Fingerprints of a run are shared between neighbours."""
+def _rows(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """pairs: (key, text, next text, times). Fingerprints of a run are shared between neighbours."""
     texts, changed, following = [p[1] for p in pairs], [edited(p[1], p[2]) for p in pairs], [p[2] for p in pairs]
     # The next text of a pair is mostly the text of the pair after it.
     chained = [i + 1 < len(pairs) and following[i] is texts[i + 1] for i in range(len(pairs))]
@@ -176,7 +196,8 @@ def _rows(pairs: list[tuple], last: dict) -> pa.RecordBatch:
     hexed = lambda rows: [r.tobytes().hex() for r in rows]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([p[0] for p in pairs], pa.int64()),
+            pa.array([p[0] for p in pairs], kind),
+            pa.array([p[3] for p in pairs], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
             pa.array(hexed(own)),
@@ -184,71 +205,86 @@ def _rows(pairs: list[tuple], last: dict) -> pa.RecordBatch:
             pa.array(likeness(own, new)),
             pa.array(likeness(own, after)),
         ],
-        names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=["key", "times", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of whole ranges, each followed by the head of the next one."""
+    """Sorted rows (range, ahead, key, copies, text) of whole ranges, each followed by the head of the range below.
+
+    All copies of a row but the last are followed by their own text.
+    """
     ready: list[tuple] = []
     size = 0
-    waiting = first = None  # (range, key, text)
-    done_with = None
+    kind = pa.null()
+    waiting = first = None  # (range, key, copies, text)
 
-    def put(key, text, following):
+    def put(row, following):
         nonlocal size
-        ready.append((key, text, following))
-        size += 2 * len(text) + 1
+        _, key, copies, text = row
+        if copies > 1:
+            ready.append((key, text, text, copies - 1))
+        ready.append((key, text, following, 1))
+        size += (2 + 2 * (copies > 1)) * len(text) + 1
 
     for batch in batches:
-        for rng, ahead, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
+        kind = batch.schema.field("key").type
+        for rng, ahead, key, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if waiting is not None and waiting[0] != rng:
-                put(waiting[1], waiting[2], first[2])  # no head came: the table is this one range
+                put(waiting, first[3])  # no head came: the table is this one range
                 waiting = None
             if ahead:
                 if waiting is not None:
-                    put(waiting[1], waiting[2], text)
-                    waiting, done_with = None, rng
+                    put(waiting, text)
+                    waiting = None
                 continue
             if waiting is not None:
-                put(waiting[1], waiting[2], text)
+                put(waiting, text)
             else:
-                first = (rng, key, text)
-            waiting = (rng, key, text)
+                first = (rng, key, copies, text)
+            waiting = (rng, key, copies, text)
             if size >= SLICE_CHARS:
-                yield _rows(ready, {})
+                yield _rows(ready, kind)
                 ready, size = [], 0
     if waiting is not None:
-        put(waiting[1], waiting[2], first[2])
+        put(waiting, first[3])
     if ready:
-        yield _rows(ready, {})
+        yield _rows(ready, kind)
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of each text and of its edited form, and how alike they and the next document's are.
 
     The next document comes by descending key, the first after the last. Rows are
     dealt by ranges of keys; the head of each range also goes to the range before
-    it, so no task needs more than its own ranges, streamed in order.
+    it, so no task needs more than its own ranges, streamed in order. Where keys
+    repeat, a range may end within one key's texts, and equal rows are gathered
+    into one with a count.
     """
-    bounds, order = _ranges(docs, key)
-    numbers = np.array(sorted(order), np.int64)
-    null_head = 0 in order
-    heads = np.array([order[b][0] if order[b][0] is not None else 0 for b in numbers], np.int64)
-    targets = np.array([order[b][1] for b in numbers], np.int32)
+    kind = docs.schema[key].dataType.simpleString()
+    sorts = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    rows = docs.select(F.col(key).cast(sorts).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    unique = not rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if unique:
+        rows = rows.select("key", F.lit(0).cast("long").alias("tie"), F.lit(1).cast("long").alias("copies"), "text")
+    else:
+        rows = rows.groupBy("key", "text").agg(F.count(F.lit(1)).alias("copies")).select("key", F.xxhash64("text").alias("tie"), "copies", "text")
+    bounds, order = _ranges(rows, sorts, range_rows)
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        missing = ids.isna().to_numpy()
-        values = ids.fillna(0).to_numpy(np.int64)
-        own = np.searchsorted(bounds, values, "right").astype(np.int32) + 1
-        own[missing] = 0
-        at = np.searchsorted(numbers, own)
-        leads = np.where(missing, null_head, heads[at] == values)
-        return pd.Series([[int(o), int(t)] if lead else [int(o)] for o, t, lead in zip(own, targets[at], leads, strict=True)])
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.select("key", "text", F.posexplode(places("key")).alias("ahead", "range"))
-    ordered = dealt.select("range", "ahead", "key", "text").repartition("range").sortWithinPartitions("range", "ahead", F.col("key").desc_nulls_last(), F.coalesce("text", F.lit("")))
-    return ordered.mapInArrow(_walk, SCHEMA).withColumnRenamed("key", key)
+    def places(keys: pd.Series, missing: pd.Series, ties: pd.Series) -> pd.Series:
+        out = []
+        for at in _places(keys, missing, ties):
+            own = bisect_right(bounds, at)
+            head, target = order[own]
+            out.append([own, target] if head == at else [own])
+        return pd.Series(out)
+
+    dealt = rows.select("key", "tie", "copies", "text", F.posexplode(places(*_filled(sorts))).alias("ahead", "range"))
+    ordered = dealt.repartition("range").sortWithinPartitions("range", "ahead", F.col("key").desc_nulls_last(), F.col("tie").desc(), "text").select("range", "ahead", "key", "copies", "text")
+    found = ordered.mapInArrow(released(_walk), _schema(sorts))
+    if not unique:
+        each = 4096
+        parts = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / each)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        found = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(each).cast("long"), F.col("times") - F.col("part") * each))))
+    return found.select(F.col("key").cast(kind).alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
