@@ -19,9 +19,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    sequences = media.parse_sequences(media.pages_of_texts(docs, "doc_id", "text"), "doc_id", "html")
-    return media.describe_media(media.resolve_media(sequences, media.media_of_texts(docs, "text"), "doc_id"), "doc_id")
+    return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +65,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.oracle("documents"),
         "op8_repeats": repeats.oracle("documents"),
-        "op9_url_templates": url_templates.template_sql("pages", salts=1),
+        "op9_url_templates": url_templates.oracle("pages"),
     }

@@ -1,30 +1,37 @@
 """URL filters: rules first, then a path-template tree judged by smoothed labelled purity.
 
-Everything here is one SQL statement that Spark and DuckDB both run: no Python
-touches a row. Urls that a rule decides are the labelled ones. Per host, path
-segments become the branches of a tree of at most ``DEPTH`` levels. A segment
-turns into the wildcard ``*`` if it looks like an identifier (it holds a digit,
-or is long) or if its position takes too many distinct values; branches whose
-blocked shares a two-proportion test cannot tell apart become ``+``. The deepest
-template with enough labelled urls decides: it is rejected if its smoothed share
-of blocked urls reaches the threshold. All other urls are allowed.
+Everything here is DataFrame operations: no Python touches a row. Urls that a rule
+decides are the labelled ones. Per host, path segments become the branches of a
+tree, one level at a time, as deep as labelled urls reach. A segment turns into
+the wildcard ``*`` if it looks like an identifier (it holds a digit, or is long)
+or if its position takes too many distinct values; branches whose blocked shares
+a two-proportion test cannot tell apart become ``+``. The deepest template with
+enough labelled urls decides: it is rejected if its smoothed share of blocked urls
+reaches the threshold. All other urls are allowed.
+
+A template below one that lacks support can't have it, so only branches with
+enough labelled urls are followed: the tree ends by itself, and no depth is cut.
 
 The tree is built from one row per (host, segments) with counts, so a host with
-a third of all urls costs no more than its distinct templates. The join that
-brings the verdicts back is salted, so that a hot template spreads out.
+a third of all urls costs no more than its distinct paths; sums per branch and
+family are combined before they are shuffled. The join that brings the verdicts
+back is salted, so that a hot path spreads out.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
-and is allowed unless a rule fits; no url is dropped; an empty table gives an
-empty result; repeated rows each get their verdict; a null page_id is kept.
+and is allowed unless a rule fits; empty segments don't count; a url is no child
+of the template it ends at; the tree starts with the first segment, so a host as
+a whole is never judged; no url is dropped; an empty table gives an empty result;
+repeated rows each get their verdict; a null page_id is kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-DEPTH = 3
+from threadlake.llm.steps import stored
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,7 @@ class Rule:
 
 #: The rules of the registered query.
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -60,71 +68,95 @@ class Settings:
     long: int = 24
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, host and path of every row of pages(page_id, url)."""
+    rest = pages.select("page_id", F.expr("case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end").alias("rest"))
+    raw = rest.withColumn("raw", F.regexp_extract("rest", "^[^/?#]*", 0))
+    return raw.select("page_id", F.translate("raw", UPPER, LOWER).alias("host"), F.regexp_extract(F.expr("substring(rest, length(raw) + 1)"), "^[^?#]*", 0).alias("path"))
 
 
-def _rule_case(rules: tuple[Rule, ...], what: str) -> str:
+def _by_rule(rules: tuple[Rule, ...], what: str) -> Column:
     """The longest rule wins; of equal length, the first by name."""
-    if not rules:
-        return "cast(null as string)"
-    arms = []
-    for r in sorted(rules, key=lambda r: (-len(r.name), r.name)):
-        host = "true" if not r.host else f"(host = {_quoted(r.host)} or right(host, {len(r.host) + 1}) = {_quoted('.' + r.host)})"
-        arms.append(f"when {host} and left(path, {len(r.path)}) = {_quoted(r.path)} then {_quoted(getattr(r, what))}")
-    return "case " + " ".join(arms) + " else null end"
+    out = F.lit(None).cast("string")
+    for r in sorted(rules, key=lambda r: (-len(r.name), r.name), reverse=True):
+        host = F.lit(True) if not r.host else (F.col("host") == r.host) | F.col("host").endswith("." + r.host)
+        out = F.when(host & F.col("path").startswith(r.path), F.lit(getattr(r, what))).otherwise(out)
+    return out
+
+
+def judged(shapes: DataFrame, s: Settings) -> DataFrame:
+    """host, segments, template and purity where a template judges them: shapes(host, segments, n, m, b).
+
+    n urls of a shape, of which m are labelled and b blocked. A level takes the
+    shapes below supported templates, names their next branch, and keeps those
+    whose longer template still has support.
+    """
+    shapes = stored(shapes)
+    found = []
+    at = shapes.withColumn("template", F.lit("")).withColumn("purity", F.lit(None).cast("double"))
+    while True:
+        d = len(found)
+        inner = at.where(F.size("segments") > d).withColumn("s", F.col("segments")[d]).drop("purity")
+        branch = inner.groupBy("host", "template", "s").agg(*(F.sum(c).alias(c) for c in "nmb"))
+        family = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"p{c}") for c in "nmb"), F.count(F.lit(1)).alias("kinds"))
+        rest, own = F.col("pm") - F.col("m"), F.col("m")
+        part = F.try_divide
+        even, one = part("pb", "pm"), F.lit(1.0)
+        alike = F.abs(part("b", own) - part(F.col("pb") - F.col("b"), rest)) <= s.z * F.sqrt(even * (1 - even) * (part(one, own) + part(one, rest)))
+        variable = (F.col("kinds") >= s.spread) & (F.col("kinds") >= s.share * F.col("pn"))
+        name = F.when((F.col("s") == "*") | variable, "*").when((own < s.support) | (rest < s.support), F.col("s")).when(alike, "+").otherwise(F.col("s"))
+        named = branch.join(family, ["host", "template"]).select("host", "template", "s", "m", "b", name.alias("t"))
+        node = named.groupBy("host", "template", "t").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb")).where(F.col("tm") >= s.support)
+        purity = (F.col("tb") + s.strength / 2) / (F.col("tm") + s.strength)
+        longer = named.select("host", "template", "s", "t").join(node, ["host", "template", "t"]).select("host", "template", "s", F.concat("template", F.lit("/"), "t").alias("longer"), purity.alias("purity"))
+        at = stored(inner.join(longer, ["host", "template", "s"]).select("host", "segments", "n", "m", "b", F.col("longer").alias("template"), "purity"))
+        found.append(at.select("host", "segments", "template", "purity", F.lit(d).alias("depth")))
+        if not at.where(F.size("segments") > d + 1).limit(1).count():
+            break
+    every = found[0]
+    for level in found[1:]:
+        every = every.unionByName(level)
+    best = every.groupBy("host", "segments").agg(F.max_by(F.struct("template", "purity"), "depth").alias("best"))
+    return best.select("host", "segments", "best.template", "best.purity")
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings(), salts: int = 16) -> DataFrame:
+    """page_id, host, path, rule, verdict and template of each row of pages(page_id, url, ...).
+
+    template: the one that judges the url's path, null if none has support.
+    """
+    s = settings
+    segment = f"transform(filter(split(path, '/', -1), x -> x <> ''), x -> if(length(x) >= {s.long} or x rlike '[0-9]', '*', x))"
+    rows = parsed(pages).select("page_id", "host", "path", _by_rule(rules, "name").alias("rule"), _by_rule(rules, "action").alias("action"), F.expr(segment).alias("segments"))
+    shapes = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("action").alias("m"), F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("b"))
+    templates = judged(shapes, s).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    verdict = F.coalesce("action", F.when(F.col("purity") >= s.purity, "block").otherwise("allow"))
+    return salted.join(templates, ["host", "segments", "salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
-def template_sql(pages: str, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings(), salts: int = 16) -> str:
-    """The statement over a table ``pages``; salts 1 leaves the join unsalted."""
+def oracle(table: str, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings()) -> str:
+    """DuckDB SQL for the same rows: rules as a table, and the tree by recursion, with windows over all shapes of a level."""
     s = settings
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    segment = lambda d: f"regexp_extract(path, '^{'/+[^/]+' * (d - 1)}/+([^/]+)', 1)"
-    shaped = lambda x: f"case when length({x}) >= {s.long} or regexp_extract({x}, '[0-9]', 0) <> '' then '*' else {x} end"
-    levels = ", ".join(f"{shaped(segment(d))} as s{d}" for d in range(1, DEPTH + 1))
-    keys = ", ".join(f"s{d}" for d in range(1, DEPTH + 1))
-    ctes = [
-        f"parsed0 as (select page_id, case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end as rest from {pages})",
-        f"parsed1 as (select page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) as raw from parsed0)",
-        f"parsed as (select page_id, translate(raw, '{upper}', '{lower}') as host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) as path from parsed1)",
-        f"ruled as (select page_id, host, path, {_rule_case(rules, 'name')} as rule, {_rule_case(rules, 'action')} as action, {levels} from parsed)",
-        f"shapes as (select host, {keys}, count(*) as n, count(action) as m, sum(case when action = 'block' then 1 else 0 end) as b from ruled group by host, {keys})",
-    ]
-    before, path = "shapes", "host"
-    for d in range(1, DEPTH + 1):
-        up = ["host", *(f"t{i}" for i in range(1, d))]
-        parent = ", ".join(up)
-        ctes += [
-            f"child{d} as (select {parent}, s{d}, sum(n) as n, sum(m) as m, sum(b) as b from {before} group by {parent}, s{d})",
-            f"family{d} as (select *, sum(n) over (partition by {parent}) as pn, sum(m) over (partition by {parent}) as pm, sum(b) over (partition by {parent}) as pb, count(*) over (partition by {parent}) as kinds from child{d})",
-            f"share{d} as (select *, cast(b as double) / nullif(m, 0) as p1, cast(pb - b as double) / nullif(pm - m, 0) as p2, cast(pb as double) / nullif(pm, 0) as p0 from family{d})",
-            f"""named{d} as (select {parent}, s{d}, case when s{d} = '' or s{d} = '*' then s{d}
-              when kinds >= {s.spread} and kinds >= {s.share} * pn then '*'
-              when m >= {s.support} and pm - m >= {s.support} and abs(p1 - p2) <= {s.z} * sqrt(p0 * (1 - p0) * (1e0 / m + 1e0 / (pm - m))) then '+'
-              else s{d} end as t{d} from share{d})""",
-            f"level{d} as (select a.*, c.t{d} from {before} a join named{d} c on {' and '.join(f'a.{x} = c.{x}' for x in [*up, f's{d}'])})",
-        ]
-        before = f"level{d}"
-    scored = []
-    for d in range(1, DEPTH + 1):
-        over = ", ".join(["host", *(f"t{i}" for i in range(1, d + 1))])
-        scored.append(f"case when t{d} = '' then 0 else sum(m) over (partition by {over}) end as m{d}, sum(b) over (partition by {over}) as b{d}")
-    template = "concat(" + ", ".join(f"case when t{d} = '' then '' else concat('/', t{d}) end" for d in range(1, DEPTH + 1)) + ")"
-    deepest = " ".join(f"when m{d} >= {s.support} then (b{d} + {s.strength / 2}e0) / (m{d} + {s.strength}e0)" for d in range(DEPTH, 0, -1))
-    ctes += [
-        f"scored as (select host, {keys}, {template} as template, {', '.join(scored)} from {before})",
-        f"judged as (select host, {keys}, template, case {deepest} else null end as purity from scored)",
-    ]
-    if salts > 1:
-        ctes.append(f"salted as (select judged.*, salt from judged lateral view explode(sequence(0, {salts - 1})) as salt)")
-        source, on, row = "salted", " and r.salt = j.salt", f"(select *, cast(pmod(xxhash64(page_id), {salts}) as int) as salt from ruled)"
-    else:
-        source, on, row = "judged", "", "ruled"
-    return f"""with {', '.join(ctes)}
-select r.page_id, r.host, r.path, r.rule, case when r.action is not null then r.action when j.purity >= {s.purity} then 'block' else 'allow' end as verdict, j.template
-from {row} r left join {source} j on r.host = j.host and {' and '.join(f'r.s{d} = j.s{d}' for d in range(1, DEPTH + 1))}{on}"""
-
-
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings()) -> DataFrame:
-    """page_id, host, path, rule, verdict and template of each row of pages(page_id, url, ...)."""
-    return pages.sparkSession.sql(template_sql("{pages}", rules, settings), pages=pages.select("page_id", "url"))
+    listed = ", ".join(f"('{r.action}', '{r.host}', '{r.path}', '{r.name}')" for r in rules)
+    return f"""with recursive rules(action, rhost, rpath, name) as (values {listed}),
+rests as (select page_id, row_number() over () as nth, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from {table}),
+urls as (select page_id, nth, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests),
+fits as (select nth, arg_min(struct_pack(name := name, action := action), row(-len(name), name)) as best from urls join rules on (host = rhost or ends_with(host, '.' || rhost) or rhost = '') and starts_with(path, rpath) group by nth),
+ruled as (select u.page_id, u.host, u.path, f.best.name as rule, f.best.action as action, list_transform(list_filter(string_split(u.path, '/'), lambda x: x <> ''), lambda x: case when len(x) >= {s.long} or regexp_matches(x, '[0-9]') then '*' else x end) as segments from urls u left join fits f using (nth)),
+shapes as (select host, segments, count(*) as n, count(action) as m, count(*) filter (action = 'block') as b from ruled group by all),
+tree as (
+  select host, segments, n, m, b, 0 as depth, '' as template, null::double as purity from shapes
+  union all
+  select host, segments, n, m, b, depth + 1, template || '/' || t, (tb + {s.strength / 2}) / (tm + {s.strength}) from (
+    select *, sum(m) over (partition by host, template, t) as tm, sum(b) over (partition by host, template, t) as tb from (
+      select *, case when s = '*' or kinds >= {s.spread} and kinds >= {s.share} * pn then '*'
+        when bm < {s.support} or pm - bm < {s.support} then s
+        when abs(bb / bm - (pb - bb) / (pm - bm)) <= {s.z} * sqrt(pb / pm * (1 - pb / pm) * (1 / bm + 1 / (pm - bm))) then '+' else s end as t
+      from (
+        select *, sum(m) over f as pm, sum(b) over f as pb, sum(n) over f as pn, count(distinct s) over f as kinds, sum(m) over c as bm, sum(b) over c as bb
+        from (select *, segments[depth + 1] as s from tree where len(segments) > depth)
+        window f as (partition by host, template), c as (partition by host, template, s)))) where tm >= {s.support}),
+best as (select host, segments, arg_max(template, depth) as template, arg_max(purity, depth) as purity from tree where depth > 0 group by host, segments)
+select r.page_id, r.host, r.path, r.rule, coalesce(r.action, case when b.purity >= {s.purity} then 'block' else 'allow' end) as verdict, b.template
+from ruled r left join best b on r.host = b.host and r.segments = b.segments"""
