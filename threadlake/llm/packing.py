@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm.arrow_text import released
 from threadlake.llm import bpe
 
 WINDOW = 1024
@@ -276,5 +277,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
             yield out()
 
     schema = f"key {kind}, " + ", ".join(f"{n} bigint" for n in names[1:])
-    packed = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    packed = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(released(run), schema)
     return packed.withColumnRenamed("key", key)

@@ -20,6 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm.arrow_text import released
 from threadlake.llm import bpe
 
 BATCH_ROWS = 512
@@ -51,4 +52,4 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes bigint, n_tokens bigint" + "".join(f", {n} bigint" for n in names)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(released(run), schema).withColumnRenamed("key", key)
