@@ -8,10 +8,10 @@ weights in their reach. They are composed once into a single machine whose state
 is the tuple of theirs. A text's clauses that hold a lexicon word are run through
 it; the matched clauses' weights give the features of a logistic score.
 
-Fitting uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash
-of the key), of which near copies count once; whole texts are read on executors,
-which hand over words and clause features; a row is never its own evidence if
-its fold is held out. Scoring covers every text in full: an Aho-Corasick scan
+Fitting uses a bounded sample of labelled keys (``SAMPLE``, the first by a hash),
+of whose texts near copies count once; executors read whole texts and sum up their
+words and clause features, and the driver gathers the words that mark toxic texts;
+a row is never its own evidence if its fold is held out. Scoring covers every text in full: an Aho-Corasick scan
 finds lexicon words, so clauses without any cost nothing more.
 
 Defined cases: a null or empty text matches nothing and has the score of texts
@@ -33,12 +33,14 @@ from itertools import product
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the fit sees at most, each in full.
+from threadlake.llm.arrow_text import released
+from threadlake.llm.steps import stored
+
+#: Labelled keys whose texts the fit sees at most, each in full.
 SAMPLE = 6000
 #: Characters that sort a row before its digest does.
 HEAD = 64
@@ -165,58 +167,52 @@ def _marker(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def gist(text: str) -> tuple[str, str, int, list[str]]:
-    """Of a whole text: what it begins with, its digest, its marker, and its words, those that recur TWICE."""
+def tallies(text: str, toxic: bool) -> dict[str, tuple[int, list[str]]]:
+    """For each word and stem of a whole text its occurrences, TWICE at most, and of a toxic text's stems the words."""
     counts = Counter(WORD.findall(text.lower()))
-    return text[:HEAD], hashlib.md5(text.encode()).hexdigest(), _marker(text), [w for w, k in sorted(counts.items()) for _ in range(min(k, TWICE))]
+    names: Counter[str] = Counter()
+    forms: dict[str, list[str]] = {}
+    for w, k in counts.items():
+        names[w] += min(k, TWICE)
+        for n in STEMS:
+            if len(w) > n:
+                names[w[:n] + "*"] += min(k, TWICE)
+                if toxic:
+                    forms.setdefault(w[:n] + "*", []).append(w)
+    return {name: (min(k, TWICE), forms.get(name, [])) for name, k in names.items()}
 
 
-def learn(rows: list[tuple[tuple[str, str, int, list[str]], int]]) -> Model:
-    """The lexicon from (gist, label) rows; deterministic, and independent of their order."""
+def learn(found: dict[str, tuple[int, int, int]], n1: int, n0: int) -> Model:
+    """The lexicon from (occurrences in toxic texts, in others, forms) by name; n1 toxic and n0 other texts."""
     model = Model()
-    once: dict[tuple[int, int], list[str]] = {}
-    for (_, _, marker, words), y in sorted(rows, key=lambda r: (*r[0][:2], r[1])):
-        once.setdefault((marker, y), words)
-    n1, n0 = sum(y for _, y in once), sum(1 - y for _, y in once)
-    if n1 and n0:
-        seen = {0: Counter(), 1: Counter()}
-        forms: dict[str, set[str]] = {}
-        for (_, y), words in sorted(once.items()):
-            here = Counter(words)
-            here.update(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
-            if y:
-                for w in words:
-                    for n in STEMS:
-                        if len(w) > n:
-                            forms.setdefault(w[:n] + "*", set()).add(w)
-            seen[y].update({w: min(k, TWICE) for w, k in here.items()})
-        n1, n0 = TWICE * n1, TWICE * n0
-        found = []
-        for name, a in seen[1].items():
-            b = seen[0][name]
-            share = (a + 0.1) / n1 / ((a + 0.1) / n1 + (b + 0.1) / n0)
-            if len(forms.get(name, "***")) < 3:  # a stem of one or two words says no more than they do
-                continue
-            if a >= 2 * TWICE and share >= PURITY and a >= PURITY * (a + b) and (g := _ratio(a, b, n1, n0)) >= RATIO:
-                found.append((-g, name, math.log((a + 0.5) / n1 / ((b + 0.5) / n0))))
-        for _, name, w in sorted(found)[:MOST_WORDS]:
-            if name[-1] == "*":
-                model.stems[name[:-1]] = w
-            else:
-                model.words[name] = max(w, model.words.get(name, 0.0))
-        for w in [w for w in model.words if w in seen[0] and seen[0][w] > seen[1][w]]:
-            del model.words[w]  # a seed word that the labels speak against
+    if not (n1 and n0):
+        return model
+    n1, n0 = TWICE * n1, TWICE * n0
+    picked = []
+    for name, (a, b, forms) in found.items():
+        share = (a + 0.1) / n1 / ((a + 0.1) / n1 + (b + 0.1) / n0)
+        if name[-1] == "*" and forms < 3:  # a stem of one or two words says no more than they do
+            continue
+        if a >= 2 * TWICE and share >= PURITY and a >= PURITY * (a + b) and (g := _ratio(a, b, n1, n0)) >= RATIO:
+            picked.append((-g, name, math.log((a + 0.5) / n1 / ((b + 0.5) / n0))))
+    for _, name, w in sorted(picked)[:MOST_WORDS]:
+        if name[-1] == "*":
+            model.stems[name[:-1]] = w
+        else:
+            model.words[name] = max(w, model.words.get(name, 0.0))
+    for w in [w for w in model.words if w in found and found[w][1] > found[w][0]]:
+        del model.words[w]  # a seed word that the labels speak against
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps; each row counts ``times``."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     ridge = penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-6 * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -229,44 +225,79 @@ def held_out(key: str):
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled rows outside the held-out fold.
+    """Fits on the rows of at most ``sample`` labelled keys outside the held-out fold.
 
-    Their keys are the first by a hash. Executors read the texts; the driver
-    gathers their distinct words, and then two features of each.
+    The keys are the first by a hash. Executors read the texts, each once however
+    often it repeats, and sum up words; the driver gathers the words that mark toxic
+    texts, and then two features of each text.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull()).where(~held_out("k"))
     chosen = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     picked = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").select("t", F.col("y").cast("int").alias("y"))
 
-    def gists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([(*gist(t), y) for t, y in zip(batch["t"], batch["y"], strict=True)], columns=["head", "digest", "marker", "words", "y"])
+            texts, ys = batch.column(0).to_pylist(), batch.column(1)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{t[:HEAD]}\0{hashlib.md5(t.encode()).hexdigest()}" for t in texts], pa.string()), pa.array([_marker(t) for t in texts], pa.int64()), batch.column(0), ys], names=["digest", "marker", "t", "y"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(name, form, toxic occurrences, others); a row with a form only says that there is one."""
 
-    # A key may repeat in docs: still no more rows than the sample.
-    found = picked.mapInPandas(gists, "head string, digest string, marker bigint, words array<string>, y int").dropDuplicates(["digest", "y"]).orderBy("digest", "y").limit(sample).collect()
-    model = learn([((r["head"], r["digest"], r["marker"], list(r["words"])), r["y"]) for r in found])
-    if len({r["y"] for r in found}) < 2:
+        def out() -> pa.RecordBatch:
+            rows = [(n, None, *c) for n, c in sums.items()] + [(n, f, 0, 0) for n, f in forms]
+            sums.clear()
+            forms.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "form", "a", "b"])
+
+        sums: dict[str, list[int]] = {}
+        forms: set[tuple[str, str]] = set()
+        for batch in batches:
+            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for name, (k, of) in tallies(t.as_py(), y == 1).items():
+                    sums.setdefault(name, [0, 0])[0 if y == 1 else 1] += k
+                    forms.update((name, f) for f in of)
+                if len(sums) + len(forms) > 200_000:
+                    yield out()
+        if sums:
+            yield out()
+
+    # Near copies mostly have one marker, and count once.
+    marks = stored(picked.mapInArrow(released(marked), "digest string, marker bigint, t string, y int"))
+    once = marks.groupBy("marker", "y").agg(F.min_by("t", "digest").alias("t")).select("t", "y")
+    once = stored(once)
+    sizes = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    rows = once.mapInArrow(released(counted), "name string, form string, a bigint, b bigint")
+    sums = rows.groupBy("name", "form").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("form").alias("forms"))
+    telling = (F.col("a") >= 2 * TWICE) & (F.col("a") >= PURITY * (F.col("a") + F.col("b")))
+    found = {r["name"]: (r["a"], r["b"], r["forms"]) for r in sums.where(telling | F.col("name").isin(list(INSULTS))).collect()}
+    model = learn(found, sizes.get(1, 0), sizes.get(0, 0))
+    if len(sizes) < 2:
         return model
 
-    def measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = model.ready()
         for batch in batches:
-            yield pd.DataFrame([(hashlib.md5(t.encode()).hexdigest(), y, *ready.features(t)) for t, y in zip(batch["t"], batch["y"], strict=True)], columns=["digest", "y", "a", "b"])
+            values = [ready.features(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([v[k] for v in values], pa.float64()) for k in (0, 1))], names=["digest", "y", "a", "b"])
 
-    rows = picked.mapInPandas(measures, "digest string, y int, a double, b double").dropDuplicates(["digest", "y"]).orderBy("digest", "y").limit(sample).collect()
-    model.weights = _logistic(np.array([(r["a"], r["b"]) for r in rows]), np.array([r["y"] for r in rows], float))
+    rows = marks.select("digest", "t", "y").mapInArrow(released(measures), "digest string, y int, a double, b double").groupBy("digest", "y").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    # Equal features count together: that leaves few rows, however many texts there are.
+    rows = sorted(rows.groupBy("y", "a", "b").count().collect(), key=lambda r: (r["y"], r["a"], r["b"]))
+    model.weights = _logistic(np.array([(r["a"], r["b"]) for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["count"] for r in rows], float))
     return model
 
 
-def scorer(model: Model):
-    """A function of a text column that gives its score."""
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = model.ready()
-        return texts.map(lambda t: ready.score(t or ""), na_action=None).astype(float)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield part.filter(pa.array([ready.score(t.as_py() or "") < threshold for t in part.column(text)], pa.bool_()))
 
-    return score
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,5 +311,5 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ready.score(t.as_py() or "") for t in part.column(1)], pa.float64())], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
+    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(released(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
