@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.arrow_text import byte_table, mixed, prefix_sums, span_hash, text_slices, word_spans
+from threadlake.llm.arrow_text import byte_table, mixed, prefix_sums, released, span_hash, text_slices, word_spans
 from threadlake.llm.components import components
 from threadlake.llm.steps import settled, stored
 
@@ -140,7 +140,7 @@ def _surveyed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             k = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return settled(_texts(docs, key, text).mapInArrow(run, f"key {kind}, size bigint, node bigint, parity array<bigint>, task bigint, chunk int, counts binary"))
+    return settled(_texts(docs, key, text).mapInArrow(released(run), f"key {kind}, size bigint, node bigint, parity array<bigint>, task bigint, chunk int, counts binary"))
 
 
 def _words(parts: list[np.ndarray]) -> pa.ListArray:
@@ -201,7 +201,7 @@ def _entries(docs: DataFrame, key: str, text: str, n: int, order: Order, share:
                     flat = [np.concatenate(c) for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], names=["gram", "node", "spot"])
 
-    return _texts(docs, key, text).mapInArrow(run, "gram bigint, node bigint, spot bigint")
+    return _texts(docs, key, text).mapInArrow(released(run), "gram bigint, node bigint, spot bigint")
 
 
 def _has_room(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -274,7 +274,7 @@ def _listed(entries: DataFrame, share: tuple[int, int], short: int) -> DataFrame
         if len(rest[0]):
             yield from settle(*rest, False)
 
-    return entries.mapInArrow(run, "gram bigint, a bigint, b bigint")
+    return entries.mapInArrow(released(run), "gram bigint, a bigint, b bigint")
 
 
 def _room(a: str, b: str, share: tuple[int, int]) -> Column:
@@ -345,7 +345,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, order: Order, nodes: Dat
                 if nodes:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fragments, pa.int32()), _words(parts)], names=["node", "size", "fragment", "grams"])
 
-    found = texts.select("key", "text").mapInArrow(run, "node bigint, size int, fragment int, grams array<bigint>")
+    found = texts.select("key", "text").mapInArrow(released(run), "node bigint, size int, fragment int, grams array<bigint>")
     return stored(found if unique else found.dropDuplicates(["node", "fragment"]))
 
 
@@ -407,8 +407,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = settled(named.select("node", "component").join(least, "component").select("node", "component_id"))
-    out = rows.join(by_node, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    # Texts without words have one node in common and need no join.
+    found = rows.where("size > 0").join(by_node, "node").select("key", "size", "component_id")
+    out = found.unionByName(rows.where("size = 0").select("key", "size", F.col("key").alias("component_id")))
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
 
 
 def oracle(table: str, n: int = 3, share: tuple[int, int] = (90, 100)) -> str:
