@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -200,52 +201,131 @@ def test_fingerprints_alone_or_together(texts):
         assert (f.any()) == bool(t)
 
 
+MASK = (1 << 64) - 1
+GOLD = 0x9E3779B97F4A7C15
+
+
+def plain_mixed(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """Slots of one text, symbol by symbol."""
+    symbols, least, level = [ord(c) for c in text], {}, 0
+    while symbols and level < fingerprints.LEVELS:
+        level += 1
+        runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+        symbols = [plain_mixed((s * GOLD + n) & MASK) if n > 1 else s for s, n in runs]
+        labels = symbols
+        for _ in range(4):
+            before = [labels[0] ^ 1, *labels[:-1]]
+            places = [((x ^ y) & -(x ^ y)).bit_length() - 1 for x, y in zip(labels, before, strict=True)]
+            labels = [2 * p + (x >> p & 1) for x, p in zip(labels, places, strict=True)]
+        cuts = [0] + [i for i in range(1, len(labels) - 1) if labels[i - 1] < labels[i] > labels[i + 1]]
+        names = []
+        for i, j in zip(cuts, [*cuts[1:], len(symbols)], strict=True):
+            total = sum(plain_mixed(s) * pow(GOLD, k, 1 << 64) for k, s in enumerate(symbols[i:j]))
+            names.append(plain_mixed((total + j - i) & MASK))
+        if level >= fingerprints.LOWEST or len(text) < fingerprints.SHORT_CHARS or len(names) == 1:
+            for x in names:
+                least[x % 128] = min(least.get(x % 128, MASK), x >> 7)
+        symbols = names if len(names) > 1 else []
+    return bytes(least[k] % 255 + 1 if k in least else 0 for k in range(128))
+
+
+def plain_likeness(a, b):
+    used = sum(x > 0 or y > 0 for x, y in zip(a, b, strict=True))
+    return sum(x == y > 0 for x, y in zip(a, b, strict=True)) / used if used else 1.0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 40])
-def test_fingerprint_table(spark, monkeypatch, n):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+def test_fingerprint_table(spark, n):
     texts = [ODD[i % len(ODD)] if i % 3 else f"text number {i} " * i for i in range(n)]
-    rows = fingerprints.fingerprint_documents(docs_of(spark, texts)).collect()
+    texts = [t[:3000] if t else t for t in texts]
+    rows = fingerprints.fingerprint_documents(docs_of(spark, texts), range_rows=5).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(n))
     for r in rows:
         own, after = texts[r["doc_id"]] or "", texts[(r["doc_id"] - 1) % n] or ""
         k = len(own) // 3
         changed = own[: len(own) - k] + after[:k]
         assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        own_print, new, following = fingerprints.fingerprints([own, changed, after])
-        assert r["fingerprint"] == own_print.tobytes().hex() and r["edited_fingerprint"] == new.tobytes().hex()
-        assert r["near_next"] == pytest.approx(fingerprints.likeness(own_print[None], following[None])[0])
-
-
-def test_null_keys_come_last(spark):
-    docs = spark.createDataFrame([(1, "first"), (None, "lost"), (2, "second"), (None, "lost")], "doc_id long, text string")
-    rows = fingerprints.fingerprint_documents(docs).collect()
-    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "None", "None"]
+        own_print, new, following = map(plain_fingerprint, (own, changed, after))
+        assert r["fingerprint"] == own_print.hex() and r["edited_fingerprint"] == new.hex()
+        assert r["near_next"] == pytest.approx(plain_likeness(own_print, following)) and r["near_edited"] == pytest.approx(plain_likeness(own_print, new))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_of_repeated_and_null_keys(spark, kind):
+    big = 1 << 60
+    rows = [(None, "lost"), (None, "lost"), (None, "gone and lost"), (None, None), (big + 1, "first"), (big, "second"), (7, "x" * 50), (7, "x" * 50), (7, "y" * 50)] + [(None, "lost")] * 5
+    rows = [(k if k is None or kind == "long" else f"{k:020}", t) for k, t in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    for size in (1, 1000):
+        got = fingerprints.fingerprint_documents(docs, range_rows=size).collect()
+        assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(k), len(t or "")) for k, t in rows)
+        after = {}
+        for r in got:
+            after.setdefault((r["doc_id"], r["n_chars"]), []).append(r["edited_sha256"])
+        edit = lambda own, following: hashlib.sha256(fingerprints.edited(own, following).encode()).hexdigest()
+        first = rows[4][0]
+        assert after[first, 5] == [edit("first", "second")]
+        assert len(after[None, 4]) == 7 and after[None, 4].count(edit("lost", "lost")) >= 6
+
+
+def plain_feature(samples):
+    """Mean, spread and zeros, and of 8 bands of rows and 8 of columns, which lie above the mean of all."""
+    n = len(samples) // 64
+    cell = lambda i, j: [samples[r * 64 + c] for r in range(int(i * n / 8), max(int((i + 1) * n / 8), int(i * n / 8) + 1)) if r < n for c in range(8 * j, 8 * j + 8)]
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    cells = [mean(cell(i, j)) for i in range(8) for j in range(8)]
+    bits = "".join("1" if c > mean(cells) else "0" for c in cells)
+    m = mean(samples)
+    return f"mean={m:.4f};std={mean([(x - m) ** 2 for x in samples]) ** 0.5:.4f};zero={samples.count(0) / len(samples):.4f};ahash={int(bits, 2):016x}"
 
 
 def test_media(spark):
     docs = docs_of(spark, ODD)
-    sequences = media.parse_sequences(media.pages_of_texts(docs, "doc_id", "text"), "doc_id", "html")
-    rows = media.describe_media(media.resolve_media(sequences, media.media_of_texts(docs, "text"), "doc_id"), "doc_id").collect()
+    rows = media.media_digests(docs).collect()
     assert len(rows) == len(ODD)
     for r in rows:
         data = (ODD[r["doc_id"]] or "").encode()
         full = media.padded(data)
         assert len(full) % 64 == 0 and len(full) > 0 and full.startswith(data)
-        stored = media.store_image(full)
-        assert media.read_image(stored) == full
+        stored = media.store_image(full, len(data))
+        assert media.read_image(stored) == (full, len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(full), hashlib.sha256(full).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(full[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert len(full) > 64_000 or r["feature"] == plain_feature(full)
+
+
+def test_media_of_repeated_rows_and_hot_digests(spark):
+    rows = [(i % 3 if i % 5 else None, "same" if i % 2 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(k), len(t or "")) for k, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in media.media_digests(docs).collect()) == want
+    sequences = media.parse_sequences(media.pages_of_texts(docs, "doc_id", "text"), "doc_id", "html")
+    for hot, most in ((1, 0), (3, 100)):
+        found = media.describe_media(media.resolve_media(sequences, media.media_of_texts(docs, "text"), hot, most)).collect()
+        assert sorted(r["media"]["n_bytes"] for r in found) == sorted(n for _, n in want)
+    assert media.media_digests(docs.limit(0)).count() == 0
 
 
 def test_sequences_stay_aligned(spark):
     html = '<p>one</p><img src="sha256:d1" alt="A"><p>two <b>bold</b></p><figure><img src="sha256:none"><img src="sha256:d2"><figcaption>Cap &amp; tion</figcaption></figure><script>x</script><p>three'
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (1, "<p>again</p>")], "page_id long, html string")
     sequences = media.parse_sequences(pages, "page_id", "html")
-    items = next(r["items"] for r in sequences.collect() if r["page_id"] == 1)
+    items = next(r["items"] for r in sequences.collect() if len(r["items"]) > 1)
     assert [(i["position"], i["kind"], i["text"] or i["digest"], i["caption"]) for i in items] == [(0, "text", "one", None), (1, "img", "d1", "A"), (2, "text", "two bold", None), (3, "img", "none", "Cap & tion"), (4, "img", "d2", "Cap & tion"), (5, "text", "three", None)]
-    table = spark.createDataFrame([("d1", bytearray(b"1")), ("d2", bytearray(b"2")), ("d2", bytearray(b"2"))], "digest string, payload binary")
-    whole = media.sequences_with_media(sequences, media.resolve_media(sequences, table, "page_id"), "page_id").collect()
-    assert len(whole) == 1 and [i["payload"] for i in whole[0]["items"]] == [None, b"1", None, None, b"2", None]
+    table = spark.createDataFrame([("d1", bytearray(media.store_image(bytes(64), 1))), ("d2", bytearray(media.store_image(bytes(64), 2))), ("d2", bytearray(media.store_image(bytes(64), 2)))], "digest string, payload binary")
+    resolved = media.resolve_media(sequences, table)
+    whole = sorted(media.sequences_with_media(sequences, resolved, "page_id").collect(), key=lambda r: (r["page_id"], -len(r["items"])))
+    assert [(r["page_id"], len(r["items"])) for r in whole] == [(1, 6), (1, 1), (2, 0), (3, 0)]
+    assert [i["payload"] and media.read_image(bytes(i["payload"]))[1] for i in whole[0]["items"]] == [None, 1, None, None, 2, None]
+    described = media.sequences_with_media(sequences, media.describe_media(resolved), "page_id", "media").collect()
+    items = max((r["items"] for r in described), key=len)
+    assert [(i["caption"], i["media"] and i["media"]["n_bytes"]) for i in items] == [(None, None), ("A", 1), (None, None), ("Cap & tion", None), ("Cap & tion", 2), (None, None)]
     with pytest.raises(ValueError):
         media.read_image(b"P6\n64 1\n255\n" + bytes(64))
 
@@ -284,4 +364,4 @@ def test_toxicity_learns_words_and_keeps_folds_apart(spark):
     empty = toxicity.fit_model(docs, labels.limit(0))
     assert empty == toxicity.Model()
     assert toxicity.score_texts(docs.limit(0), empty).count() == 0
-    assert docs.where(toxicity.scorer(model)("text") < 0.5).where(F.col("doc_id") == 500).count() == 1
+    assert toxicity.without_toxic(docs, model).where(F.col("doc_id") == 500).count() == 1
