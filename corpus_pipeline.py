@@ -28,22 +28,29 @@ def _unique(docs: DataFrame) -> bool:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.5."""
+    """Documents whose toxicity score stays below 0.5.
+
+    A null text is scored as an empty one; rows with equal texts go or stay
+    together, whatever their keys; columns that documents doesn't have are left
+    out. Without labelled rows the words that are known beforehand decide. An empty
+    table stays empty.
+    """
     model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.select(*COLUMNS).where(toxicity.scorer(model)("text") < 0.5)
+    return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link at a similarity of 0.8 or more.
 
     It is the one with the least key. Rows that share a key, or lack one, are
-    told apart by a hash of all their columns; wholly equal rows are one.
+    told apart by a digest of all their columns; wholly equal rows are one. A text
+    without words is near to nothing and stays.
     """
     docs = docs.select(*COLUMNS)
     if _unique(docs):
         keyed, key = docs, "doc_id"
     else:
-        keyed, key = docs.dropDuplicates().withColumn("row_key", F.xxhash64(*COLUMNS)), "row_key"
+        keyed, key = docs.dropDuplicates().withColumn("row_key", F.sha2(F.to_json(F.struct(*COLUMNS)), 256)), "row_key"
     groups = ngram_join.jaccard_components(keyed, key, "text", n=5, share=(80, 100))
     gone = groups.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("gone"))
     gone = settled(gone)
@@ -54,7 +61,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes or more that occur earlier.
 
-    A character of which a byte goes, goes whole. n_chars is counted anew.
+    A character of which a byte goes, goes whole. n_chars is counted anew. A null
+    text becomes an empty one; rows with equal key and text are cut alike.
     """
     cut = repeats.remove_repeats(docs, carry=("lang", "source"), as_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
@@ -64,7 +72,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix takes them, in whole copies.
 
     The one document of a source that the mix takes in part is taken whole with
-    the odds of that part.
+    the odds of that part. A null source is one of its own, last in order; a null
+    or empty text has size 0 and is never taken; rows with one key, or none, are
+    told apart by source, size and a number; an empty table stays empty.
     """
     docs = docs.select(*COLUMNS)
     drawn = F.pmod(F.xxhash64(F.lit(29), "doc_id", "nth"), F.lit(1 << 20)) / float(1 << 20)
@@ -80,7 +90,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences.
+
+    A null text is empty and gives its end mark alone; repeated rows and keys are
+    documents of their own; a text of any length is cut into as many pieces as it
+    needs; an empty table has no pieces.
+    """
     return packing.pack(docs)
 
 
@@ -97,7 +112,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what stands between them is written to the shared folder."""
+    """All stages over documents; what stands between them is written to the shared folder.
+
+    The last stage reads what the one before has written, so the folder stays
+    until its owner cleans the checkpoint directory.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
