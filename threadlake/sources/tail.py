@@ -1,13 +1,14 @@
 """Files of JSON lines as a Spark data source that tails them by byte offsets.
 
-Registered as ``jsonl_tail``; options: path (a glob), chunk (bytes aimed at per
-file and batch). Batches never split a record: a chunk ends behind its last whole
-line, and grows until it holds one. A file's generation is a hash of its identity
+Registered as ``jsonl_tail``; options: path (a glob of files that driver and
+executors see), chunk (bytes of a partition). Partitions never split a record: each
+has the whole lines that begin in it; a batch ends behind a file's last whole line. A file's generation is a hash of its identity
 and first line; a replaced or shrunken file is read anew from its start.
 """
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import hashlib
 import json
@@ -15,7 +16,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 CHUNK = 4 << 20
@@ -31,17 +32,50 @@ def generation(path: str) -> str:
     return hashlib.sha256(f"{status.st_dev}:{status.st_ino}:".encode() + first).hexdigest()
 
 
-def resume(prior: dict | None, current: str, size: int) -> tuple[int, str]:
-    """(offset, why): where to go on in a file of this generation and size."""
+def resume(prior: dict | None, current: str, size: int, partial: str | None = None) -> tuple[int, str]:
+    """(offset, why): where to go on in a file of this generation and size.
+
+    partial: digest of the unfinished line that was seen there, as it is now.
+    """
     if prior is None:
         return 0, "initial"
     if prior["generation"] != current:
         return 0, "replaced"
     if size < prior["offset"]:
         return 0, "truncated"
+    if prior.get("partial") and partial is not None and partial != prior["partial"]:
+        return 0, "partial_mismatch"
     return prior["offset"], "resumed"
 
 
+def _digest(path: str, offset: int, size: int) -> str:
+    with open(path, "rb") as f:
+        f.seek(offset)
+        return hashlib.sha256(f.read(size)).hexdigest()
+
+
+def whole_size(path: str, step: int = 1 << 16) -> tuple[int, int]:
+    """(bytes up to the end of the last whole line, size of the file), found from its end."""
+    with open(path, "rb") as f:
+        size = at = f.seek(0, os.SEEK_END)
+        while at:
+            begin = max(0, at - step)
+            f.seek(begin)
+            end = f.read(at - begin).rfind(b"\n")
+            if end >= 0:
+                return begin + end + 1, size
+            at = begin
+    return 0, size
+
+
+def position(path: str) -> dict:
+    """Where a file stands: generation, end of its whole lines, and the unfinished line behind that."""
+    current = generation(path)
+    offset, size = whole_size(path)
+    rest = min(size - offset, FIRST_LINE)
+    return {"generation": current, "offset": offset, "rest": rest, "partial": _digest(path, offset, rest) if rest else ""}
+
+
 def read_chunk(path: str, offset: int, target: int = CHUNK) -> bytes:
     """Whole lines from an offset on: about ``target`` bytes, at least one line if one is whole."""
     with open(path, "rb") as f:
@@ -62,30 +96,51 @@ def _rows(path: str, current: str, offset: int, data: bytes) -> Iterator[tuple]:
         at = end + 1
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
+class _Span(InputPartition):
+    """The lines of a file that begin within [begin, end); the file's part is read from first on."""
+
+    def __init__(self, path: str, current: str, first: int, begin: int, end: int) -> None:
+        super().__init__(f"{path}:{begin}")
+        self.path, self.current, self.first, self.begin, self.end = path, current, first, begin, end
+
+
+def spans(path: str, current: str, first: int, end: int, chunk: int) -> list[_Span]:
+    return [_Span(path, current, first, a, min(end, a + chunk)) for a in range(first, end, chunk)]
+
+
+def read_span(span: _Span) -> Iterator[tuple]:
+    """Line by line; a line that runs over the end belongs to the span that it begins in."""
+    with open(span.path, "rb") as f:
+        f.seek(span.begin)
+        if span.begin > span.first:
+            f.seek(span.begin - 1)
+            f.readline()
+        while (at := f.tell()) < span.end:
+            line = f.readline()
+            if not line.endswith(b"\n"):
+                return
+            yield span.path, span.current, at, line
 
 
 class TailReader(DataSourceReader):
-    """Batch: every whole line of every file, a partition a file."""
+    """Batch: every whole line of every file, a partition for each chunk of a file."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Files(p) for p in sorted(glob.glob(self.options["path"], recursive=True))]
+        out: list[InputPartition] = []
+        for path in sorted(glob.glob(self.options["path"], recursive=True)):
+            at = position(path)
+            out += spans(path, at["generation"], 0, at["offset"], int(self.options.get("chunk", CHUNK)))
+        return out or [_Span("", "", 0, 0, 0)]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        current, offset = generation(partition.path), 0
-        while data := read_chunk(partition.path, offset):
-            yield from _rows(partition.path, current, offset, data)
-            offset += len(data)
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        return read_span(partition) if partition.path else iter(())
 
 
-class TailStreamReader(SimpleDataSourceStreamReader):
-    """Stream: what came since the last batch; offsets live in the checkpoint."""
+class TailStreamReader(DataSourceStreamReader):
+    """Stream: what came since the last batch, read by executors; the driver sees positions only."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -94,34 +149,27 @@ class TailStreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": "{}"}
 
-    def _spans(self, start: dict) -> Iterator[tuple[str, str, int, bytes]]:
-        known = json.loads(start["files"])
+    def latestOffset(self) -> dict:  # noqa: N802
+        files = {}
         for path in sorted(glob.glob(self.options["path"], recursive=True)):
-            try:
-                current = generation(path)
-                offset, _ = resume(known.get(path), current, os.path.getsize(path))
-                data = read_chunk(path, offset, self.chunk)
-            except FileNotFoundError:
-                continue
-            if data:
-                yield path, current, offset, data
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        known, rows = json.loads(start["files"]), []
-        for path, current, offset, data in self._spans(start):
-            rows.extend(_rows(path, current, offset, data))
-            known[path] = {"generation": current, "offset": offset + len(data)}
-        return iter(rows), {"files": json.dumps(known, sort_keys=True)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+            with contextlib.suppress(FileNotFoundError):
+                files[path] = position(path)
+        return {"files": json.dumps(files, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
+        out: list[InputPartition] = []
         for path, to in sorted(after.items()):
             prior = before.get(path)
-            begin = prior["offset"] if prior and prior["generation"] == to["generation"] and prior["offset"] <= to["offset"] else 0
-            if begin < to["offset"] and os.path.exists(path) and generation(path) == to["generation"]:
-                with open(path, "rb") as f:
-                    f.seek(begin)
-                    yield from _rows(path, to["generation"], begin, f.read(to["offset"] - begin))
+            with contextlib.suppress(FileNotFoundError):
+                seen = _digest(path, prior["offset"], prior["rest"]) if prior and prior["rest"] and prior["offset"] + prior["rest"] <= os.path.getsize(path) else None
+                first, _ = resume(prior, to["generation"], to["offset"], seen)
+                if generation(path) == to["generation"]:
+                    out += spans(path, to["generation"], first, to["offset"], self.chunk)
+        return out
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        return read_span(partition) if partition.path else iter(())
 
     def commit(self, end: dict) -> None:
         pass
@@ -138,7 +186,7 @@ class TailSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return TailReader(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
         return TailStreamReader(self.options)
 
 

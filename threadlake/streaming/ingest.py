@@ -14,18 +14,21 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from threadlake.functions.identity import canonical_json, sha256, sorted_keys
 from threadlake.sources import records as rec
 from threadlake.sources import tail
-from threadlake.streaming.store import EVENTS, Store, with_times
+from threadlake.sources import wire
+from threadlake.streaming.store import CURSORS, EVENTS, RAWS, Store, with_times
 
-SCAN_SECONDS, RECONCILE_SECONDS = 2, 30
+SCAN_SECONDS, RECONCILE_SECONDS, PAGE = 2, 30, 200
 PARSERS = {"codex": rec.parse_rollout, "claude-code": rec.parse_claude, "agy": rec.parse_agy, "grok": rec.parse_grok}
-PARSED = "path string, source_generation string, source_offset bigint, raw binary, raw_object_id string, blob_hash string, issue string, event string"
+PARSED = "path string, source_generation string, source_offset bigint, raw binary, raw_object_id string, blob_hash string, issue string, event string, next_sequence bigint, state string"
 
 
 def parse_lines(lines: DataFrame, family: str, surface: str = "cli", fallback: str = "1970-01-01T00:00:00+00:00") -> DataFrame:
     """Records of tailed lines(path, generation, source_offset, value), file by file.
 
     What an earlier line of a file says (workspace, session, calls) holds for the
-    later ones, within the lines given. Sequences count from the file's first.
+    later ones: lines may bring what was known before them, as first_sequence and
+    state. The last row of each file has no record but what is known after it. A
+    file that can't be read on becomes an issue at the line where that shows.
     """
     parser = PARSERS[family]
 
@@ -33,17 +36,27 @@ def parse_lines(lines: DataFrame, family: str, surface: str = "cli", fallback: s
         frame = frame.sort_values("source_offset")
         source = rec.Source(frame["path"].iloc[0], family, frame["generation"].iloc[0], surface, fallback_timestamp=fallback)
         rows = []
-        state = {"state": rec.RolloutState()} if family == "codex" else {}
-        sequence = int(frame["first_sequence"].iloc[0])
+        anew = frame["source_offset"].iloc[0] == 0  # from its start: what was known of it doesn't hold
+        state = rec.RolloutState.loaded(None if anew else frame["state"].iloc[0]) if family == "codex" else None
+        known = {} if state is None else {"state": state}
+        sequence = 0 if anew else int(frame["first_sequence"].iloc[0])
         for offset, value in zip(frame["source_offset"], frame["value"], strict=True):
-            for r in parser(bytes(value), source, int(offset), sequence, **state):
-                if r.event is not None:
-                    sequence += 1
-                rows.append((source.path, source.generation, r.offset, r.raw, rec.raw_object_id(source, r), "sha256:" + sha256(r.raw), r.issue, None if r.event is None else json.dumps(r.event)))
+            line = bytes(value)
+            try:
+                found = parser(line, source, int(offset), sequence, **known)
+            except ValueError:
+                found = [rec.Record(int(offset), line, issue="file_malformed")]
+            for r in found:
+                rows.append((source.path, source.generation, r.offset, r.raw, rec.raw_object_id(source, r), "sha256:" + sha256(r.raw), r.issue, None if r.event is None else json.dumps(r.event), None, None))
+            # Rollouts count lines; the other tools count their events.
+            sequence += 1 if family == "codex" else sum(r.event is not None for r in found)
+            if found and found[-1].issue == "file_malformed":
+                break
+        rows.append((source.path, source.generation, None, None, None, None, None, None, sequence, None if state is None else state.saved()))
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PARSED.split(", ")])
 
     if "first_sequence" not in lines.columns:
-        lines = lines.withColumn("first_sequence", F.lit(0).cast("long"))
+        lines = lines.withColumns({"first_sequence": F.lit(0).cast("long"), "state": F.lit(None).cast("string")})
     return lines.groupBy("path", "generation").applyInPandas(run, PARSED)
 
 
@@ -69,40 +82,97 @@ FLAT = ", ".join(c for c in EVENTS.split(", ") if c.split(" ")[0] not in ("ts_se
 
 
 def raw_rows(parsed: DataFrame, stored_at: int = 0) -> DataFrame:
-    return parsed.select("raw_object_id", F.col("path").alias("source_path"), "source_generation", "source_offset", "blob_hash", F.col("raw").alias("bytes"), F.lit(rec.ADAPTER_VERSION).alias("parser_version"), F.lit(stored_at).cast("long").alias("stored_at"))
+    found = parsed.where("raw is not null")
+    return found.select("raw_object_id", F.col("path").alias("source_path"), "source_generation", "source_offset", "blob_hash", F.col("raw").alias("bytes"), F.lit(rec.ADAPTER_VERSION).alias("parser_version"), F.lit(stored_at).cast("long").alias("stored_at"))
 
 
-def next_sequences(lines: DataFrame, store: Store) -> DataFrame:
-    """Each file's lines with the sequence that goes on from what is stored of it."""
-    known = store.table("events").groupBy(F.col("source_path").alias("path"), F.col("source_generation").alias("generation")).agg((F.max("sequence") + 1).alias("first_sequence"))
+def state_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where("next_sequence is not null").select("path", "source_generation", "next_sequence", "state")
+
+
+def with_states(lines: DataFrame, store: Store) -> DataFrame:
+    """Each file's lines with the sequence and state that go on from what was read of it before."""
+    known = store.states(lines.select("path")).select("path", F.col("source_generation").alias("generation"), F.col("next_sequence").alias("first_sequence"), "state")
     return lines.join(known, ["path", "generation"], "left").withColumn("first_sequence", F.coalesce("first_sequence", F.lit(0).cast("long")))
 
 
 def ingest(spark: SparkSession, pattern: str, family: str, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Tails files into the store; with ``once``, until there is nothing more to read."""
+    """Tails files into the store; with ``once``, until there is nothing more to read.
+
+    The stream is known by family, pattern and checkpoint: its batches never meet those of another one.
+    """
     tail.register(spark)
+    stream = f"{family}:{sha256(canonical_json([pattern, checkpoint]))[:16]}"
     lines = spark.readStream.format("jsonl_tail").option("path", pattern).load()
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(next_sequences(batch, store), family).persist()
-        store.commit(batch_id, event_rows(parsed), raw_rows(parsed))
-        parsed.unpersist()
+        parsed = parse_lines(with_states(batch, store), family).persist()
+        try:
+            store.commit(batch_id, event_rows(parsed), raw_rows(parsed), state_rows(parsed), stream)
+        finally:
+            parsed.unpersist()
 
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{SCAN_SECONDS} seconds")).start()
 
 
-def replay(store: Store, after: str | None = None) -> tuple[DataFrame, int]:
-    """Stored events behind a cursor, in order, up to a bound; later ones have greater ingestion ids."""
+def replay(store: Store, after: str | None = None, limit: int = PAGE) -> tuple[DataFrame, int]:
+    """A page of stored events behind a cursor, in order, up to a bound; later ones have greater ingestion ids."""
     from threadlake.operators.timeline import events_page
 
     upto = store.watermark()
-    return events_page(store.events(), after=after, limit=1 << 30, upto=upto), upto
+    return events_page(store.events(), after=after, limit=limit, upto=upto), upto
+
+
+def replay_all(store: Store, limit: int = PAGE) -> Iterator[list]:
+    """All stored events up to the bound, page by page."""
+    upto, after = store.watermark(), None
+    from threadlake.operators.timeline import events_page
 
+    while rows := events_page(store.events(), after=after, limit=limit, upto=upto).collect():
+        yield rows
+        after = rows[-1]["event_id"]
 
-def live_events(spark: SparkSession, store: Store, upto: int) -> DataFrame:
-    """A stream of events ingested behind the bound."""
-    return spark.readStream.schema(EVENTS + ", batch bigint").parquet(f"{store.path}/events").where(F.col("ingestion_id") > upto)
+
+def live_events(store: Store, after: int) -> tuple[DataFrame, int]:
+    """What was ingested behind the bound, and the next bound; a reader that lags just asks later."""
+    upto = store.watermark()
+    return store.events().where((F.col("ingestion_id") > after) & (F.col("ingestion_id") <= upto)), upto
+
+
+def ingest_batch(store: Store, collectors: wire.Collectors, bucket: wire.TokenBucket, token: str, body: str, at: str, now: float) -> int:
+    """A collector's batch: authenticated, within its rate, checked, stored with its cursor, and noted either way.
+
+    How many events were new. wire.BatchError says why a batch is refused.
+    """
+    size, collector, count = len(body.encode()), collectors.authenticate(token), 0
+    try:
+        if collector is None:
+            raise wire.BatchError("unknown collector")
+        if not bucket.allow(collector, now):
+            raise wire.BatchError("too many requests")
+        batch = wire.decode(body)
+        count = len(batch["events"])
+        source = wire.scoped(collector, batch["source_id"])
+        spark, cursor = store.spark, batch["cursor"]
+        raws = [(r["id"], r.get("source_path", source), r["generation"], r["offset"], "sha256:" + sha256(r["bytes"]), r["bytes"], rec.ADAPTER_VERSION, 0) for r in batch["raw_objects"]]
+        by_place = {(r["generation"], r["offset"]): r["id"] for r in batch["raw_objects"]}
+        parsed = spark.createDataFrame([(by_place.get((e["provenance"]["source_generation"], e["provenance"]["source_offset"])), json.dumps(e)) for e in batch["events"]], "raw_object_id string, event string")
+        known = spark.createDataFrame([(source, collector, cursor.get("source_generation"), cursor.get("byte_offset"), cursor.get("next_sequence"), at)], CURSORS)
+        stored = store.commit(None, event_rows(parsed, collector), spark.createDataFrame(raws, RAWS), stream=source, cursors=known)
+    except wire.BatchError as e:
+        store.audit(at, collector, size, count, str(e))
+        raise
+    store.audit(at, collector, size, count, "accepted")
+    return stored
+
+
+def ingest_cursor(store: Store, collectors: wire.Collectors, token: str, source_id: str) -> dict | None:
+    """Where a collector's source goes on."""
+    collector = collectors.authenticate(token)
+    if collector is None:
+        raise wire.BatchError("unknown collector")
+    return store.cursor(wire.scoped(collector, source_id))
 
 
 def quiet_paths(notices: DataFrame, now: float, debounce: float) -> DataFrame:

@@ -1,20 +1,29 @@
-"""An append-only event store in Parquet: idempotent batches, cursors and audit tables.
-
-A table is a folder of batch folders, ``<table>/batch=<id>``. A batch is written
-under a name of its own and replaced as a whole when it is tried again, so a
-retried batch changes nothing. What holds now is a view over what was appended.
+"""An append-only store in Parquet: batches of streams, atomic, idempotent and numbered for good.
+
+A commit is one file ``commits/<number>.json``, created only if it isn't there
+yet. It names what belongs to it: for each table a folder ``<table>/part=<name>``
+that was written before. What no commit names is not there, so a batch's tables
+appear together, a failed attempt leaves nothing behind, and of two writers that
+take the same number one starts anew. A batch is known by its stream and its
+number there: a retried one changes nothing, and streams don't meet.
+
+Ingestion ids are a commit's ``base`` plus the row's place in it. The base goes on
+from the last commit's, whatever is removed later, so no id comes twice. What
+holds now is a view over what was appended.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from threadlake.functions import chronology as ch
-from threadlake.operators.retention import MaintenanceReport, kept_raws, keep_conversation, latest_per_group, legacy_envelopes, orphans
+from threadlake.operators.retention import MaintenanceReport, collectable_blobs, kept_raws, keep_conversation, latest_per_group, legacy_envelopes, orphans
 
 EVENTS = (
     "event_id string, native_session_id string, sequence bigint, kind string, tool_family string, surface string, profile string, cwd string, branch string, head string, timestamp string, timestamp_precision string, "
@@ -22,13 +31,38 @@ EVENTS = (
     "raw_object_id string, origin_collector_id string, ingestion_id bigint"
 )
 RAWS = "raw_object_id string, source_path string, source_generation string, source_offset bigint, blob_hash string, bytes binary, parser_version string, stored_at bigint"
-TABLES = {"events": EVENTS, "raws": RAWS}
+#: What a file's earlier lines say about later ones: state as JSON, and the next sequence.
+STATES = "path string, source_generation string, next_sequence bigint, state string"
+CURSORS = "source_id string, collector_id string, source_generation string, byte_offset bigint, next_sequence bigint, updated_at string"
+AUDITS = "at string, collector_id string, byte_size bigint, event_count bigint, outcome string"
+BLOBS = "blob_hash string, bytes binary, stored_at bigint"
+HANDOFFS = "global_id string, handoff_id string, snapshot_id string, created_at string, document string"
+SNAPSHOTS = "snapshot_id string, document string"
+REMOVED = "event_id string, source_generation string"
+GONE = "blob_hash string"
+TABLES = {"events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
+#: Generations of a batch up to which they prune the scan of what is stored.
+FEW = 1000
 
 
 class ImmutableConflict(ValueError):
     """A raw record that differs from the one stored under its name."""
 
 
+@dataclass
+class Commit:
+    """What one batch of a stream added."""
+
+    number: int
+    stream: str
+    batch: int
+    base: int
+    top: int
+    revision: int
+    parts: dict[str, str] = field(default_factory=dict)
+    counts: dict[str, int] = field(default_factory=dict)
+
+
 @dataclass
 class Store:
     """A store below a folder that all machines share."""
@@ -37,63 +71,221 @@ class Store:
     path: str
     conversation_only: bool = True
 
-    def table(self, name: str) -> DataFrame:
-        """Everything in a table; its schema without rows if nothing was stored yet."""
+    # Files by Hadoop's client, so that the folder may be in any store that Spark reaches.
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commits(self) -> list[Commit]:
+        """All commits in order; their number is that of batches, and each is a few hundred bytes."""
+        folder, fs = self._file("commits")
+        if not fs.exists(folder):
+            return []
+        rows = self.spark.read.schema("number long, stream string, batch long, base long, top long, revision long, parts map<string,string>, counts map<string,long>").json(f"{self.path}/commits/*.json").orderBy("number").collect()
+        return [Commit(**r.asDict()) for r in rows]
+
+    def _put(self, commit: Commit) -> bool:
+        """Whether the commit could take its number."""
+        path, fs = self._file(f"commits/{commit.number:012}.json")
         try:
-            return self.spark.read.schema(TABLES[name] + ", batch bigint").parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], TABLES[name] + ", batch bigint")
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if fs.exists(path):
+                return False
+            raise e
+        out.write(bytearray(json.dumps(commit.__dict__).encode()))
+        out.close()
+        return True
+
+    def _read(self, name: str, commits: list[Commit]) -> DataFrame:
+        """A table's rows with the number of their commit; its schema without rows if there are none."""
+        there = [c for c in commits if c.counts.get(name)]
+        schema = TABLES[name] + ", number long"
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(TABLES[name] + ", part string").option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/{c.parts[name]}" for c in there))
+        named = self.spark.createDataFrame([(c.parts[name].removeprefix("part="), c.number, c.base) for c in there], "part string, number long, base long")
+        joined = rows.join(F.broadcast(named), "part")
+        if name == "events":
+            joined = joined.withColumn("ingestion_id", F.col("base") + F.col("ingestion_id"))
+        return joined.drop("part", "base").select(*(c.split(" ")[0] for c in TABLES[name].split(", ")), "number")
+
+    def table(self, name: str) -> DataFrame:
+        """What a table holds now."""
+        commits = self.commits()
+        rows = self._read(name, commits)
+        if name == "events":
+            rows = rows.join(self._read("removed", commits).select("event_id").distinct(), "event_id", "left_anti")
+        elif name == "blobs":
+            gone = self._read("removed_blobs", commits).groupBy("blob_hash").agg(F.max("number").alias("at"))
+            rows = rows.join(gone, "blob_hash", "left").where("at is null or number > at").drop("at")
+        return rows.drop("number").select(*(c.split(" ")[0] for c in TABLES[name].split(", ")))
 
     def events(self) -> DataFrame:
-        return self.table("events").drop("batch")
+        return self.table("events")
 
-    def commit(self, batch: int, events: DataFrame, raws: DataFrame | None = None) -> int:
-        """Stores a batch's new events and raws; how many events were new.
+    def transact(self, stream: str, batch: int | None, make, revise: bool = False) -> Commit:
+        """Adds ``make(commits)``, a frame for each of some tables, as one batch of a stream.
+
+        batch None: the stream's next one. A batch that is known is left as it was.
+        If another writer was faster, everything is made anew on top of its commit.
+        """
+        while True:
+            commits = self.commits()
+            known = next((c for c in commits if c.stream == stream and c.batch == batch), None)
+            if known is not None:
+                return known
+            last = commits[-1] if commits else Commit(-1, "", -1, 0, 0, 0)
+            number = batch if batch is not None else max((c.batch for c in commits if c.stream == stream), default=-1) + 1
+            commit = Commit(last.number + 1, stream, number, last.top, last.top, last.revision + revise)
+            for name, frame in make(commits).items():
+                commit.parts[name] = f"part=p{uuid.uuid4().hex}"
+                at = f"{self.path}/{name}/{commit.parts[name]}"
+                names = [c.split(" ")[0] for c in TABLES[name].split(", ")]
+                if name == "events":
+                    # Numbered in order within the batch: a range a partition, without one task for all.
+                    frame = frame.repartitionByRange("source_path", "source_offset", "event_id").sortWithinPartitions("source_path", "source_offset", "event_id").withColumn("ingestion_id", F.monotonically_increasing_id() + 1)
+                frame.select(*names).write.parquet(at)
+                written = self.spark.read.schema(TABLES[name]).parquet(at)
+                counts = written.agg(F.count(F.lit(1)).alias("n"), (F.max("ingestion_id") if name == "events" else F.lit(0)).alias("top")).first()
+                commit.counts[name] = counts["n"]
+                commit.top += counts["top"] or 0
+            if self._put(commit):
+                return commit
+
+    def commit(self, batch: int, events: DataFrame, raws: DataFrame | None = None, states: DataFrame | None = None, stream: str = "", cursors: DataFrame | None = None) -> int:
+        """Stores a batch's new events, raws, file states and cursors together; how many events were new.
 
         An event's identity is known for ever, so repeats vanish however late they
-        come. Ingestion ids go on from the greatest there was. Under
-        conversation-only retention disposable events are left out, and with them
-        the raws that nothing else needs.
+        come, and what was removed stays removed. Under conversation-only retention
+        disposable events are left out, and with them the raws that nothing else needs.
         """
-        before = self.table("events").where(F.col("batch") != batch)
-        fresh = events.dropDuplicates(["event_id"])
-        kept = keep_conversation(fresh) if self.conversation_only else fresh
-        kept = kept.join(before.select("event_id"), "event_id", "left_anti")
-        if raws is not None:
-            self._commit_raws(batch, kept_raws(raws, events) if self.conversation_only else raws)
-        top = before.agg(F.max("ingestion_id")).first()[0] or 0
-        numbered = kept.withColumn("ingestion_id", F.lit(top) + F.row_number().over(Window.orderBy("source_path", "source_offset", "event_id")))
-        names = [c.split(" ")[0] for c in EVENTS.split(", ")]
-        numbered.select(*names).write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
-        return self.spark.read.parquet(f"{self.path}/events/batch={batch}").count()
-
-    def _commit_raws(self, batch: int, raws: DataFrame) -> None:
-        known = self.table("raws").where(F.col("batch") != batch).select("raw_object_id", F.col("blob_hash").alias("known_hash"))
-        joined = raws.dropDuplicates(["raw_object_id"]).join(known, "raw_object_id", "left")
-        if joined.where("known_hash is not null and known_hash <> blob_hash").limit(1).count():
+        once = events.groupBy("event_id").agg(F.min(F.struct(*(c for c in events.columns if c != "event_id"))).alias("e")).select("event_id", "e.*")
+
+        def make(commits: list[Commit]) -> dict[str, DataFrame]:
+            kept = keep_conversation(once) if self.conversation_only else once
+            known = self._read("events", commits).select("event_id", "source_generation").unionByName(self._read("removed", commits).select("event_id", "source_generation"))
+            known = self._of_batch(known, once)
+            out = {"events": kept.join(known.select("event_id"), "event_id", "left_anti")}
+            if raws is not None:
+                out["raws"] = self._fresh_raws(kept_raws(raws, events) if self.conversation_only else raws, commits)
+            if states is not None:
+                out["states"] = states
+            if cursors is not None:
+                out["cursors"] = cursors
+            return out
+
+        return self.transact(stream, batch, make).counts["events"]
+
+    def _of_batch(self, stored: DataFrame, batch: DataFrame) -> DataFrame:
+        """The stored rows of the batch's file generations; an identity never moves to another one."""
+        found = [r[0] for r in batch.select("source_generation").distinct().limit(FEW + 1).collect()]
+        return stored.where(F.col("source_generation").isin(found)) if len(found) <= FEW else stored
+
+    def _fresh_raws(self, raws: DataFrame, commits: list[Commit]) -> DataFrame:
+        known = self._of_batch(self._read("raws", commits), raws).select("raw_object_id", F.col("blob_hash").alias("known_hash")).distinct()
+        grouped = raws.groupBy("raw_object_id").agg(F.min("blob_hash").alias("least"), F.max("blob_hash").alias("most"))
+        if grouped.join(known, "raw_object_id", "left").where("least <> most or known_hash <> least").limit(1).count():
             raise ImmutableConflict("a stored raw record would change")
-        joined.where("known_hash is null").drop("known_hash").write.mode("overwrite").parquet(f"{self.path}/raws/batch={batch}")
+        once = raws.groupBy("raw_object_id").agg(F.min(F.struct(*(c for c in raws.columns if c != "raw_object_id"))).alias("r")).select("raw_object_id", "r.*")
+        return once.join(known, "raw_object_id", "left_anti")
 
     def watermark(self) -> int:
-        return self.events().agg(F.max("ingestion_id")).first()[0] or 0
+        """The greatest ingestion id that was ever given."""
+        return max((c.top for c in self.commits()), default=0)
 
-    def maintain(self, target: str, handoffs: DataFrame | None = None, snapshots: DataFrame | None = None, keep_handoffs: int = 1) -> tuple[Store, DataFrame | None, DataFrame | None, MaintenanceReport]:
-        """A compacted copy of the store without what retention drops, and what was dropped."""
-        events, raws = self.events(), self.table("raws").drop("batch")
-        kept = keep_conversation(events).join(legacy_envelopes(events).select("event_id"), "event_id", "left_anti")
-        kept.write.mode("overwrite").parquet(f"{target}/events/batch=0")
-        kept_raw = raws.join(orphans(raws.join(events.select("raw_object_id").distinct(), "raw_object_id", "left_semi"), kept, "raw_object_id").select("raw_object_id"), "raw_object_id", "left_anti")
-        kept_raw.write.mode("overwrite").parquet(f"{target}/raws/batch=0")
+    def revision(self) -> int:
+        """Goes up when what was derived from events must be built anew."""
+        return max((c.revision for c in self.commits()), default=0)
+
+    def bump_revision(self) -> int:
+        return self.transact("revision", None, lambda _: {}, revise=True).revision
+
+    def states(self, paths: DataFrame | None = None) -> DataFrame:
+        """The last state of each file and generation."""
+        rows = self._read("states", self.commits())
+        if paths is not None:
+            rows = rows.join(F.broadcast(paths.select("path").distinct()), "path", "left_semi")
+        return rows.groupBy("path", "source_generation").agg(F.max_by(F.struct("next_sequence", "state"), "number").alias("s")).select("path", "source_generation", "s.*")
+
+    def cursor(self, source_id: str) -> dict | None:
+        """The last cursor of a source."""
+        row = self._read("cursors", self.commits()).where(F.col("source_id") == source_id).orderBy(F.col("number").desc()).drop("number").first()
+        return None if row is None else row.asDict()
+
+    def audit(self, at: str, collector: str | None, size: int, count: int, outcome: str) -> None:
+        """Notes one try to ingest, whatever came of it."""
+        row = self.spark.createDataFrame([(at, collector, size, count, outcome)], AUDITS)
+        self.transact("audit", None, lambda _: {"audits": row})
+
+    # Handoffs and their snapshots are named by their content: the same again changes nothing.
+
+    def store_handoffs(self, rows: DataFrame) -> int:
+        """Adds handoffs(global_id, handoff_id, snapshot_id, created_at, document) that aren't there; how many."""
+
+        def make(commits: list[Commit]) -> dict[str, DataFrame]:
+            fresh = rows.dropDuplicates(["handoff_id"]).join(self._read("handoffs", commits).select("handoff_id"), "handoff_id", "left_anti")
+            shots = rows.select("snapshot_id", "document").dropDuplicates(["snapshot_id"]).join(self._read("snapshots", commits).select("snapshot_id"), "snapshot_id", "left_anti")
+            return {"handoffs": fresh, "snapshots": shots}
+
+        return self.transact("handoffs", None, make).counts["handoffs"]
+
+    # Blobs by the hash of their bytes.
+
+    def put_blobs(self, blobs: DataFrame, now: int) -> int:
+        """Adds blobs(bytes) under their hashes; how many are new."""
+        named = blobs.select(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("blob_hash"), "bytes", F.lit(now).cast("long").alias("stored_at")).dropDuplicates(["blob_hash"])
+        there = self.table("blobs").select("blob_hash")
+        return self.transact("blobs", None, lambda _: {"blobs": named.join(there, "blob_hash", "left_anti")}).counts["blobs"]
+
+    def get_blob(self, blob_hash: str) -> bytes | None:
+        """A blob's bytes, if they are what the hash says."""
+        row = self.table("blobs").where(F.col("blob_hash") == blob_hash).where(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)) == F.col("blob_hash")).select("bytes").first()
+        return None if row is None else bytes(row["bytes"])
+
+    def collect_blobs(self, queued: DataFrame, now: int) -> int:
+        """Drops blobs that nothing refers to and that are queued or old; how many."""
+        gone = collectable_blobs(self.table("blobs"), self.table("raws"), queued, now).select("blob_hash")
+        return self.transact("blobs", None, lambda _: {"removed_blobs": gone}).counts["removed_blobs"]
+
+    def remove_events(self, ids: DataFrame) -> int:
+        """Removes events(event_id) for good: they don't come back when their files are read again.
+
+        Statistics are views and follow by themselves; handoffs made from the events
+        are stale, which the raised revision says.
+        """
+        there = self.events().join(ids.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "source_generation")
+        return self.transact("removed", None, lambda _: {"removed": there}, revise=True).counts["removed"]
+
+    def maintain(self, target: str, keep_handoffs: int = 1) -> tuple[Store, MaintenanceReport]:
+        """A compacted copy of the store without what retention drops, and what was dropped.
+
+        The copy remembers every batch, id floor, file state and removal, so that streams go on with it.
+        """
+        commits = self.commits()
         after = Store(self.spark, target, self.conversation_only)
-        removed_handoffs = removed_snapshots = 0
-        if handoffs is not None:
-            newest = latest_per_group(handoffs, "global_id", keep_handoffs)
-            removed_handoffs, handoffs = handoffs.count() - newest.count(), newest
-            if snapshots is not None:
-                left = snapshots.join(newest.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
-                removed_snapshots, snapshots = snapshots.count() - left.count(), left
-        report = MaintenanceReport(events.count() - after.events().count(), removed_handoffs, removed_snapshots, raws.count() - after.table("raws").count())
-        return after, handoffs, snapshots, report
+        events, raws = self.events(), self._read("raws", commits).drop("number")
+        kept = keep_conversation(events).join(legacy_envelopes(events).select("event_id"), "event_id", "left_anti")
+        lost = orphans(raws.join(events.select("raw_object_id").distinct(), "raw_object_id", "left_semi"), kept, "raw_object_id").select("raw_object_id")
+        handoffs, shots = self.table("handoffs"), self.table("snapshots")
+        newest = latest_per_group(handoffs.withColumn("id", F.col("handoff_id")), "global_id", keep_handoffs).drop("id")
+        left = shots.join(newest.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+        last = self._read("cursors", commits).groupBy("source_id").agg(F.max_by(F.struct("collector_id", "source_generation", "byte_offset", "next_sequence", "updated_at"), "number").alias("c")).select("source_id", "c.*")
+        # A removal is remembered beside what retention dropped.
+        removed = self._read("removed", commits).drop("number").unionByName(events.join(kept.select("event_id"), "event_id", "left_anti").select("event_id", "source_generation")).distinct()
+        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed}
+        whole = Commit(0, "maintenance", 0, 0, self.watermark(), self.revision())
+        for name, frame in frames.items():
+            whole.parts[name] = f"part=p{uuid.uuid4().hex}"
+            frame.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.parquet(f"{target}/{name}/{whole.parts[name]}")
+            whole.counts[name] = self.spark.read.schema(TABLES[name]).parquet(f"{target}/{name}/{whole.parts[name]}").count()
+        after._put(whole)
+        seen: dict[tuple[str, int], Commit] = {(c.stream, c.batch): c for c in commits}
+        for k, c in enumerate(seen.values()):
+            after._put(Commit(k + 1, c.stream, c.batch, whole.top, whole.top, whole.revision, {}, {n: 0 for n in c.counts}))
+        report = MaintenanceReport(events.count() - whole.counts["events"], handoffs.count() - whole.counts["handoffs"], shots.count() - whole.counts["snapshots"], raws.count() - whole.counts["raws"])
+        return after, report
 
 
 def verified_blobs(raws: DataFrame) -> DataFrame:
