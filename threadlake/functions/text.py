@@ -23,9 +23,8 @@ EXCERPT_BYTES, MESSAGE_BYTES, TITLE_BYTES = 2048, 4096, 200
 
 def payload_string(payload: Column, field: str) -> Column:
     """A payload's field if it is a JSON string, else null."""
-    value = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant"))
-    return F.when(kind == "STRING", value)
+    value = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def first_string(payload: Column, fields: tuple[str, ...]) -> Column:

@@ -22,6 +22,8 @@ WORKSPACE, TEMPORAL, CONTENT_SAME, CONTENT_OTHER = 0.65, 0.15, 0.20, 0.85
 WINDOW_SECONDS = 7 * 86_400
 THRESHOLD = 0.8
 MOST_TERMS, SHOWN_TERMS = 512, 12
+#: Changed sessions up to which they are sought by their ids.
+MOST_CHANGED = 1000
 ALGORITHM_LINK, ALGORITHM_SEED = "explainable-content-v1", "automatic-seed-v1"
 # Weights of the repository score.
 REPOSITORY, WORKTREE, BRANCH, HEAD, TIME = 0.45, 0.15, 0.15, 0.15, 0.10
@@ -83,6 +85,87 @@ def time_pairs(s: DataFrame) -> DataFrame:
     return a.join(b, F.col("l_week") == F.col("r_week")).where((F.col("l_native_session_id") < F.col("r_native_session_id")) & (F.col("l_family") != F.col("r_family")) & near).select(F.col("l_native_session_id").alias("a"), F.col("r_native_session_id").alias("b")).distinct()
 
 
+def linkable_pairs(s: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of different families that can reach a threshold of 0.8 or more, and few others; left < right.
+
+    Without a workspace in common, or apart in time, a link needs a similarity of
+    (threshold - what the other signals give) / their weight. Two term sets so alike
+    share one of the rarest terms of each, its prefix in order of frequency, so only
+    prefixes meet. Pairs of one workspace that are near in time meet by week.
+    """
+    least = min((threshold - TEMPORAL) / CONTENT_OTHER, (threshold - WORKSPACE) / CONTENT_SAME)
+    if least <= 0:
+        raise ValueError("below that threshold pairs link by their workspace alone")
+    sets = s.select("native_session_id", "family", F.array_distinct("terms").alias("terms"))
+    each = sets.select("native_session_id", "family", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    rare = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(rare, "term").groupBy("native_session_id", "family", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("order"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+    keys = ranked.select("native_session_id", "family", "n", F.explode(F.slice("order", 1, F.greatest(F.lit(0), prefix))).alias("x")).select("native_session_id", "family", "n", "x.term")
+    a, b = _sides(keys)
+    alike = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(least) - 1e-9
+    content = a.join(b, F.col("l_term") == F.col("r_term")).where((F.col("l_native_session_id") < F.col("r_native_session_id")) & (F.col("l_family") != F.col("r_family")) & alike)
+    week = WINDOW_SECONDS
+    placed = s.where("cwd is not null").select("native_session_id", "family", "cwd", F.coalesce("origin", F.lit("")).alias("origin"), "started_at", "ended_at", F.explode(F.sequence(F.floor(F.col("started_at") / week), F.floor((F.col("ended_at") + week) / week))).alias("week"))
+    a, b = _sides(placed)
+    near = gap_seconds(F.col("l_started_at"), F.col("l_ended_at"), F.col("r_started_at"), F.col("r_ended_at")) <= week
+    same = a.join(b, (F.col("l_cwd") == F.col("r_cwd")) & (F.col("l_origin") == F.col("r_origin")) & (F.col("l_week") == F.col("r_week"))).where((F.col("l_native_session_id") < F.col("r_native_session_id")) & (F.col("l_family") != F.col("r_family")) & near)
+    ids = lambda pairs: pairs.select(F.col("l_native_session_id").alias("a"), F.col("r_native_session_id").alias("b"))
+    return ids(content).unionByName(ids(same)).distinct()
+
+
+def reconcile(s: DataFrame, members: DataFrame, changed: DataFrame, rejected: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Decisions on changed sessions that have no membership yet.
+
+    (native_session_id, global_id, confidence, algorithm_version, other_id, score):
+    a session joins the global one of its best match of another family, among
+    sessions that have a membership and new ones that began before it, if the
+    score reaches the threshold and no user ruled that out; else it seeds one.
+    Memberships that hold are never changed.
+    """
+    known = members.select("native_session_id", "global_id").groupBy("native_session_id").agg(F.min("global_id").alias("global_id"))
+    fresh = settled(s.join(changed.select("native_session_id").distinct(), "native_session_id", "left_semi").join(known, "native_session_id", "left_anti"))
+    there = fresh.unionByName(s.join(known, "native_session_id", "left_semi"))
+    scores = pair_scores(there, linkable_pairs(there, threshold))
+    side = lambda x, y: scores.select(F.col(x).alias("native_session_id"), F.col(y).alias("other_id"), "score")
+    both = side("left_id", "right_id").unionByName(side("right_id", "left_id"))
+    at = fresh.select("native_session_id", F.struct("started_at", "native_session_id").alias("at"))
+    placed = both.join(at, "native_session_id").join(at.select(F.col("native_session_id").alias("other_id"), F.col("at").alias("other_at")), "other_id", "left").join(known.select(F.col("native_session_id").alias("other_id"), F.col("global_id").alias("other_global")), "other_id", "left")
+    open_pairs = placed.where("other_global is not null or other_at < at").where(F.col("score") >= threshold)
+    if rejected is not None:
+        open_pairs = open_pairs.join(rejected.select("native_session_id", F.col("global_id").alias("other_global")), ["native_session_id", "other_global"], "left_anti")
+    best = open_pairs.groupBy("native_session_id").agg(F.max(F.struct("score", "other_id", "other_global")).alias("best"))
+    linked = fresh.select("native_session_id").join(best, "native_session_id", "left").select("native_session_id", "best.score", "best.other_id", "best.other_global")
+    # Chains of new sessions end at one that seeds or joins what is known; doubling finds the end.
+    up = settled(linked.select("native_session_id", F.when(F.col("other_global").isNull(), F.col("other_id")).alias("up"), F.col("other_global").alias("ends")).select("native_session_id", F.coalesce("up", "native_session_id").alias("root"), F.when(F.col("ends").isNotNull(), F.col("ends")).when(F.col("up").isNull(), global_id(F.col("native_session_id"))).alias("ends")))
+    while up.where("ends is null").limit(1).count():
+        further = up.select(F.col("native_session_id").alias("via"), F.col("root").alias("next"), F.col("ends").alias("found"))
+        up = settled(up.join(further, F.col("root") == F.col("via")).select("native_session_id", F.coalesce(F.when(F.col("ends").isNull(), F.col("next")), F.col("root")).alias("root"), F.coalesce("ends", "found").alias("ends")))
+    out = up.join(linked, "native_session_id")
+    if rejected is not None:
+        ruled = rejected.select("native_session_id", F.col("global_id").alias("ends"), F.lit(True).alias("ruled"))
+        out = out.join(ruled, ["native_session_id", "ends"], "left").withColumn("ends", F.when(F.col("ruled"), global_id(F.col("native_session_id"))).otherwise(F.col("ends"))).withColumn("other_id", F.when(F.col("ruled").isNull(), F.col("other_id")))
+    version = F.when(F.col("other_id").isNull(), ALGORITHM_SEED).otherwise(ALGORITHM_LINK)
+    return out.select("native_session_id", F.col("ends").alias("global_id"), F.when(F.col("other_id").isNull(), F.lit(1.0)).otherwise(F.col("score")).alias("confidence"), version.alias("algorithm_version"), "other_id", F.when(F.col("other_id").isNotNull(), F.col("score")).alias("score"))
+
+
+def refreshed_candidates(s: DataFrame, known: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Pending candidates scored anew where both sessions are there (and one has changed); what users decided stays."""
+    pending = known.where("status = 'pending'")
+    if changed is not None:
+        ids = [r[0] for r in changed.select("native_session_id").distinct().limit(MOST_CHANGED + 1).collect()]
+        if len(ids) <= MOST_CHANGED:
+            pending = pending.where(F.col("left_id").isin(ids) | F.col("right_id").isin(ids))
+    pairs = pending.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"))
+    fresh = candidates(pair_scores(s, pairs), 2.0)
+    return upsert_candidates(known, fresh)
+
+
+def newest_summaries(s: DataFrame, most: int = 2048) -> DataFrame:
+    """The summaries that ended last, as many as a cache holds."""
+    return s.orderBy(F.col("ended_at").desc(), F.col("native_session_id").desc()).limit(most)
+
+
 def last_resorts(s: DataFrame, met: DataFrame) -> DataFrame:
     """For each session that met no earlier one of another family, the last of those by id, if there is any.
 

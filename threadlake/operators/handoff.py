@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as t
@@ -73,7 +73,7 @@ class Facts:
                 self.provenance.append({"event_id": event_id, "field": "tests"})
 
 
-def generate(global_id: str, objective: str, events: Sequence[Mapping], records: Sequence[Mapping] = (), created_at: str = "", branch: str | None = None, head: str | None = None, budget: int = TOKEN_BUDGET, suggest: Callable[[str], str] | None = None) -> dict:
+def generate(global_id: str, objective: str, events: Sequence[Mapping], records: Sequence[Mapping] = (), created_at: str = "", branch: str | None = None, head: str | None = None, dirty: bool = False, budget: int = TOKEN_BUDGET, suggest: Callable[[str], str] | None = None) -> dict:
     """A handoff document. events: event_id, kind and payload, in order. records: newest first."""
     if not global_id.startswith("gs_"):
         raise HandoffError("not a global session")
@@ -119,6 +119,7 @@ def generate(global_id: str, objective: str, events: Sequence[Mapping], records:
         "latest_assistant_reply": short(latest["latest_assistant_reply"]) if "latest_assistant_reply" in latest else None,
         "branch": branch,
         "head": head,
+        "dirty": dirty,
         "created_at": created_at,
         "provenance": facts.provenance,
     }
@@ -173,10 +174,14 @@ def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: D
     records. A session that can't be summed up is left out.
     """
     context = bounded_context(log.join(members.select("global_id", "native_session_id"), "native_session_id"), group="global_id")
-    ordered = context.select("global_id", order_key().alias("at"), "event_id", "kind", "payload_json")
-    events = ordered.groupBy("global_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "kind", "payload_json"))).alias("events"))
-    events = events.select("global_id", F.transform("events", lambda e: F.struct(e["event_id"].alias("event_id"), e["kind"].alias("kind"), e["payload_json"].alias("payload_json"))).alias("events"))
-    rows = globals_.select("global_id", "objective", "updated_at").join(events, "global_id")
+    for c in ("branch", "head"):
+        if c not in context.columns:
+            context = context.withColumn(c, F.lit(None).cast("string"))
+    dirty = F.get_json_object("payload_json", "$.dirty")
+    ordered = context.select("global_id", order_key().alias("at"), "event_id", "kind", "payload_json", "branch", "head", F.when(dirty.isin("true", "false"), dirty == "true").alias("dirty"))
+    events = ordered.groupBy("global_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "kind", "payload_json"))).alias("events"), *repository_state())
+    events = events.select("global_id", "branch", "head", "dirty", F.transform("events", lambda e: F.struct(e["event_id"].alias("event_id"), e["kind"].alias("kind"), e["payload_json"].alias("payload_json"))).alias("events"))
+    rows = globals_.select("global_id", "objective", "updated_at").join(events, "global_id", "left")
     if records is not None:
         from pyspark.sql import Window
 
@@ -185,7 +190,7 @@ def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: D
         rows = rows.join(listed.select("global_id", F.to_json("records").alias("records")), "global_id", "left")
     else:
         rows = rows.withColumn("records", F.lit(None).cast("string"))
-    rows = rows.withColumn("events", F.to_json("events"))
+    rows = rows.withColumn("events", F.to_json(F.coalesce("events", F.array().cast("array<struct<event_id:string,kind:string,payload_json:string>>"))))
 
     def run(batches):
         for frame in batches:
@@ -193,7 +198,7 @@ def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: D
             for r in frame.itertuples():
                 events = [{"event_id": e["event_id"], "kind": e["kind"], "payload": _object(e.get("payload_json"))} for e in json.loads(r.events)]
                 try:
-                    document = generate(r.global_id, r.objective or "", events, json.loads(r.records) if r.records else (), r.updated_at or "", budget=budget)
+                    document = generate(r.global_id, r.objective or "", events, json.loads(r.records) if r.records else (), r.updated_at or "", r.branch, r.head, r.dirty is not None and bool(r.dirty), budget=budget)
                 except HandoffError:
                     continue
                 snapshot = snapshot_id(document)
@@ -203,6 +208,11 @@ def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: D
     return rows.mapInPandas(run, "global_id string, handoff_id string, snapshot_id string, created_at string, document string")
 
 
+def repository_state() -> list[Column]:
+    """Aggregates of ordered events (at, branch, head, dirty): the last value of each that is there."""
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("branch", "head", "dirty")]
+
+
 def _object(text: str | None) -> dict:
     try:
         value = json.loads(text or "{}")

@@ -47,7 +47,16 @@ def latest_activity(log: DataFrame) -> DataFrame:
 
 def session_list(log: DataFrame) -> DataFrame:
     """What a list of sessions shows: title (else the id), size, last activity."""
-    listed = session_statistics(log).join(latest_activity(log), "native_session_id").join(native_sessions(log).select("native_session_id", "tool_family"), "native_session_id")
+    title, priority = t.title_candidate(F.col("kind"), F.col("payload_json"), DISPOSABLE)
+    offered = log.select("native_session_id", "canonical_bytes", "sequence", "event_id", "ingestion_id", "tool_family", "ts_seconds", "ts_nanos", title.alias("title"), priority.alias("priority"))
+    listed = offered.groupBy("native_session_id").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.sum("canonical_bytes").alias("content_bytes"),
+        F.min_by("title", F.struct("priority", "sequence", "event_id")).alias("title"),
+        F.max(F.struct("ts_seconds", "ts_nanos")).alias("last"),
+        F.min_by("tool_family", F.struct("ingestion_id", "event_id")).alias("tool_family"),
+    )
+    listed = listed.withColumns({"last_seconds": F.col("last.ts_seconds"), "last_nanos": F.col("last.ts_nanos")})
     bounded = t.bounded_title(F.col("title"))
     title = F.when(bounded.isNull() | (bounded == ""), F.col("native_session_id")).otherwise(bounded)
     return listed.withColumn("title", title).select("native_session_id", "tool_family", "title", "event_count", "content_bytes", "last_seconds", "last_nanos")
@@ -132,6 +141,17 @@ def filter_sessions(sessions: DataFrame, query: str) -> DataFrame:
     return sessions.where(F.contains(F.lower("title"), low) | F.contains(F.lower("native_session_id"), low) | F.contains(F.lower("tool_family"), low))
 
 
+def tool_inventory(tools: DataFrame, branches: DataFrame) -> DataFrame:
+    """tools(tool_family, sessions) beside branches(tool_family, branch): every family of either, with both."""
+    seen = branches.groupBy("tool_family").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
+    return tools.join(seen, "tool_family", "full").select("tool_family", F.coalesce("sessions", F.lit(0).cast("long")).alias("sessions"), F.coalesce("branches", F.array().cast("array<string>")).alias("branches"))
+
+
+def present(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Of what is remembered by path, what a scan still finds."""
+    return known.join(found.select("path").distinct(), "path", "left_semi")
+
+
 def sort_sessions(sessions: DataFrame, by: str) -> DataFrame:
     """by: title, size or recent."""
     order = {"title": [F.col("title"), F.col("native_session_id")], "size": [F.col("content_bytes").desc(), F.col("native_session_id")], "recent": [F.col("last_seconds").desc(), F.col("native_session_id")]}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,15 +159,42 @@ class _Reader:
 
 
 def _near(parts: list[tuple[str, bool]], distance: int, searchable: Column) -> Column:
-    """Phrases in any order with at most ``distance`` tokens between neighbours, by regular expression."""
-    from itertools import permutations
+    """Phrases in any order with at most ``distance`` tokens between neighbours, by the places of tokens in Arrow batches."""
+    wanted = [(t.folded_tokens(words), prefix) for words, prefix in parts]
+    if not all(tokens for tokens, _ in wanted):
+        return F.lit(False)
+    sizes = [len(tokens) for tokens, _ in wanted]
+
+    @F.pandas_udf("boolean")
+    def near(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: _reaches([_spots(text.split(), *phrase) for phrase in wanted], sizes, distance))
+
+    return near(F.coalesce(searchable, F.lit("")))
+
+
+def _spots(tokens: list[str], phrase: list[str], prefix: bool) -> list[int]:
+    """Where a phrase begins."""
+    n = len(phrase)
+    fits = lambda i: tokens[i : i + n - 1] == phrase[:-1] and (tokens[i + n - 1].startswith(phrase[-1]) if prefix else tokens[i + n - 1] == phrase[-1])
+    return [i for i in range(len(tokens) - n + 1) if fits(i)]
+
 
-    if len(parts) > 5:
-        raise QueryError("NEAR takes at most five phrases")
-    gap = rf"(?: [^ ]+){{0,{distance}}}"
-    one = lambda p: " " + " ".join(map(re.escape, t.folded_tokens(p[0]))) + ("[^ ]*" if p[1] else "")
-    orders = ["(?=.*" + gap.join(map(one, order)) + " )" for order in permutations(parts)]
-    return F.rlike(searchable, F.lit("^(?:" + "|".join(orders) + ")"))
+def _reaches(spots: list[list[int]], sizes: list[int], distance: int) -> bool:
+    """Whether occurrences of all phrases can be chained; states are sets of phrases with the ends they reach."""
+    order = sorted((at, k) for k, places in enumerate(spots) for at in places)
+    states: dict[int, set[int]] = {}
+    for at, k in order:
+        bit, end = 1 << k, at + sizes[k] - 1
+        grown = {bit}
+        for used, ends in states.items():
+            if not used & bit and any(e < at <= e + 1 + distance for e in ends):
+                grown.add(used | bit)
+        for used in grown:
+            if used == (1 << len(spots)) - 1:
+                return True
+            # Ends too far back for anything that comes later are dropped.
+            states[used] = {e for e in states.get(used, ()) if e + 1 + distance >= at} | {end}
+    return False
 
 
 def _column(tree: tuple, searchable: Column) -> Column:
@@ -195,6 +223,50 @@ def search_query(log: DataFrame, query: str, limit: int = 50, offset: int = 0) -
     return rows.orderBy(*ascending()).offset(offset).limit(limit)
 
 
+# The index: a row for each token of each event, in buckets by token, so that a search reads its words' buckets only.
+
+BUCKETS = 256
+
+
+def postings(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, token, event_id, places): an event's tokens with their places. Built once per event, then appended to."""
+    listed = log.select("event_id", F.posexplode(t.tokens(t.search_text(F.col("payload_json")))).alias("place", "token"))
+    grouped = listed.groupBy("token", "event_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return grouped.select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"), "token", "event_id", "places")
+
+
+def write_index(log: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Appends the postings of events to an index; give it the events of a batch that it doesn't hold."""
+    postings(log, buckets).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").mode("append").parquet(path)
+
+
+def indexed_ids(index: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
+    """Ids of the events that hold all words of a plain query, each word's tokens side by side."""
+    found = None
+    for word in keyword_terms(query):
+        tokens = t.folded_tokens(word)
+        hits = None
+        for i, token in enumerate(tokens):
+            bucket = F.pmod(F.xxhash64(F.lit(token)), F.lit(buckets)).cast("int")
+            starts = F.transform("places", lambda x, i=i: x - i)
+            one = index.where((F.col("bucket") == bucket) & (F.col("token") == token)).select("event_id", starts.alias("starts"))
+            hits = one if hits is None else hits.join(one.withColumnRenamed("starts", "more"), "event_id").select("event_id", F.array_intersect("starts", "more").alias("starts"))
+        hits = index.select("event_id").limit(0) if hits is None else hits.where(F.size("starts") > 0).select("event_id").distinct()
+        found = hits if found is None else found.join(hits, "event_id", "left_semi")
+    return found
+
+
+def indexed_search(log: DataFrame, index: DataFrame, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """``search`` by the index: only events that hold the words are read."""
+    return log.join(indexed_ids(index, query), "event_id", "left_semi").orderBy(*ascending()).offset(offset).limit(limit)
+
+
+def with_session(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Hits with what lists show of their sessions."""
+    shown = sessions.select("native_session_id", F.col("title").alias("session_title"), F.col("event_count").alias("session_events"))
+    return hits.join(shown, "native_session_id")
+
+
 def encode_cursor(scope: str, value: str) -> str:
     return f"v1:{scope}:{value}"
 

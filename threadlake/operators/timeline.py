@@ -85,6 +85,13 @@ def merge_events(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return current.unionByName(incoming).dropDuplicates(["event_id"]).orderBy(*ascending())
 
 
+def live_page(page: DataFrame, incoming: DataFrame, size: int = PAGE_MOST) -> tuple[DataFrame, DataFrame]:
+    """A page with what came in meanwhile, its newest events only; and one row that says whether anything was new."""
+    merged = page.unionByName(incoming).dropDuplicates(["event_id"]).orderBy(*descending()).limit(size).orderBy(*ascending())
+    fresh = incoming.join(page.select("event_id"), "event_id", "left_anti")
+    return merged, fresh.agg((F.count(F.lit(1)) > 0).alias("new_events"))
+
+
 def carry_workspace(records: DataFrame) -> DataFrame:
     """Fills workspace fields from the last record of the same file that had them."""
     w = Window.partitionBy("source_path").orderBy("source_offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -42,8 +42,10 @@ class Service:
         return self.log.where(F.col("event_id") == name)
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
-        """Events that hold all words, with what they show."""
-        return search.search(self.log, query, page_size(limit)).withColumn("content", t.event_content(F.col("payload_json")))
+        """Events that hold all words, with what they show and their sessions."""
+        hits = search.search(self.log, query, page_size(limit)).withColumn("content", t.event_content(F.col("payload_json")))
+        shown = self.log.join(hits.select("native_session_id").distinct(), "native_session_id", "left_semi")
+        return search.with_session(hits, overview.session_list(shown))
 
     def search_query(self, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
         """The full query language; limits are brought into range."""
