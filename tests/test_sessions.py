@@ -109,14 +109,14 @@ def test_handoff_facts():
     d = ho.generate("gs_1", "Go on", events, [{"kind": "task", "content": "R", "provenance_id": "r1"}])
     assert d["decisions"] == ["Use A", "Use B"] and d["completed"] == ["P"] and d["open_tasks"] == ["T1", "R"]
     assert d["tests"] == {"passed": 3, "failed": 1, "failing": ["x [REDACTED]"]} and d["relevant_files"] == ["/f"]
-    assert d["phase"] == "implementation" and d["completion_percent"] == 33 and d["next_action"] == "T1"
+    assert d["status"] == {"phase": "implementation", "completion": 33} and d["next_action"] == "T1"
     assert d["latest_user_request"] == "please" and d["latest_assistant_reply"] == "done"
     assert [p["event_id"] for p in d["provenance"] if p["field"] == "decisions"] == ["e1", "e2"]
 
 
 def test_messages_alone_imply_nothing():
     d = ho.generate("gs_1", "Go on", [event(1, "user_message", text="hi")])
-    assert (d["phase"], d["next_action"], d["open_tasks"]) == ("unknown", "Review the latest user request", [])
+    assert (d["status"]["phase"], d["next_action"], d["open_tasks"]) == ("unknown", "Review the latest user request", [])
 
 
 def test_handoff_errors_and_budget():
@@ -149,3 +149,53 @@ def test_handoffs_in_spark(spark):
     assert ho.stale(ho.latest_handoff(made), globals_).first()["stale"]
     facts = ho.fact_sets(spark.createDataFrame([("s", "decision", '{"text":"b"}'), ("s", "task", '{"title":"t","status":"completed"}'), ("s", "patch", '{"path":"/p"}')], "native_session_id string, kind string, payload_json string")).first()
     assert (facts["decisions"], facts["completed"], facts["open_tasks"], facts["relevant_files"]) == (["b"], ["t"], [], ["/p"])
+
+
+def test_reconcile_keeps_what_holds(spark):
+    terms = [f"term{i}" for i in range(20)]
+    rows = [summary("a", "x", "/w", terms, None, 0), summary("b", "y", "/w", terms[:18], None, 1000), summary("c", "x", "/w", terms[:17], None, 2000), summary("d", "y", "/v", terms, None, 3000), summary("e", "y", "/z", ["other"], None, 10), summary("old", "x", "/q", ["more"], None, 5)]
+    s = spark.createDataFrame(rows, SUMMARY)
+    changed = s.where("native_session_id <> 'old'").select("native_session_id")
+    members = spark.createDataFrame([("gs_manual", "a"), ("gs_old", "old")], "global_id string, native_session_id string")
+    rejected = spark.createDataFrame([("gs_manual", "d")], "global_id string, native_session_id string")
+    got = {r["native_session_id"]: r for r in co.reconcile(s, members, changed, rejected).collect()}
+    # a holds; b and c join it, c through b; d may not; e has nobody; old did not change.
+    assert {k: r["global_id"] for k, r in got.items()} == {"b": "gs_manual", "c": "gs_manual", "d": co.global_id("d"), "e": co.global_id("e")}
+    assert got["b"]["algorithm_version"] == co.ALGORITHM_LINK and got["d"]["confidence"] == 1.0
+    assert co.newest_summaries(s, 2).count() == 2
+
+
+def test_linkable_pairs_miss_none(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [summary(f"s{i}", "xyz"[i % 3], rng.choice(("/a", "/b", None)), rng.sample(words[: rng.choice((6, 12, 30))], rng.randint(0, 6)), None, rng.randrange(40) * 86_400) for i in range(120)]
+    s = spark.createDataFrame(rows, SUMMARY)
+    ids = [r[0] for r in rows]
+    every = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a string, b string")
+    family = dict((r[0], r[1]) for r in rows)
+    want = {(r["left_id"], r["right_id"]) for r in co.pair_scores(s, every).where("score >= 0.8").collect() if family[r["left_id"]] != family[r["right_id"]]}
+    got = {(r["left_id"], r["right_id"]) for r in co.pair_scores(s, co.linkable_pairs(s)).where("score >= 0.8").collect()}
+    assert got == want and want
+
+
+def test_pending_evidence_is_scored_anew(spark):
+    s = spark.createDataFrame([summary("a", "x", "/w", ["t"]), summary("b", "y", "/w", ["t"]), summary("c", "y", "/w", ["t"])], SUMMARY)
+    known = co.candidates(co.pair_scores(s)).withColumn("score", F.lit(0.1)).withColumn("status", F.when(F.col("right_id") == "c", "rejected").otherwise("pending"))
+    out = {r["right_id"]: (r["status"], r["score"]) for r in co.refreshed_candidates(s, known, s.select("native_session_id")).collect()}
+    assert out["b"] == ("pending", pytest.approx(1.0)) and out["c"] == ("rejected", 0.1)
+
+
+def test_index_finds_what_a_scan_finds(spark, tmp_path):
+    from threadlake.operators import search as se
+
+    rows = [("s", "user_message", "x", i, 0, text) for i, text in enumerate(["the quick brown fox", "the fox-hound", "hound fox", "", "Café fox hound the", None])]
+    log = log_of(spark, [r if r[5] is not None else (*r[:5], "") for r in rows])
+    se.write_index(log.where("sequence < 3"), str(tmp_path / "index"))
+    se.write_index(log.where("sequence >= 3"), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for query in ("fox", "fox-hound", "the fox", "cafe", "absent", "--"):
+        assert se.indexed_search(log, index, query).collect() == se.search(log, query).collect()
+    near = lambda q: sorted(r["sequence"] for r in se.search_query(log, q).collect())
+    assert near("NEAR(the quick brown fox, 0)") == [0] and near("NEAR(fox hound, 0)") == [1, 2, 4] and near("NEAR(fox the cafe hound quick brown, 9)") == []

@@ -125,7 +125,7 @@ def reconcile(s: DataFrame, members: DataFrame, changed: DataFrame, rejected: Da
     """
     known = members.select("native_session_id", "global_id").groupBy("native_session_id").agg(F.min("global_id").alias("global_id"))
     fresh = settled(s.join(changed.select("native_session_id").distinct(), "native_session_id", "left_semi").join(known, "native_session_id", "left_anti"))
-    there = fresh.unionByName(s.join(known, "native_session_id", "left_semi"))
+    there = settled(fresh.unionByName(s.join(known, "native_session_id", "left_semi")))
     scores = pair_scores(there, linkable_pairs(there, threshold))
     side = lambda x, y: scores.select(F.col(x).alias("native_session_id"), F.col(y).alias("other_id"), "score")
     both = side("left_id", "right_id").unionByName(side("right_id", "left_id"))
@@ -135,7 +135,7 @@ def reconcile(s: DataFrame, members: DataFrame, changed: DataFrame, rejected: Da
     if rejected is not None:
         open_pairs = open_pairs.join(rejected.select("native_session_id", F.col("global_id").alias("other_global")), ["native_session_id", "other_global"], "left_anti")
     best = open_pairs.groupBy("native_session_id").agg(F.max(F.struct("score", "other_id", "other_global")).alias("best"))
-    linked = fresh.select("native_session_id").join(best, "native_session_id", "left").select("native_session_id", "best.score", "best.other_id", "best.other_global")
+    linked = settled(fresh.select("native_session_id").join(best, "native_session_id", "left").select("native_session_id", "best.score", "best.other_id", "best.other_global"))
     # Chains of new sessions end at one that seeds or joins what is known; doubling finds the end.
     up = settled(linked.select("native_session_id", F.when(F.col("other_global").isNull(), F.col("other_id")).alias("up"), F.col("other_global").alias("ends")).select("native_session_id", F.coalesce("up", "native_session_id").alias("root"), F.when(F.col("ends").isNotNull(), F.col("ends")).when(F.col("up").isNull(), global_id(F.col("native_session_id"))).alias("ends")))
     while up.where("ends is null").limit(1).count():

@@ -16,6 +16,7 @@ from threadlake.operators.timeline import bounded_context
 
 TOKEN_BUDGET, LEAST_BUDGET = 4000, 64
 MOST_RECORDS = 128
+LATEST = ("latest_user_request", "latest_assistant_reply")
 FILE_KINDS = ("file_read", "file_write", "patch")
 
 
@@ -73,7 +74,7 @@ class Facts:
                 self.provenance.append({"event_id": event_id, "field": "tests"})
 
 
-def generate(global_id: str, objective: str, events: Sequence[Mapping], records: Sequence[Mapping] = (), created_at: str = "", branch: str | None = None, head: str | None = None, dirty: bool = False, budget: int = TOKEN_BUDGET, suggest: Callable[[str], str] | None = None) -> dict:
+def generate(global_id: str, objective: str, events: Sequence[Mapping], records: Sequence[Mapping] = (), branch: str | None = None, head: str | None = None, dirty: bool = False, budget: int = TOKEN_BUDGET, suggest: Callable[[str], str] | None = None) -> dict:
     """A handoff document. events: event_id, kind and payload, in order. records: newest first."""
     if not global_id.startswith("gs_"):
         raise HandoffError("not a global session")
@@ -84,7 +85,7 @@ def generate(global_id: str, objective: str, events: Sequence[Mapping], records:
         facts.read(e["event_id"], e["kind"], e["payload"])
     lists = {f: sorted(v) for f, v in facts.sets.items()}
     latest = {}
-    for field in ("latest_user_request", "latest_assistant_reply"):
+    for field in LATEST:
         if field in facts.latest:
             latest[field], event_id = facts.latest[field]
             facts.provenance.append({"event_id": event_id, "field": field})
@@ -107,20 +108,15 @@ def generate(global_id: str, objective: str, events: Sequence[Mapping], records:
         "schema_version": "1.1",
         "global_session_id": global_id,
         "objective": short(redact(objective)),
-        "phase": "implementation" if todo else "verification" if done else "unknown",
-        "completion_percent": done * 100 // (done + todo) if done + todo else 0,
+        "status": {"phase": "implementation" if todo else "verification" if done else "unknown", "completion": done * 100 // (done + todo) if done + todo else 0},
         "decisions": [short(x) for x in lists["decisions"]],
         "completed": [short(x) for x in lists["completed"]],
         "open_tasks": [short(x) for x in lists["open_tasks"]],
-        "relevant_files": lists["relevant_files"],
+        "repository": {"branch": branch, "head": head, "dirty": dirty},
         "tests": facts.tests,
+        "relevant_files": lists["relevant_files"],
         "next_action": short(next_action),
-        "latest_user_request": short(latest["latest_user_request"]) if "latest_user_request" in latest else None,
-        "latest_assistant_reply": short(latest["latest_assistant_reply"]) if "latest_assistant_reply" in latest else None,
-        "branch": branch,
-        "head": head,
-        "dirty": dirty,
-        "created_at": created_at,
+        **{field: short(latest[field]) for field in LATEST if field in latest},
         "provenance": facts.provenance,
     }
     fit_budget(document, budget)
@@ -154,9 +150,9 @@ def fit_budget(document: dict, budget: int) -> None:
         if field is not None:
             document[field].pop()
         elif len(document["provenance"]) > 1:
-            field = next((f for f in ("latest_assistant_reply", "latest_user_request") if document[f] is not None), None)
+            field = next((f for f in reversed(LATEST) if f in document), None)
             if field is not None:
-                document[field] = None
+                del document[field]
         if field is None:
             raise HandoffError("the budget is too small")
         for i in range(len(document["provenance"]) - 1, -1, -1):
@@ -198,11 +194,11 @@ def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: D
             for r in frame.itertuples():
                 events = [{"event_id": e["event_id"], "kind": e["kind"], "payload": _object(e.get("payload_json"))} for e in json.loads(r.events)]
                 try:
-                    document = generate(r.global_id, r.objective or "", events, json.loads(r.records) if r.records else (), r.updated_at or "", r.branch, r.head, r.dirty is not None and bool(r.dirty), budget=budget)
+                    document = generate(r.global_id, r.objective or "", events, json.loads(r.records) if r.records else (), r.branch, r.head, r.dirty is not None and bool(r.dirty), budget=budget)
                 except HandoffError:
                     continue
                 snapshot = snapshot_id(document)
-                out.append((r.global_id, "handoff_" + snapshot.removeprefix("snapshot_"), snapshot, document["created_at"], canonical_json(document)))
+                out.append((r.global_id, "handoff_" + snapshot.removeprefix("snapshot_"), snapshot, r.updated_at or "", canonical_json(document)))
             yield pd.DataFrame(out, columns=["global_id", "handoff_id", "snapshot_id", "created_at", "document"])
 
     return rows.mapInPandas(run, "global_id string, handoff_id string, snapshot_id string, created_at string, document string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -240,6 +241,10 @@ def write_index(log: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     postings(log, buckets).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").mode("append").parquet(path)
 
 
+def _back(i: int) -> Callable[[Column], Column]:
+    return lambda place: place - i
+
+
 def indexed_ids(index: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
     """Ids of the events that hold all words of a plain query, each word's tokens side by side."""
     found = None
@@ -248,7 +253,7 @@ def indexed_ids(index: DataFrame, query: str, buckets: int = BUCKETS) -> DataFra
         hits = None
         for i, token in enumerate(tokens):
             bucket = F.pmod(F.xxhash64(F.lit(token)), F.lit(buckets)).cast("int")
-            starts = F.transform("places", lambda x, i=i: x - i)
+            starts = F.transform("places", _back(i))
             one = index.where((F.col("bucket") == bucket) & (F.col("token") == token)).select("event_id", starts.alias("starts"))
             hits = one if hits is None else hits.join(one.withColumnRenamed("starts", "more"), "event_id").select("event_id", F.array_intersect("starts", "more").alias("starts"))
         hits = index.select("event_id").limit(0) if hits is None else hits.where(F.size("starts") > 0).select("event_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import chronology as ch
+from threadlake.functions import identity as ids
 from threadlake.functions import text as t
 from threadlake.operators import correlation as co
 from threadlake.operators import handoff as ho
@@ -16,6 +17,9 @@ from threadlake.operators import retention as re_
 from threadlake.operators import search as se
 from threadlake.operators import timeline as tl
 from threadlake.plans.fixtures import event_log, oracle
+from threadlake.service import Service
+from threadlake.streaming import ingest as ing
+from threadlake.streaming import store as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -424,6 +428,259 @@ def handoff_documents(log, spark, sf_dir):
     return ho.handoffs(log, members, globals_)
 
 
+def _handed(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with branch and head from their ids, members by workspace and family, and their global sessions."""
+    third = F.col("ingestion_id") % 3
+    rows = log.withColumns({"branch": F.when(third > 0, F.concat(F.lit("b"), third.cast("string"))), "head": F.when(third == 1, F.lit("h1"))})
+    members = log.where("cwd is not null").select("native_session_id", F.concat(F.lit("gs_"), F.md5(F.concat("cwd", "tool_family"))).alias("global_id")).distinct()
+    globals_ = members.select("global_id").distinct().select("global_id", F.lit("Continue the work").alias("objective"), F.lit("2026-01-01T00:00:00Z").alias("updated_at"))
+    return rows, members, globals_
+
+
+HANDED = f"""members as (select distinct native_session_id, concat('gs_', md5(concat(cwd, tool_family))) as global_id from log where cwd is not null),
+ranked as (select m.global_id, l.*, sum(canonical_bytes) over w as running, row_number() over w as rn from log l join members m using (native_session_id) window w as (partition by global_id order by {BACK} rows unbounded preceding)),
+handed as (select *, case when ingestion_id % 3 > 0 then concat('b', ingestion_id % 3) end as branch, case when ingestion_id % 3 = 1 then 'h1' end as head,
+  nullif(array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: case when {SECRET} then '[REDACTED]' else w end), ' '), '') as fact from ranked where rn <= 256 and (rn = 1 or running <= {4 << 20}))"""
+SHORT = "case when strlen({x}) <= 2048 then {x} else concat(left({x}, len(list_filter(range(1, least(length({x}), 2045) + 1), lambda k: strlen(left({x}, k)) <= 2045))), '…') end"
+
+
+@_query(
+    f"select global_id, 'unknown' as phase, 0 as completion, branch, head, false as dirty, md5({SHORT.format(x='request')}) as request_md5, md5({SHORT.format(x='reply')}) as reply_md5 from (select global_id, arg_max(branch, row({ORDER})) filter (where branch is not null) as branch, arg_max(head, row({ORDER})) filter (where head is not null) as head, arg_max(fact, row({ORDER})) filter (where kind = 'user_message' and fact is not null) as request, arg_max(fact, row({ORDER})) filter (where kind = 'assistant_message' and fact is not null) as reply from handed group by 1) where request is not null or reply is not null",
+    HANDED,
+)
+def handoff_fields(log, spark, sf_dir):
+    document = ho.handoffs(*_handed(log)).select("global_id", "document")
+    field = lambda path: F.get_json_object("document", f"$.{path}")
+    return document.select("global_id", field("status.phase").alias("phase"), field("status.completion").cast("int").alias("completion"), field("repository.branch").alias("branch"), field("repository.head").alias("head"), (field("repository.dirty") == "true").alias("dirty"), F.md5(field("latest_user_request")).alias("request_md5"), F.md5(field("latest_assistant_reply")).alias("reply_md5"))
+
+
+@_query("select global_id, handoff_id, created_at, created_at < updated_at as stale from (select concat('gs_', cast(ts_seconds % 50 as varchar)) as global_id, max(row(lpad(cast(ingestion_id as varchar), 12, '0'), event_id))[2] as handoff_id, max(row(lpad(cast(ingestion_id as varchar), 12, '0'), event_id))[1] as created_at, max(lpad(cast(ts_seconds as varchar), 12, '0')) as updated_at from log group by 1)")
+def latest_handoffs(log, spark, sf_dir):
+    group = F.concat(F.lit("gs_"), (F.col("ts_seconds") % 50).cast("string")).alias("global_id")
+    rows = log.select(group, F.col("event_id").alias("handoff_id"), F.lpad(F.col("ingestion_id").cast("string"), 12, "0").alias("created_at"))
+    globals_ = log.groupBy(group).agg(F.max(F.lpad(F.col("ts_seconds").cast("string"), 12, "0")).alias("updated_at"))
+    return ho.stale(ho.latest_handoff(rows), globals_).select("global_id", "handoff_id", "created_at", "stale")
+
+
+@_query("select concat('gs_', cast(conv_id % 7 as varchar)) as global_id, list_sort(list_distinct(list(concat('conv:', cast(conv_id as varchar))))) as members from conversations group by 1", "conv as (select 1)")
+def current_contexts(log, spark, sf_dir):
+    sessions = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("native_session_id"), F.concat(F.lit("gs_"), (F.col("conv_id") % 7).cast("string")).alias("global_id")).distinct()
+    return ho.current_context(sessions, sessions.select("global_id").distinct())
+
+
+FACTS = "facts as (select native_session_id, case kind when 'user_message' then 'decision' when 'assistant_message' then 'task' else 'file_read' end as kind, nullif(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' '), '') as fact, turn_even, path from (select *, ingestion_id % 2 = 0 as turn_even, concat('/f', cast(ingestion_id % 5 as varchar)) as path from log where text is not null and not contains(lower(text), 'secret') and not contains(lower(text), 'password') and not contains(lower(text), 'bearer') and not contains(lower(text), 'api_key') and not contains(lower(text), 'sk-')))"
+
+
+@_query("select native_session_id, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'decision' and fact is not null))), []) as decisions, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'task' and turn_even and fact is not null))), []) as completed, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'task' and not turn_even and fact is not null))), []) as open_tasks, coalesce(list_sort(list_distinct(list(path) filter (where kind = 'file_read'))), []) as relevant_files from facts group by 1", FACTS)
+def fact_sets(log, spark, sf_dir):
+    low = F.lower("text")
+    plain = log.where("text is not null").where(~(F.contains(low, F.lit("secret")) | F.contains(low, F.lit("password")) | F.contains(low, F.lit("bearer")) | F.contains(low, F.lit("api_key")) | F.contains(low, F.lit("sk-"))))
+    kind = F.when(F.col("kind") == "user_message", "decision").when(F.col("kind") == "assistant_message", "task").otherwise("file_read")
+    payload = F.to_json(F.struct("text", F.when(F.col("ingestion_id") % 2 == 0, "Completed").otherwise("open").alias("status"), F.concat(F.lit("/f"), (F.col("ingestion_id") % 5).cast("string")).alias("path")))
+    return ho.fact_sets(plain.withColumn("payload_json", payload).withColumn("kind", kind))
+
+
+@_query(f"select e.event_id, e.native_session_id, l.title as session_title, l.event_count as session_events from (select * from searchable where contains(s, ' the ') and contains(s, ' of ') order by {ORDER} limit 50) e join listed l using (native_session_id)", SEARCHABLE, STATS, LIST)
+def search_hits(log, spark, sf_dir):
+    return se.with_session(se.search(log, "the of"), ov.session_list(log)).select("event_id", "native_session_id", "session_title", "session_events")
+
+
+@_query(f"select {PAGE_COLUMNS} from searchable where contains(s, ' the ') and contains(s, ' of ') order by {ORDER} limit 50", SEARCHABLE)
+def indexed_search(log, spark, sf_dir):
+    return _page(se.indexed_search(log, se.postings(log), "the of"))
+
+
+@_query("select token, count(*) as events, cast(sum(n) as bigint) as places from (select event_id, token, count(*) as n from (select event_id, unnest(list_filter(string_split(replace(s, 'ß', 'ss'), ' '), lambda w: w <> '')) as token from searchable) group by 1, 2) group by 1", SEARCHABLE)
+def search_index(log, spark, sf_dir):
+    return se.postings(log).groupBy("token").agg(F.count(F.lit(1)).alias("events"), F.sum(F.size("places")).alias("places"))
+
+
+LINKS = [
+    ALL_TERMS,
+    "links as (select case when right_first then left_id else right_id end as id, max(row(score, case when right_first then right_id else left_id end))[2] as up from every where score >= 0.8 group by 1)",
+    "climb as (with recursive c as (select id, up as head, 1 as depth from links union all select c.id, p.up, depth + 1 from c join links p on p.id = c.head) select * from c)",
+]
+
+
+@_query("select s.id as native_session_id, concat('gs_', left(sha256(coalesce(c.root, s.id)), 32)) as global_id, case when c.root is null then 'automatic-seed-v1' else 'explainable-content-v1' end as algorithm_version from side s left join (select id, arg_max(head, depth) as root from climb group by 1) c on c.id = s.id", *LINKS)
+def reconciled_sessions(log, spark, sf_dir):
+    s = co.summaries(log)
+    nobody = spark.createDataFrame([], "global_id string, native_session_id string")
+    return co.reconcile(s, nobody, s).select("native_session_id", "global_id", "algorithm_version")
+
+
+@_query("select native_session_id, ended_at from (select id as native_session_id, z as ended_at from side) order by ended_at desc, native_session_id desc limit 64", ALL_TERMS)
+def newest_summaries(log, spark, sf_dir):
+    return co.newest_summaries(co.summaries(log), 64).select("native_session_id", "ended_at")
+
+
+@_query("select left_id, right_id, [concat('{\"signal\":\"workspace\",\"matched\":', same_workspace, '}'), concat('{\"signal\":\"temporal\",\"matched\":', near_in_time, '}')] as evidence from pairs", TERMS)
+def candidate_evidence(log, spark, sf_dir):
+    rows = co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD)
+    return rows.select("left_id", "right_id", F.slice("evidence", 1, 2).alias("evidence"))
+
+
+@_query("select candidate_id, status, score from (select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, case when ends_with(left_id, '1') then 'rejected' when score >= 0.4 then 'accepted' else 'pending' end as status, round(score, 9) as score from pairs) where status = 'pending' or status = 'rejected'", TERMS)
+def upserted_candidates(log, spark, sf_dir):
+    fresh = co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD)
+    known = fresh.where(F.col("left_id").endswith("1")).withColumn("status", F.lit("rejected")).withColumn("score", F.lit(0.0))
+    return co.upsert_candidates(known, fresh).where("status <> 'accepted'").select("candidate_id", "status", F.round("score", 9).alias("score"))
+
+
+@_query("select left_id, right_id, target_id from (select left_id, right_id from pairs where (contains(lower(left_id), 'v:1') or contains(lower(right_id), 'v:1') or contains(concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)), 'v:1')) and score < 0.4) p left join (select concat('conv:', cast(conv_id as varchar)) as m, min(concat('gs_', cast(conv_id % 7 as varchar))) as target_id from conversations where conv_id % 2 = 0 group by 1) t on p.right_id = t.m", TERMS)
+def candidate_targets(log, spark, sf_dir):
+    rows = co.filter_candidates(co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD), "V:1", True)
+    members = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 2 = 0").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("native_session_id"), F.concat(F.lit("gs_"), (F.col("conv_id") % 7).cast("string")).alias("global_id")).distinct()
+    return co.with_target(rows, members).select("left_id", "right_id", "target_id")
+
+
+@_query("select g as global_id, greatest(min(stamp), max(stamp) filter (where kind = 'error')) as updated_at from (select *, concat('gs_', cast(ts_seconds % 9 as varchar)) as g, lpad(cast(ts_seconds as varchar), 12, '0') as stamp from log) group by 1")
+def touched_globals(log, spark, sf_dir):
+    rows = log.select(F.concat(F.lit("gs_"), (F.col("ts_seconds") % 9).cast("string")).alias("global_id"), F.lpad(F.col("ts_seconds").cast("string"), 12, "0").alias("at"), "kind")
+    return co.touched(rows.groupBy("global_id").agg(F.min("at").alias("updated_at")), rows.where("kind = 'error'"))
+
+
+@_query("select arg_max(g, row(made, g)) as global_id from (select native_session_id, concat('gs_', md5(native_session_id)) as g, lpad(cast(max(ingestion_id) as varchar), 12, '0') as made, bool_or(coalesce(rtrim(cwd, '/') = '/work/p3', false)) as here from log group by 1) where here")
+def workspace_global(log, spark, sf_dir):
+    members = log.groupBy("native_session_id").agg(F.lpad(F.max("ingestion_id").cast("string"), 12, "0").alias("created_at")).withColumn("global_id", F.concat(F.lit("gs_"), F.md5("native_session_id")))
+    return co.global_for_workspace(log, members, "/work/p3//")
+
+
+REMOTE = "case ingestion_id % 4 when 0 then concat('https://u@Git.Example.COM/Org/r', ingestion_id, '.git') when 1 then concat('git@Git.Example.COM:Org/r', ingestion_id, '.git/') when 2 then concat('ssh://Git.Example.COM/Org/r', ingestion_id, '/') else concat('/local/r', ingestion_id, '.git') end"
+
+
+@_query("select event_id, case when ingestion_id % 4 = 3 then concat('/local/r', ingestion_id) else concat('git.example.com/Org/r', ingestion_id) end as remote from log")
+def normalized_remotes(log, spark, sf_dir):
+    return log.select("event_id", t.normalized_remote(F.expr(REMOTE)).alias("remote"))
+
+
+@_query("select kind, concat(upper(left(kind, 1)), replace(substring(kind, 2), '_', ' ')) as label, case when b < 1024 then concat(b, ' B') when b < 1048576 then concat(format('{:,.1f}', b / 1024), ' KB') else concat(format('{:,.1f}', b / 1048576), ' MB') end as size from (select kind, cast(sum(canonical_bytes) as bigint) as b from log group by 1)")
+def readable_kinds(log, spark, sf_dir):
+    size = log.groupBy("kind").agg(F.sum("canonical_bytes").alias("b"))
+    return size.select("kind", t.kind_label(F.col("kind")).alias("label"), t.readable_bytes(F.col("b")).alias("size"))
+
+
+@_query("select native_session_id, concat('gs_', left(sha256(native_session_id), 32)) as global_id, concat('candidate_', left(sha256(concat(least(native_session_id, 'conv:5'), chr(0), greatest(native_session_id, 'conv:5'))), 32)) as candidate_id from (select distinct native_session_id from log)")
+def derived_ids(log, spark, sf_dir):
+    names = log.select("native_session_id").distinct()
+    return names.select("native_session_id", ids.global_id(F.col("native_session_id")).alias("global_id"), ids.candidate_id(F.col("native_session_id"), F.lit("conv:5")).alias("candidate_id"))
+
+
+DRAFT = """concat('{"schema_version":"1.0","tool":{"family":"', tool_family, '","surface":"cli","profile":"default"},"native_session_id":"', native_session_id, '","sequence":', sequence, ',"timestamp":"t', ts_seconds, '","timestamp_precision":"unknown","kind":"', kind, '","workspace":', case when cwd is null then 'null' else concat('{"cwd":"', cwd, '","repository_id":null,"branch":null,"head":null}') end, ',"payload":{"a":', ingestion_id, ',"text":"é"},"source_generation":"g0","source_offset":', source_offset, '}')"""
+
+
+@_query(f"select event_id, concat('sha256:', sha256({DRAFT})) as identity from log")
+def event_identities(log, spark, sf_dir):
+    draft = F.struct(
+        F.lit("1.0").alias("schema_version"),
+        F.struct(F.lit("default").alias("profile"), F.col("tool_family").alias("family"), F.lit("cli").alias("surface")).alias("tool"),
+        "native_session_id", "sequence", F.concat(F.lit("t"), F.col("ts_seconds").cast("string")).alias("timestamp"), F.lit("unknown").alias("timestamp_precision"), "kind",
+        F.when(F.col("cwd").isNotNull(), F.struct("cwd")).alias("workspace"),
+        F.struct(F.lit("é").alias("text"), F.col("ingestion_id").alias("a")).alias("payload"),
+        F.struct("source_generation", "source_offset").alias("provenance"),
+    )
+    return log.select("event_id", ids.event_ids(F.to_json(draft)).alias("identity"))
+
+
+@_query("select event_id, concat('{\"a\":', ingestion_id, ',\"text\":\"é\"}') as payload from log")
+def canonical_payloads(log, spark, sf_dir):
+    return log.select("event_id", ids.canonical_payload(F.to_json(F.struct(F.lit("é").alias("text"), F.col("ingestion_id").alias("a")))).alias("payload"))
+
+
+FILES = "files as (select native_session_id as source_path, sequence as source_offset, event_id, case when sequence % 3 = 0 then 'tool_call' when sequence % 3 = 1 then 'tool_result' else 'user_message' end as kind, concat('c', cast(sequence // 5 as varchar)) as call_id, case when sequence % 4 = 0 then cwd end as cwd, case when sequence % 5 = 1 then concat('b', sequence) end as branch, cast(null as varchar) as head from log)"
+
+
+def _files(log: DataFrame) -> DataFrame:
+    third = F.col("sequence") % 3
+    return log.select(F.col("native_session_id").alias("source_path"), F.col("sequence").alias("source_offset"), "event_id", F.when(third == 0, "tool_call").when(third == 1, "tool_result").otherwise("user_message").alias("kind"), F.concat(F.lit("c"), F.floor(F.col("sequence") / 5).cast("string")).alias("call_id"), F.when(F.col("sequence") % 4 == 0, F.col("cwd")).alias("cwd"), F.when(F.col("sequence") % 5 == 1, F.concat(F.lit("b"), F.col("sequence").cast("string"))).alias("branch"), F.lit(None).cast("string").alias("head"))
+
+
+@_query("select event_id, last_value(cwd ignore nulls) over w as cwd, last_value(branch ignore nulls) over w as branch from files window w as (partition by source_path order by source_offset rows unbounded preceding)", FILES)
+def carried_workspaces(log, spark, sf_dir):
+    return tl.carry_workspace(_files(log)).select("event_id", "cwd", "branch")
+
+
+@_query("select event_id, case when kind = 'tool_result' then exists (select 1 from files b where b.source_path = files.source_path and b.call_id = files.call_id and b.kind = 'tool_call' and b.source_offset < files.source_offset) end as matched_call from files", FILES)
+def matched_calls(log, spark, sf_dir):
+    return tl.matched_calls(_files(log)).select("event_id", "matched_call")
+
+
+@_query("select raw_object_id, count(*) as n from (select native_session_id as raw_object_id, kind from log) group by 1 having not bool_and(kind in ('tool_call','tool_result','file_read','file_write','patch','shell_command','command_result'))")
+def kept_raws(log, spark, sf_dir):
+    rows = log.select(F.col("native_session_id").alias("raw_object_id"), "kind")
+    return re_.kept_raws(rows.groupBy("raw_object_id").agg(F.count(F.lit(1)).alias("n")), rows)
+
+
+@_query("select event_id as blob_hash from log b where not exists (select 1 from log r where r.event_id = b.event_id and r.kind = 'user_message') and (kind = 'error' or ts_seconds < 1704100000 - 86400)")
+def collectable_blobs(log, spark, sf_dir):
+    rows = log.select(F.col("event_id").alias("blob_hash"), F.col("ts_seconds").alias("stored_at"), "kind")
+    return re_.collectable_blobs(rows.drop("kind"), rows.where("kind = 'user_message'"), rows.where("kind = 'error'"), 1704100000).select("blob_hash")
+
+
+@_query("select event_id from (select *, ingestion_id % 2 = 0 as blank from log) where tool_family = 'claude-code' and kind in ('user_message','assistant_message') and blank")
+def legacy_envelopes(log, spark, sf_dir):
+    blank = log.withColumn("payload_json", F.when(F.col("ingestion_id") % 2 == 0, F.lit('{"text":""}')).otherwise(F.col("payload_json")))
+    return re_.legacy_envelopes(blank).select("event_id")
+
+
+@_query("select source_id, max(batch) as batch, arg_max(stamp, batch) as stamp from (select concat('s', cast(ts_seconds % 11 as varchar)) as source_id, ingestion_id as batch, ts_seconds as stamp from log) group by 1")
+def source_cursors(log, spark, sf_dir):
+    return st.cursors(log.select(F.concat(F.lit("s"), (F.col("ts_seconds") % 11).cast("string")).alias("source_id"), F.col("ingestion_id").alias("batch"), F.col("ts_seconds").alias("stamp")))
+
+
+@_query("select event_id as raw_object_id from log where ingestion_id % 3 > 0")
+def verified_raws(log, spark, sf_dir):
+    rows = log.select(F.col("event_id").alias("raw_object_id"), F.col("payload_json").cast("binary").alias("bytes"), "ingestion_id")
+    good = F.concat(F.lit("sha256:"), F.sha2("bytes", 256))
+    return st.verified_blobs(rows.withColumn("blob_hash", F.when(F.col("ingestion_id") % 3 > 0, good).otherwise("sha256:0"))).select("raw_object_id")
+
+
+@_query("select native_session_id as path from (select native_session_id, max(ts_seconds) as last from log group by 1) where 1704300000 - last >= 3600")
+def quiet_paths(log, spark, sf_dir):
+    return ing.quiet_paths(log.select(F.col("native_session_id").alias("path"), F.col("ts_seconds").alias("at")), 1704300000, 3600)
+
+
+@_query(f"select event_id from (select * from log where ingestion_id % 3 < 2 order by {BACK} limit 200)")
+def live_page(log, spark, sf_dir):
+    third = F.col("ingestion_id") % 3
+    page = log.where(third == 0).orderBy(*[F.col(c).desc() for c in ORDER.split(", ")]).limit(200)
+    return tl.live_page(page, log.where(third == 1))[0].select("event_id")
+
+
+@_query("select coalesce(s.tool_family, b.tool_family) as tool_family, coalesce(sessions, 0) as sessions, coalesce(branches, []) as branches from (select tool_family, count(*) as sessions from sessions where tool_family <> 'grok' group by 1) s full join (select tool_family, list_sort(list_distinct(list(concat('b', cast(ingestion_id % 3 as varchar))))) as branches from log where tool_family <> 'codex' group by 1) b on s.tool_family = b.tool_family", SESSIONS)
+def tool_inventory(log, spark, sf_dir):
+    tools = ov.session_tools(log.where("tool_family <> 'grok'"))
+    branches = log.where("tool_family <> 'codex'").select("tool_family", F.concat(F.lit("b"), (F.col("ingestion_id") % 3).cast("string")).alias("branch"))
+    return ov.tool_inventory(tools, branches)
+
+
+@_query("select native_session_id as path, count(*) as n from log where native_session_id in (select native_session_id from log where kind = 'error') group by 1")
+def present_paths(log, spark, sf_dir):
+    known = log.groupBy(F.col("native_session_id").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return ov.present(known, log.where("kind = 'error'").select(F.col("native_session_id").alias("path")))
+
+
+@_query("select event_id, kind, tool_family, ts_seconds from log where event_id = 'conv:3#1'")
+def event_detail(log, spark, sf_dir):
+    return Service(log).event_detail("conv:3#1").select("event_id", "kind", "tool_family", "ts_seconds")
+
+
+@_query("select native_session_id, title, event_count from listed where native_session_id = 'user:7'", STATS, LIST)
+def native_session(log, spark, sf_dir):
+    return Service(log).native_session("user:7").select("native_session_id", "title", "event_count")
+
+
+@_query("select * from listed order by content_bytes desc, native_session_id limit 25", STATS, LIST)
+def largest_sessions(log, spark, sf_dir):
+    return ov.sort_sessions(ov.session_list(log), "size").limit(25)
+
+
+@_query("select global_id, provenance_id, created_at from (select concat('gs_', cast(ts_seconds % 3 as varchar)) as global_id, event_id as provenance_id, lpad(cast(ingestion_id as varchar), 12, '0') as created_at from log) where global_id = 'gs_1' order by created_at desc, provenance_id desc limit 128")
+def newest_records(log, spark, sf_dir):
+    rows = log.select(F.concat(F.lit("gs_"), (F.col("ts_seconds") % 3).cast("string")).alias("global_id"), F.col("event_id").alias("provenance_id"), F.lpad(F.col("ingestion_id").cast("string"), 12, "0").alias("created_at"))
+    return ho.newest_records(rows, "gs_1")
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, directory of tables)."""
     return dict(_QUERIES)
