@@ -15,6 +15,9 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step handles; numpy needs about 60 times as much for a moment.
 SLICE_BYTES = 1 << 18
 
+#: Powers that a waiting worker keeps, 16 bytes each.
+MOST_POWERS = 1 << 21
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -69,7 +72,8 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def release() -> None:
     """Drops tables that can be built again, and hands unused memory to the system."""
-    POWERS.__init__()
+    if len(POWERS.up) > MOST_POWERS:
+        POWERS.__init__()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
