@@ -441,7 +441,7 @@ HANDED = f"""members as (select distinct native_session_id, concat('gs_', md5(co
 ranked as (select m.global_id, l.*, sum(canonical_bytes) over w as running, row_number() over w as rn from log l join members m using (native_session_id) window w as (partition by global_id order by {BACK} rows unbounded preceding)),
 handed as (select *, case when ingestion_id % 3 > 0 then concat('b', ingestion_id % 3) end as branch, case when ingestion_id % 3 = 1 then 'h1' end as head,
   nullif(array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: case when {SECRET} then '[REDACTED]' else w end), ' '), '') as fact from ranked where rn <= 256 and (rn = 1 or running <= {4 << 20}))"""
-SHORT = "case when strlen({x}) <= 2048 then {x} else concat(left({x}, len(list_filter(range(1, least(length({x}), 2045) + 1), lambda k: strlen(left({x}, k)) <= 2045))), '…') end"
+SHORT = "case when {x} is null then null when strlen({x}) <= 2048 then {x} else concat(left({x}, len(list_filter(range(1, least(length({x}), 2045) + 1), lambda k: strlen(left({x}, k)) <= 2045))), '…') end"
 
 
 @_query(
