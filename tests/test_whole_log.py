@@ -13,7 +13,7 @@ from threadlake.plans.fixtures import event_log
 def test_merge_covers_the_whole_log(spark):
     log = event_log(spark, f"{DATA}/sf0.001")
     want = {(r["event_id"], r["kind"]) for r in log.select("event_id", "kind").collect()}
-    found = [tuple(r) for r in registry.queries()["merged_log"](spark, f"{DATA}/sf0.001").collect()]
+    found = [tuple(r) for r in registry.queries()["merged_events"](spark, f"{DATA}/sf0.001").collect()]
     assert len(found) == len(want) and set(found) == want
     assert {i.split(":")[0] for i, _ in found} == {"conv", "user"}
 
@@ -57,7 +57,7 @@ def test_candidates_of_any_score_against_brute_force(spark):
 def test_every_session_has_terms_and_an_assignment(spark):
     ids = {r[0] for r in event_log(spark, f"{DATA}/sf0.001").select("native_session_id").distinct().collect()}
     assert any(i.startswith("user:") for i in ids)
-    for name in ("all_session_terms", "all_session_assignments"):
+    for name in ("session_terms", "session_assignments"):
         found = [r["native_session_id"] for r in registry.queries()[name](spark, f"{DATA}/sf0.001").collect()]
         assert len(found) == len(ids) and set(found) == ids
 
@@ -67,6 +67,6 @@ def test_excerpts_of_long_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("conversations", "events"):
         spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").limit(1).write.parquet(f"{tmp_path}/{name}.parquet")
-    found = {r["doc_id"]: (r["bytes"], r["excerpt_md5"], r["truncated"]) for r in registry.queries()["whole_excerpts"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: (r["bytes"], r["excerpt_md5"], r["truncated"]) for r in registry.queries()["excerpts"](spark, str(tmp_path)).collect()}
     plain = lambda t: t if len(t.encode()) <= 2048 else t.encode()[:2045].decode(errors="ignore") + "…"
     assert found == {i: (len(t.encode()), hashlib.md5(plain(t).encode()).hexdigest(), len(t.encode()) > 2048) for i, t in enumerate(texts)}

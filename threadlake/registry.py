@@ -17,6 +17,7 @@ from threadlake.operators import retention as re_
 from threadlake.operators import search as se
 from threadlake.operators import timeline as tl
 from threadlake.plans.fixtures import event_log, oracle
+from threadlake.plans.lineage import settled
 from threadlake.service import Service
 from threadlake.streaming import ingest as ing
 from threadlake.streaming import store as st
@@ -183,13 +184,8 @@ def native_rank(log, spark, sf_dir):
     return tl.native_rank(log).select("event_id", F.col("native_rank").cast("long").alias("native_rank"))
 
 
-@_query("select distinct event_id, kind from log where ingestion_id < 70000")
-def merged_events(log, spark, sf_dir):
-    return tl.merge_events(log.where("ingestion_id < 50000"), log.where("ingestion_id between 20000 and 69999")).select("event_id", "kind")
-
-
 @_query("select distinct event_id, kind from log")
-def merged_log(log, spark, sf_dir):
+def merged_events(log, spark, sf_dir):
     # Two lists that share a third of the ids and together hold the whole log.
     third = F.col("ingestion_id") % 3
     return tl.merge_events(log.where(third <= 1), log.where(third >= 1)).select("event_id", "kind")
@@ -260,14 +256,8 @@ def content_terms(log, spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(terms).cast("long").alias("terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
 
 
-@_query("select doc_id, least(strlen(text), 100000) as bytes, strlen(text) > 2048 as truncated from docs", DOCS)
-def excerpts(log, spark, sf_dir):
-    cut = _docs(spark, sf_dir).withColumn("cut", t.excerpt(F.col("text")))
-    return cut.select("doc_id", F.least(F.octet_length("text").cast("long"), F.lit(100000).cast("long")).alias("bytes"), F.col("cut.truncated").alias("truncated"))
-
-
 @_query("select doc_id, strlen(text) as bytes, md5(case when strlen(text) <= 2048 then text else concat(left(text, len(list_filter(range(1, least(length(text), 2045) + 1), lambda k: strlen(left(text, k)) <= 2045))), '…') end) as excerpt_md5, strlen(text) > 2048 as truncated from docs", DOCS)
-def whole_excerpts(log, spark, sf_dir):
+def excerpts(log, spark, sf_dir):
     cut = _docs(spark, sf_dir).withColumn("cut", t.excerpt(F.col("text")))
     return cut.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("cut.text")).alias("excerpt_md5"), F.col("cut.truncated").alias("truncated"))
 
@@ -284,68 +274,10 @@ def parsed_timestamps(log, spark, sf_dir):
     return log.select("event_id", stamp.alias("stamp")).select("event_id", "stamp", ch.seconds(F.col("stamp")).alias("seconds"), ch.nanos(F.col("stamp")).alias("nanos"), ch.precision(F.col("stamp")).alias("precision"))
 
 
-TERMS = f"""chat as (select * from log where native_session_id like 'conv:%'),
-tokens as (select native_session_id, list_filter(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(left(w, 64))), lambda w: strlen(w) >= 4) as words, {ORDER} from chat),
-summary as (select native_session_id, list_distinct(list_slice(flatten(list(words order by {ORDER})), 1, 512)) as terms from tokens group by 1),
-side as (select s.native_session_id as id, s.terms, l.family, l.cwd, l.a, l.z from summary s join (select native_session_id, any_value(tool_family) as family, rtrim(any_value(cwd), '/') as cwd, min(ts_seconds) as a, max(ts_seconds) as z from chat group by 1) l using (native_session_id)),
-scored as (select l.id as left_id, r.id as right_id, l.cwd = r.cwd as same_workspace, greatest(0, l.a - r.z, r.a - l.z) <= 604800 as near_in_time,
-  case when len(list_distinct(list_concat(l.terms, r.terms))) > 0 then len(list_intersect(l.terms, r.terms))::double / len(list_distinct(list_concat(l.terms, r.terms))) else 0.0::double end as similarity
-  from side l join side r on l.id < r.id and l.family <> r.family where len(list_intersect(l.terms, r.terms)) > 0 or l.cwd = r.cwd),
-pairs as (select *, least(1.0::double, case when same_workspace then 0.65::double else 0.0::double end + case when near_in_time then 0.15::double else 0.0::double end + similarity * case when same_workspace then 0.20::double else 0.85::double end) as score from scored)"""
-
-
-def _chat(log: DataFrame) -> DataFrame:
-    return log.where(F.col("native_session_id").startswith("conv:"))
-
-
-@_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", TERMS)
-def session_terms(log, spark, sf_dir):
-    s = co.summaries(_chat(log))
-    return s.select("native_session_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
-
-
-@_query("select left_id, right_id, same_workspace, near_in_time, round(similarity, 9) as similarity, round(score, 9) as score from pairs", TERMS)
-def pair_scores(log, spark, sf_dir):
-    scores = co.pair_scores(co.summaries(_chat(log)))
-    return scores.select("left_id", "right_id", "same_workspace", "near_in_time", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
-
-
-PARENTS = """both_ways as (select left_id as id, right_id as other, score from pairs union all select right_id, left_id, score from pairs),
-best as (select b.id as native_session_id, max(row(b.score, b.other)) as top from both_ways b join side x on x.id = b.id join side y on y.id = b.other where row(y.a, y.id) < row(x.a, x.id) group by 1)"""
-
-
-@_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", TERMS, PARENTS)
-def best_candidates(log, spark, sf_dir):
-    s = co.summaries(_chat(log)).persist()
-    return co.best_candidates(s, co.pair_scores(s)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
-
-
 THRESHOLD = 0.4
 
-
-@_query(
-    f"select native_session_id, root, concat('gs_', left(sha256(root), 32)) as global_id from (select s.id as native_session_id, coalesce(c.root, s.id) as root from side s left join (select id, arg_max(head, depth) as root from climb group by 1) c on c.id = s.id)",
-    TERMS,
-    PARENTS,
-    f"parent as (select native_session_id as id, top[2] as up from best where top[1] >= {THRESHOLD})",
-    "climb as (with recursive c as (select id, up as head, 1 as depth from parent union all select c.id, p.up, depth + 1 from c join parent p on p.id = c.head) select * from c)",
-)
-def session_assignments(log, spark, sf_dir):
-    s = co.summaries(_chat(log)).persist()
-    return co.assignments(s, co.pair_scores(s), THRESHOLD)
-
-
-@_query(
-    "select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs where score >= 0.2",
-    TERMS,
-)
-def correlation_candidates(log, spark, sf_dir):
-    rows = co.candidates(co.pair_scores(co.summaries(_chat(log))).where("score >= 0.2D"), THRESHOLD)
-    return rows.select("candidate_id", "left_id", "right_id", F.round("score", 9).alias("score"), "status")
-
-
-# The whole log: every session, and the best candidate of any score.
-ALL_TERMS = f"""context as (select * from (select *, sum(canonical_bytes) over (partition by native_session_id order by {BACK} rows unbounded preceding) as running, row_number() over (partition by native_session_id order by {BACK}) as rn from log) where rn <= 256 and (rn = 1 or running <= {4 << 20})),
+# Every session, and the best candidate of any score.
+TERMS = f"""context as (select * from (select *, sum(canonical_bytes) over (partition by native_session_id order by {BACK} rows unbounded preceding) as running, row_number() over (partition by native_session_id order by {BACK}) as rn from log) where rn <= 256 and (rn = 1 or running <= {4 << 20})),
 tokens as (select native_session_id, case when text is null then [] else list_filter(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(left(w, 64))), lambda w: strlen(w) >= 4) end as words, {ORDER} from context),
 summary as (select native_session_id, list_distinct(list_slice(flatten(list(words order by {ORDER})), 1, 512)) as terms from tokens group by 1),
 side as (select s.native_session_id as id, s.terms, l.family, l.cwd, l.a, l.z from summary s join (select native_session_id, any_value(tool_family) as family, rtrim(any_value(cwd), '/') as cwd, min(ts_seconds) as a, max(ts_seconds) as z from log group by 1) l using (native_session_id)),
@@ -357,37 +289,37 @@ pairs as (select * from every where shared > 0 or same_workspace or near_in_time
 
 
 def _scored(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = co.summaries(log).persist()
+    s = settled(co.summaries(log))
     return s, co.pair_scores(s, co.all_pairs(s))
 
 
-@_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", ALL_TERMS)
-def all_session_terms(log, spark, sf_dir):
+@_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", TERMS)
+def session_terms(log, spark, sf_dir):
     return co.summaries(log).select("native_session_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
 
 
-@_query("select left_id, right_id, same_workspace, near_in_time, round(similarity, 9) as similarity, round(score, 9) as score from pairs", ALL_TERMS)
-def all_pair_scores(log, spark, sf_dir):
+@_query("select left_id, right_id, same_workspace, near_in_time, round(similarity, 9) as similarity, round(score, 9) as score from pairs", TERMS)
+def pair_scores(log, spark, sf_dir):
     return _scored(log)[1].select("left_id", "right_id", "same_workspace", "near_in_time", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
 
 
-@_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", ALL_TERMS)
-def all_best_candidates(log, spark, sf_dir):
+@_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", TERMS)
+def best_candidates(log, spark, sf_dir):
     return co.best_candidates(*_scored(log)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
 
 
 @_query(
     "select native_session_id, root, concat('gs_', left(sha256(root), 32)) as global_id from (select s.id as native_session_id, coalesce(c.root, s.id) as root from side s left join (select id, arg_max(head, depth) as root from climb group by 1) c on c.id = s.id)",
-    ALL_TERMS,
+    TERMS,
     f"parent as (select native_session_id as id, top[2] as up from best where top[1] >= {THRESHOLD})",
     "climb as (with recursive c as (select id, up as head, 1 as depth from parent union all select c.id, p.up, depth + 1 from c join parent p on p.id = c.head) select * from c)",
 )
-def all_session_assignments(log, spark, sf_dir):
+def session_assignments(log, spark, sf_dir):
     return co.assignments(*_scored(log), THRESHOLD)
 
 
-@_query("select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs", ALL_TERMS)
-def all_correlation_candidates(log, spark, sf_dir):
+@_query("select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs", TERMS)
+def correlation_candidates(log, spark, sf_dir):
     return co.candidates(_scored(log)[1], THRESHOLD).select("candidate_id", "left_id", "right_id", F.round("score", 9).alias("score"), "status")
 
 
@@ -496,7 +428,7 @@ def search_index(log, spark, sf_dir):
 
 
 LINKS = [
-    ALL_TERMS,
+    TERMS,
     "links as (select case when right_first then left_id else right_id end as id, max(row(score, case when right_first then right_id else left_id end))[2] as up from every where score >= 0.8 group by 1)",
     "climb as (with recursive c as (select id, up as head, 1 as depth from links union all select c.id, p.up, depth + 1 from c join links p on p.id = c.head) select * from c)",
 ]
@@ -509,27 +441,27 @@ def reconciled_sessions(log, spark, sf_dir):
     return co.reconcile(s, nobody, s).select("native_session_id", "global_id", "algorithm_version")
 
 
-@_query("select native_session_id, ended_at from (select id as native_session_id, z as ended_at from side) order by ended_at desc, native_session_id desc limit 64", ALL_TERMS)
+@_query("select native_session_id, ended_at from (select id as native_session_id, z as ended_at from side) order by ended_at desc, native_session_id desc limit 64", TERMS)
 def newest_summaries(log, spark, sf_dir):
     return co.newest_summaries(co.summaries(log), 64).select("native_session_id", "ended_at")
 
 
 @_query("select left_id, right_id, [concat('{\"signal\":\"workspace\",\"matched\":', same_workspace, '}'), concat('{\"signal\":\"temporal\",\"matched\":', near_in_time, '}')] as evidence from pairs", TERMS)
 def candidate_evidence(log, spark, sf_dir):
-    rows = co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD)
+    rows = co.candidates(_scored(log)[1], THRESHOLD)
     return rows.select("left_id", "right_id", F.slice("evidence", 1, 2).alias("evidence"))
 
 
 @_query("select candidate_id, status, score from (select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, case when ends_with(left_id, '1') then 'rejected' when score >= 0.4 then 'accepted' else 'pending' end as status, round(score, 9) as score from pairs) where status = 'pending' or status = 'rejected'", TERMS)
 def upserted_candidates(log, spark, sf_dir):
-    fresh = co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD)
+    fresh = co.candidates(_scored(log)[1], THRESHOLD)
     known = fresh.where(F.col("left_id").endswith("1")).withColumn("status", F.lit("rejected")).withColumn("score", F.lit(0.0))
     return co.upsert_candidates(known, fresh).where("status <> 'accepted'").select("candidate_id", "status", F.round("score", 9).alias("score"))
 
 
 @_query("select left_id, right_id, target_id from (select left_id, right_id from pairs where (contains(lower(left_id), 'v:1') or contains(lower(right_id), 'v:1') or contains(concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)), 'v:1')) and score < 0.4) p left join (select concat('conv:', cast(conv_id as varchar)) as m, min(concat('gs_', cast(conv_id % 7 as varchar))) as target_id from conversations where conv_id % 2 = 0 group by 1) t on p.right_id = t.m", TERMS)
 def candidate_targets(log, spark, sf_dir):
-    rows = co.filter_candidates(co.candidates(co.pair_scores(co.summaries(_chat(log))), THRESHOLD), "V:1", True)
+    rows = co.filter_candidates(co.candidates(_scored(log)[1], THRESHOLD), "V:1", True)
     members = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 2 = 0").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("native_session_id"), F.concat(F.lit("gs_"), (F.col("conv_id") % 7).cast("string")).alias("global_id")).distinct()
     return co.with_target(rows, members).select("left_id", "right_id", "target_id")
 
