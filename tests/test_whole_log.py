@@ -52,6 +52,15 @@ def test_candidates_of_any_score_against_brute_force(spark):
     scores = co.pair_scores(s, co.all_pairs(s))
     assert {(r["left_id"], r["right_id"]) for r in scores.collect()} == kept
     assert {r["native_session_id"]: (round(r["score"], 9), r["parent"]) for r in co.best_candidates(s, scores).collect()} == best
+    few = co.deciding_pairs(s)
+    assert {r["native_session_id"]: (round(r["score"], 9), r["parent"]) for r in co.best_candidates(s, co.pair_scores(s, few)).collect()} == best
+    near = {}
+    for x in rows:
+        for y in rows:
+            if x[1] != y[1] and (y[4], y[0]) < (x[4], x[0]) and x[4] - y[5] <= 7 * DAY:
+                near[x[0]] = max(near.get(x[0], ""), y[0])
+    found = {(r["a"], r["b"]) for r in co.latest_near(s).collect()}
+    assert found == {(min(p), max(p)) for p in near.items()} and near
 
 
 def test_every_session_has_terms_and_an_assignment(spark):
@@ -70,3 +79,21 @@ def test_excerpts_of_long_texts(spark, tmp_path):
     found = {r["doc_id"]: (r["bytes"], r["excerpt_md5"], r["truncated"]) for r in registry.queries()["excerpts"](spark, str(tmp_path)).collect()}
     plain = lambda t: t if len(t.encode()) <= 2048 else t.encode()[:2045].decode(errors="ignore") + "…"
     assert found == {i: (len(t.encode()), hashlib.md5(plain(t).encode()).hexdigest(), len(t.encode()) > 2048) for i, t in enumerate(texts)}
+
+
+def test_latest_near_at_the_edges(spark):
+    """Whole days only, so that spans often touch, tie and lie exactly a window apart."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        start = rng.randrange(60) * DAY
+        rows.append((f"s{i:03}", rng.choice(("codex", "grok", "opencode")), start, start + rng.choice((0, 0, 1, 7, 20)) * DAY))
+    s = spark.createDataFrame(rows, "native_session_id string, family string, started_at long, ended_at long")
+    near = {}
+    for x in rows:
+        for y in rows:
+            if x[1] != y[1] and (y[2], y[0]) < (x[2], x[0]) and x[2] - y[3] <= 7 * DAY:
+                near[x[0]] = max(near.get(x[0], ""), y[0])
+    assert {(r["a"], r["b"]) for r in co.latest_near(s).collect()} == {(min(p), max(p)) for p in near.items()}
+    assert any(x[2] - y[3] == 7 * DAY for x in rows for y in rows if near.get(x[0]) == y[0])
+    assert co.latest_near(s.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Which sessions of different tools belong together, and why.
 
 Pairs are met through what they share: a term, or a workspace. A pair that shares
-neither scores at most for its time, which never links; ``time_pairs`` finds those
-where the best candidate of any score is wanted.
+neither scores at most for its time, which never links; ``latest_near`` finds the one
+that decides where the best candidate of any score is wanted.
 """
 
 from __future__ import annotations
@@ -181,6 +181,38 @@ def last_resorts(s: DataFrame, met: DataFrame) -> DataFrame:
     return best.select(F.least("native_session_id", "other").alias("a"), F.greatest("native_session_id", "other").alias("b"))
 
 
+def latest_near(s: DataFrame) -> DataFrame:
+    """Of each session, the greatest id among earlier ones of other families within the window, as a pair.
+
+    Pairs that share nothing and are near in time all score the same, so this one
+    decides for all of them, and they need not be listed. An earlier session is
+    near one that starts in week w if it starts in w too, lasts into w, or ends in
+    the week before at most a window earlier: two running maxima and a sum by week.
+    """
+    week = WINDOW_SECONDS
+    at = s.select(F.col("native_session_id").alias("id"), "family", "started_at", "ended_at", F.floor(F.col("started_at") / week).alias("sw"), F.floor(F.col("ended_at") / week).alias("ew"))
+    families = s.select(F.col("family").alias("f")).distinct()
+    gives = at.join(F.broadcast(families), F.col("f") != F.col("family"))
+    no, none = F.lit(0), F.lit(None).cast("string")
+    point = lambda rows, f, piece, w, value, late, given: rows.select("id", f.alias("f"), F.lit(piece).alias("piece"), w.alias("w"), value.alias("value"), late.alias("late"), given.alias("given"))
+    points = point(gives, F.col("f"), 1, F.col("sw"), F.col("started_at"), no, F.col("id"))
+    points = points.unionByName(point(at, F.col("family"), 1, F.col("sw"), F.col("started_at"), no, none))
+    points = points.unionByName(point(gives, F.col("f"), 2, F.col("ew") + 1, -F.col("ended_at"), no, F.col("id")))
+    points = points.unionByName(point(at, F.col("family"), 2, F.col("sw"), week - F.col("started_at"), F.lit(1), none))
+    w = Window.partitionBy("f", "piece", "w").orderBy("value", "late", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    partly = points.withColumn("other", F.max("given").over(w)).where("given is null").select("id", "other")
+    lasting = gives.where("ew > sw").select("f", "id", F.explode(F.sequence(F.col("sw") + 1, F.col("ew"))).alias("w")).groupBy("f", "w").agg(F.max("id").alias("other"))
+    whole = at.join(lasting, (F.col("family") == F.col("f")) & (F.col("sw") == F.col("w"))).select("id", "other")
+    best = partly.unionByName(whole).groupBy("id").agg(F.max("other").alias("other")).where("other is not null")
+    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+
+def deciding_pairs(s: DataFrame) -> DataFrame:
+    """Pairs among which each session's best earlier one is, whatever its score; few are near in time only."""
+    met = settled(meeting_pairs(s).unionByName(latest_near(s)).distinct())
+    return met.unionByName(last_resorts(s, met)).distinct()
+
+
 def all_pairs(s: DataFrame) -> DataFrame:
     """Pairs that share something or are near in time, and of each session the best earlier one whatever its score."""
     met = meeting_pairs(s).unionByName(time_pairs(s)).distinct()

@@ -293,6 +293,11 @@ def _scored(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s, co.pair_scores(s, co.all_pairs(s))
 
 
+def _deciding(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = settled(co.summaries(log))
+    return s, co.pair_scores(s, co.deciding_pairs(s))
+
+
 @_query("select native_session_id, len(terms) as n_terms, md5(array_to_string(list_sort(terms), ' ')) as terms_md5 from summary", TERMS)
 def session_terms(log, spark, sf_dir):
     return co.summaries(log).select("native_session_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
@@ -305,7 +310,7 @@ def pair_scores(log, spark, sf_dir):
 
 @_query("select native_session_id, top[2] as parent, round(top[1], 9) as score from best", TERMS)
 def best_candidates(log, spark, sf_dir):
-    return co.best_candidates(*_scored(log)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
+    return co.best_candidates(*_deciding(log)).select("native_session_id", "parent", F.round("score", 9).alias("score"))
 
 
 @_query(
@@ -315,7 +320,7 @@ def best_candidates(log, spark, sf_dir):
     "climb as (with recursive c as (select id, up as head, 1 as depth from parent union all select c.id, p.up, depth + 1 from c join parent p on p.id = c.head) select * from c)",
 )
 def session_assignments(log, spark, sf_dir):
-    return co.assignments(*_scored(log), THRESHOLD)
+    return co.assignments(*_deciding(log), THRESHOLD)
 
 
 @_query("select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, left_id, right_id, round(score, 9) as score, case when score >= 0.4 then 'accepted' else 'pending' end as status from pairs", TERMS)
