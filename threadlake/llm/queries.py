@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import fingerprints, html_extraction, media, mixing, ngram_join, packing, repeats, token_counts, toxicity, url_templates
+from threadlake.llm import fingerprints, html_extraction, media, merkle, mixing, ngram_join, packing, repeats, token_counts, toxicity, txlog, url_templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op13_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return txlog.replay(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_media": op2_media, "op3_packing": op3_packing, "op4_html_extraction": op4_html_extraction, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_fingerprints": op7_fingerprints, "op8_repeats": op8_repeats, "op9_url_templates": op9_url_templates, "op10_token_counts": op10_token_counts}
+    every = (op1_ngram_join, op2_media, op3_packing, op4_html_extraction, op5_mixing, op6_toxicity, op7_fingerprints, op8_repeats, op9_url_templates, op10_token_counts, op11_merkle, op12_warc, op13_txlog)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -66,4 +79,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": ngram_join.oracle("documents"),
         "op8_repeats": repeats.oracle("documents"),
         "op9_url_templates": url_templates.oracle("pages"),
+        "op11_merkle": merkle.oracle("documents"),
+        "op12_warc": warc.oracle("pages"),
+        "op13_txlog": txlog.oracle("documents", "labels"),
     }
