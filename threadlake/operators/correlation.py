@@ -121,7 +121,10 @@ def reconcile(s: DataFrame, members: DataFrame, changed: DataFrame, rejected: Da
     a session joins the global one of its best match of another family, among
     sessions that have a membership and new ones that began before it, if the
     score reaches the threshold and no user ruled that out; else it seeds one.
-    Memberships that hold are never changed.
+    Memberships that hold are never changed. As if sessions were decided one by one in
+    order of their start: where a chain of links ends at a global session that is
+    ruled out for one on it, that one's link is cut and its next best match is taken, round by
+    round from the chain's end on; what links to it follows.
     """
     known = members.select("native_session_id", "global_id").groupBy("native_session_id").agg(F.min("global_id").alias("global_id"))
     fresh = settled(s.join(changed.select("native_session_id").distinct(), "native_session_id", "left_semi").join(known, "native_session_id", "left_anti"))
@@ -134,21 +137,46 @@ def reconcile(s: DataFrame, members: DataFrame, changed: DataFrame, rejected: Da
     open_pairs = placed.where("other_global is not null or other_at < at").where(F.col("score") >= threshold)
     if rejected is not None:
         open_pairs = open_pairs.join(rejected.select("native_session_id", F.col("global_id").alias("other_global")), ["native_session_id", "other_global"], "left_anti")
-    best = open_pairs.groupBy("native_session_id").agg(F.max(F.struct("score", "other_id", "other_global")).alias("best"))
-    linked = settled(fresh.select("native_session_id").join(best, "native_session_id", "left").select("native_session_id", "best.score", "best.other_id", "best.other_global"))
-    # Chains of new sessions end at one that seeds or joins what is known; doubling finds the end.
-    up = settled(linked.select("native_session_id", F.when(F.col("other_global").isNull(), F.col("other_id")).alias("up"), F.col("other_global").alias("ends")).select("native_session_id", F.coalesce("up", "native_session_id").alias("root"), F.when(F.col("ends").isNotNull(), F.col("ends")).when(F.col("up").isNull(), global_id(F.col("native_session_id"))).alias("ends")))
-    while up.where("ends is null").limit(1).count():
-        further = up.select(F.col("native_session_id").alias("via"), F.col("root").alias("next"), F.col("ends").alias("found"))
-        up = settled(up.join(further, F.col("root") == F.col("via")).select("native_session_id", F.coalesce(F.when(F.col("ends").isNull(), F.col("next")), F.col("root")).alias("root"), F.coalesce("ends", "found").alias("ends")))
-    out = up.join(linked, "native_session_id")
-    if rejected is not None:
-        ruled = rejected.select("native_session_id", F.col("global_id").alias("ends"), F.lit(True).alias("ruled"))
-        out = out.join(ruled, ["native_session_id", "ends"], "left").withColumn("ends", F.when(F.col("ruled"), global_id(F.col("native_session_id"))).otherwise(F.col("ends"))).withColumn("other_id", F.when(F.col("ruled").isNull(), F.col("other_id")))
+    open_pairs = settled(open_pairs.select("native_session_id", "other_id", "other_global", "score"))
+    ruled = None if rejected is None else settled(rejected.join(fresh, "native_session_id", "left_semi").select("native_session_id", F.col("global_id").alias("ends")).distinct())
+    cut = None
+    while True:
+        left = open_pairs if cut is None else open_pairs.join(cut, ["native_session_id", "other_id"], "left_anti")
+        best = left.groupBy("native_session_id").agg(F.max(F.struct("score", "other_id", "other_global")).alias("best"))
+        linked = settled(fresh.select("native_session_id").join(best, "native_session_id", "left").select("native_session_id", "best.score", "best.other_id", "best.other_global"))
+        # A chain of new sessions ends at one that seeds a global session or joins a known one.
+        ends = F.when(F.col("other_id").isNull(), global_id(F.col("native_session_id"))).otherwise(F.col("other_global"))
+        steps = linked.select("native_session_id", F.col("other_id").alias("up"), ends.alias("ends"))
+        found = _chain_ends(steps)
+        if ruled is None:
+            break
+        wrong = settled(found.join(linked.where("other_id is not null"), "native_session_id").join(ruled, ["native_session_id", "ends"], "left_semi").select("native_session_id", "other_id"))
+        if not wrong.limit(1).count():
+            break
+        # What stands below another wrong link waits: its end may change. The others' ends are final, so their link is cut for good.
+        stops = steps.join(wrong.select("native_session_id", F.lit(True).alias("stop")), "native_session_id", "left")
+        below = _chain_ends(stops.select("native_session_id", "up", F.when(F.col("stop"), F.lit(STOP)).otherwise(F.col("ends")).alias("ends")))
+        waits = below.where(F.col("ends") == STOP).select(F.col("native_session_id").alias("other_id"))
+        first = wrong.join(waits, "other_id", "left_anti").select("native_session_id", "other_id")
+        cut = settled(first if cut is None else cut.unionByName(first))
+    out = found.join(linked, "native_session_id")
     version = F.when(F.col("other_id").isNull(), ALGORITHM_SEED).otherwise(ALGORITHM_LINK)
     return out.select("native_session_id", F.col("ends").alias("global_id"), F.when(F.col("other_id").isNull(), F.lit(1.0)).otherwise(F.col("score")).alias("confidence"), version.alias("algorithm_version"), "other_id", F.when(F.col("other_id").isNotNull(), F.col("score")).alias("score"))
 
 
+#: What a chain ends at that runs into a link under question; no global session is called so.
+STOP = "?"
+
+
+def _chain_ends(steps: DataFrame) -> DataFrame:
+    """(native_session_id, ends) of steps(native_session_id, up, ends): up leads on where ends is null. Found by doubling."""
+    up = settled(steps.select("native_session_id", F.when(F.col("ends").isNull(), F.col("up")).otherwise(F.col("native_session_id")).alias("root"), "ends"))
+    while up.where("ends is null").limit(1).count():
+        further = up.select(F.col("native_session_id").alias("via"), F.col("root").alias("next"), F.col("ends").alias("found"))
+        up = settled(up.join(further, F.col("root") == F.col("via")).select("native_session_id", F.when(F.col("ends").isNull(), F.col("next")).otherwise(F.col("root")).alias("root"), F.coalesce("ends", "found").alias("ends")))
+    return up.select("native_session_id", "ends")
+
+
 def refreshed_candidates(s: DataFrame, known: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Pending candidates scored anew where both sessions are there (and one has changed); what users decided stays."""
     pending = known.where("status = 'pending'")
@@ -318,10 +346,15 @@ def rejections(audit: DataFrame) -> DataFrame:
     return last.where("action = 'reject'").select("global_id", "native_session_id")
 
 
-def decide(spark: SparkSession, audit: DataFrame, action: str, global_id: str, native_session_id: str, actor: str, created_at: str, confidence: float = 1.0, version: str = "manual-v1", reason: str = "") -> DataFrame:
-    """The audit with one decision more; RejectedMembership for a link that is ruled out."""
+def refuse_ruled_out(audit: DataFrame, action: str, global_id: str, native_session_id: str) -> None:
+    """RejectedMembership for a link that is ruled out."""
     if action == "link" and rejections(audit).where((F.col("global_id") == global_id) & (F.col("native_session_id") == native_session_id)).limit(1).count():
         raise RejectedMembership(f"{native_session_id} is ruled out of {global_id}")
+
+
+def decide(spark: SparkSession, audit: DataFrame, action: str, global_id: str, native_session_id: str, actor: str, created_at: str, confidence: float = 1.0, version: str = "manual-v1", reason: str = "") -> DataFrame:
+    """The audit with one decision more; RejectedMembership for a link that is ruled out."""
+    refuse_ruled_out(audit, action, global_id, native_session_id)
     seq = (audit.agg(F.max("seq")).first()[0] or 0) + 1
     return audit.unionByName(spark.createDataFrame([(seq, action, global_id, native_session_id, confidence, version, actor, reason, created_at)], AUDIT))
 

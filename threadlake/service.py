@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import text as t
 from threadlake.operators import correlation, handoff, overview, search, timeline
 from threadlake.operators.timeline import page_size
+from threadlake.streaming.store import Store
 
 AGENT_PAGE, AGENT_SESSIONS = 100, 50
 
@@ -18,6 +19,11 @@ class Service:
     def __init__(self, log: DataFrame, audit: DataFrame | None = None, globals_: DataFrame | None = None, handoffs: DataFrame | None = None) -> None:
         self.log, self.audit, self.globals_, self.handoffs = log, audit, globals_, handoffs
 
+    @classmethod
+    def of(cls, store: Store) -> Service:
+        """The questions to a store as it is now."""
+        return cls(store.events(), store.table("decisions"), store.globals(), store.table("handoffs"))
+
     def session_tools(self) -> DataFrame:
         return overview.session_tools(self.log)
 

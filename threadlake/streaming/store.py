@@ -1,13 +1,19 @@
 """An append-only store in Parquet: batches of streams, atomic, idempotent and numbered for good.
 
-A commit is one file ``commits/<number>.json``, created only if it isn't there
-yet. It names what belongs to it: for each table a folder ``<table>/part=<name>``
+A commit is one file ``commits/<number>.json``, written under another name and
+renamed only if the number is free. It names what belongs to it: for each table a folder ``<table>/part=<name>``
 that was written before. What no commit names is not there, so a batch's tables
 appear together, a failed attempt leaves nothing behind, and of two writers that
-take the same number one starts anew. A batch is known by its stream and its
+take the same number one starts anew. A number whose file can't be read is taken
+and means nothing. A batch is known by its stream and its
 number there: a retried one changes nothing, and streams don't meet.
 
-Ingestion ids are a commit's ``base`` plus the row's place in it. The base goes on
+A commit says of each generation (of states: of each path) which offsets its part
+holds, so that a batch is compared with the parts that may hold the same, not with all. Of every
+CHECKPOINT commits the list up to there is written once more in one file; a reader
+takes that and the commits behind it, one that stays open only what is new.
+
+Ingestion ids are a commit's ``base`` plus the row's place in it, without gaps. The base goes on
 from the last commit's, whatever is removed later, so no id comes twice. What
 holds now is a view over what was appended.
 """
@@ -15,14 +21,17 @@ holds now is a view over what was appended.
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import chronology as ch
+from threadlake.operators.correlation import AUDIT, refuse_ruled_out
 from threadlake.operators.retention import MaintenanceReport, collectable_blobs, kept_raws, keep_conversation, latest_per_group, legacy_envelopes, orphans
 
 EVENTS = (
@@ -40,9 +49,19 @@ HANDOFFS = "global_id string, handoff_id string, snapshot_id string, created_at
 SNAPSHOTS = "snapshot_id string, document string"
 REMOVED = "event_id string, source_generation string"
 GONE = "blob_hash string"
-TABLES = {"events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
-#: Generations of a batch up to which they prune the scan of what is stored.
+SUMMARIES = "native_session_id string, family string, cwd string, objective string, terms array<string>, started_at bigint, ended_at bigint, origin string"
+CANDIDATES = "candidate_id string, left_id string, right_id string, score double, status string, evidence array<string>"
+GLOBALS = "global_id string, objective string, created_at string, updated_at string"
+TABLES = {"summaries": SUMMARIES, "decisions": AUDIT, "candidates": CANDIDATES, "globals": GLOBALS, "events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
+#: Generations (or paths) that a commit lists; a part with more is always read.
 FEW = 1000
+#: Commits after which their list is written in one file.
+CHECKPOINT = 64
+#: Columns that place a table's rows: what they belong to, and where in it they stand.
+PLACED = {"events": ("source_generation", "source_offset"), "raws": ("source_generation", "source_offset"), "removed": ("source_generation", None), "states": ("path", None)}
+LOCAL_BITS, ANYWHERE = 33, 1 << 62
+
+Spans = Mapping[str, list[int]]
 
 
 class ImmutableConflict(ValueError):
@@ -51,7 +70,12 @@ class ImmutableConflict(ValueError):
 
 @dataclass
 class Commit:
-    """What one batch of a stream added."""
+    """What one batch of a stream added.
+
+    spans: by table, of each generation or path the least and greatest offset in the
+    part; null if there are too many. starts: of each partition of the events'
+    part the number of its first row; null if their ids are whole.
+    """
 
     number: int
     stream: str
@@ -61,6 +85,100 @@ class Commit:
     revision: int
     parts: dict[str, str] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
+    spans: dict[str, dict[str, list[int]] | None] = field(default_factory=dict)
+    starts: dict[str, int] | None = None
+
+    @classmethod
+    def loaded(cls, text: str) -> Commit | None:
+        """A commit from its file's text, None if that is torn."""
+        try:
+            value = json.loads(text)
+            return cls(**{f.name: value[f.name] for f in fields(cls) if f.name in value})
+        except (ValueError, TypeError, KeyError):
+            return None
+
+    def touches(self, name: str, wanted: Spans | None) -> bool:
+        """Whether the part of a table may hold rows at the wanted places."""
+        own = self.spans.get(name)
+        if wanted is None or own is None:
+            return True
+        return any(k in own and own[k][0] <= hi and lo <= own[k][1] for k, (lo, hi) in wanted.items())
+
+
+class Files:
+    """Small files of a folder in any store that Spark reaches, by Hadoop's client."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.folder = self.jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs = self.folder.getFileSystem(self.conf)
+        self.local = self.fs.getUri().getScheme() == "file"
+        self.gateway = spark.sparkContext._gateway
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.folder, name)
+
+    def _local(self, name: str) -> str:
+        return os.path.join(self.folder.toUri().getPath(), name)
+
+    def make(self) -> None:
+        """The folder, if it isn't there."""
+        self.fs.mkdirs(self.folder)
+
+    def there(self, name: str) -> bool:
+        return os.path.exists(self._local(name)) if self.local else self.fs.exists(self._at(name))
+
+    def read(self, name: str) -> str | None:
+        """A file's text, None if there is none."""
+        if not self.there(name):
+            return None
+        if self.local:
+            with open(self._local(name), encoding="utf-8", errors="replace") as f:
+                return f.read()
+        source = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def write(self, name: str, text: str, replace: bool = False) -> bool:
+        """Puts a whole file in place; whether its name was free, unless it replaces what is there."""
+        waiting = f".{name}.{uuid.uuid4().hex}"
+        if self.local:
+            os.makedirs(self._local(""), exist_ok=True)
+            with open(self._local(waiting), "w", encoding="utf-8") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                if replace:
+                    os.replace(self._local(waiting), self._local(name))
+                else:
+                    os.link(self._local(waiting), self._local(name))  # fails if the name is taken
+            except FileExistsError:
+                return False
+            finally:
+                if os.path.exists(self._local(waiting)):
+                    os.unlink(self._local(waiting))
+            return True
+        out = self.fs.create(self._at(waiting), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if replace else rename.NONE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._at(waiting), self._at(name), how)
+        except Py4JJavaError as e:
+            self.fs.delete(self._at(waiting), False)
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+
+def name_of(number: int) -> str:
+    return f"{number:012}.json"
 
 
 @dataclass
@@ -71,45 +189,72 @@ class Store:
     path: str
     conversation_only: bool = True
 
-    # Files by Hadoop's client, so that the folder may be in any store that Spark reaches.
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __post_init__(self) -> None:
+        self._files: Files | None = None
+        self._known: list[Commit] = []
+        self._next = 0
 
     def commits(self) -> list[Commit]:
-        """All commits in order; their number is that of batches, and each is a few hundred bytes."""
-        folder, fs = self._file("commits")
-        if not fs.exists(folder):
-            return []
-        rows = self.spark.read.schema("number long, stream string, batch long, base long, top long, revision long, parts map<string,string>, counts map<string,long>").json(f"{self.path}/commits/*.json").orderBy("number").collect()
-        return [Commit(**r.asDict()) for r in rows]
+        """All readable commits in order; those that were read before aren't read again."""
+        files = self._files = self._files or Files(self.spark, f"{self.path}/commits")
+        if not self._next and (last := files.read("last")) is not None and last.isdigit():
+            lines = (files.read(f"upto-{last}.jsonl") or "").splitlines()
+            listed = [Commit.loaded(line) for line in lines]
+            if listed and None not in listed:
+                self._known, self._next = listed, int(last) + 1
+        while (text := files.read(name_of(self._next))) is not None:
+            commit = Commit.loaded(text)
+            if commit is not None:
+                self._known.append(commit)
+            self._next += 1
+        return list(self._known)
 
     def _put(self, commit: Commit) -> bool:
         """Whether the commit could take its number."""
-        path, fs = self._file(f"commits/{commit.number:012}.json")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as e:
-            if fs.exists(path):
-                return False
-            raise e
-        out.write(bytearray(json.dumps(commit.__dict__).encode()))
-        out.close()
+        self.commits()
+        if not self._files.write(name_of(commit.number), json.dumps(commit.__dict__)):
+            return False
+        if commit.number % CHECKPOINT == CHECKPOINT - 1:
+            known = [c for c in self.commits() if c.number <= commit.number]
+            self._files.write(f"upto-{commit.number}.jsonl", "\n".join(json.dumps(c.__dict__) for c in known))
+            self._files.write("last", str(commit.number), replace=True)
         return True
 
-    def _read(self, name: str, commits: list[Commit]) -> DataFrame:
-        """A table's rows with the number of their commit; its schema without rows if there are none."""
-        there = [c for c in commits if c.counts.get(name)]
+    def _read(self, name: str, commits: list[Commit], wanted: Spans | None = None) -> DataFrame:
+        """A table's rows with the number of their commit, of the parts that may hold wanted ones; its schema without rows if there are none."""
+        there = [c for c in commits if c.counts.get(name) and c.touches(name, wanted)]
         schema = TABLES[name] + ", number long"
         if not there:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(TABLES[name] + ", part string").option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/{c.parts[name]}" for c in there))
-        named = self.spark.createDataFrame([(c.parts[name].removeprefix("part="), c.number, c.base) for c in there], "part string, number long, base long")
+        named = self.spark.createDataFrame([(c.parts[name].removeprefix("part="), c.number, c.base, None if c.starts is None else {int(k): v for k, v in c.starts.items()}) for c in there], "part string, number long, base long, starts map<long,long>")
         joined = rows.join(F.broadcast(named), "part")
         if name == "events":
-            joined = joined.withColumn("ingestion_id", F.col("base") + F.col("ingestion_id"))
-        return joined.drop("part", "base").select(*(c.split(" ")[0] for c in TABLES[name].split(", ")), "number")
+            local = F.col("starts")[F.shiftright("ingestion_id", LOCAL_BITS)] + F.col("ingestion_id").bitwiseAND((1 << LOCAL_BITS) - 1) + 1
+            joined = joined.withColumn("ingestion_id", F.when(F.col("starts").isNull(), F.col("ingestion_id")).otherwise(F.col("base") + local))
+        return joined.drop("part", "base", "starts").select(*(c.split(" ")[0] for c in TABLES[name].split(", ")), "number")
+
+    def _add(self, commit: Commit, name: str, frame: DataFrame, whole_ids: bool = False) -> None:
+        """Writes a part of a table and notes in the commit what it holds."""
+        commit.parts[name] = f"part=p{uuid.uuid4().hex}"
+        at = f"{self.path}/{name}/{commit.parts[name]}"
+        names = [c.split(" ")[0] for c in TABLES[name].split(", ")]
+        if name == "events" and not whole_ids:
+            # In order within the batch: a range a partition, without one task for all. The numbers are made dense when they are read.
+            frame = frame.repartitionByRange("source_path", "source_offset", "event_id").sortWithinPartitions("source_path", "source_offset", "event_id").withColumn("ingestion_id", F.monotonically_increasing_id())
+        frame.select(*names).write.parquet(at)
+        written = self.spark.read.schema(TABLES[name]).parquet(at)
+        if name == "events" and not whole_ids:
+            commit.starts, n = {}, 0
+            for r in written.groupBy(F.shiftright("ingestion_id", LOCAL_BITS).alias("p")).count().orderBy("p").collect():
+                commit.starts[str(r["p"])] = n
+                n += r["count"]
+            commit.counts[name] = n
+            commit.top += n
+        else:
+            commit.counts[name] = written.count()
+        if name in PLACED:
+            commit.spans[name] = places(written, *PLACED[name])
 
     def table(self, name: str) -> DataFrame:
         """What a table holds now."""
@@ -138,19 +283,9 @@ class Store:
                 return known
             last = commits[-1] if commits else Commit(-1, "", -1, 0, 0, 0)
             number = batch if batch is not None else max((c.batch for c in commits if c.stream == stream), default=-1) + 1
-            commit = Commit(last.number + 1, stream, number, last.top, last.top, last.revision + revise)
+            commit = Commit(self._next, stream, number, last.top, last.top, last.revision + revise)
             for name, frame in make(commits).items():
-                commit.parts[name] = f"part=p{uuid.uuid4().hex}"
-                at = f"{self.path}/{name}/{commit.parts[name]}"
-                names = [c.split(" ")[0] for c in TABLES[name].split(", ")]
-                if name == "events":
-                    # Numbered in order within the batch: a range a partition, without one task for all.
-                    frame = frame.repartitionByRange("source_path", "source_offset", "event_id").sortWithinPartitions("source_path", "source_offset", "event_id").withColumn("ingestion_id", F.monotonically_increasing_id() + 1)
-                frame.select(*names).write.parquet(at)
-                written = self.spark.read.schema(TABLES[name]).parquet(at)
-                counts = written.agg(F.count(F.lit(1)).alias("n"), (F.max("ingestion_id") if name == "events" else F.lit(0)).alias("top")).first()
-                commit.counts[name] = counts["n"]
-                commit.top += counts["top"] or 0
+                self._add(commit, name, frame)
             if self._put(commit):
                 return commit
 
@@ -162,12 +297,12 @@ class Store:
         disposable events are left out, and with them the raws that nothing else needs.
         """
         once = events.groupBy("event_id").agg(F.min(F.struct(*(c for c in events.columns if c != "event_id"))).alias("e")).select("event_id", "e.*")
+        wanted = places(once, *PLACED["events"])
 
         def make(commits: list[Commit]) -> dict[str, DataFrame]:
             kept = keep_conversation(once) if self.conversation_only else once
-            known = self._read("events", commits).select("event_id", "source_generation").unionByName(self._read("removed", commits).select("event_id", "source_generation"))
-            known = self._of_batch(known, once)
-            out = {"events": kept.join(known.select("event_id"), "event_id", "left_anti")}
+            known = self._read("events", commits, wanted).select("event_id").unionByName(self._read("removed", commits, wanted).select("event_id"))
+            out = {"events": kept.join(known, "event_id", "left_anti")}
             if raws is not None:
                 out["raws"] = self._fresh_raws(kept_raws(raws, events) if self.conversation_only else raws, commits)
             if states is not None:
@@ -178,13 +313,8 @@ class Store:
 
         return self.transact(stream, batch, make).counts["events"]
 
-    def _of_batch(self, stored: DataFrame, batch: DataFrame) -> DataFrame:
-        """The stored rows of the batch's file generations; an identity never moves to another one."""
-        found = [r[0] for r in batch.select("source_generation").distinct().limit(FEW + 1).collect()]
-        return stored.where(F.col("source_generation").isin(found)) if len(found) <= FEW else stored
-
     def _fresh_raws(self, raws: DataFrame, commits: list[Commit]) -> DataFrame:
-        known = self._of_batch(self._read("raws", commits), raws).select("raw_object_id", F.col("blob_hash").alias("known_hash")).distinct()
+        known = self._read("raws", commits, places(raws, *PLACED["raws"])).select("raw_object_id", F.col("blob_hash").alias("known_hash")).distinct()
         grouped = raws.groupBy("raw_object_id").agg(F.min("blob_hash").alias("least"), F.max("blob_hash").alias("most"))
         if grouped.join(known, "raw_object_id", "left").where("least <> most or known_hash <> least").limit(1).count():
             raise ImmutableConflict("a stored raw record would change")
@@ -203,10 +333,15 @@ class Store:
         return self.transact("revision", None, lambda _: {}, revise=True).revision
 
     def states(self, paths: DataFrame | None = None) -> DataFrame:
-        """The last state of each file and generation."""
-        rows = self._read("states", self.commits())
-        if paths is not None:
-            rows = rows.join(F.broadcast(paths.select("path").distinct()), "path", "left_semi")
+        """The last state of each file and generation (of some paths), from the last parts that say something of them."""
+        commits = [c for c in self.commits() if c.counts.get("states")]
+        wanted = None if paths is None else places(paths, "path", None)
+        if wanted is not None:
+            last = {path: c.number for c in commits for path in c.spans.get("states") or () if path in wanted}
+            commits = [c for c in commits if c.spans.get("states") is None or c.number in last.values()]
+        rows = self._read("states", commits)
+        if wanted is not None:
+            rows = rows.where(F.col("path").isin(list(wanted)))
         return rows.groupBy("path", "source_generation").agg(F.max_by(F.struct("next_sequence", "state"), "number").alias("s")).select("path", "source_generation", "s.*")
 
     def cursor(self, source_id: str) -> dict | None:
@@ -221,15 +356,46 @@ class Store:
 
     # Handoffs and their snapshots are named by their content: the same again changes nothing.
 
+    def fresh_handoffs(self, rows: DataFrame, commits: list[Commit]) -> dict[str, DataFrame]:
+        """Of handoffs(global_id, handoff_id, snapshot_id, created_at, document) what isn't there yet, as two tables."""
+        fresh = rows.dropDuplicates(["handoff_id"]).join(self._read("handoffs", commits).select("handoff_id"), "handoff_id", "left_anti")
+        shots = rows.select("snapshot_id", "document").dropDuplicates(["snapshot_id"]).join(self._read("snapshots", commits).select("snapshot_id"), "snapshot_id", "left_anti")
+        return {"handoffs": fresh, "snapshots": shots}
+
     def store_handoffs(self, rows: DataFrame) -> int:
-        """Adds handoffs(global_id, handoff_id, snapshot_id, created_at, document) that aren't there; how many."""
+        """Adds handoffs that aren't there; how many."""
+        return self.transact("handoffs", None, lambda commits: self.fresh_handoffs(rows, commits)).counts["handoffs"]
 
-        def make(commits: list[Commit]) -> dict[str, DataFrame]:
-            fresh = rows.dropDuplicates(["handoff_id"]).join(self._read("handoffs", commits).select("handoff_id"), "handoff_id", "left_anti")
-            shots = rows.select("snapshot_id", "document").dropDuplicates(["snapshot_id"]).join(self._read("snapshots", commits).select("snapshot_id"), "snapshot_id", "left_anti")
-            return {"handoffs": fresh, "snapshots": shots}
+    # What reconciling adds: the last row of a session or candidate holds; a global session's times move on.
+
+    def _last(self, name: str, key: str) -> DataFrame:
+        rows = self._read(name, self.commits())
+        return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (key, "number"))), "number").alias("x")).select(key, "x.*")
+
+    def summaries(self) -> DataFrame:
+        return self._last("summaries", "native_session_id")
 
-        return self.transact("handoffs", None, make).counts["handoffs"]
+    def candidates(self) -> DataFrame:
+        return self._last("candidates", "candidate_id")
+
+    def globals(self, more: DataFrame | None = None) -> DataFrame:
+        """Global sessions with their first objective and latest update; with rows that are about to be added."""
+        rows = self.table("globals")
+        rows = rows if more is None else rows.unionByName(more)
+        return rows.groupBy("global_id").agg(F.min_by("objective", "created_at").alias("objective"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+
+    def decide(self, action: str, global_id: str, native_session_id: str, actor: str, at: str, confidence: float = 1.0, version: str = "manual-v1", reason: str = "") -> None:
+        """Adds a user's decision; RejectedMembership for a link that is ruled out."""
+
+        def make(_: list[Commit]) -> dict[str, DataFrame]:
+            refuse_ruled_out(self.table("decisions"), action, global_id, native_session_id)
+            return {"decisions": self.spark.createDataFrame([(self.next_number(), action, global_id, native_session_id, confidence, version, actor, reason, at)], AUDIT)}
+
+        self.transact("decisions", None, make)
+
+    def next_number(self) -> int:
+        """The number that the next commit will have, unless another writer is faster; it orders decisions."""
+        return self._next
 
     # Blobs by the hash of their bytes.
 
@@ -274,12 +440,10 @@ class Store:
         last = self._read("cursors", commits).groupBy("source_id").agg(F.max_by(F.struct("collector_id", "source_generation", "byte_offset", "next_sequence", "updated_at"), "number").alias("c")).select("source_id", "c.*")
         # A removal is remembered beside what retention dropped.
         removed = self._read("removed", commits).drop("number").unionByName(events.join(kept.select("event_id"), "event_id", "left_anti").select("event_id", "source_generation")).distinct()
-        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed}
+        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed, "summaries": self.summaries(), "decisions": self.table("decisions"), "candidates": self.candidates(), "globals": self.globals()}
         whole = Commit(0, "maintenance", 0, 0, self.watermark(), self.revision())
         for name, frame in frames.items():
-            whole.parts[name] = f"part=p{uuid.uuid4().hex}"
-            frame.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.parquet(f"{target}/{name}/{whole.parts[name]}")
-            whole.counts[name] = self.spark.read.schema(TABLES[name]).parquet(f"{target}/{name}/{whole.parts[name]}").count()
+            after._add(whole, name, frame, whole_ids=True)
         after._put(whole)
         seen: dict[tuple[str, int], Commit] = {(c.stream, c.batch): c for c in commits}
         for k, c in enumerate(seen.values()):
@@ -288,6 +452,14 @@ class Store:
         return after, report
 
 
+def places(rows: DataFrame, of: str, at: str | None) -> dict[str, list[int]] | None:
+    """Of each generation or path the least and greatest offset of its rows, all offsets without ``at``; None if there are more than FEW."""
+    whole = [-ANYWHERE, ANYWHERE]
+    low, high = (F.min(at), F.max(at)) if at else (F.lit(None).cast("long"),) * 2
+    found = rows.groupBy(F.coalesce(of, F.lit("")).alias("of")).agg(low.alias("low"), high.alias("high")).limit(FEW + 1).collect()
+    return {r["of"]: whole if r["low"] is None else [r["low"], r["high"]] for r in found} if len(found) <= FEW else None
+
+
 def verified_blobs(raws: DataFrame) -> DataFrame:
     """Raws whose bytes are what their hash says."""
     return raws.where(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)) == F.col("blob_hash"))
