@@ -324,7 +324,9 @@ def plain_templates(urls, rules, s):
             m, b = count(ids)
             if name == "*" or len(branches) >= s.spread and len(branches) >= s.share * len(family):
                 name = "*"
-            elif m >= s.support and pm - m >= s.support:
+            elif m < s.support:
+                name = "+"
+            elif pm - m >= s.support:
                 p0 = pb / pm
                 if abs(b / m - (pb - b) / (pm - m)) <= s.z * (p0 * (1 - p0) * (1 / m + 1 / (pm - m))) ** 0.5:
                     name = "+"
@@ -337,7 +339,11 @@ def plain_templates(urls, rules, s):
                 grow(ids, depth + 1, f"{template}/{name}")
 
     for host in {r[0] for r in rows}:
-        grow([i for i, r in enumerate(rows) if r[0] == host], 0, "")
+        members = [i for i, r in enumerate(rows) if r[0] == host]
+        m, b = sum(rows[i][2] is not None for i in members), sum(rows[i][2] is not None and rows[i][2].action == "block" for i in members)
+        if m >= s.support:
+            best |= dict.fromkeys(members, ("/", (b + s.strength / 2) / (m + s.strength)))
+            grow(members, 0, "")
     out = {}
     for i, (_, _, rule, _) in enumerate(rows):
         template, purity = best.get(i, (None, 0.0))
@@ -368,7 +374,7 @@ def test_trees_equal_plain(spark, seed):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.execute(url_templates.oracle("pages", rules, settings)).fetchall()))
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
     rng = random.Random(4)
@@ -379,8 +385,8 @@ def test_pipeline_stages(spark):
     rows += [(40, clean[0], "en", "s0", 1), (41, clean[1][:-6] + "edited", "en", "s1", 1), (42, "You are a stupid idiot. Such a pathetic loser!", "en", "s0", 1), (43, common + " " + clean[2][:50], "en", "s1", 1), (44, clean[3][:60] + common, "en", "s2", 1), (45, None, None, None, None), (46, "", "en", "s0", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    labels.write.mode("overwrite").parquet("/tmp/threadlake-test-labels/labels.parquet")
-    where = "/tmp/threadlake-test-labels"
+    where = str(tmp_path)
+    labels.write.parquet(f"{where}/labels.parquet")
     calm = cp.drop_toxic(spark, docs, where)
     assert {r[0] for r in docs.select("doc_id").collect()} - {r[0] for r in calm.select("doc_id").collect()} == {42}
     single = cp.drop_near_copies(spark, calm, where)

@@ -5,9 +5,10 @@ decides are the labelled ones. Per host, path segments become the branches of a
 tree, one level at a time, as deep as labelled urls reach. A segment turns into
 the wildcard ``*`` if it looks like an identifier (it holds a digit, or is long)
 or if its position takes too many distinct values; branches whose blocked shares
-a two-proportion test cannot tell apart become ``+``. The deepest template with
-enough labelled urls decides: it is rejected if its smoothed share of blocked urls
-reaches the threshold. All other urls are allowed.
+a two-proportion test cannot tell apart from their siblings' become ``+``, and so do
+branches with too few labelled urls for a test. The deepest template with
+enough labelled urls decides, up to the host's root, ``/``: it is rejected if its smoothed share of blocked urls
+reaches the threshold. Urls of hosts without enough labelled ones are allowed.
 
 A template below one that lacks support can't have it, so only branches with
 enough labelled urls are followed: the tree ends by itself, and no depth is cut.
@@ -19,8 +20,7 @@ back is salted, so that a hot path spreads out.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and is allowed unless a rule fits; empty segments don't count; a url is no child
-of the template it ends at; the tree starts with the first segment, so a host as
-a whole is never judged; no url is dropped; an empty table gives an empty result;
+of the template it ends at; one without segments is judged by the root; no url is dropped; an empty table gives an empty result;
 repeated rows each get their verdict; a null page_id is kept.
 """
 
@@ -59,7 +59,7 @@ class Settings:
     spread, share: distinct values, and their share of the urls, that make a position variable.
     long: characters of a segment that count as an identifier."""
 
-    support: int = 10
+    support: int = 4
     purity: float = 0.8
     strength: float = 2.0
     z: float = 1.96
@@ -92,10 +92,11 @@ def judged(shapes: DataFrame, s: Settings) -> DataFrame:
     whose longer template still has support.
     """
     shapes = stored(shapes)
-    found = []
-    at = shapes.withColumn("template", F.lit("")).withColumn("purity", F.lit(None).cast("double"))
-    while True:
-        d = len(found)
+    blocked = lambda b, m: (F.col(b) + s.strength / 2) / (F.col(m) + s.strength)
+    roots = shapes.groupBy("host").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb")).where(F.col("tm") >= s.support)
+    at = stored(shapes.join(roots.select("host", blocked("tb", "tm").alias("purity")), "host").withColumn("template", F.lit("")))
+    found, d = [at.select("host", "segments", F.lit("/").alias("template"), "purity", F.lit(-1).alias("depth"))], 0
+    while at.where(F.size("segments") > d).limit(1).count():
         inner = at.where(F.size("segments") > d).withColumn("s", F.col("segments")[d]).drop("purity")
         branch = inner.groupBy("host", "template", "s").agg(*(F.sum(c).alias(c) for c in "nmb"))
         family = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"p{c}") for c in "nmb"), F.count(F.lit(1)).alias("kinds"))
@@ -104,15 +105,13 @@ def judged(shapes: DataFrame, s: Settings) -> DataFrame:
         even, one = part("pb", "pm"), F.lit(1.0)
         alike = F.abs(part("b", own) - part(F.col("pb") - F.col("b"), rest)) <= s.z * F.sqrt(even * (1 - even) * (part(one, own) + part(one, rest)))
         variable = (F.col("kinds") >= s.spread) & (F.col("kinds") >= s.share * F.col("pn"))
-        name = F.when((F.col("s") == "*") | variable, "*").when((own < s.support) | (rest < s.support), F.col("s")).when(alike, "+").otherwise(F.col("s"))
+        name = F.when((F.col("s") == "*") | variable, "*").when(own < s.support, "+").when(rest < s.support, F.col("s")).when(alike, "+").otherwise(F.col("s"))
         named = branch.join(family, ["host", "template"]).select("host", "template", "s", "m", "b", name.alias("t"))
         node = named.groupBy("host", "template", "t").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb")).where(F.col("tm") >= s.support)
-        purity = (F.col("tb") + s.strength / 2) / (F.col("tm") + s.strength)
-        longer = named.select("host", "template", "s", "t").join(node, ["host", "template", "t"]).select("host", "template", "s", F.concat("template", F.lit("/"), "t").alias("longer"), purity.alias("purity"))
+        longer = named.select("host", "template", "s", "t").join(node, ["host", "template", "t"]).select("host", "template", "s", F.concat("template", F.lit("/"), "t").alias("longer"), blocked("tb", "tm").alias("purity"))
         at = stored(inner.join(longer, ["host", "template", "s"]).select("host", "segments", "n", "m", "b", F.col("longer").alias("template"), "purity"))
         found.append(at.select("host", "segments", "template", "purity", F.lit(d).alias("depth")))
-        if not at.where(F.size("segments") > d + 1).limit(1).count():
-            break
+        d += 1
     every = found[0]
     for level in found[1:]:
         every = every.unionByName(level)
@@ -146,17 +145,17 @@ fits as (select nth, arg_min(struct_pack(name := name, action := action), row(-l
 ruled as (select u.page_id, u.host, u.path, f.best.name as rule, f.best.action as action, list_transform(list_filter(string_split(u.path, '/'), lambda x: x <> ''), lambda x: case when len(x) >= {s.long} or regexp_matches(x, '[0-9]') then '*' else x end) as segments from urls u left join fits f using (nth)),
 shapes as (select host, segments, count(*) as n, count(action) as m, count(*) filter (action = 'block') as b from ruled group by all),
 tree as (
-  select host, segments, n, m, b, 0 as depth, '' as template, null::double as purity from shapes
+  select host, segments, n, m, b, 0 as depth, '' as template, (sum(b) over (partition by host) + {s.strength / 2}) / (sum(m) over (partition by host) + {s.strength}) as purity from shapes where host in (select host from shapes group by host having sum(m) >= {s.support})
   union all
   select host, segments, n, m, b, depth + 1, template || '/' || t, (tb + {s.strength / 2}) / (tm + {s.strength}) from (
     select *, sum(m) over (partition by host, template, t) as tm, sum(b) over (partition by host, template, t) as tb from (
       select *, case when s = '*' or kinds >= {s.spread} and kinds >= {s.share} * pn then '*'
-        when bm < {s.support} or pm - bm < {s.support} then s
+        when bm < {s.support} then '+' when pm - bm < {s.support} then s
         when abs(bb / bm - (pb - bb) / (pm - bm)) <= {s.z} * sqrt(pb / pm * (1 - pb / pm) * (1 / bm + 1 / (pm - bm))) then '+' else s end as t
       from (
         select *, sum(m) over f as pm, sum(b) over f as pb, sum(n) over f as pn, count(distinct s) over f as kinds, sum(m) over c as bm, sum(b) over c as bb
         from (select *, segments[depth + 1] as s from tree where len(segments) > depth)
         window f as (partition by host, template), c as (partition by host, template, s)))) where tm >= {s.support}),
-best as (select host, segments, arg_max(template, depth) as template, arg_max(purity, depth) as purity from tree where depth > 0 group by host, segments)
+best as (select host, segments, arg_max(case when depth = 0 then '/' else template end, depth) as template, arg_max(purity, depth) as purity from tree group by host, segments)
 select r.page_id, r.host, r.path, r.rule, coalesce(r.action, case when b.purity >= {s.purity} then 'block' else 'allow' end) as verdict, b.template
 from ruled r left join best b on r.host = b.host and r.segments = b.segments"""
