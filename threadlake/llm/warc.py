@@ -104,7 +104,7 @@ class _Archive:
 
     def __post_init__(self) -> None:
         where, path = file_system(self.folder)
-        self.out = where.open_output_stream(f"{path}/{self.name}")
+        self.out = where.open_output_stream(f"{path}/{self.name}", compression=None)  # it would compress .gz once more
         self.member = None
 
     def put(self, data: bytes) -> None:
@@ -260,7 +260,7 @@ def read_archives(files: DataFrame, folder: str, with_bytes: bool = True, size:
         for names_ in batches:
             for name in names_.column(0).to_pylist():
                 rows, held = [], 0
-                with where.open_input_stream(f"{path}/{name}") as source:
+                with where.open_input_stream(f"{path}/{name}", compression=None) as source:
                     for row in stream_archive(source, size):
                         if with_bytes or row[8]:
                             rows.append((name, *(row if with_bytes else (*row[:5], None, *row[6:]))))
