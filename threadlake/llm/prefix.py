@@ -31,12 +31,15 @@ def before(rows: DataFrame, at: str, what: Mapping[str, tuple[str, str]], by: Se
 
 
 def _level(rows: DataFrame, at: str, what: Mapping[str, tuple[str, str]], by: list[str], ties: list[str], bits: int, lo: int, hi: int) -> DataFrame:
-    dealt = rows.withColumn("_block", F.shiftright(at, bits))
+    first, blocks = lo >> bits, (hi >> bits) - (lo >> bits)
+    dealt = rows.withColumn("_block", F.shiftright(at, bits) - F.lit(first))  # shifted before it is moved to 0, so that it fits
     w = Window.partitionBy(*by, "_block").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
     inner = dealt.withColumns({name: FOLDS[how](column).over(w) for name, (column, how) in what.items()})
-    if lo >> bits < hi >> bits:
-        totals = dealt.groupBy(*by, "_block").agg(*(FOLDS[how](column).alias(f"_{name}") for name, (column, how) in what.items()))
-        upper = _level(totals.withColumnRenamed("_block", "_at"), "_at", {f"_up_{name}": (f"_{name}", how) for name, (_, how) in what.items()}, by, [], bits, lo >> bits, hi >> bits)
+    if blocks:
+        totals = dealt.groupBy(*by, "_block").agg(*(FOLDS[how](column).alias(f"_{name}") for name, (column, how) in what.items())).withColumnRenamed("_block", "_at")
+        if blocks >> bits:  # more levels follow: they start from here, not from the rows
+            totals = stored(totals)
+        upper = _level(totals, "_at", {f"_up_{name}": (f"_{name}", how) for name, (_, how) in what.items()}, by, [], bits, 0, blocks)
         inner = inner.join(upper.select(*by, F.col("_at").alias("_block"), *(f"_up_{name}" for name in what)), [*by, "_block"])
         inner = inner.withColumns({name: F.coalesce(name, F.lit(0)) + F.coalesce(f"_up_{name}", F.lit(0)) if how == "sum" else F.greatest(name, f"_up_{name}") for name, (_, how) in what.items()})
     else:
