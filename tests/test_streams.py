@@ -1,0 +1,233 @@
+"""Ranges of files, bounded batches, sources that change in place, the index, and all of it together."""
+
+import json
+import random
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadlake.functions.identity import sha256
+from threadlake.operators import correlation as co
+from threadlake.operators import search as se
+from threadlake.service import Service
+from threadlake.sources import snapshots, tail
+from threadlake.streaming import index, ingest, whole
+from threadlake.streaming import store as st
+
+
+def rollout_line(kind, at, **payload):
+    return json.dumps({"type": kind, "timestamp": f"2026-07-20T10:{at // 60 % 60:02}:{at % 60:02}Z", "payload": payload}) + "\n"
+
+
+def rollout(rng, n):
+    """A rollout whose headers, calls and results lie far apart, with bad lines between."""
+    out, calls = [rollout_line("session_meta", 0, id="S0", cwd="/w0")], []
+    for k in range(1, n):
+        pick = rng.random()
+        if pick < 0.05:
+            out.append(rollout_line("turn_context", k, cwd=rng.choice(["/a", "/b", None]), git={"branch": rng.choice(["x", None])}))
+        elif pick < 0.08:
+            out.append(rollout_line("session_meta", k, id=f"S{k}", git={"head": f"h{k}"}))
+        elif pick < 0.3:
+            calls.append(f"c{k}")
+            out.append(rollout_line("response_item", k, type="function_call", call_id=calls[-1]))
+        elif pick < 0.5:
+            out.append(rollout_line("response_item", k, type="function_call_output", call_id=rng.choice([*calls, "unknown"])))
+        elif pick < 0.55:
+            out.append(rng.choice(["{broken\n", "[1]\n", '{"type":"session_meta","payload":{"id":"no","cwd":"/no"}}\n']))
+        else:
+            out.append(rollout_line("response_item", k, type="message", role="user", content=[{"text": f"text {k}"}], api_key="k"))
+    return "".join(out)
+
+
+def claude(n):
+    return "".join(json.dumps({"type": "user", "sessionId": "C", "timestamp": "2026-07-20T10:00:00Z", "message": {"content": f"c{k}"}} if k % 3 else {"type": "summary"}) + "\n" for k in range(n))
+
+
+def grok(n, bad=None):
+    update = lambda k: {"timestamp": k, "params": {"sessionId": "g", "update": {"sessionUpdate": "user_message_chunk" if k % 4 else "tool_call", "content": {"type": "text", "text": f"g{k}"}}}}
+    return "".join("not json\n" if k == bad else json.dumps(update(k)) + "\n" for k in range(n))
+
+
+def parsed(spark, path, family, chunk, **more):
+    rows = spark.read.format("jsonl_tail").options(path=str(path), chunk=chunk).load()
+    return sorted((tuple(r) for r in ingest.parse_lines(rows, family, chunk=chunk, **more).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("family", "body"), [("codex", rollout(random.Random(1), 400)), ("claude-code", claude(200)), ("grok", grok(150)), ("grok", grok(150, bad=70))])
+def test_a_file_in_64_ranges_gives_the_rows_of_one(spark, tmp_path, family, body):
+    tail.register(spark)
+    path = tmp_path / "rollout-a.jsonl"
+    path.write_text(body)
+    chunk = -(-len(body.encode()) // 64)
+    rows = spark.read.format("jsonl_tail").options(path=str(path), chunk=chunk).load()
+    assert rows.rdd.getNumPartitions() == 64
+    whole_, cut = parsed(spark, path, family, 1 << 30), parsed(spark, path, family, chunk)
+    assert cut == whole_ and len(cut) > 50
+    events = [json.loads(r[7]) for r in cut if r[7]]
+    if family == "codex":
+        matched = [e["payload"]["matched_call"] for e in events if "matched_call" in e["payload"]]
+        assert len(set(matched)) == 2 and len({e["native_session_id"] for e in events}) > 3
+        assert any(r[11] == ["/payload/api_key"] for r in cut)
+    if "not json" in body:
+        assert sum(r[6] == "file_malformed" for r in cut) == 1 and max(r[2] for r in cut if r[7]) < max(r[2] for r in cut if r[6])
+
+
+def test_ranges_go_on_from_earlier_batches(spark, tmp_path):
+    tail.register(spark)
+    body = rollout(random.Random(2), 120).encode()
+    cut = body.index(b"\n", len(body) // 2) + 1
+    path = tmp_path / "rollout-a.jsonl"
+    path.write_bytes(body)
+    want = [r for r in parsed(spark, path, "codex", 1 << 30) if r[9] is None]
+    lines = spark.read.format("jsonl_tail").options(path=str(path), chunk=500).load()
+    first = ingest.parse_lines(lines.where(F.col("source_offset") < cut), "codex", chunk=500).persist()
+    second = ingest.parse_lines(lines.where(F.col("source_offset") >= cut), "codex", states=ingest.state_rows(first), calls=ingest.call_rows(first), chunk=500)
+    got = [tuple(r) for r in first.unionByName(second).collect() if r["next_sequence"] is None]
+    assert sorted(got, key=repr) == want
+
+
+def test_bounded_batches_read_a_backlog_once_each(spark, tmp_path):
+    sizes = {"a": 3000, "b": 60, "c": 900, "d": 1}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.jsonl").write_text(claude(n))
+    total = sum((tmp_path / f"{name}.jsonl").stat().st_size for name in sizes)
+    limit = 1 << 17
+    at, batches, seen = {"files": "{}", "turn": ""}, 0, []
+    paths = sorted(str(tmp_path / f"{name}.jsonl") for name in sizes)
+    reader = tail.TailStreamReader({"path": f"{tmp_path}/*.jsonl", "batch_bytes": str(limit), "chunk": "10000"})
+    while (to := tail.planned(at, paths, limit)) != at:
+        spans = reader.partitions(at, to)
+        rows = [r for s in spans for r in reader.read(s)]
+        assert 0 < sum(len(r[3]) for r in rows) <= limit + 200 * len(sizes)
+        seen += [(r[0], r[2]) for r in rows]
+        at, batches = to, batches + 1
+    assert batches == -(-total // limit) or batches == -(-total // limit) + 1
+    assert len(seen) == len(set(seen)) == sum(sizes.values())
+    # A stream that starts again goes on from its own log of offsets.
+    store = st.Store(spark, str(tmp_path / "store"))
+    run = lambda: ingest.ingest(spark, f"{tmp_path}/*.jsonl", "claude-code", store, f"{tmp_path}/cp", batch_bytes=total // 3)
+    run()
+    assert 3 <= len(store.commits()) <= 5 and store.events().count() == sum(n - -(-n // 3) for n in sizes.values())
+    before = len(store.commits())
+    with (tmp_path / "d.jsonl").open("a") as f:
+        f.write(claude(3))
+    run()
+    assert len(store.commits()) == before + 1 and store.commits()[-1].counts["events"] == 2
+
+
+def test_long_lines_and_turns(tmp_path):
+    path = tmp_path / "x"
+    path.write_bytes(b"a" * 500 + b"\nbb\n" + b"c" * 10 + b"\n")
+    assert [tail.whole_before(str(path), 0, most, 515) for most in (1, 500, 501, 503, 504, 515)] == [501, 501, 501, 501, 504, 515]
+    assert tail.shares({"a": 100, "b": 5, "c": 100}, 60, "a", least=1) == {"b": 5, "c": 35, "a": 20}
+    assert tail.shares({"a": 100, "b": 100}, 50, "a", least=1 << 16) == {"b": 50}
+
+
+def database(path, n):
+    with sqlite3.connect(path) as db:
+        db.executescript("create table session(id,directory,title); create table message(id,session_id,data); create table part(id,message_id,session_id,time_created,time_updated,data)")
+        db.execute("insert into session values('s','/w','About parsers'),('t','/v','')")
+        db.execute("""insert into message values('m','s','{"role":"user"}'),('n','t','{"role":"tool"}')""")
+        db.executemany("insert into part values(?,?,?,?,?,?)", [(f"p{i:03}", "m", "s", i, i, json.dumps({"type": "text", "text": f"part {i}"})) for i in range(n)])
+        db.execute("""insert into part values('q','n','t',1,1,'{"type":"text","text":"z"}'),('tool','m','s',5,5,'{"type":"tool"}'),('none','m','s',6,6,'{"type":"text","text":""}')""")
+
+
+def test_database_pages_and_passes(tmp_path):
+    path = str(tmp_path / "o.db")
+    database(path, 300)
+    assert [len(p) for p in snapshots.pages(path)] == [128, 128, 45]
+    assert [len(p) for p in snapshots.pages(path, mark=200)] == [128, 128, 44]
+    reader = snapshots.PartReader({"path": path, "batch_pages": "1"})
+    at, sizes, ids = reader.initialOffset(), [], []
+    while (to := reader.after(at)) != at:
+        rows = [r for s in reader.planned(at, to) for r in reader.read(s)]
+        sizes.append(len(rows))
+        ids += [r[2] for r in rows]
+        at = to
+    assert sizes == [128, 128, 45] and len(set(ids)) == 301 and at["mark"] == 299
+    with sqlite3.connect(path) as db:
+        db.execute("""insert into part values('late','n','t',0,400,'{"type":"text","text":"y"}')""")
+    rows = []
+    while (to := reader.after(at)) != at:
+        rows += [(r[3], r[2], r[4]) for s in reader.planned(at, to) for r in reader.read(s)]
+        at = to
+    # Both sessions have news since the mark, whose own time counts too; each is read whole, once.
+    assert [r for r in rows if r[0] == "t"] == [("t", "late", 0), ("t", "q", 1)] and len(rows) == len(set(rows)) == 302 and at["mark"] == 400
+
+
+def home(tmp_path):
+    root = tmp_path / "home"
+    words = "parser tokens grammar lexer syntax"
+    files = {
+        ".codex/sessions/2026/07/20/rollout-a.jsonl": rollout_line("session_meta", 0, id="A", cwd="/w") + rollout_line("response_item", 1, type="message", role="user", content=[{"text": words}]),
+        ".claude/projects/x/b.jsonl": json.dumps({"type": "user", "sessionId": "B", "cwd": "/w", "timestamp": "2026-07-20T11:00:00Z", "message": {"content": words}}) + "\n",
+        ".continue/sessions/c.json": json.dumps({"sessionId": "C", "workspaceDirectory": "/w", "history": [{"message": {"role": "user", "content": "continued " + words}}]}),
+        ".continue/sessions/broken.json": "{",
+        ".gemini/cli/history.jsonl": json.dumps({"conversationId": "d", "display": "prompt of agy", "timestamp": 1784541600000, "workspace": "/v"}) + "\n",
+        ".grok/sessions/long-name/id/updates.jsonl": grok(5),
+        ".grok/sessions/long-name/.cwd": "/told/here\n",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / ".local/share/opencode").mkdir(parents=True)
+    database(str(root / ".local/share/opencode/o.db"), 3)
+    return root
+
+
+def test_a_whole_round_from_six_tools_to_handoffs(spark, tmp_path):
+    root, store = home(tmp_path), st.Store(spark, str(tmp_path / "store"))
+    found = whole.run_once(spark, str(root), store, str(tmp_path / "cp"))
+    assert sorted(f for f, _ in found.sources) == ["agy", "claude-code", "codex", "continue", "grok", "opencode"]
+    events = store.events().collect()
+    assert {r["tool_family"] for r in events} == set(ingest.PARSERS) | {"continue", "opencode"}
+    assert {r["cwd"] for r in events if r["tool_family"] == "grok"} == {"/told/here"}
+    assert sorted((r["native_session_id"], r["sequence"]) for r in events if r["tool_family"] == "opencode") == [("opencode:s", k) for k in range(3)] + [("opencode:t", 0)]
+    assert store.table("raws").count() == len(events) + 1  # the broken document's
+    members = {r["native_session_id"]: r["global_id"] for r in co.memberships(store.table("decisions")).collect()}
+    assert set(members) == {r["native_session_id"] for r in events} and members["claude:B"] == members["A"]
+    assert store.table("handoffs").count() >= len(set(members.values())) - 1
+    # A rewritten document: its new message alone is an event.
+    n, doc = store.events().count(), root / ".continue/sessions/c.json"
+    value = json.loads(doc.read_text())
+    value["history"].append({"message": {"role": "assistant", "content": "an answer"}})
+    doc.write_text(json.dumps(value))
+    pattern = next(where for family, where in found.sources if family == "continue")
+    ingest.ingest(spark, pattern, "continue", store, f"{tmp_path}/cp/continue-{sha256(pattern)[:12]}").awaitTermination()
+    assert store.events().count() == n + 1
+    service = Service.of(store)
+    assert {r["native_session_id"] for r in service.search("grammar").collect()} == {"A", "claude:B", "continue:C"}
+    assert [r["native_session_id"] for r in service.search("an-answer").collect()] == ["continue:C"]
+
+
+def test_index_keeps_up_with_appends_removals_and_merges(spark, tmp_path):
+    store, rng = st.Store(spark, str(tmp_path / "store")), random.Random(5)
+    words = ["fox", "hound", "brown", "quick", "lazy", "café"]
+    text = lambda: " ".join(rng.sample(words, 3))
+
+    def put(name, n):
+        body = "".join(rollout_line("response_item", k, type="message", role="user", content=[{"text": text()}]) for k in range(n))
+        (tmp_path / f"rollout-{name}.jsonl").write_text(body)
+        tail.register(spark)
+        rows = spark.read.format("jsonl_tail").option("path", f"{tmp_path}/rollout-{name}.jsonl").load()
+        ingest.put_lines(store, rows, "codex", None, name)
+
+    def same():
+        for query in ("fox", "fox-hound", "cafe brown", "absent", "--"):
+            assert [r["event_id"] for r in index.search(store, query, 500).collect()] == [r["event_id"] for r in se.search(store.events(), query, 500).collect()]
+
+    for k in range(4):
+        put(f"f{k}", 6)
+        index.index_stream(store, f"{tmp_path}/cp").awaitTermination()
+    assert len(index.live(store.commits())) == 1 and any(c.stream == index.MERGE for c in store.commits())
+    put("late", 3)  # not indexed yet
+    same()
+    gone = store.events().orderBy("event_id").limit(5).select("event_id")
+    assert store.remove_events(gone) == 5
+    same()
+    index.index_stream(store, f"{tmp_path}/cp").awaitTermination()
+    assert not index.unindexed(store.commits()) and index.postings(store).select("event_id").distinct().count() == store.events().count()
+    files = index.opened(store, "fox")
+    assert files and {f.split("bucket=")[1].split("/")[0] for f in files} == {str(index._segments(store, index.live(store.commits())).where("token = 'fox'").first()["bucket"])}

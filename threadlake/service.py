@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import text as t
 from threadlake.operators import correlation, handoff, overview, search, timeline
 from threadlake.operators.timeline import page_size
+from threadlake.streaming import index
 from threadlake.streaming.store import Store
 
 AGENT_PAGE, AGENT_SESSIONS = 100, 50
@@ -16,13 +17,14 @@ AGENT_PAGE, AGENT_SESSIONS = 100, 50
 class Service:
     """Queries over an event log and, where they matter, an audit of memberships and tables of sessions."""
 
-    def __init__(self, log: DataFrame, audit: DataFrame | None = None, globals_: DataFrame | None = None, handoffs: DataFrame | None = None) -> None:
+    def __init__(self, log: DataFrame, audit: DataFrame | None = None, globals_: DataFrame | None = None, handoffs: DataFrame | None = None, store: Store | None = None) -> None:
+        self.store = store
         self.log, self.audit, self.globals_, self.handoffs = log, audit, globals_, handoffs
 
     @classmethod
     def of(cls, store: Store) -> Service:
         """The questions to a store as it is now."""
-        return cls(store.events(), store.table("decisions"), store.globals(), store.table("handoffs"))
+        return cls(store.events(), store.table("decisions"), store.globals(), store.table("handoffs"), store)
 
     def session_tools(self) -> DataFrame:
         return overview.session_tools(self.log)
@@ -48,8 +50,9 @@ class Service:
         return self.log.where(F.col("event_id") == name)
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
-        """Events that hold all words, with what they show and their sessions."""
-        hits = search.search(self.log, query, page_size(limit)).withColumn("content", t.event_content(F.col("payload_json")))
+        """Events that hold all words, with what they show and their sessions; by the store's index where there is one."""
+        found = search.search(self.log, query, page_size(limit)) if self.store is None else index.search(self.store, query, page_size(limit))
+        hits = found.withColumn("content", t.event_content(F.col("payload_json")))
         shown = self.log.join(hits.select("native_session_id").distinct(), "native_session_id", "left_semi")
         return search.with_session(hits, overview.session_list(shown))
 

@@ -1,7 +1,8 @@
 """Files of JSON lines as a Spark data source that tails them by byte offsets.
 
 Registered as ``jsonl_tail``; options: path (a glob of files that driver and
-executors see), chunk (bytes of a partition). Partitions never split a record: each
+executors see), chunk (bytes of a partition), batch_bytes (of a stream's batch, 0: no limit)
+and checkpoint (of the stream: where a limited one goes on after a restart). Partitions never split a record: each
 has the whole lines that begin in it; a batch ends behind a file's last whole line. A file's generation is a hash of its identity
 and first line; a replaced or shrunken file is read anew from its start.
 """
@@ -15,6 +16,7 @@ import json
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -139,31 +141,107 @@ class TailReader(DataSourceReader):
         return read_span(partition) if partition.path else iter(())
 
 
+def whole_before(path: str, first: int, most: int, end: int, step: int = 1 << 16) -> int:
+    """The end of the last whole line within ``most`` bytes from first on; of the first line if that is longer."""
+    if end - first <= most:
+        return end
+    with open(path, "rb") as f:
+        at = first + most
+        while at > first:
+            begin = max(first, at - step)
+            f.seek(begin)
+            found = f.read(at - begin).rfind(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            at = begin
+        f.seek(first)
+        f.readline()
+        return min(end, f.tell())
+
+
+def shares(left: dict[str, int], limit: int, turn: str, least: int = 1 << 16) -> dict[str, int]:
+    """How many bytes each file may give: even shares, in turn after the file that was served last; what is left over goes round once more."""
+    paths = sorted(left)
+    order = [p for p in paths if p > turn] + [p for p in paths if p <= turn]
+    rest, out = limit, {}
+    for most in (max(limit // max(1, len(order)), min(limit, least)), limit):
+        for path in order:
+            take = min(left[path] - out.get(path, 0), most, rest)
+            if take > 0:
+                out[path] = out.get(path, 0) + take
+                rest -= take
+    return out
+
+
+def last_offset(checkpoint: str) -> dict | None:
+    """The last offset that a stream with one source has planned, from its checkpoint folder; None before the first."""
+    where, path = fs.FileSystem.from_uri(checkpoint) if "://" in checkpoint else (fs.LocalFileSystem(), checkpoint.removeprefix("file:"))
+    found = where.get_file_info(fs.FileSelector(f"{path}/offsets", allow_not_found=True))
+    numbers = sorted((int(f.base_name), f.path) for f in found if f.base_name.isdigit())
+    if not numbers:
+        return None
+    with where.open_input_stream(numbers[-1][1]) as f:
+        return json.loads(f.read().decode().splitlines()[-1])
+
+
+def planned(start: dict, paths: list[str], limit: int) -> dict:
+    """The end of the next batch: every file's position, or as much of it as the limit admits."""
+    before, now, first = json.loads(start["files"]), {}, {}
+    for path in paths:
+        with contextlib.suppress(FileNotFoundError):
+            now[path] = position(path)
+            first[path] = _first(path, before.get(path), now[path])
+    left = {p: now[p]["offset"] - first[p] for p in now if now[p]["offset"] > first[p]}
+    turn = start.get("turn", "")
+    if limit and sum(left.values()) > limit:
+        given = shares(left, limit, turn)
+        for path in left:
+            if path not in given:
+                if path in before:
+                    now[path] = before[path]
+                else:
+                    del now[path]
+                continue
+            end = whole_before(path, first[path], given[path], now[path]["offset"])
+            if end < now[path]["offset"]:
+                now[path] = {"generation": now[path]["generation"], "offset": end, "rest": 0, "partial": ""}
+        turn = max(given, key=lambda p: (p <= turn, p))
+    return {"files": json.dumps(now, sort_keys=True), "turn": turn}
+
+
+def _first(path: str, prior: dict | None, to: dict) -> int:
+    """Where a file's next batch begins."""
+    seen = _digest(path, prior["offset"], prior["rest"]) if prior and prior["rest"] and prior["offset"] + prior["rest"] <= os.path.getsize(path) else None
+    return resume(prior, to["generation"], to["offset"], seen)[0]
+
+
 class TailStreamReader(DataSourceStreamReader):
-    """Stream: what came since the last batch, read by executors; the driver sees positions only."""
+    """Stream: what came since the last batch, read by executors; the driver sees positions only.
+
+    A limited batch goes on from the last one that was planned. After a restart
+    that is the last entry of the checkpoint's own log of offsets.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.chunk = int(options.get("chunk", CHUNK))
+        self.chunk, self.limit = int(options.get("chunk", CHUNK)), int(options.get("batch_bytes", 0))
+        self.last: dict | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": "{}"}
+        return {"files": "{}", "turn": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        files = {}
-        for path in sorted(glob.glob(self.options["path"], recursive=True)):
-            with contextlib.suppress(FileNotFoundError):
-                files[path] = position(path)
-        return {"files": json.dumps(files, sort_keys=True)}
+        if self.last is None and self.limit and self.options.get("checkpoint"):
+            self.last = last_offset(self.options["checkpoint"])
+        return planned(self.last or self.initialOffset(), sorted(glob.glob(self.options["path"], recursive=True)), self.limit)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.last = end
         before, after = json.loads(start["files"]), json.loads(end["files"])
         out: list[InputPartition] = []
         for path, to in sorted(after.items()):
-            prior = before.get(path)
             with contextlib.suppress(FileNotFoundError):
-                seen = _digest(path, prior["offset"], prior["rest"]) if prior and prior["rest"] and prior["offset"] + prior["rest"] <= os.path.getsize(path) else None
-                first, _ = resume(prior, to["generation"], to["offset"], seen)
+                first = _first(path, before.get(path), to)
                 if generation(path) == to["generation"]:
                     out += spans(path, to["generation"], first, to["offset"], self.chunk)
         return out

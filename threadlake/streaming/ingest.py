@@ -6,58 +6,124 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from threadlake.functions.identity import canonical_json, sha256, sorted_keys
+from threadlake.plans.lineage import settled
 from threadlake.sources import records as rec
-from threadlake.sources import tail
-from threadlake.sources import wire
+from threadlake.sources import snapshots, tail, wire
 from threadlake.streaming.store import CURSORS, EVENTS, RAWS, Store, with_times
 
 SCAN_SECONDS, RECONCILE_SECONDS, PAGE = 2, 30, 200
 PARSERS = {"codex": rec.parse_rollout, "claude-code": rec.parse_claude, "agy": rec.parse_agy, "grok": rec.parse_grok}
-PARSED = "path string, source_generation string, source_offset bigint, raw binary, raw_object_id string, blob_hash string, issue string, event string, next_sequence bigint, state string"
-
-
-def parse_lines(lines: DataFrame, family: str, surface: str = "cli", fallback: str = "1970-01-01T00:00:00+00:00") -> DataFrame:
-    """Records of tailed lines(path, generation, source_offset, value), file by file.
+PARSED = "path string, source_generation string, source_offset bigint, raw binary, raw_object_id string, blob_hash string, issue string, event string, call_id string, next_sequence bigint, state string, sensitive array<string>"
+#: Bytes of a stream's batch at most, but for one line a file.
+BATCH_BYTES = 1 << 30
+LAST = ("cwd", "branch", "head", "session")
+FILE = ["path", "generation"]
+RANGE = [*FILE, "range"]
+FACTS = "path string, generation string, range bigint, first bigint, n bigint, " + ", ".join(f"{c} string, {c}_at bigint" for c in LAST) + ", calls array<string>, asked array<string>, bad bigint"
+
+
+def range_facts(lines: DataFrame, family: str, chunk: int) -> DataFrame:
+    """What each range of ``chunk`` bytes of a file says about later ones (rec.Facts), without moving a line."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: dict[tuple, list] = {}
+            for path, generation, at, value in zip(frame["path"], frame["generation"], frame["source_offset"], frame["value"], strict=True):
+                place = found.setdefault((path, generation, at // chunk), [at, rec.Facts()])
+                place[0] = min(place[0], at)
+                place[1].read(family, int(at), bytes(value))
+            rows = [(*key, at, f.n, *(x for c in LAST for x in (f.last.get(c, (None, None))[::-1])), sorted(f.calls), sorted(f.asked), f.bad) for key, (at, f) in found.items()]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FACTS.split(", ")])
+
+    parts = lines.select(*FILE, "source_offset", "value").mapInPandas(run, FACTS)
+    said = [x for c in LAST for x in (F.max_by(c, f"{c}_at").alias(c),)]
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return settled(parts.groupBy(*RANGE).agg(F.min("first").alias("first"), F.sum("n").alias("n"), *said, every("calls"), every("asked"), F.min("bad").alias("bad")))
+
+
+def known_before(facts: DataFrame, states: DataFrame | None, calls: DataFrame | None) -> DataFrame:
+    """For each range what holds at its start: first_sequence, cwd, branch, head, session, known (calls that it asks for), stop.
+
+    states(path, source_generation, next_sequence, state) and calls(path,
+    source_generation, call_id) are what earlier batches left; they don't hold
+    for a file that is read from its start again.
+    """
+    spark = facts.sparkSession
+    if states is None:
+        states = spark.createDataFrame([], "path string, source_generation string, next_sequence bigint, state string")
+    if calls is None:
+        calls = spark.createDataFrame([], "path string, source_generation string, call_id string")
+    files = facts.groupBy(*FILE).agg(F.min("first").alias("begin"), F.min("bad").alias("bad"))
+    told = lambda c: F.get_json_object("state", f"$.{c}").alias(f"old_{c}")
+    old = states.select("path", F.col("source_generation").alias("generation"), "next_sequence", *map(told, LAST), F.get_json_object("state", "$.stopped").cast("bigint").alias("old_stop"))
+    begun = files.join(old, FILE, "left")
+    anew = F.col("begin") == 0
+    begun = begun.select(*FILE, "bad", anew.alias("anew"), F.when(anew, F.lit(0)).otherwise(F.coalesce("next_sequence", F.lit(0))).cast("long").alias("base"), *(F.when(~anew, F.col(f"old_{c}")).alias(f"old_{c}") for c in LAST), F.when(~anew, F.col("old_stop")).alias("old_stop"))
+    w = Window.partitionBy(*FILE).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = facts.select(*RANGE, "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), *(F.last(c, ignorenulls=True).over(w).alias(f"{c}_before") for c in LAST), *LAST)
+    scanned = scanned.join(begun, FILE)
+    asked = facts.select(*RANGE, F.explode("asked").alias("call_id"))
+    made = facts.select(*FILE, F.explode("calls").alias("call_id"), F.col("range").alias("made")).groupBy(*FILE, "call_id").agg(F.min("made").alias("made"))
+    here = asked.join(made, [*FILE, "call_id"]).where("made < range").select(*RANGE, "call_id")
+    older = calls.select("path", F.col("source_generation").alias("generation"), "call_id").distinct().join(begun.where("not anew").select(*FILE), FILE, "left_semi")
+    there = asked.join(older, [*FILE, "call_id"]).select(*RANGE, "call_id")
+    known = here.unionByName(there).groupBy(*RANGE).agg(F.collect_set("call_id").alias("known"))
+    out = scanned.join(known, RANGE, "left")
+    return out.select(*RANGE, (F.col("base") + F.col("before")).alias("first_sequence"), *(F.coalesce(f"{c}_before", f"old_{c}").alias(c) for c in LAST), F.coalesce("known", F.array().cast("array<string>")).alias("known"), F.least("bad", "old_stop").alias("stop"), (F.col("base") + F.col("before") + F.col("n")).alias("next_sequence"), *(F.coalesce(c, f"{c}_before", f"old_{c}").alias(f"{c}_after") for c in LAST))
+
+
+def parse_lines(lines: DataFrame, family: str, surface: str = "cli", fallback: str = "1970-01-01T00:00:00+00:00", states: DataFrame | None = None, calls: DataFrame | None = None, chunk: int = tail.CHUNK) -> DataFrame:
+    """Records of tailed lines(path, generation, source_offset, value), a task for each range of a file.
 
     What an earlier line of a file says (workspace, session, calls) holds for the
-    later ones: lines may bring what was known before them, as first_sequence and
-    state. The last row of each file has no record but what is known after it. A
-    file that can't be read on becomes an issue at the line where that shows.
+    later ones. So a first pass takes from each range what later ones need, a scan
+    over the ranges adds it up, and a second pass parses every range by itself. The last rows
+    have no record but what is known after each file. A file that can't be read on
+    becomes an issue at the line where that shows, and is stopped there for good,
+    until it is replaced.
     """
     parser = PARSERS[family]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        at = known.iloc[0]
+        text = lambda c: at[c] if isinstance(at[c], str) else None
         frame = frame.sort_values("source_offset")
         source = rec.Source(frame["path"].iloc[0], family, frame["generation"].iloc[0], surface, fallback_timestamp=fallback)
-        rows = []
-        anew = frame["source_offset"].iloc[0] == 0  # from its start: what was known of it doesn't hold
-        state = rec.RolloutState.loaded(None if anew else frame["state"].iloc[0]) if family == "codex" else None
-        known = {} if state is None else {"state": state}
-        sequence = 0 if anew else int(frame["first_sequence"].iloc[0])
+        rows, more = [], {}
+        if family == "codex":
+            more = {"state": rec.RolloutState.told(*map(text, LAST), at["known"])}
+        elif family == "grok":
+            more = {"cwd": rec.grok_workspace(source.path)}
+        sequence, stop = int(at["first_sequence"]), None if pd.isna(at["stop"]) else int(at["stop"])
         for offset, value in zip(frame["source_offset"], frame["value"], strict=True):
             line = bytes(value)
+            if stop is not None and offset > stop:
+                break
             try:
-                found = parser(line, source, int(offset), sequence, **known)
+                found = parser(line, source, int(offset), sequence, **more)
             except ValueError:
                 found = [rec.Record(int(offset), line, issue="file_malformed")]
             for r in found:
-                rows.append((source.path, source.generation, r.offset, r.raw, rec.raw_object_id(source, r), "sha256:" + sha256(r.raw), r.issue, None if r.event is None else json.dumps(r.event), None, None))
+                called = r.event["payload"].get("call_id") if r.event is not None and r.event["kind"] == "tool_call" else None
+                rows.append((source.path, source.generation, r.offset, r.raw, rec.raw_object_id(source, r), "sha256:" + sha256(r.raw), r.issue, None if r.event is None else json.dumps(r.event), called if isinstance(called, str) else None, None, None, r.sensitive))
             # Rollouts count lines; the other tools count their events.
             sequence += 1 if family == "codex" else sum(r.event is not None for r in found)
-            if found and found[-1].issue == "file_malformed":
-                break
-        rows.append((source.path, source.generation, None, None, None, None, None, None, sequence, None if state is None else state.saved()))
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PARSED.split(", ")])
 
-    if "first_sequence" not in lines.columns:
-        lines = lines.withColumns({"first_sequence": F.lit(0).cast("long"), "state": F.lit(None).cast("string")})
-    return lines.groupBy("path", "generation").applyInPandas(run, PARSED)
+    before = settled(known_before(range_facts(lines, family, chunk), states, calls))
+    dealt = lines.select(*FILE, "source_offset", "value", F.floor(F.col("source_offset") / chunk).alias("range"))
+    parsed = dealt.groupBy(*RANGE).cogroup(before.groupBy(*RANGE)).applyInPandas(run, PARSED)
+    after = F.to_json(F.struct(*(F.col(f"last.{c}_after").alias(c) for c in LAST), F.col("stop").alias("stopped")))
+    ends = before.groupBy(*FILE).agg(F.max_by(F.struct("next_sequence", *(f"{c}_after" for c in LAST)), "range").alias("last"), F.min("stop").alias("stop"))
+    none = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]) for c in PARSED.split(", ")}
+    filled = none | {"path": F.col("path"), "source_generation": F.col("generation"), "next_sequence": F.col("last.next_sequence"), "state": after}
+    return parsed.unionByName(ends.select(*(v.alias(k) for k, v in filled.items())))
 
 
 def event_rows(parsed: DataFrame, collector: str | None = None) -> DataFrame:
@@ -90,30 +156,100 @@ def state_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("next_sequence is not null").select("path", "source_generation", "next_sequence", "state")
 
 
-def with_states(lines: DataFrame, store: Store) -> DataFrame:
-    """Each file's lines with the sequence and state that go on from what was read of it before."""
-    known = store.states(lines.select("path")).select("path", F.col("source_generation").alias("generation"), F.col("next_sequence").alias("first_sequence"), "state")
-    return lines.join(known, ["path", "generation"], "left").withColumn("first_sequence", F.coalesce("first_sequence", F.lit(0).cast("long")))
+def call_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where("call_id is not null").select("path", "source_generation", "call_id").distinct()
+
 
+def put_lines(store: Store, lines: DataFrame, family: str, batch: int | None, stream: str) -> int:
+    """Parses tailed lines, as a continuation of what the store knows of their files, and adds them as one batch; how many events were new."""
+    paths = lines.select("path").distinct()
+    parsed = parse_lines(lines, family, states=store.states(paths), calls=store.calls(paths) if family == "codex" else None).persist()
+    try:
+        return store.commit(batch, event_rows(parsed), raw_rows(parsed), state_rows(parsed), stream, calls=call_rows(parsed))
+    finally:
+        parsed.unpersist()
 
-def ingest(spark: SparkSession, pattern: str, family: str, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Tails files into the store; with ``once``, until there is nothing more to read.
+
+def ingest(spark: SparkSession, pattern: str, family: str, store: Store, checkpoint: str, once: bool = True, batch_bytes: int = BATCH_BYTES) -> StreamingQuery:
+    """Tails files into the store, at most about ``batch_bytes`` a batch; with ``once``, until there is nothing more to read.
 
     The stream is known by family, pattern and checkpoint: its batches never meet those of another one.
+    Continue's documents and OpenCode's database (its pattern is a path) change in place; only what is new of them becomes events.
     """
+    if family == "continue":
+        return ingest_documents(spark, pattern, store, checkpoint, once, batch_bytes)
+    if family == "opencode":
+        return ingest_database(spark, pattern, store, checkpoint, once)
     tail.register(spark)
     stream = f"{family}:{sha256(canonical_json([pattern, checkpoint]))[:16]}"
-    lines = spark.readStream.format("jsonl_tail").option("path", pattern).load()
+    lines = spark.readStream.format("jsonl_tail").options(path=pattern, batch_bytes=batch_bytes, checkpoint=checkpoint).load()
+    writer = lines.writeStream.foreachBatch(lambda batch, n: put_lines(store, batch, family, n, stream)).option("checkpointLocation", checkpoint)
+    return caught_up(writer) if once else writer.trigger(processingTime=f"{SCAN_SECONDS} seconds").start()
+
+
+def _parsed(rows: DataFrame, records) -> DataFrame:
+    """PARSED rows of whole records: records(row) gives a source and its records, or raises ValueError."""
+    names = [c.split(" ")[0] for c in PARSED.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                source, found = records(row)
+                out += [(source.path, source.generation, r.offset, r.raw, rec.raw_object_id(source, r), "sha256:" + sha256(r.raw), r.issue, None if r.event is None else json.dumps(r.event), None, None, None, r.sensitive) for r in found]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, PARSED)
+
+
+def _document(row: dict) -> tuple[rec.Source, list[rec.Record]]:
+    source, data = rec.Source(row["path"], "continue", row["generation"]), bytes(row["value"])
+    try:
+        return source, rec.parse_continue(data, source)
+    except (ValueError, AttributeError):
+        return source, [rec.Record(0, data, issue="file_malformed")]
+
+
+def _part(row: dict) -> tuple[rec.Source, list[rec.Record]]:
+    source = rec.Source(row["path"], "opencode", row["generation"])
+    return source, rec.parse_opencode([{k: None if isinstance(v, float) else v for k, v in row.items()}], source)
+
+
+def _ingested(spark: SparkSession, kind: str, options: dict, records, store: Store, stream: str, checkpoint: str, once: bool) -> StreamingQuery:
+    snapshots.register(spark)
+    rows = spark.readStream.format(kind).options(**options, checkpoint=checkpoint).load()
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(with_states(batch, store), family).persist()
+        parsed = _parsed(batch, records).persist()
         try:
-            store.commit(batch_id, event_rows(parsed), raw_rows(parsed), state_rows(parsed), stream)
+            store.commit(batch_id, event_rows(parsed), raw_rows(parsed), stream=stream)
         finally:
             parsed.unpersist()
 
-    writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{SCAN_SECONDS} seconds")).start()
+    writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return caught_up(writer) if once else writer.trigger(processingTime=f"{SCAN_SECONDS} seconds").start()
+
+
+def ingest_documents(spark: SparkSession, pattern: str, store: Store, checkpoint: str, once: bool = True, batch_bytes: int = BATCH_BYTES) -> StreamingQuery:
+    """JSON documents that are rewritten in place; messages that were there before are known by their place and text."""
+    stream = f"continue:{sha256(canonical_json([pattern, checkpoint]))[:16]}"
+    return _ingested(spark, "json_snapshots", {"path": pattern, "batch_bytes": batch_bytes}, _document, store, stream, checkpoint, once)
+
+
+def ingest_database(spark: SparkSession, path: str, store: Store, checkpoint: str, once: bool = True, batch_pages: int = snapshots.BATCH_PAGES) -> StreamingQuery:
+    """Text parts of a database; a session with news is read whole, so that ranks are right."""
+    stream = f"opencode:{sha256(canonical_json([path, checkpoint]))[:16]}"
+    return _ingested(spark, "opencode_parts", {"path": path, "batch_pages": batch_pages}, _part, store, stream, checkpoint, once)
+
+
+def caught_up(writer) -> StreamingQuery:
+    """Runs a bounded stream batch by batch until its source has nothing more, and ends it."""
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
 
 
 def replay(store: Store, after: str | None = None, limit: int = PAGE) -> tuple[DataFrame, int]:

@@ -64,7 +64,7 @@ def reconcile_batch(store: Store, batch: int, ranges: list[tuple[int, int]], thr
 
     def make(commits: list[Commit]) -> dict[str, DataFrame]:
         log = store.events()
-        changed = settled(changed_sessions(store, None if rebuild else _joined(ranges)))
+        changed = settled(changed_sessions(store, None if rebuild else ranges))
         fresh = settled(co.summaries(log.join(changed, "native_session_id", "left_semi")))
         every = settled(store.summaries().join(changed, "native_session_id", "left_anti").unionByName(fresh))
         audit = store.table("decisions")
@@ -119,17 +119,24 @@ def _candidates(store: Store, every: DataFrame, changed: DataFrame, decided: Dat
     return merged.withColumn("status", F.when(F.col("kept"), "accepted").otherwise(F.col("status"))).drop("kept")
 
 
+def commit_rows(store: Store, most: int = MOST_COMMITS) -> DataFrame:
+    """The store's commits as a stream."""
+    Files(store.spark, f"{store.path}/commits").make()
+    return store.spark.readStream.schema(COMMITS).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", most).json(f"{store.path}/commits")
+
+
+def new_ranges(batch: DataFrame) -> list[tuple[int, int]]:
+    """Where the ingestion ids of a few commits' events lie: behind the first number, up to the second."""
+    found = batch.where("number is not null and counts['events'] > 0").select("base", "top").collect()
+    return _joined([(r["base"], r["top"]) for r in found])
+
+
 def reconcile_stream(store: Store, checkpoint: str, threshold: float = co.THRESHOLD, once: bool = True, most_commits: int = MOST_COMMITS, seconds: int = 30) -> StreamingQuery:
     """Follows the store's commits; with ``once``, those that are there."""
-    spark = store.spark
-    Files(spark, f"{store.path}/commits").make()
-    rows = spark.readStream.schema(COMMITS).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", most_commits).json(f"{store.path}/commits")
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = batch.where("number is not null and counts['events'] > 0").select("base", "top").collect()
-        reconcile_batch(store, batch_id, [(r["base"], r["top"]) for r in found], threshold)
+        reconcile_batch(store, batch_id, new_ranges(batch), threshold)
 
-    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = commit_rows(store, most_commits).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -52,13 +52,16 @@ GONE = "blob_hash string"
 SUMMARIES = "native_session_id string, family string, cwd string, objective string, terms array<string>, started_at bigint, ended_at bigint, origin string"
 CANDIDATES = "candidate_id string, left_id string, right_id string, score double, status string, evidence array<string>"
 GLOBALS = "global_id string, objective string, created_at string, updated_at string"
-TABLES = {"summaries": SUMMARIES, "decisions": AUDIT, "candidates": CANDIDATES, "globals": GLOBALS, "events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
+#: Calls that a file's earlier lines made, each once, so that what a batch writes doesn't grow with its file.
+CALLS = "path string, source_generation string, call_id string"
+POSTINGS = "token string, event_id string, places array<int>, bucket int"
+TABLES = {"postings": POSTINGS, "calls": CALLS, "summaries": SUMMARIES, "decisions": AUDIT, "candidates": CANDIDATES, "globals": GLOBALS, "events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
 #: Generations (or paths) that a commit lists; a part with more is always read.
 FEW = 1000
 #: Commits after which their list is written in one file.
 CHECKPOINT = 64
 #: Columns that place a table's rows: what they belong to, and where in it they stand.
-PLACED = {"events": ("source_generation", "source_offset"), "raws": ("source_generation", "source_offset"), "removed": ("source_generation", None), "states": ("path", None)}
+PLACED = {"events": ("source_generation", "source_offset"), "raws": ("source_generation", "source_offset"), "removed": ("source_generation", None), "states": ("path", None), "calls": ("path", None)}
 LOCAL_BITS, ANYWHERE = 33, 1 << 62
 
 Spans = Mapping[str, list[int]]
@@ -87,6 +90,10 @@ class Commit:
     counts: dict[str, int] = field(default_factory=dict)
     spans: dict[str, dict[str, list[int]] | None] = field(default_factory=dict)
     starts: dict[str, int] | None = None
+    #: Index segments that this commit's segment stands for.
+    replaces: list[str] = field(default_factory=list)
+    #: Ingestion ids that this commit was derived from, each behind the first number and up to the second.
+    ranges: list[list[int]] = field(default_factory=list)
 
     @classmethod
     def loaded(cls, text: str) -> Commit | None:
@@ -242,7 +249,10 @@ class Store:
         if name == "events" and not whole_ids:
             # In order within the batch: a range a partition, without one task for all. The numbers are made dense when they are read.
             frame = frame.repartitionByRange("source_path", "source_offset", "event_id").sortWithinPartitions("source_path", "source_offset", "event_id").withColumn("ingestion_id", F.monotonically_increasing_id())
-        frame.select(*names).write.parquet(at)
+        if name == "postings":
+            frame.select(*names).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(at)
+        else:
+            frame.select(*names).write.parquet(at)
         written = self.spark.read.schema(TABLES[name]).parquet(at)
         if name == "events" and not whole_ids:
             commit.starts, n = {}, 0
@@ -270,7 +280,12 @@ class Store:
     def events(self) -> DataFrame:
         return self.table("events")
 
-    def transact(self, stream: str, batch: int | None, make, revise: bool = False) -> Commit:
+    def events_of(self, commits: list[Commit]) -> DataFrame:
+        """The events of some commits that are still there."""
+        gone = self._read("removed", self.commits()).select("event_id").distinct()
+        return self._read("events", commits).drop("number").join(gone, "event_id", "left_anti")
+
+    def transact(self, stream: str, batch: int | None, make, revise: bool = False, replaces: list[str] | None = None, ranges: list[tuple[int, int]] | None = None) -> Commit:
         """Adds ``make(commits)``, a frame for each of some tables, as one batch of a stream.
 
         batch None: the stream's next one. A batch that is known is left as it was.
@@ -283,13 +298,13 @@ class Store:
                 return known
             last = commits[-1] if commits else Commit(-1, "", -1, 0, 0, 0)
             number = batch if batch is not None else max((c.batch for c in commits if c.stream == stream), default=-1) + 1
-            commit = Commit(self._next, stream, number, last.top, last.top, last.revision + revise)
+            commit = Commit(self._next, stream, number, last.top, last.top, last.revision + revise, replaces=replaces or [], ranges=[list(r) for r in ranges or ()])
             for name, frame in make(commits).items():
                 self._add(commit, name, frame)
             if self._put(commit):
                 return commit
 
-    def commit(self, batch: int, events: DataFrame, raws: DataFrame | None = None, states: DataFrame | None = None, stream: str = "", cursors: DataFrame | None = None) -> int:
+    def commit(self, batch: int, events: DataFrame, raws: DataFrame | None = None, states: DataFrame | None = None, stream: str = "", cursors: DataFrame | None = None, calls: DataFrame | None = None) -> int:
         """Stores a batch's new events, raws, file states and cursors together; how many events were new.
 
         An event's identity is known for ever, so repeats vanish however late they
@@ -307,6 +322,8 @@ class Store:
                 out["raws"] = self._fresh_raws(kept_raws(raws, events) if self.conversation_only else raws, commits)
             if states is not None:
                 out["states"] = states
+            if calls is not None:
+                out["calls"] = calls
             if cursors is not None:
                 out["cursors"] = cursors
             return out
@@ -344,6 +361,12 @@ class Store:
             rows = rows.where(F.col("path").isin(list(wanted)))
         return rows.groupBy("path", "source_generation").agg(F.max_by(F.struct("next_sequence", "state"), "number").alias("s")).select("path", "source_generation", "s.*")
 
+    def calls(self, paths: DataFrame) -> DataFrame:
+        """The calls that files of some paths made so far."""
+        wanted = places(paths, "path", None)
+        rows = self._read("calls", self.commits(), wanted).drop("number")
+        return rows if wanted is None else rows.where(F.col("path").isin(list(wanted)))
+
     def cursor(self, source_id: str) -> dict | None:
         """The last cursor of a source."""
         row = self._read("cursors", self.commits()).where(F.col("source_id") == source_id).orderBy(F.col("number").desc()).drop("number").first()
@@ -440,7 +463,7 @@ class Store:
         last = self._read("cursors", commits).groupBy("source_id").agg(F.max_by(F.struct("collector_id", "source_generation", "byte_offset", "next_sequence", "updated_at"), "number").alias("c")).select("source_id", "c.*")
         # A removal is remembered beside what retention dropped.
         removed = self._read("removed", commits).drop("number").unionByName(events.join(kept.select("event_id"), "event_id", "left_anti").select("event_id", "source_generation")).distinct()
-        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed, "summaries": self.summaries(), "decisions": self.table("decisions"), "candidates": self.candidates(), "globals": self.globals()}
+        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed, "summaries": self.summaries(), "decisions": self.table("decisions"), "candidates": self.candidates(), "globals": self.globals(), "calls": self._read("calls", commits).drop("number").distinct()}
         whole = Commit(0, "maintenance", 0, 0, self.watermark(), self.revision())
         for name, frame in frames.items():
             after._add(whole, name, frame, whole_ids=True)
