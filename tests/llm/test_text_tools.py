@@ -330,14 +330,82 @@ def test_sequences_stay_aligned(spark):
         media.read_image(b"P6\n64 1\n255\n" + bytes(64))
 
 
+def plain_matches(model, clause):
+    """What a clause says, read word by word with looks backwards instead of states."""
+    words = toxicity.WORD.findall(clause)
+    kinds = [model.classes.get(w) or ("insult" if model.weight(w) else "other") for w in words]
+    out, last, used = [], "", -1
+
+    def meant(i):
+        """Whether somebody is spoken to or of at word i; "is" takes no word off the reach."""
+        left, named = 0, 0
+        for k in kinds[:i]:
+            if k == "you":
+                left, named = toxicity.AIM, 0
+            elif k == "be" and named:
+                left, named = toxicity.AIM, 0
+            elif k == "they" and left <= 1:
+                left, named = 0, toxicity.WAIT
+            elif k != "be" or not left:
+                left, named = max(0, left - 1), max(0, named - 1)
+        return left > 0
+
+    def threatened(i):
+        """Whether the word is the victim of a threat before it, or a threat to a victim before it."""
+        near = range(i - 1, max(-1, i - 1 - toxicity.STRIKE), -1)
+        k = next((j for j in near if kinds[j] in ("threat", "will", "you", "they")), None)
+        if k is None:
+            return False
+        if kinds[i] == "threat":
+            if kinds[k] != "you":
+                return False
+            before = range(k - 1, max(-1, k - 1 - toxicity.STRIKE), -1)
+            w = next((j for j in before if kinds[j] in ("threat", "will", "you", "they")), None)
+            return w is not None and kinds[w] == "will"
+        return kinds[k] == "threat" and not spent(k) and (kinds[i] == "you" or kinds[i] == "they" and announced(k))
+
+    def spent(k):
+        return threatened(k)
+
+    def announced(k):
+        near = range(k - 1, max(-1, k - 1 - toxicity.STRIKE), -1)
+        j = next((j for j in near if kinds[j] in ("threat", "will", "you", "they")), None)
+        return j is not None and (kinds[j] == "will" or kinds[j] == "threat" and not spent(j) and announced(j))
+
+    for i, k in enumerate(kinds):
+        soft = "report" in kinds[:i] or "negation" in kinds[max(0, i - toxicity.DENIAL) : i]
+        if k == "insult":
+            last, used = words[i], i
+            out.append(("soft" if soft else "aimed" if meant(i) else "plain", last))
+        elif k in ("you", "they", "threat") and threatened(i) and not soft:
+            out.append(("threat", words[i]))
+        elif k == "you" and used >= 0 and i - used <= toxicity.CALL and "you" not in kinds[used:i] and not soft:
+            out.append(("aimed", last))
+    return out
+
+
+def test_the_composed_machine_reads_clauses_as_a_plain_reader_does():
+    model, rng = toxicity.Model().ready(), random.Random(8)
+    words = ["idiot", "clown", "kill", "burn", "you", "your", "they", "him", "is", "are", "will", "going", "not", "never", "said", "a", "the", "walk", "lights"]
+    for _ in range(20_000):
+        clause = " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+        assert model.matches(clause) == plain_matches(model, clause), clause
+
+
 def test_toxic_clauses():
     model = toxicity.Model().ready()
-    score = model.clause_score
-    assert score("you idiot") > score("an idiot") > score("not an idiot") > 0
-    assert score("they said an idiot came") < score("an idiot came")
-    assert score("i will kill you") > 0 and score("kill the lights") == 0 and score("nice day") == 0
+    path = lambda clause: [p for p, _ in model.matches(clause)]
+    assert path("you idiot") == path("you are such an idiot") == path("he is an idiot") == ["aimed"]
+    assert path("idiot you") == ["plain", "aimed"]
+    assert path("an idiot came") == path("he met a clown") == ["plain"]
+    assert path("he is not an idiot") == path("she said he was an idiot") == path("they claimed he was not an idiot") == ["soft"]
+    assert path("i will kill you") == path("i am going to kill them") == path("ich werde dich töten") == path("kill you") == ["threat"]
+    assert path("i will not kill you") == path("he said he will kill you") == path("kill the lights") == path("they beat him") == path("nice day") == []
     assert model.clauses("A day. You Idiot!\nFine; clown") == [" you idiot", " clown"]
-    assert model.score("") == model.score("nice words") < 0.5 < model.score("You are a stupid idiot. Loser!")
+    toxic = ["You are an idiot.", "I will kill you.", "You ugly cow", "He is a liar and a worthless idiot", "You are a stupid idiot. Loser!", "pathetic loser", "Ich werde dich töten!", "Tu es un idiota"]
+    clean = ["", "nice words", "A clown performed.", "The garbage truck came.", "He is not an idiot.", "She said he was an idiot.", "They claimed he was not an idiot", "I will not kill you.", "Kill the lights, then burn the letters.", "They beat him by two goals.", "He never called you a clown"]
+    assert [t for t in toxic if model.score(t) < 0.5] == [] and [t for t in clean if model.score(t) >= 0.5] == []
+    assert model.score("") == model.score("nice words") < model.score("A clown performed.") < 0.5
 
 
 def test_toxicity_learns_words_and_keeps_folds_apart(spark):

@@ -1,12 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Lexicon: words and word stems that mark toxic texts, from a fixed seed list and
-from labelled rows (a likelihood-ratio test picks them). Grammar: five
-transducers read a clause's words: one weighs insults, one finds threats and
-another targets, and those for negation and for reported speech change the
-weights in their reach. They are composed once into a single machine whose state
+from labelled rows (a likelihood-ratio test picks them). Grammar: transducers read
+a clause's words side by side: who is spoken to or of, what is denied, what others
+are reported to have said, where an insult waits for the one it is meant for, and
+where a threat meets its victim. They are composed once into a single machine whose state
 is the tuple of theirs. A text's clauses that hold a lexicon word are run through
-it; the matched clauses' weights give the features of a logistic score.
+it; each match counts by its path: an insult aimed at somebody, an insult by
+itself, a threat, or what is denied or reported, which counts for nothing.
+
+A text's score joins three kinds of evidence as if independent: threats, aimed insults, and
+insults by themselves, whose logistic weight is fitted. One weak word that is
+aimed at nobody stays below one half: it takes a second one.
 
 Fitting uses a bounded sample of labelled keys (``SAMPLE``, the first by a hash),
 of whose texts near copies count once; executors read whole texts and sum up their
@@ -52,56 +57,124 @@ STEMS = (4, 5, 6, 7, 8)
 
 # Seed words of the grammar's classes, in English, German, French and Spanish.
 INSULTS = (
-    "asshole bastard clown cretin crook cunt degenerate disgusting dumbass fool freak garbage idiot imbecile jerk loser maggot moron parasite pathetic pig scum scumbag stupid trash vermin worthless "
-    "abschaum arschloch depp dummkopf hurensohn idiotin mistkerl schwachkopf trottel versager widerlich "
-    "abruti connard crétin débile imbécile minable ordure salaud "
-    "basura cabrón escoria estúpido gilipollas idiota imbécil inútil pendejo"
+    "asshole bastard bitch clown cow cretin crook cunt degenerate disgusting dumb dumbass filthy fool freak garbage idiot imbecile jerk liar loser maggot moron parasite pathetic pig rat scum scumbag slut stupid trash ugly vermin whore worthless "
+    "abschaum arschloch depp dumm dummkopf hässlich hurensohn idiotin mistkerl schwachkopf trottel versager widerlich "
+    "abruti connard crétin débile imbécile laid minable ordure salaud "
+    "basura cabrón escoria estúpido feo gilipollas idiota imbécil inútil pendejo"
 ).split()
-THREATS = "kill hurt destroy beat stab shoot burn hang strangle crush murder töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your you're u ur yourself they them he she him her these those du dich dir dein deine ihr euch sie tu te toi ton vous votre tú te ti tu usted ustedes ellos".split()
-NEGATIONS = "not no never isn't aren't don't won't wasn't cannot without nicht kein keine nie niemals ne pas jamais sans nunca jamás sin".split()
+THREATS = "kill hurt destroy beat stab shoot burn hang strangle crush murder rape töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
+YOU = "you your you're u ur yourself yourselves du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes".split()
+THEY = "they them he him she her these those it's he's she's er sie ihn ihm il elle ils elles lui él ella ellos ellas".split()
+BE = "is are was were am be been being look looks looked ist sind bist seid war waren bin est es sont êtes suis était eres son soy fue era".split()
+WILL = "will shall gonna going should must i'll we'll wirst werde werden wird vas va vais voy vamos".split()
+NEGATIONS = "not no never isn't aren't don't won't wasn't cannot can't without nicht kein keine nie niemals ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says say wrote quoted quote called claims claimed reported alleged according sagte schrieb zitiert laut angeblich dit écrit cité selon prétend dijo escribió según citó".split()
 
+SEEDS = frozenset(INSULTS)
+#: What a seed word weighs that is alone in its text and aimed at nobody: such words have everyday uses.
+LONE = 0.5
+
 CLAUSE = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
-Transducer = dict[tuple[int, str], tuple[int, float]]
-CLASSES = ("insult", "threat", "target", "negation", "report", "other")
+CLASSES = ("insult", "threat", "you", "they", "be", "will", "negation", "report", "other")
+#: Words that a person reaches on, a negation, an insult for a "you" behind it, a threat for its victim; words until "is".
+AIM, DENIAL, CALL, STRIKE, WAIT = 4, 3, 2, 3, 2
+
+Transducer = dict[tuple[int, str], int]
+
+
+def _machine(states: int, move) -> Transducer:
+    return {(s, c): move(s, c) for s in range(states) for c in CLASSES}
+
+
+def _aim(s: int, c: str) -> int:
+    """Up to AIM: words for which somebody is meant. Beyond: somebody was named, and an "is" may follow."""
+    if c == "you":
+        return AIM
+    if s > AIM:
+        return AIM if c == "be" else AIM + WAIT if c == "they" else s - 1 if s - 1 > AIM else 0
+    if c == "they":
+        return max(s - 1, 0) or AIM + WAIT
+    return s if c == "be" else max(s - 1, 0)
+
+
+def _denied(s: int, c: str) -> int:
+    return DENIAL if c == "negation" else max(s - 1, 0)
+
+
+def _called(s: int, c: str) -> int:
+    """Words left in which a "you" takes the insult before it to itself."""
+    return CALL if c == "insult" else 0 if c == "you" else max(s - 1, 0)
 
 
-def _machine(states: int, moves: dict[tuple[int, str], tuple[int, float]], rest: dict[int, tuple[int, float]]) -> Transducer:
-    """All moves of a machine; ``rest`` holds where a state goes on any other class."""
-    return {(s, c): moves.get((s, c), rest.get(s, (s, 1.0))) for s in range(states) for c in CLASSES}
+#: Of threats: "will" was said; a threat that is not announced; one that is; "will" and then "you"; each with the words that it lasts.
+STAGES = [("idle", 0), *((name, k) for name in ("will", "bare", "meant", "object") for k in range(1, STRIKE + 1))]
 
 
-#: A target within four words makes an insult or threat personal; outputs are factors.
-TARGET_MACHINE = _machine(5, {(s, "target"): (4, 1.0) for s in range(5)} | {(s, c): (max(0, s - 1), 1.5 if s else 1.0) for s in range(5) for c in ("insult", "threat")}, {s: (max(0, s - 1), 1.0) for s in range(5)})
-#: A negation reaches three words on.
-NEGATION_MACHINE = _machine(4, {(s, "negation"): (3, 1.0) for s in range(4)} | {(s, c): (max(0, s - 1), 0.5 if s else 1.0) for s in range(4) for c in ("insult", "threat")}, {s: (max(0, s - 1), 1.0) for s in range(4)})
+def _struck(s: int, c: str) -> int:
+    name, left = STAGES[s]
+    if c == "threat":
+        to = ("idle", 0) if name == "object" else ("meant", STRIKE) if name in ("will", "meant") else ("bare", STRIKE)
+    elif c == "you":
+        to = ("object", STRIKE) if name == "will" else ("idle", 0)
+    elif c == "they":
+        to = ("idle", 0)
+    elif c == "will":
+        to = ("will", STRIKE)
+    else:
+        to = (name, left - 1) if left > 1 else ("idle", 0)
+    return STAGES.index(to)
+
+
+def _hits(s: int, c: str) -> bool:
+    """Whether a threat finds its victim: "you" behind any, others behind an announced one, or "will you" before it."""
+    name = STAGES[s][0]
+    return c == "you" and name in ("bare", "meant") or c == "they" and name == "meant" or c == "threat" and name == "object"
+
+
+AIM_MACHINE = _machine(AIM + WAIT + 1, _aim)
+DENIAL_MACHINE = _machine(DENIAL + 1, _denied)
 #: Reported speech holds to the clause's end.
-REPORT_MACHINE = _machine(2, {(s, "report"): (1, 1.0) for s in range(2)} | {(1, c): (1, 0.6) for c in ("insult", "threat")}, {})
-#: A threat counts beside a target only: seen before it or after it.
-THREAT_MACHINE = _machine(4, {(0, "threat"): (1, 0.0), (0, "target"): (2, 0.0), (1, "target"): (3, 1.0), (2, "threat"): (3, 1.0), (3, "threat"): (3, 1.0), (3, "target"): (3, 0.0), (1, "threat"): (1, 0.0), (2, "target"): (2, 0.0)}, {s: (s, 0.0) for s in range(4)})
+REPORT_MACHINE = _machine(2, lambda s, c: int(s or c == "report"))
+CALL_MACHINE = _machine(CALL + 1, _called)
+THREAT_MACHINE = _machine(len(STAGES), _struck)
+MACHINES = (AIM_MACHINE, DENIAL_MACHINE, REPORT_MACHINE, CALL_MACHINE, THREAT_MACHINE)
+
+#: What a step of the composed machine finds: an insult by its path, an earlier one that turns out to be aimed, a threat.
+PLAIN, AIMED, SOFT, CALLED, THREAT = "plain", "aimed", "soft", "called", "threat"
 
 
-def composed() -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], float, float]]:
-    """The product machine: (state, class) to (state, factor of an insult, threat found)."""
+def composed() -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], str]]:
+    """The product machine: (state, class) to (state, what was found)."""
     out = {}
-    for t, n, r, h in product(range(5), range(4), range(2), range(4)):
+    for state in product(range(AIM + WAIT + 1), range(DENIAL + 1), range(2), range(CALL + 1), range(len(STAGES))):
+        aim, denied, reported, called, struck = state
+        soft = denied or reported
         for c in CLASSES:
-            (t2, a), (n2, b), (r2, d), (h2, e) = TARGET_MACHINE[t, c], NEGATION_MACHINE[n, c], REPORT_MACHINE[r, c], THREAT_MACHINE[h, c]
-            soft = (0.5 if n else 1.0) * (0.6 if r else 1.0)
-            out[(t, n, r, h), c] = ((t2, n2, r2, h2), a * b * d if c == "insult" else 0.0, e * soft)
+            found = ""
+            if c == "insult":
+                found = SOFT if soft else AIMED if 0 < aim <= AIM else PLAIN
+            elif c == "you" and called and not soft:
+                found = CALLED
+            if _hits(struck, c) and not soft:
+                found = THREAT
+            out[state, c] = (tuple(m[s, c] for m, s in zip(MACHINES, state, strict=True)), found)
     return out
 
 
 @dataclass
 class Model:
-    """words, stems: weights by lower-cased word and by word beginning. weights: of the logistic score."""
+    """words, stems: weights by lower-cased word and by word beginning. weights: of the logistic score of insults by themselves.
+
+    aimed, threat: odds that one of them leaves a text clean.
+    """
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 3.0))
     stems: dict[str, float] = field(default_factory=dict)
-    weights: tuple[float, ...] = (-3.0, 2.0, 1.0)
+    weights: tuple[float, ...] = (-3.0, 0.3, 2.5)
+    aimed: float = 0.3
+    threat: float = 0.25
 
     def ready(self) -> Model:
         if not hasattr(self, "scan"):
@@ -110,7 +183,8 @@ class Model:
                 self.scan.add_word(w, len(w))
             self.scan.make_automaton()
             self.machine = composed()
-            self.classes = dict.fromkeys(TARGETS, "target") | dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTS, "report") | dict.fromkeys(THREATS, "threat")
+            kinds = (("will", WILL), ("be", BE), ("they", THEY), ("you", YOU), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS))
+            self.classes = {w: kind for kind, words in kinds for w in words}
         return self
 
     def weight(self, word: str) -> float:
@@ -121,15 +195,20 @@ class Model:
                 most = max(most, self.stems.get(word[:n], 0.0))
         return most
 
-    def clause_score(self, clause: str) -> float:
-        """Runs the composed machine over a lower-cased clause."""
-        state, total = (0, 0, 0, 0), 0.0
+    def matches(self, clause: str) -> list[tuple[str, str]]:
+        """(path, word) of what the composed machine finds in a lower-cased clause; a called insult is told once more, as aimed."""
+        state, out, last = (0,) * len(MACHINES), [], ""
         for word in WORD.findall(clause):
-            w = self.weight(word)
-            kind = "insult" if w else self.classes.get(word, "other")
-            state, factor, threat = self.machine[state, kind]
-            total += w * factor + 3.0 * threat
-        return total
+            kind = self.classes.get(word) or ("insult" if self.weight(word) else "other")
+            state, found = self.machine[state, kind]
+            if found == CALLED:
+                out.append((AIMED, last))
+            elif found == THREAT:
+                out.append((THREAT, word))
+            elif found:
+                last = word
+                out.append((found, word))
+        return out
 
     def clauses(self, text: str) -> list[str]:
         """The lower-cased clauses that hold a lexicon word, in order."""
@@ -144,14 +223,31 @@ class Model:
             out.append(low[max(left, 0) : done])
         return out
 
+    def evidence(self, text: str) -> tuple[float, float, int, int]:
+        """Of a text: the weight of insults that are neither denied nor reported, that weight but for the heaviest one's, aimed ones, threats."""
+        found: list[str] = []
+        aimed = threats = 0
+        for clause in self.clauses(text):
+            for path, word in self.matches(clause):
+                aimed += path == AIMED
+                threats += path == THREAT
+                if path in (PLAIN, AIMED):
+                    found.append(word)
+        weights = [self.weight(w) for w in found]
+        if len(found) == 1 and not aimed and found[0] in SEEDS:
+            return LONE, 0.0, aimed, threats
+        return sum(weights), sum(weights) - max(weights, default=0.0), aimed, threats
+
     def features(self, text: str) -> tuple[float, float]:
-        """Log of the matched clauses' weight, and whether there is any."""
-        total = sum(map(self.clause_score, self.clauses(text)))
-        return math.log1p(total), float(total > 0)
+        """Logs of the insults' weight, and of that beside the heaviest one."""
+        total, rest, _, _ = self.evidence(text)
+        return math.log1p(total), math.log1p(rest)
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], self.features(text), strict=True))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+        total, rest, aimed, threats = self.evidence(text)
+        z = self.weights[0] + self.weights[1] * math.log1p(total) + self.weights[2] * math.log1p(rest)
+        clean = 1 / (1 + math.exp(max(-40.0, min(40.0, z))))
+        return 1 - clean * self.aimed ** min(aimed, 40) * self.threat ** min(threats, 40)
 
 
 def _ratio(a: int, b: int, n1: int, n0: int) -> float:
@@ -205,14 +301,18 @@ def learn(found: dict[str, tuple[int, int, int]], n1: int, n0: int) -> Model:
     return model
 
 
+#: Weights of two features that a fit starts from and is drawn to; a single insult has nothing but the first.
+PRIOR = np.array([-3.0, 0.3, 2.5])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; each row counts ``times``."""
+    """Logistic regression by Newton steps, drawn to PRIOR; each row counts ``times``."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+    w = PRIOR.copy()
     ridge = penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-6 * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ (w - PRIOR))
         w += step
         if np.abs(step).max() < 1e-6:
             break
