@@ -391,6 +391,48 @@ def handoff_fields(log, spark, sf_dir):
     return document.select("global_id", field("status.phase").alias("phase"), field("status.completion").cast("int").alias("completion"), field("repository.branch").alias("branch"), field("repository.head").alias("head"), (field("repository.dirty") == "true").alias("dirty"), F.md5(field("latest_user_request")).alias("request_md5"), F.md5(field("latest_assistant_reply")).alias("reply_md5"))
 
 
+# A handoff's whole content: events are given the kinds and payloads of decisions, tasks, plans, files and test runs by their ids.
+TOLD = """told as (select *, case ingestion_id % 7 when 0 then 'decision' when 1 then 'task' when 2 then 'plan' when 3 then 'file_write' when 4 then 'command_result' else kind end as told_kind,
+  ingestion_id % 4 = 0 as done, concat('/src/f', cast(ingestion_id % 13 as varchar)) as path, ts_seconds % 5 as passed, ts_seconds % 3 as failed, case when ingestion_id % 11 = 0 then ingestion_id % 2 = 0 end as dirty from handed),
+summed as (select global_id, list_sort(list_distinct(list(fact) filter (where told_kind = 'decision' and fact is not null))) as decisions,
+  list_sort(list_distinct(list(fact) filter (where told_kind in ('task', 'plan') and done and fact is not null))) as completed,
+  list_sort(list_distinct(list(fact) filter (where told_kind in ('task', 'plan') and not done and fact is not null))) as open_tasks,
+  list_sort(list_distinct(list(path) filter (where told_kind = 'file_write'))) as files,
+  arg_max(row(passed, failed), row({order})) filter (where told_kind = 'command_result') as tests,
+  arg_max(dirty, row({order})) filter (where dirty is not null) as dirty,
+  arg_max(fact, row({order})) filter (where told_kind = 'user_message' and fact is not null) as request,
+  arg_max(fact, row({order})) filter (where told_kind = 'assistant_message' and fact is not null) as reply from told group by 1),
+sized as (select global_id, coalesce(len(decisions), 0) as nd, coalesce(len(completed), 0) as nc, coalesce(len(open_tasks), 0) as n_open, coalesce(len(files), 0) as nf, * exclude (global_id) from summed)""".replace("{order}", ORDER)
+
+
+@_query(
+    f"""select global_id, case when n_open > 0 then 'implementation' when nc > 0 then 'verification' else 'unknown' end as phase, cast(case when nc + n_open > 0 then nc * 100 // (nc + n_open) else 0 end as int) as completion,
+  coalesce(dirty, false) as dirty, cast(coalesce(tests[1], 0) as int) as passed, cast(coalesce(tests[2], 0) as int) as failed, array_to_string(coalesce(files, []), ' ') as files,
+  md5(array_to_string(list_transform(coalesce(decisions, []), lambda x: {SHORT.format(x='x')}), '|')) as decisions_md5,
+  md5(array_to_string(list_transform(coalesce(completed, []), lambda x: {SHORT.format(x='x')}), '|')) as completed_md5, md5(array_to_string(list_transform(coalesce(open_tasks, []), lambda x: {SHORT.format(x='x')}), '|')) as open_md5,
+  md5(case when n_open > 0 then {SHORT.format(x='open_tasks[1]')} when request is not null then 'Review the latest user request' else 'Review the latest verified state' end) as next_md5
+from sized where nd + nc + n_open + nf > 0 or tests is not null or request is not null or reply is not null""",
+    HANDED,
+    TOLD,
+)
+def handoff_facts(log, spark, sf_dir):
+    rows, members, globals_ = _handed(log)
+    at = F.col("ingestion_id")
+    kinds = {0: "decision", 1: "task", 2: "plan", 3: "file_write", 4: "command_result"}
+    kind = F.col("kind")
+    for rest, name in kinds.items():
+        kind = F.when(at % 7 == rest, name).otherwise(kind)
+    payload = F.to_json(F.struct("text", F.when(at % 4 == 0, "Completed").otherwise("open").alias("status"), F.concat(F.lit("/src/f"), (at % 13).cast("string")).alias("path"), (F.col("ts_seconds") % 5).alias("passed"), (F.col("ts_seconds") % 3).alias("failed"), F.when(at % 11 == 0, at % 2 == 0).alias("dirty")))
+    document = ho.handoffs(rows.withColumns({"kind": kind, "payload_json": payload}), members, globals_, budget=1 << 40).select("global_id", "document")
+    field = lambda path: F.get_json_object("document", f"$.{path}")
+    listed = lambda path, by: F.array_join(F.from_json(field(path), "array<string>"), by)
+    return document.select(
+        "global_id", field("status.phase").alias("phase"), field("status.completion").cast("int").alias("completion"), (field("repository.dirty") == "true").alias("dirty"),
+        field("tests.passed").cast("int").alias("passed"), field("tests.failed").cast("int").alias("failed"), listed("relevant_files", " ").alias("files"),
+        F.md5(listed("decisions", "|")).alias("decisions_md5"), F.md5(listed("completed", "|")).alias("completed_md5"), F.md5(listed("open_tasks", "|")).alias("open_md5"), F.md5(field("next_action")).alias("next_md5"),
+    )
+
+
 @_query("select global_id, handoff_id, created_at, created_at < updated_at as stale from (select concat('gs_', cast(ts_seconds % 50 as varchar)) as global_id, max(row(lpad(cast(ingestion_id as varchar), 12, '0'), event_id))[2] as handoff_id, max(row(lpad(cast(ingestion_id as varchar), 12, '0'), event_id))[1] as created_at, max(lpad(cast(ts_seconds as varchar), 12, '0')) as updated_at from log group by 1)")
 def latest_handoffs(log, spark, sf_dir):
     group = F.concat(F.lit("gs_"), (F.col("ts_seconds") % 50).cast("string")).alias("global_id")
@@ -405,13 +447,13 @@ def current_contexts(log, spark, sf_dir):
     return ho.current_context(sessions, sessions.select("global_id").distinct())
 
 
-FACTS = "facts as (select native_session_id, case kind when 'user_message' then 'decision' when 'assistant_message' then 'task' else 'file_read' end as kind, nullif(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' '), '') as fact, turn_even, path from (select *, ingestion_id % 2 = 0 as turn_even, concat('/f', cast(ingestion_id % 5 as varchar)) as path from log where text is not null and not contains(lower(text), 'secret') and not contains(lower(text), 'password') and not contains(lower(text), 'bearer') and not contains(lower(text), 'api_key') and not contains(lower(text), 'sk-')))"
+REDACTED = f"nullif(array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: case when {SECRET} then '[REDACTED]' else w end), ' '), '')"
+FACTS = f"facts as (select native_session_id, case kind when 'user_message' then 'decision' when 'assistant_message' then 'task' else 'file_read' end as kind, {REDACTED} as fact, ingestion_id % 2 = 0 as turn_even, concat('/f', cast(ingestion_id % 5 as varchar)) as path from log where text is not null)"
 
 
 @_query("select native_session_id, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'decision' and fact is not null))), []) as decisions, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'task' and turn_even and fact is not null))), []) as completed, coalesce(list_sort(list_distinct(list(fact) filter (where kind = 'task' and not turn_even and fact is not null))), []) as open_tasks, coalesce(list_sort(list_distinct(list(path) filter (where kind = 'file_read'))), []) as relevant_files from facts group by 1", FACTS)
 def fact_sets(log, spark, sf_dir):
-    low = F.lower("text")
-    plain = log.where("text is not null").where(~(F.contains(low, F.lit("secret")) | F.contains(low, F.lit("password")) | F.contains(low, F.lit("bearer")) | F.contains(low, F.lit("api_key")) | F.contains(low, F.lit("sk-"))))
+    plain = log.where("text is not null")
     kind = F.when(F.col("kind") == "user_message", "decision").when(F.col("kind") == "assistant_message", "task").otherwise("file_read")
     payload = F.to_json(F.struct("text", F.when(F.col("ingestion_id") % 2 == 0, "Completed").otherwise("open").alias("status"), F.concat(F.lit("/f"), (F.col("ingestion_id") % 5).cast("string")).alias("path")))
     return ho.fact_sets(plain.withColumn("payload_json", payload).withColumn("kind", kind))
@@ -446,15 +488,34 @@ def reconciled_sessions(log, spark, sf_dir):
     return co.reconcile(s, nobody, s).select("native_session_id", "global_id", "algorithm_version")
 
 
+DECIDED = [
+    TERMS,
+    AUDIT,
+    "held as (select native_session_id, min(global_id) as global_id from (select global_id, native_session_id, arg_max(action, seq) as last from audit where action in ('link','unlink','reject') group by 1, 2) join side on id = native_session_id where last = 'link' and family = 'codex' group by 1)",
+    "ruled as (select native_session_id, list(global_id) as globals from (select global_id, native_session_id, arg_max(action, seq) as last from audit where action in ('reject','reverse') group by 1, 2) where last = 'reject' group by 1)",
+    "fresh as (select id, row_number() over (order by a, id) as spot from side where id not in (select native_session_id from held))",
+    "offers as (select f.id, list(struct_pack(spot := o.spot, known := h.global_id, other := p.other, score := p.score) order by p.score desc, p.other desc) as offers from (select left_id as id, right_id as other, score from every union all select right_id, left_id, score from every) p join fresh f on f.id = p.id left join fresh o on o.id = p.other left join held h on h.native_session_id = p.other where p.score >= 0.8 and (h.global_id is not null or o.spot < f.spot) group by 1)",
+    "steps as (select spot, id, coalesce(offers, []) as offers, coalesce(globals, []) as globals, concat('gs_', left(sha256(id), 32)) as own from fresh left join offers using (id) left join ruled on native_session_id = id)",
+    "walk as (with recursive w as (select 0::bigint as spot, []::varchar[] as chosen, null::varchar as id, null::varchar as other, null::varchar as global_id union all select s.spot, list_append(w.chosen, coalesce(coalesce(list_filter(s.offers, lambda c: not list_contains(s.globals, coalesce(c.known, w.chosen[c.spot])))[1].known, w.chosen[list_filter(s.offers, lambda c: not list_contains(s.globals, coalesce(c.known, w.chosen[c.spot])))[1].spot]), s.own)), s.id, list_filter(s.offers, lambda c: not list_contains(s.globals, coalesce(c.known, w.chosen[c.spot])))[1].other, null from w join steps s on s.spot = w.spot + 1) select spot, id, other, chosen[spot] as global_id from w where spot > 0)",
+]
+
+
+@_query("select id as native_session_id, global_id, other as other_id, case when other is null then 'automatic-seed-v1' else 'explainable-content-v1' end as algorithm_version from walk", *DECIDED)
+def reconciled_members(log, spark, sf_dir):
+    s = settled(co.summaries(log))
+    audit = _audit(log)
+    members = co.memberships(audit).join(s.where("family = 'codex'").select("native_session_id"), "native_session_id", "left_semi")
+    return co.reconcile(s, members, s, co.rejections(audit)).select("native_session_id", "global_id", "other_id", "algorithm_version")
+
+
 @_query("select native_session_id, ended_at from (select id as native_session_id, z as ended_at from side) order by ended_at desc, native_session_id desc limit 64", TERMS)
 def newest_summaries(log, spark, sf_dir):
     return co.newest_summaries(co.summaries(log), 64).select("native_session_id", "ended_at")
 
 
-@_query("select left_id, right_id, [concat('{\"signal\":\"workspace\",\"matched\":', same_workspace, '}'), concat('{\"signal\":\"temporal\",\"matched\":', near_in_time, '}')] as evidence from pairs", TERMS)
+@_query("select left_id, right_id, [concat('{\"signal\":\"workspace\",\"matched\":', same_workspace, '}'), concat('{\"signal\":\"temporal\",\"matched\":', near_in_time, '}'), concat('{\"signal\":\"content\",\"similarity\":\"', printf('%.3f', similarity), '\",\"shared_terms\":', to_json(list_sort(list_intersect(l.terms, r.terms))[:12]), '}')] as evidence from pairs join side l on l.id = left_id join side r on r.id = right_id", TERMS)
 def candidate_evidence(log, spark, sf_dir):
-    rows = co.candidates(_scored(log)[1], THRESHOLD)
-    return rows.select("left_id", "right_id", F.slice("evidence", 1, 2).alias("evidence"))
+    return co.candidates(_scored(log)[1], THRESHOLD).select("left_id", "right_id", "evidence")
 
 
 @_query("select candidate_id, status, score from (select concat('candidate_', left(sha256(concat(left_id, chr(0), right_id)), 32)) as candidate_id, case when ends_with(left_id, '1') then 'rejected' when score >= 0.4 then 'accepted' else 'pending' end as status, round(score, 9) as score from pairs) where status = 'pending' or status = 'rejected'", TERMS)
