@@ -132,6 +132,52 @@ def test_handoff_errors_and_budget():
     assert len([p for p in d["provenance"] if p["field"] == "relevant_files"]) == len(d["relevant_files"])
 
 
+def plain_fit(document, budget):
+    """Drops item by item and measures the whole document each time."""
+    while ho.approximate_tokens(document) > budget:
+        field = next((f for f in ("relevant_files", "completed", "decisions") if document[f]), None)
+        if field is None and len(document["open_tasks"]) > 1:
+            field = "open_tasks"
+        if field is not None:
+            document[field].pop()
+        elif len(document["provenance"]) > 1:
+            field = next((f for f in reversed(ho.LATEST) if f in document), None)
+            if field is not None:
+                del document[field]
+        if field is None:
+            raise ho.HandoffError("the budget is too small")
+        at = [i for i, r in enumerate(document["provenance"]) if r["field"] == field]
+        if at:
+            del document["provenance"][at[-1]]
+
+
+def test_trimming_by_sizes_equals_trimming_by_measuring():
+    import copy
+    import random
+    import time
+
+    rng = random.Random(6)
+    for _ in range(60):
+        events = [event(i, rng.choice(("decision", "task", "plan", "file_read")), text="é" * rng.randint(1, 9) + str(rng.randrange(30)), path=f"/{rng.randrange(40)}", status=rng.choice(("completed", "open"))) for i in range(rng.randint(0, 40))]
+        whole = ho.generate("gs_1", "o", [*events, event(90, "user_message", text="hi"), event(91, "assistant_message", text="ho")], budget=1 << 30)
+        for budget in (64, 90, 120, 200, 400, 900):
+            ours, theirs, refused = copy.deepcopy(whole), copy.deepcopy(whole), False
+            try:
+                plain_fit(theirs, budget)
+            except ho.HandoffError:
+                refused = True
+            if refused:
+                with pytest.raises(ho.HandoffError):
+                    ho.fit_budget(ours, budget)
+            else:
+                ho.fit_budget(ours, budget)
+                assert ours == theirs
+    document = ho.generate("gs_1", "o", [*(event(i, "file_write", path=f"/file/{i:05}") for i in range(5000)), event(9999, "user_message", text="hi")], budget=1 << 30)
+    began = time.perf_counter()
+    ho.fit_budget(document, 600)
+    assert time.perf_counter() - began < 0.5 and ho.approximate_tokens(document) <= 600
+
+
 def test_suggestions_fill_only_gaps():
     say = [event(1, "user_message", text="hi")]
     d = ho.generate("gs_1", "o", say, suggest=lambda x: json.dumps({"open_tasks": ["do secret"], "next_action": "n"}))

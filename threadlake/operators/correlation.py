@@ -304,12 +304,25 @@ def upsert_candidates(known: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def filter_candidates(rows: DataFrame, query: str, pending_only: bool = False) -> DataFrame:
-    """Candidates whose ids hold a text, whatever its case."""
-    low = F.lit(query.lower())
-    found = rows.where(F.contains(F.lower("candidate_id"), low) | F.contains(F.lower("left_id"), low) | F.contains(F.lower("right_id"), low))
+    """Candidates whose ids, or titles and families where they are there, hold a text, whatever its case."""
+    low, matched = F.lit(query.lower()), F.lit(False)
+    for c in ("candidate_id", "left_id", "right_id", *(c for c in DESCRIBED if c in rows.columns)):
+        matched = matched | F.coalesce(F.contains(F.lower(c), low), F.lit(False))
+    found = rows.where(matched)
     return found.where("status = 'pending'") if pending_only else found
 
 
+DESCRIBED = ("left_title", "left_family", "right_title", "right_family")
+
+
+def described(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Candidates with title and family of both their sessions, null where a session isn't listed."""
+    for side in ("left", "right"):
+        shown = sessions.select(F.col("native_session_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"), F.col("tool_family").alias(f"{side}_family"))
+        rows = rows.join(shown, f"{side}_id", "left")
+    return rows
+
+
 def with_target(rows: DataFrame, memberships: DataFrame) -> DataFrame:
     """Candidates with the first global session of their right side."""
     first = memberships.groupBy(F.col("native_session_id").alias("m")).agg(F.min("global_id").alias("target_id"))

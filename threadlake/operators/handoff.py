@@ -140,25 +140,42 @@ def approximate_tokens(document: Mapping) -> int:
 
 
 def fit_budget(document: dict, budget: int) -> None:
-    """Drops what matters least until the document fits, each time with its last reference."""
+    """Drops what matters least until the document fits, each time with its last reference.
+
+    Sizes are measured once; each step takes off what it drops, so that the time
+    is linear in the document.
+    """
     if budget < LEAST_BUDGET:
         raise HandoffError("the budget is too small")
-    while approximate_tokens(document) > budget:
-        field = next((f for f in ("relevant_files", "completed", "decisions") if document[f]), None)
-        if field is None and len(document["open_tasks"]) > 1:
+    octets = lambda x: len(canonical_json(x).encode())
+    size = octets(document)
+    if -(-size // 4) <= budget:
+        return
+    lists = {f: list(map(octets, document[f])) for f in ("relevant_files", "completed", "decisions", "open_tasks")}
+    references = document["provenance"]
+    said: dict[str, list[int]] = {}
+    for i, r in enumerate(references):
+        said.setdefault(r["field"], []).append(i)
+    gone: set[int] = set()
+    while -(-size // 4) > budget:
+        field = next((f for f in ("relevant_files", "completed", "decisions") if lists[f]), None)
+        if field is None and len(lists["open_tasks"]) > 1:
             field = "open_tasks"
         if field is not None:
-            document[field].pop()
-        elif len(document["provenance"]) > 1:
+            size -= lists[field].pop() + bool(lists[field])  # with its comma
+        elif len(references) - len(gone) > 1:
             field = next((f for f in reversed(LATEST) if f in document), None)
             if field is not None:
-                del document[field]
+                size -= octets(field) + octets(document.pop(field)) + 2
         if field is None:
             raise HandoffError("the budget is too small")
-        for i in range(len(document["provenance"]) - 1, -1, -1):
-            if document["provenance"][i]["field"] == field:
-                del document["provenance"][i]
-                break
+        if said.get(field):
+            i = said[field].pop()
+            gone.add(i)
+            size -= octets(references[i]) + (len(gone) < len(references))
+    for f, kept in lists.items():
+        del document[f][len(kept) :]
+    document["provenance"] = [r for i, r in enumerate(references) if i not in gone]
 
 
 def handoffs(log: DataFrame, members: DataFrame, globals_: DataFrame, records: DataFrame | None = None, budget: int = TOKEN_BUDGET) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as t
@@ -119,6 +119,40 @@ def session_buckets(log: DataFrame) -> DataFrame:
     return rows.groupBy("day", "size").agg(F.count(F.lit(1)).alias("sessions"))
 
 
+# What groups of sessions are called by size.
+SIZES = ((10_000, "Small (< 10 KB)"), (100_000, "Medium (10–100 KB)"), (None, "Large (≥ 100 KB)"))
+SHOWN = 50
+
+
+def group_label(group: str) -> Column:
+    """What a session's group is called; group: none, topic, date or size."""
+    if group == "topic":
+        return F.col("title")
+    if group == "date":
+        return F.coalesce(_day(F.col("last_seconds")), F.lit("Unknown date"))
+    if group == "size":
+        label = F.lit(SIZES[-1][1])
+        for most, name in reversed(SIZES[:-1]):
+            label = F.when(F.col("content_bytes") < most, name).otherwise(label)
+        return label
+    return F.lit("All sessions")
+
+
+def session_tree(sessions: DataFrame, group: str = "none", by: str = "recent", show: int = SHOWN) -> DataFrame:
+    """A listing's tree: a row for all tools, one for each, and one for each group of a tool.
+
+    (tool_family, label, sessions, content_bytes, shown): null tool and label stand for
+    all. shown: the first ids of a group in order (title, size or recent), as many as a page shows, so that no row grows with its group.
+    """
+    labelled = sessions.withColumn("label", group_label(group))
+    counts = labelled.groupingSets([["tool_family", "label"], ["tool_family"], []], "tool_family", "label").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("sessions"), F.sum("content_bytes").alias("content_bytes"))
+    order = {"title": ["title", "native_session_id"], "size": [F.col("content_bytes").desc(), "native_session_id"], "recent": [F.col("last_seconds").desc(), "native_session_id"]}[by]
+    ranked = labelled.withColumn("place", F.row_number().over(Window.partitionBy("tool_family", "label").orderBy(*order))).where(F.col("place") <= show)
+    lists = ranked.groupBy("tool_family", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "native_session_id"))), lambda x: x["native_session_id"]).alias("shown"))
+    tree = counts.join(lists.withColumn("level", F.lit(0).cast("long")), ["tool_family", "label", "level"], "left")
+    return tree.select("tool_family", "label", "sessions", "content_bytes", "shown")
+
+
 def session_spans(log: DataFrame) -> DataFrame:
     """First and last event times, first workspace and first user text of each session."""
     key = order_key()

@@ -78,6 +78,15 @@ def session_buckets(log, spark, sf_dir):
     return ov.session_buckets(log)
 
 
+TREE = """grouped as (select *, strftime(make_timestamp(last_seconds * 1000000), '%Y-%m-%d') as label from listed),
+shown as (select tool_family, label, list(native_session_id order by place) as shown from (select *, row_number() over (partition by tool_family, label order by content_bytes desc, native_session_id) as place from grouped) where place <= 3 group by 1, 2)"""
+
+
+@_query("select t.tool_family, t.label, t.sessions, t.content_bytes, case when level = 0 then s.shown end as shown from (select tool_family, label, grouping(tool_family, label) as level, count(*) as sessions, cast(sum(content_bytes) as bigint) as content_bytes from grouped group by grouping sets ((tool_family, label), (tool_family), ())) t left join shown s on s.tool_family = t.tool_family and s.label = t.label", STATS, LIST, TREE)
+def session_tree(log, spark, sf_dir):
+    return ov.session_tree(ov.session_list(log), "date", "size", 3)
+
+
 SESSIONS = "sessions as (select native_session_id, arg_min(tool_family, row(ingestion_id, event_id)) as tool_family, arg_min(ts_seconds, row(ingestion_id, event_id)) as started_at, arg_max(ts_seconds, row(ingestion_id, event_id)) as ended_at from log group by 1)"
 
 
@@ -532,6 +541,13 @@ def candidate_targets(log, spark, sf_dir):
     return co.with_target(rows, members).select("left_id", "right_id", "target_id")
 
 
+@_query("select p.left_id, p.right_id, l.title as left_title, l.tool_family as left_family, r.title as right_title, r.tool_family as right_family from every p join listed l on l.native_session_id = p.left_id join listed r on r.native_session_id = p.right_id where p.score >= 0.8 and (contains(lower(l.title), 'an') or contains(lower(r.title), 'an') or contains(l.tool_family, 'an') or contains(r.tool_family, 'an') or contains(p.left_id, 'an') or contains(p.right_id, 'an'))", TERMS, STATS, LIST)
+def described_candidates(log, spark, sf_dir):
+    s = settled(co.summaries(log))
+    rows = co.candidates(co.pair_scores(s, co.linkable_pairs(s)).where("score >= 0.8"))
+    return co.filter_candidates(co.described(rows.drop("candidate_id"), ov.session_list(log)).withColumn("candidate_id", F.lit("")), "AN").select("left_id", "right_id", *co.DESCRIBED)
+
+
 @_query("select g as global_id, greatest(min(stamp), max(stamp) filter (where kind = 'error')) as updated_at from (select *, concat('gs_', cast(ts_seconds % 9 as varchar)) as g, lpad(cast(ts_seconds as varchar), 12, '0') as stamp from log) group by 1")
 def touched_globals(log, spark, sf_dir):
     rows = log.select(F.concat(F.lit("gs_"), (F.col("ts_seconds") % 9).cast("string")).alias("global_id"), F.lpad(F.col("ts_seconds").cast("string"), 12, "0").alias("at"), "kind")
