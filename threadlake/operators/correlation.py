@@ -91,7 +91,8 @@ def linkable_pairs(s: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Without a workspace in common, or apart in time, a link needs a similarity of
     (threshold - what the other signals give) / their weight. Two term sets so alike
     share one of the rarest terms of each, its prefix in order of frequency, so only
-    prefixes meet. Pairs of one workspace that are near in time meet by week.
+    prefixes meet; and of two that first meet at places i and j no more can be shared than what
+    stands behind, so a pair stays only if that would do. Pairs of one workspace that are near in time meet by week.
     """
     least = min((threshold - TEMPORAL) / CONTENT_OTHER, (threshold - WORKSPACE) / CONTENT_SAME)
     if least <= 0:
@@ -101,9 +102,11 @@ def linkable_pairs(s: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rare = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(rare, "term").groupBy("native_session_id", "family", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("order"))
     prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
-    keys = ranked.select("native_session_id", "family", "n", F.explode(F.slice("order", 1, F.greatest(F.lit(0), prefix))).alias("x")).select("native_session_id", "family", "n", "x.term")
+    keys = ranked.select("native_session_id", "family", "n", F.posexplode(F.slice("order", 1, F.greatest(F.lit(0), prefix))).alias("at", "x")).select("native_session_id", "family", "n", "at", F.xxhash64("x.term").alias("term"))
     a, b = _sides(keys)
     alike = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(least) - 1e-9
+    most = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
+    alike = alike & (most >= (F.col("l_n") + F.col("r_n")) * F.lit(least / (1 + least)) - 1e-6)
     content = a.join(b, F.col("l_term") == F.col("r_term")).where((F.col("l_native_session_id") < F.col("r_native_session_id")) & (F.col("l_family") != F.col("r_family")) & alike)
     week = WINDOW_SECONDS
     placed = s.where("cwd is not null").select("native_session_id", "family", "cwd", F.coalesce("origin", F.lit("")).alias("origin"), "started_at", "ended_at", F.explode(F.sequence(F.floor(F.col("started_at") / week), F.floor((F.col("ended_at") + week) / week))).alias("week"))

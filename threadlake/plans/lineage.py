@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame's rows, computed once and kept where spark.checkpoint.dir says.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses spark.checkpoint.dir. Where it is unset, a temporary folder serves a session of one machine; on a cluster that is an error."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
+
 
-    Only where that is unset, as in tests, a temporary folder serves.
-    """
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame's rows, computed once and kept in the checkpoint folder."""
+    ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
