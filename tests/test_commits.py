@@ -1,11 +1,14 @@
 """The store's commit files: torn, raced for, listed, and what they say of their parts."""
 
 import json
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadlake.operators.overview import session_statistics
+from threadlake.streaming import ingest
 from threadlake.streaming import store as st
 
 
@@ -97,3 +100,41 @@ def test_batches_meet_what_they_may_repeat(spark, tmp_path):
     store.commit(6, events(spark, 1, "l"), states=states.withColumns({"next_sequence": F.lit(9).cast("long"), "state": F.lit("y")}))
     paths = spark.createDataFrame([("/a",)], "path string")
     assert [tuple(r) for r in store.states(paths).collect()] == [("/a", "g", 9, "y")] == [tuple(r) for r in store.states().collect()]
+
+
+def test_statistics_follow_from_what_commits_change(spark, tmp_path):
+    store, rng = st.Store(spark, str(tmp_path / "s")), random.Random(9)
+    for k in range(4):
+        rows = events(spark, 30, f"g{k}").withColumns({"native_session_id": F.concat(F.lit("s"), (F.col("source_offset") % 7).cast("string")), "canonical_bytes": F.col("source_offset") * 3, "kind": F.when(F.col("source_offset") % 5 == 0, "error").otherwise("user_message"), "payload_json": F.concat(F.lit('{"text":"t'), F.lit(rng.randrange(9)), F.lit('-'), F.col("source_offset"), F.lit('"}'))})
+        store.commit(k, rows)
+        if k % 2:
+            gone = sorted(r[0] for r in store.events().select("event_id").collect())
+            store.remove_events(spark.createDataFrame([(i,) for i in rng.sample(gone, 11)], "event_id string"))
+    sizes = lambda frame: {r["native_session_id"]: (r["event_count"], r["content_bytes"]) for r in frame.collect()}
+    assert sizes(store.statistics()) == sizes(session_statistics(store.events()))
+    every = store._read("events", store.commits())  # titles of removed events stay
+    assert {r["native_session_id"]: r["title"] for r in store.statistics().collect()} == {r["native_session_id"]: r["title"] for r in session_statistics(every).collect()}
+    store.rebuild_statistics()
+    assert {tuple(r) for r in store.statistics().collect()} == {tuple(r) for r in session_statistics(store.events()).collect()}
+    store.remove_events(store.events().where("native_session_id = 's3'").select("event_id"))
+    assert "s3" not in sizes(store.statistics())
+
+
+def test_followers_read_each_commit_once(spark, tmp_path, monkeypatch):
+    store, parts = st.Store(spark, str(tmp_path / "s")), []
+    for k in range(3):
+        store.commit(k, events(spark, 700, f"g{k}"))
+    read = st.Store._read
+    monkeypatch.setattr(st.Store, "_read", lambda self, name, commits, *rest: parts.extend(c.number for c in commits if name == "events") or read(self, name, commits, *rest))
+    pages = list(ingest.follow(store, limit=10))
+    assert [len(p) for p in pages] == [10] * 210 and [r["ingestion_id"] for p in pages for r in p] == list(range(1, 2101)) and parts == [0, 1, 2]
+    parts.clear()
+    last = pages[-3][-1]["event_id"]
+    assert [r["ingestion_id"] for p in ingest.follow(store, last, 256) for r in p] == list(range(2081, 2101)) and parts[-1:] == [2]
+    with pytest.raises(ValueError):
+        next(ingest.follow(store, "nobody"))
+    given = []
+    for n in (2100, 2105):
+        ingest.event_stream(store, f"{tmp_path}/cp", lambda rows, _: given.append(rows.count()), once=True).awaitTermination()
+        assert sum(given) == n
+        store.commit(10 + n, events(spark, 5, f"h{n}"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -270,6 +270,43 @@ def replay_all(store: Store, limit: int = PAGE) -> Iterator[list]:
         after = rows[-1]["event_id"]
 
 
+def follow(store: Store, after: str | None = None, limit: int = PAGE) -> Iterator[list]:
+    """Pages of stored events in order of ingestion, behind an event, until the last commit; to go on, give the last event's id.
+
+    Every commit's part is read once, a few commits at a time; those before the event are left alone.
+    """
+    done = 0
+    if after is not None:
+        row = store.events().where(F.col("event_id") == after).select("ingestion_id").first()
+        if row is None:
+            raise ValueError(f"unknown event {after}")
+        done = row["ingestion_id"]
+    ahead, page = [c for c in store.commits() if c.counts.get("events") and c.top > done], []
+    while ahead:
+        some = [ahead.pop(0)]
+        while ahead and sum(c.counts["events"] for c in some) < 64 * limit:
+            some.append(ahead.pop(0))
+        for row in store.events_of(some).where(F.col("ingestion_id") > done).orderBy("ingestion_id").toLocalIterator():
+            page.append(row)
+            if len(page) == limit:
+                yield page
+                page = []
+    if page:
+        yield page
+
+
+def event_stream(store: Store, checkpoint: str, put: Callable[[DataFrame, int], None], once: bool = False, most_commits: int = 64) -> StreamingQuery:
+    """Gives each batch of new events to ``put``, as commits come; the checkpoint remembers which were given."""
+    from threadlake.streaming.reconcile import commit_rows
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        numbers = {r["number"] for r in batch.where("number is not null and counts['events'] > 0").select("number").collect()}
+        put(store.events_of([c for c in store.commits() if c.number in numbers]), batch_id)
+
+    writer = commit_rows(store, most_commits).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{SCAN_SECONDS} seconds")).start()
+
+
 def live_events(store: Store, after: int) -> tuple[DataFrame, int]:
     """What was ingested behind the bound, and the next bound; a reader that lags just asks later."""
     upto = store.watermark()

@@ -61,6 +61,8 @@ def reconcile_batch(store: Store, batch: int, ranges: list[tuple[int, int]], thr
     rebuild = bool(commits) and (not before or before[-1].revision < commits[-1].revision)
     if not ranges and not rebuild:
         return None
+    if rebuild and before:
+        store.rebuild_statistics()
 
     def make(commits: list[Commit]) -> dict[str, DataFrame]:
         log = store.events()

@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import chronology as ch
+from threadlake.functions.text import title_candidate
 from threadlake.operators.correlation import AUDIT, refuse_ruled_out
 from threadlake.operators.retention import MaintenanceReport, collectable_blobs, kept_raws, keep_conversation, latest_per_group, legacy_envelopes, orphans
+from threadlake.schema import DISPOSABLE
 
 EVENTS = (
     "event_id string, native_session_id string, sequence bigint, kind string, tool_family string, surface string, profile string, cwd string, branch string, head string, timestamp string, timestamp_precision string, "
@@ -54,8 +56,10 @@ CANDIDATES = "candidate_id string, left_id string, right_id string, score double
 GLOBALS = "global_id string, objective string, created_at string, updated_at string"
 #: Calls that a file's earlier lines made, each once, so that what a batch writes doesn't grow with its file.
 CALLS = "path string, source_generation string, call_id string"
+#: What a commit changes in its sessions' statistics; a removal's are negative and offer no title.
+DELTAS = "native_session_id string, event_count bigint, content_bytes bigint, title string, priority int, sequence bigint, event_id string"
 POSTINGS = "token string, event_id string, places array<int>, bucket int"
-TABLES = {"postings": POSTINGS, "calls": CALLS, "summaries": SUMMARIES, "decisions": AUDIT, "candidates": CANDIDATES, "globals": GLOBALS, "events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
+TABLES = {"deltas": DELTAS, "postings": POSTINGS, "calls": CALLS, "summaries": SUMMARIES, "decisions": AUDIT, "candidates": CANDIDATES, "globals": GLOBALS, "events": EVENTS, "raws": RAWS, "states": STATES, "cursors": CURSORS, "audits": AUDITS, "blobs": BLOBS, "handoffs": HANDOFFS, "snapshots": SNAPSHOTS, "removed": REMOVED, "removed_blobs": GONE}
 #: Generations (or paths) that a commit lists; a part with more is always read.
 FEW = 1000
 #: Commits after which their list is written in one file.
@@ -288,6 +292,8 @@ class Store:
     def transact(self, stream: str, batch: int | None, make, revise: bool = False, replaces: list[str] | None = None, ranges: list[tuple[int, int]] | None = None) -> Commit:
         """Adds ``make(commits)``, a frame for each of some tables, as one batch of a stream.
 
+        A function in place of a frame makes it from the commit as it is by then, with the parts before it written.
+
         batch None: the stream's next one. A batch that is known is left as it was.
         If another writer was faster, everything is made anew on top of its commit.
         """
@@ -300,7 +306,7 @@ class Store:
             number = batch if batch is not None else max((c.batch for c in commits if c.stream == stream), default=-1) + 1
             commit = Commit(self._next, stream, number, last.top, last.top, last.revision + revise, replaces=replaces or [], ranges=[list(r) for r in ranges or ()])
             for name, frame in make(commits).items():
-                self._add(commit, name, frame)
+                self._add(commit, name, frame(commit) if callable(frame) else frame)
             if self._put(commit):
                 return commit
 
@@ -317,7 +323,7 @@ class Store:
         def make(commits: list[Commit]) -> dict[str, DataFrame]:
             kept = keep_conversation(once) if self.conversation_only else once
             known = self._read("events", commits, wanted).select("event_id").unionByName(self._read("removed", commits, wanted).select("event_id"))
-            out = {"events": kept.join(known, "event_id", "left_anti")}
+            out = {"events": kept.join(known, "event_id", "left_anti"), "deltas": lambda commit: deltas(self._read("events", [commit]))}
             if raws is not None:
                 out["raws"] = self._fresh_raws(kept_raws(raws, events) if self.conversation_only else raws, commits)
             if states is not None:
@@ -444,8 +450,25 @@ class Store:
         Statistics are views and follow by themselves; handoffs made from the events
         are stale, which the raised revision says.
         """
-        there = self.events().join(ids.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "source_generation")
-        return self.transact("removed", None, lambda _: {"removed": there}, revise=True).counts["removed"]
+        there = self.events().join(ids.select("event_id").distinct(), "event_id", "left_semi")
+        return self.transact("removed", None, lambda _: {"removed": there.select("event_id", "source_generation"), "deltas": deltas(there, -1)}, revise=True).counts["removed"]
+
+    def statistics(self) -> DataFrame:
+        """Each session's events, bytes and title, from what commits changed, without a look at the events.
+
+        After a removal a title stays as it was, though its event may be gone, until ``rebuild_statistics``.
+        """
+        commits = self.commits()
+        gone = {name for c in commits for name in c.replaces}
+        rows = self._read("deltas", [c for c in commits if c.parts.get("deltas") not in gone])
+        offer = F.struct("priority", "sequence", "event_id")
+        folded = rows.groupBy("native_session_id").agg(F.sum("event_count").alias("event_count"), F.sum("content_bytes").alias("content_bytes"), F.min_by("title", F.when(F.col("event_id").isNotNull(), offer)).alias("title"))
+        return folded.where("event_count > 0")
+
+    def rebuild_statistics(self) -> None:
+        """Folds what commits changed into one part, made anew from the events: where the revision has risen."""
+        old = [c.parts["deltas"] for c in self.commits() if "deltas" in c.parts]
+        self.transact("statistics", None, lambda _: {"deltas": deltas(self.events())}, replaces=old)
 
     def maintain(self, target: str, keep_handoffs: int = 1) -> tuple[Store, MaintenanceReport]:
         """A compacted copy of the store without what retention drops, and what was dropped.
@@ -463,7 +486,7 @@ class Store:
         last = self._read("cursors", commits).groupBy("source_id").agg(F.max_by(F.struct("collector_id", "source_generation", "byte_offset", "next_sequence", "updated_at"), "number").alias("c")).select("source_id", "c.*")
         # A removal is remembered beside what retention dropped.
         removed = self._read("removed", commits).drop("number").unionByName(events.join(kept.select("event_id"), "event_id", "left_anti").select("event_id", "source_generation")).distinct()
-        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed, "summaries": self.summaries(), "decisions": self.table("decisions"), "candidates": self.candidates(), "globals": self.globals(), "calls": self._read("calls", commits).drop("number").distinct()}
+        frames = {"events": kept, "raws": raws.join(lost, "raw_object_id", "left_anti"), "states": self.states(), "cursors": last, "audits": self.table("audits"), "blobs": self.table("blobs"), "handoffs": newest, "snapshots": left, "removed": removed, "summaries": self.summaries(), "decisions": self.table("decisions"), "candidates": self.candidates(), "globals": self.globals(), "calls": self._read("calls", commits).drop("number").distinct(), "deltas": deltas(kept)}
         whole = Commit(0, "maintenance", 0, 0, self.watermark(), self.revision())
         for name, frame in frames.items():
             after._add(whole, name, frame, whole_ids=True)
@@ -483,6 +506,16 @@ def places(rows: DataFrame, of: str, at: str | None) -> dict[str, list[int]] | N
     return {r["of"]: whole if r["low"] is None else [r["low"], r["high"]] for r in found} if len(found) <= FEW else None
 
 
+def deltas(events: DataFrame, sign: int = 1) -> DataFrame:
+    """What events change in their sessions' statistics: counts with a sign, and of added ones the best title they offer."""
+    title, priority = title_candidate(F.col("kind"), F.col("payload_json"), DISPOSABLE)
+    rows = events.select("native_session_id", "canonical_bytes", title.alias("title"), priority.alias("priority"), "sequence", "event_id")
+    best = F.min_by(F.struct("title", "priority", "sequence", "event_id"), F.struct("priority", "sequence", "event_id"))
+    best = best if sign > 0 else F.lit(None).cast("struct<title:string,priority:int,sequence:bigint,event_id:string>")
+    grouped = rows.groupBy("native_session_id").agg((F.count(F.lit(1)) * sign).alias("event_count"), (F.sum("canonical_bytes") * sign).alias("content_bytes"), best.alias("best"))
+    return grouped.select("native_session_id", "event_count", "content_bytes", "best.*")
+
+
 def verified_blobs(raws: DataFrame) -> DataFrame:
     """Raws whose bytes are what their hash says."""
     return raws.where(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)) == F.col("blob_hash"))
