@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlake.plans.lineage import ensure_checkpoint_dir, settled
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+__all__ = ["checkpoint_folder", "ensure_checkpoint_dir", "settled", "stored"]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -22,12 +17,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame's rows, computed once and kept in the checkpoint folder."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def stored(frame: DataFrame) -> DataFrame:
     """The frame's rows, written as Parquet in the checkpoint folder and read again.
 
