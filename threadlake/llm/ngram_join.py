@@ -55,6 +55,8 @@ SHORT, BLOCK = 64, 1024
 BROADCAST_KEYS = 1_000_000
 #: Pairs up to which they are broadcast to what they join, 16 bytes each.
 BROADCAST_PAIRS = 1_000_000
+#: A text has very many copies if they are more than this part of all rows; there are fewer such texts than that.
+HOT = 1024
 FAN_IN = 64
 
 _BYTES = byte_table(11)
@@ -404,11 +406,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         more_links = settled(_linked(more, sets_of(more), share))
         labels = components(links.unionByName(more_links))
     rows = surveyed.where("chunk is null").select("key", "size", "node")
-    named = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = settled(named.select("node", "component").join(least, "component").select("node", "component_id"))
-    # Texts without words have one node in common and need no join.
-    found = rows.where("size > 0").join(by_node, "node").select("key", "size", "component_id")
+    by_node = settled(named.select("node", "component", "copies").join(least, "component").select("node", "component_id", "copies"))
+    # Texts without words have one node in common and need no join. Those with very many copies are at most HOT, and broadcast.
+    worded = rows.where("size > 0")
+    often = F.col("copies") * HOT > (by_node.agg(F.sum("copies").alias("n")).first()["n"] or 0)
+    hot = by_node.where(often).select("node", "component_id")
+    rest = worded.join(F.broadcast(hot.select("node")), "node", "left_anti").join(by_node.where(~often).select("node", "component_id"), "node")
+    found = worded.join(F.broadcast(hot), "node").unionByName(rest).select("key", "size", "component_id")
     out = found.unionByName(rows.where("size = 0").select("key", "size", F.col("key").alias("component_id")))
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
 
