@@ -83,3 +83,28 @@ def test_plain_queries(searchable):
     assert se.decode_cursor("a", se.encode_cursor("a", "x:y")) == "x:y"
     with pytest.raises(ValueError):
         se.decode_cursor("b", se.encode_cursor("a", "x"))
+
+
+def test_sensitive_fields_are_those_of_the_plain_reader(spark):
+    import json
+    import random
+
+    from threadlake.functions.pointers import sensitive_fields
+    from threadlake.sources.records import sensitive_pointers
+
+    rng = random.Random(3)
+    names = ["a", "token", "X-Api_Key", "b/c~d", "password~/1", "SECRETS", "", "é"]
+
+    def value(depth):
+        pick = rng.random()
+        if depth and pick < 0.45:
+            return {rng.choice(names): value(depth - 1) for _ in range(rng.randint(0, 4))}
+        if depth and pick < 0.75:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([None, 1, 2.5, "token", True])
+
+    docs = [value(5) for _ in range(60)]
+    rows = [(k, json.dumps(d)) for k, d in enumerate(docs)] + [(100, None), (101, "{broken"), (102, "")]
+    got = sorted(map(tuple, sensitive_fields(spark.createDataFrame(rows, "id long, doc string"), "id", "doc").collect()))
+    assert got == sorted((k, p) for k, d in enumerate(docs) for p in sensitive_pointers(d)) and len({p.count("/") for _, p in got}) > 3
+    assert sensitive_fields(spark.createDataFrame([], "id long, doc string"), "id", "doc").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import chronology as ch
 from threadlake.functions import identity as ids
+from threadlake.functions import pointers
 from threadlake.functions import text as t
 from threadlake.operators import correlation as co
 from threadlake.operators import handoff as ho
@@ -695,6 +696,18 @@ def newest_records(log, spark, sf_dir):
     return ho.newest_records(rows, "gs_1")
 
 
+# Documents with credentials at several depths, by an event's id.
+NESTED = """nested as (select event_id, case when ingestion_id % 9 = 8 then 'no json' else concat('{"text":"x","a":[{"Auth_Token":', ingestion_id % 3, '},[{"deep":{"my_password":{"api_key":[]}}}],"secret"],"b":', case when ingestion_id % 2 = 0 then '{"Authorization":null,"c":[1,{"clientSecret":2}]}' else '[]' end, '}') end as doc from log)"""
+
+
+@_query("select event_id, regexp_replace(replace(substr(fullkey, 2), '.', '/'), '\\[(\\d+)\\]', '/\\1', 'g') as pointer from (select event_id, doc from nested where json_valid(doc)) n, json_tree(n.doc) t where t.key is not null and regexp_matches(lower(t.key), 'api_key|authorization|password|secret|token')", NESTED)
+def sensitive_fields(log, spark, sf_dir):
+    at = F.col("ingestion_id")
+    inner = F.when(at % 2 == 0, '{"Authorization":null,"c":[1,{"clientSecret":2}]}').otherwise("[]")
+    doc = F.when(at % 9 == 8, "no json").otherwise(F.concat(F.lit('{"text":"x","a":[{"Auth_Token":'), (at % 3).cast("string"), F.lit('},[{"deep":{"my_password":{"api_key":[]}}}],"secret"],"b":'), inner, F.lit("}")))
+    return pointers.sensitive_fields(log.select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, directory of tables)."""
     return dict(_QUERIES)
