@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -108,3 +111,29 @@ def test_sensitive_fields_are_those_of_the_plain_reader(spark):
     got = sorted(map(tuple, sensitive_fields(spark.createDataFrame(rows, "id long, doc string"), "id", "doc").collect()))
     assert got == sorted((k, p) for k, d in enumerate(docs) for p in sensitive_pointers(d)) and len({p.count("/") for _, p in got}) > 3
     assert sensitive_fields(spark.createDataFrame([], "id long, doc string"), "id", "doc").count() == 0
+
+
+def test_excerpts_without_python(spark):
+    texts = ["", None, "a" * 20, "a" * 21, *("a" * k + c * 9 for k in range(21) for c in "aé日𝄞")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", t.excerpt(F.col("text"), 20).alias("cut"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    for r in rows.collect():
+        assert tuple(r["cut"]) == ((None, False) if r["text"] is None else t.cut_bytes(r["text"], 20))
+
+
+def test_tokens_slice_by_slice(spark):
+    texts = ["", None, "Straße, ÉTÉ 日本", "x" * 300_000 + " Y", None, *(f"a{i} b" * 9000 for i in range(40)), ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("text", t.tokens(F.col("text")).alias("tokens"))
+    for r in rows.collect():
+        assert r["tokens"] == ([] if r["text"] is None else t.folded_tokens(r["text"]))
+
+
+def test_tokens_of_a_large_batch_are_not_all_in_python():
+    texts = pa.array([" ".join(f"word{i % 97}x{k}" for k in range(100)) for i in range(6000)])
+    assert t.token_lists(pa.array([], pa.string())).to_pylist() == []
+    tracemalloc.start()
+    found = t.token_lists(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All 600,000 tokens as Python strings take over 30 MB.
+    assert len(found) == 6000 and most < 8 << 20
