@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,45 @@ def test_packing(spark, library):
     assert packing.pack(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def plain_sentence_ends(text):
+    """Byte positions after marks that white space or the end follows, and after full-width stops."""
+    out = []
+    for i, c in enumerate(text):
+        ahead = text[i + 1 : i + 2]
+        if c in "\u3002\uff01\uff0e\uff1f\uff61" or c in ".!?\n\u2026" and (not ahead or ahead.isspace()):
+            out.append(len(text[: i + 1].encode()))
+    return out
+
+
+PIECES = st.sampled_from([".", "!", "\n", "\u2026", "\u3002", "\uff01", "\uff71", "\uff61", " ", "  ", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u205f", "\u3000", "\u3001", "a", "word", "\xe9", "\u672c", "<|endoftext|>", "'s", "12"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=12), max_size=8), st.sampled_from([1, 40, 1 << 24]))
+def test_many_texts_at_once(library, texts, split):
+    tool = packing.encoder("byte_bpe_50k.json")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "SPLIT_BYTES", split)
+        found = list(tool.rows(pa.array(texts, pa.string())))
+    assert len(found) == len(texts)
+    for t, (ids, marks) in zip(texts, found, strict=True):
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
+        reach = np.cumsum(tool.sizes[ids]).tolist()
+        assert marks.tolist() == [next(k for k, x in enumerate(reach, 1) if x >= end) for end in plain_sentence_ends(t or "")]
+
+
+def test_a_piece_is_encoded_once_for_many_texts(library, monkeypatch):
+    tool, seen = packing.encoder("byte_bpe_50k.json"), []
+    encode = tool.encode
+    monkeypatch.setattr(tool, "encode", lambda text: seen.append(text) or encode(text))
+    texts = [f"{'One' if i % 2 else 'Two'} more rare{i % 7}, never before qxj{i % 50}." for i in range(400)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [ids.tolist() for ids, _ in tool.rows(pa.array(texts))]
+    assert got == want
+    # One call for each way to begin a text, one for all that comes later.
+    assert len(seen) <= 3 and sum(map(len, seen)) < 1000
+
+
 def best_cost(marks, penalty, window):
     """The programme's optimum by trying every predecessor."""
     spots, costs = [0, *marks], [0.0, *penalty]

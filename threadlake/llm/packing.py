@@ -21,21 +21,21 @@ rows are packed again; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.arrow_text import released
+from threadlake.llm.arrow_text import released, text_slices
 from threadlake.llm import bpe
 
 WINDOW = 1024
@@ -44,82 +44,130 @@ STRETCH = 1 << 17
 SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 6.0
 #: Windows between two neighbouring chosen boundaries: any number.
 MOST_WINDOWS = math.inf
-#: Ends of sentences in UTF-8: a mark before white space or the end of the text, or a full-width stop.
-_SPACE = rb"[\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z"
-SENTENCE_END = re.compile(rb"[.!?\n](?=" + _SPACE + rb")|\xe2\x80\xa6(?=" + _SPACE + rb")|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1")
+#: Bytes of text that are split into pieces at once.
+SPLIT_BYTES = 1 << 24
+#: Bytes that are a mark of their own, white space of their own, or begin a longer one of either.
+_MARKS, _SPACES, _LEADS, _LONG_SPACES = (np.isin(np.arange(256), list(b)) for b in (b".!?\n", b"\t\n\v\f\r \x1c\x1d\x1e\x1f", b"\xe2\xe3\xef", b"\xc2\xe1\xe2\xe3"))
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first three bytes at these places as one number, with zeros behind the end."""
+    parts = (np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int64) for k in range(3))
+    return next(parts) << 16 | next(parts) << 8 | next(parts)
+
+
+def sentence_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places after the ends of sentences, of texts in UTF-8 laid end to end.
+
+    An end is a mark before white space or the end of its text, or a full-width stop.
+    """
+    at = np.flatnonzero((_MARKS | _LEADS)[data])
+    lead = data[at]
+    wide = at[_LEADS[lead]]
+    three = _code_points(data, wide)
+    stops = wide[np.isin(three, (0xE38082, 0xEFBC81, 0xEFBC8E, 0xEFBC9F, 0xEFBDA1))] + 3
+    ends = np.concatenate([at[_MARKS[lead]] + 1, wide[three == 0xE280A6] + 3])
+    last = ends == offsets[np.searchsorted(offsets, ends)]
+    ahead = data[np.minimum(ends, len(data) - 1)] if len(data) else lead
+    spaced = last | _SPACES[ahead]
+    unsure = np.flatnonzero(~spaced & _LONG_SPACES[ahead])
+    three = _code_points(data, ends[unsure])
+    spaced[unsure] = np.isin(three >> 8, (0xC285, 0xC2A0)) | np.isin(three, (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080))
+    return np.sort(np.concatenate([ends[spaced], stops]))
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, from a bounded memo of pieces."""
+    """Token ids of texts as little-endian 32-bit numbers.
 
-    def __init__(self, name: str, memo: int = bpe.MEMO) -> None:
+    A piece is what stands between two single spaces. Many texts are split at
+    once, and each different piece is encoded once for all of them.
+    """
+
+    def __init__(self, name: str) -> None:
         path = public_tokenizers.path(name)
         self.path = path
         self.vocabulary = bpe.Vocabulary(path)
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(self.vocabulary.ids), special_tokens={}).encode_ordinary
         shown = self.vocabulary.bytes | {i: s.encode() for s, i in self.vocabulary.special.items()}
         self.sizes = np.array([len(shown.get(i, b"")) for i in range(max(shown) + 1)])
-        #: Ids by piece with its leading space left out; the older half goes when the newer is full.
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = memo // 2
         self.whole = None
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
-
-    def _learn(self, cut: list[str]) -> None:
-        """Takes in the pieces that the memo lacks, all in one call; spaced, they never merge."""
-        lacking = []
-        for p in cut:
-            if p not in self.new:
-                ids = self.old.get(p)
-                if ids is None:
-                    lacking.append(p)
-                else:
-                    self.new[p] = ids
-        if not lacking:
-            return
-        lacking = list(dict.fromkeys(lacking))
-        ids = np.array(self.encode(" " + " ".join(lacking)), "<u4")
-        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in lacking), np.int64, len(lacking)))
-        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-        data, start = ids.tobytes(), 0
-        for p, end in zip(lacking, (4 * at).tolist(), strict=True):
-            self.new[p] = data[start:end]
-            start = end
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), "<u4")
 
-    def parts(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """The ids of the text's pieces, and token positions after those that end a sentence."""
-        ids = self._pieces(text)
-        data = text.encode()
-        ends = [m.end() for m in SENTENCE_END.finditer(data)]
-        if not ends:
-            return ids, np.zeros(0, np.int64)
-        # A token that holds the end and more is not cut: the boundary is behind it.
-        reach = np.cumsum(self.sizes[np.frombuffer(b"".join(ids), "<u4")])
-        return ids, np.searchsorted(reach, ends) + 1
-
-    def _pieces(self, text: str) -> list[bytes]:
+    def _with_care(self, text: str) -> np.ndarray:
+        """The ids of a text that holds special strings, or spaces that the next pre-token need not take."""
         if any(s in text for s in self.vocabulary.special):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
-            return [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
-        if not text:
-            return []
-        if bpe.LOOSE_SPACE.search(text):
-            return list(map(self._ids, bpe.pieces(text)))
-        head, *cut = text.split(" ")
-        ids = list(map(self.new.get, cut))
-        if None in ids:
-            if len(self.new) >= self.limit:
-                self.old, self.new = self.new, {}
-            self._learn(cut)
-            ids = list(map(self.new.__getitem__, cut))
-        ids.insert(0, self._ids(head) if head else b"")
-        return ids
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.concatenate([np.zeros(0, "<u4"), *map(self._plain, bpe.pieces(text))])
+
+    def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, each behind a space, and how many each has; in one call, since they never merge."""
+        if not pieces:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        ids = self._plain(" " + " ".join(pieces))
+        ends = np.cumsum(pc.binary_length(pa.array(pieces)).to_numpy() + np.int64(1))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1, prepend=0)
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts without nulls: all pieces by number, where each text's begin, and by number the ids and where they begin."""
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, shown = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        head = np.zeros(len(codes), np.bool_)
+        head[bounds[:-1]] = True
+        used = np.zeros(len(shown), np.bool_)
+        used[codes[~head]] = True
+        spaced = np.flatnonzero(used)
+        sound = np.fromiter((p != "" and not p[0].isspace() for p in shown[spaced]), np.bool_, len(spaced))
+        ids, counts = self._spaced(shown[spaced[sound]].tolist())
+        # Number 0 has no ids, then come the pieces behind a space, then those that begin a text.
+        numbers = np.zeros(len(shown), np.int64)
+        numbers[spaced[sound]] = np.arange(1, len(counts) + 1)
+        pieces = numbers[codes]
+        # Texts in which another piece lies behind a space, or which hold special strings, are encoded by themselves.
+        careful = np.zeros(len(texts), np.bool_)
+        careful[np.searchsorted(bounds, np.flatnonzero((pieces == 0) & ~head), "right") - 1] = True
+        for s in self.vocabulary.special:
+            careful |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        firsts, which = np.unique(codes[bounds[:-1]][~careful], return_inverse=True)
+        heads = [*map(self._plain, shown[firsts].tolist()), *(self._with_care(texts[k].as_py()) for k in np.flatnonzero(careful).tolist())]
+        if careful.any():
+            pieces[np.repeat(careful, np.diff(bounds))] = 0
+        pieces[bounds[:-1][~careful]] = len(counts) + 1 + which
+        pieces[bounds[:-1][careful]] = len(counts) + 1 + len(firsts) + np.arange(np.count_nonzero(careful))
+        starts = np.cumsum(np.concatenate([[0, 0], counts, np.array([len(x) for x in heads], np.int64)]))
+        return pieces, bounds, np.concatenate([ids, *heads]), starts
+
+    def rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids, and token positions after those that end a sentence; a null text has none."""
+        texts = texts.fill_null("")
+        for first, last, _, _ in text_slices(texts, SPLIT_BYTES):
+            part = texts.slice(first, last - first)
+            pieces, bounds, known, starts = self._numbered(part)
+            for low, high, data, offsets in text_slices(part):
+                own = pieces[bounds[low] : bounds[high]]
+                start = starts[own]
+                stop = np.cumsum(starts[own + 1] - start)
+                sizes = np.diff(stop, prepend=0)
+                ids = known[np.repeat(start - stop + sizes, sizes) + np.arange(stop[-1])]
+                at = np.append(0, stop)[bounds[low : high + 1] - bounds[low]].tolist()
+                ends = sentence_ends(data, offsets)
+                # A token that holds the end and more is not cut: the boundary is behind it.
+                marks = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+                cuts = np.searchsorted(ends, offsets, "right").tolist()
+                for k in range(high - low):
+                    yield ids[at[k] : at[k + 1]], marks[cuts[k] : cuts[k + 1]] - at[k]
+
+    def parts(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """The ids of one text as bytes, and the positions of ``rows``."""
+        ids, marks = next(self.rows(pa.array([text], pa.string())))
+        return [ids.tobytes()], marks
 
 
 @lru_cache(maxsize=2)
@@ -138,38 +186,47 @@ def plan(marks: np.ndarray, penalty: np.ndarray, total: int, window: int = WINDO
     least of those with r not below that of j. Of the latter a staircase is kept:
     r and value both rising. A remainder that is a power of two needs no padding.
     """
-    spots = [0, *marks.tolist()]
-    costs = [0.0, *penalty.tolist()]
+    spots = np.concatenate([[0], marks]).astype(np.int64)
     n = len(spots)
-    best, came = [0.0] * n, [-1] * n
-    at = {p: i for i, p in enumerate(spots)}
-    powers = (window // 2, window // 4)
+    turns, phases = np.divmod(spots, window)
     more = window + BREAK_PENALTY
-    steps, values, who = [0], [0.0], [0]  # the staircase, with the first spot on it
-    for j in range(1, n):
-        here = spots[j]
-        a, r = divmod(here, window)
-        k = bisect_left(steps, r)
-        # values[0] is the least of all.
-        least, via = values[0] + more, who[0]
-        if k < len(steps) and values[k] < least:
-            least, via = values[k], who[k]
-        least += more * a - here - BREAK_PENALTY
-        for size in powers:
-            i = at.get(here - size)
-            if i is not None and best[i] + 2 < least:
-                least, via = best[i] + 2, i
-        least += costs[j]
-        best[j], came[j] = least, via
-        value = least + here - more * a
+    # What a spot adds to the value of the spot before it: value[j] = best[j] + spots[j] - more * turns[j].
+    gains = (np.asarray(penalty, float) - BREAK_PENALTY).tolist()
+    halves: dict[int, list[tuple[int, float]]] = {}
+    for size in (window // 2, window // 4):
+        i = np.searchsorted(spots, spots - size)
+        js = np.flatnonzero((spots[i] == spots - size) & (i < np.arange(n)))
+        extra = size + 2 + BREAK_PENALTY - more * (turns[js] - turns[i[js]])
+        for j, via, by in zip(js.tolist(), i[js].tolist(), extra.tolist(), strict=True):
+            halves.setdefault(j, []).append((via, by))
+    all_values, came = [0.0] * n, [-1] * n
+    # The staircase, with the first spot on it and a step above all spots behind.
+    steps, values, who = [0, window], [0.0, math.inf], [0, -1]
+    far = more
+    for j, r, gain in zip(range(1, n), phases[1:].tolist(), gains, strict=True):
         k = bisect_left(steps, r)
-        if k < len(steps) and values[k] <= value:
+        least, via = values[k], who[k]
+        if far <= least:  # the least of all, one window more
+            least, via = far, who[0]
+        if j in halves:
+            for i, by in halves[j]:
+                if all_values[i] + by < least:
+                    least, via = all_values[i] + by, i
+        came[j] = via
+        all_values[j] = value = least + gain
+        if values[k] <= value:
             continue  # one that reaches as far costs no more
         low = k
-        while low > 0 and values[low - 1] >= value:
+        while low and values[low - 1] >= value:
             low -= 1
-        high = k + 1 if k < len(steps) and steps[k] == r else k
-        steps[low:high], values[low:high], who[low:high] = [r], [value], [j]
+        high = k + 1 if steps[k] == r else k
+        if high == low + 1:
+            steps[low], values[low], who[low] = r, value, j
+        else:
+            steps[low:high], values[low:high], who[low:high] = [r], [value], [j]
+        if not low:
+            far = value + more
+    spots = spots.tolist()
     ends, j = [], n - 1
     while j > 0:
         i = came[j]
@@ -266,10 +323,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                ids, marks = tool.parts(t.as_py() or "")
-                ids.append(end)
-                pending.extend(packer.add(k.as_py(), b"".join(ids), marks))
+            for k, (ids, marks) in zip(batch.column(0), tool.rows(batch.column(1)), strict=True):
+                pending.extend(packer.add(k.as_py(), ids.tobytes() + end, marks))
                 if len(pending) > 20_000:
                     yield out()
         pending.extend(packer.flush(True))
