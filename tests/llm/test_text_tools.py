@@ -115,11 +115,12 @@ PIECES = st.sampled_from([".", "!", "\n", "\u2026", "\u3002", "\uff01", "\uff71"
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.none() | st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=12), max_size=8), st.sampled_from([1, 40, 1 << 24]))
-def test_many_texts_at_once(library, texts, split):
+@given(st.lists(st.none() | st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=12), max_size=8), st.sampled_from([1, 40, 1 << 24]), st.sampled_from([1, 3, 1 << 16]))
+def test_many_texts_at_once(library, texts, split, calls):
     tool = packing.encoder("byte_bpe_50k.json")
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(packing, "SPLIT_BYTES", split)
+        patch.setattr(packing, "CALL_PIECES", calls)
         found = list(tool.rows(pa.array(texts, pa.string())))
     assert len(found) == len(texts)
     for t, (ids, marks) in zip(texts, found, strict=True):

@@ -46,6 +46,8 @@ SENTENCE_PENALTY, BREAK_PENALTY = 1.0, 6.0
 MOST_WINDOWS = math.inf
 #: Bytes of text that are split into pieces at once.
 SPLIT_BYTES = 1 << 24
+#: Pieces that one call of the tokenizer gets, whose answer is a list.
+CALL_PIECES = 1 << 16
 #: Bytes that are a mark of their own, white space of their own, or begin a longer one of either.
 _MARKS, _SPACES, _LEADS, _LONG_SPACES = (np.isin(np.arange(256), list(b)) for b in (b".!?\n", b"\t\n\v\f\r \x1c\x1d\x1e\x1f", b"\xe2\xe3\xef", b"\xc2\xe1\xe2\xe3"))
 
@@ -103,14 +105,17 @@ class Encoder:
 
                 self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.concatenate([np.zeros(0, "<u4"), *map(self._plain, bpe.pieces(text))])
+        return self._joined(bpe.pieces(text))
+
+    def _joined(self, pieces: list[str], by: str = "") -> np.ndarray:
+        """The ids of pieces that no pre-token crosses, many in a call, each behind ``by``."""
+        calls = (self._plain(by + by.join(pieces[k : k + CALL_PIECES])) for k in range(0, len(pieces), CALL_PIECES))
+        return np.concatenate([np.zeros(0, "<u4"), *calls])
 
     def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, each behind a space, and how many each has; in one call, since they never merge."""
-        if not pieces:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        ids = self._plain(" " + " ".join(pieces))
-        ends = np.cumsum(pc.binary_length(pa.array(pieces)).to_numpy() + np.int64(1))
+        """The ids of pieces, each behind a space, and how many each has."""
+        ids = self._joined(pieces, " ")
+        ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy() + np.int64(1))
         return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1, prepend=0)
 
     def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
